@@ -85,3 +85,22 @@ def count_distinct(codes: np.ndarray, bounds: np.ndarray, n_codes: int) -> np.nd
     """Distinct codes of each run."""
     keys = np.unique(row_of(bounds) * max(n_codes, 1) + codes)
     return np.bincount(keys // max(n_codes, 1), minlength=len(bounds) - 1)
+
+
+def _alnum_bytes() -> np.ndarray:
+    """Each byte lower-cased if it is a letter, digit or beyond ASCII, else a space."""
+    lut = np.full(256, 32, np.uint8)
+    lut[48:58] = np.arange(48, 58)
+    lut[97:123] = np.arange(97, 123)
+    lut[65:91] = np.arange(97, 123)
+    lut[128:] = np.arange(128, 256)
+    return lut
+
+
+_ALNUM = _alnum_bytes()
+
+
+def alnum_words(array: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of letters, digits and bytes beyond ASCII, A-Z lower-cased, and their bounds."""
+    raw, offsets = buffers(array)
+    return words(strings(_ALNUM[raw], offsets))
