@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that each have QUERY = (name, function) and, if SQL can express it, ORACLE.
-MODULES = ("quality_model", "toxicity", "decontaminate")
+MODULES = ("line_dedup", "quality_model", "toxicity", "decontaminate")
 
 
 def _modules():
