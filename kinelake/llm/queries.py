@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that each have QUERY = (name, function) and, if SQL can express it, ORACLE.
-MODULES = ("line_dedup", "quality_model", "quality_rules", "toxicity", "simhash", "decontaminate")
+MODULES = ("line_dedup", "quality_model", "sentencepiece_trie", "quality_rules", "toxicity", "simhash", "decontaminate")
 
 
 def _modules():
