@@ -1,7 +1,9 @@
 """Connected components of a graph given as edges, by alternating large and small stars.
 
 Every round is a handful of equi-joins and grouped minima; the edges are written to
-the shared checkpoint folder after each. Only counts come to the driver.
+the shared checkpoint folder after each, and so are the minima: both sides of each join
+are then plain shuffles, of which Spark splits a partition that one hub fills. Only
+counts come to the driver.
 """
 
 from __future__ import annotations
@@ -15,13 +17,13 @@ from kinelake.llm.common import cut
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link each node's larger neighbours to the smallest of the node and its neighbours."""
     both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
-    low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+    low = cut(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")))
     return both.where("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link each node and its smaller neighbours to the smallest of these (edges have u > v)."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    low = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.unionAll(low.select("u", F.col("m").alias("v"))).distinct()
 
