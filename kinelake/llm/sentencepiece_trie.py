@@ -34,8 +34,10 @@ from kinelake.llm.common import table
 
 MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words, and neighbouring pieces, remembered by a worker process between batches and tasks.
-KNOWN_WORDS, KNOWN_PAIRS = 500_000, 1_000_000
+#: Words (twice as many at most), and neighbouring pieces, remembered by a worker process.
+KNOWN_WORDS, KNOWN_PAIRS = 100_000, 400_000
+#: Bytes of text encoded at once.
+BATCH_BYTES = 1 << 20
 # Piece types and the model type of the file format.
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _BPE = 2
@@ -270,17 +272,34 @@ def marked_words(array: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return marked.filter(pa.array(keep)), before[bounds]
 
 
-def encode_batch(array: pa.Array, encoder: Encoder, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+class Memory:
+    """Ids of words met lately: a dictionary that fills up, and the one filled before it."""
+
+    def __init__(self):
+        self.young: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
+
+    def ids(self, words: list[str], encoder: Encoder) -> list[list[int]]:
+        young, old = self.young, self.old
+        fresh = sorted(w for w in words if w not in young and w not in old)
+        made = dict(zip(fresh, encoder.encode_sorted(fresh), strict=True))
+        each = []
+        for w in words:
+            found = young.get(w)
+            if found is None:
+                found = made.get(w)
+                young[w] = found = old[w] if found is None else found
+            each.append(found)
+        if len(young) > KNOWN_WORDS:
+            self.young, self.old = {}, young
+        return each
+
+
+def encode_batch(array: pa.Array, encoder: Encoder, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts and the bounds of each text's."""
     found, bounds = marked_words(array)
     codes, values = at.coded(found)
-    words = values.to_pylist()
-    fresh = sorted(w for w in words if w not in known)
-    if len(known) + len(fresh) > KNOWN_WORDS:
-        known.clear()
-        fresh = sorted(words)
-    known.update(zip(fresh, encoder.encode_sorted(fresh), strict=True))
-    each = [known[w] for w in words]
+    each = memory.ids(values.to_pylist(), encoder)
     size = np.fromiter(map(len, each), np.int64, len(each))
     flat = np.fromiter((i for ids in each for i in ids), np.int32, int(size.sum()))
     start = np.cumsum(size) - size
@@ -331,11 +350,11 @@ def encode(docs: DataFrame, model: Model, text: str = "text", check: bool = Fals
         model = shared.value
         if name not in sys.modules:  # a worker process runs many tasks; what it has learnt stays with it
             kept = sys.modules[name] = types.ModuleType(name)
-            kept.encoder, kept.words = Encoder(model), {}
-        encoder, known = sys.modules[name].encoder, sys.modules[name].words
-        for batch in at.slices(batches, text):
+            kept.encoder, kept.memory = Encoder(model), Memory()
+        encoder, memory = sys.modules[name].encoder, sys.modules[name].memory
+        for batch in at.slices(batches, text, BATCH_BYTES):
             array = at.texts(batch.column(text))
-            ids, bounds = encode_batch(array, encoder, known)
+            ids, bounds = encode_batch(array, encoder, memory)
             out = [pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids)), pa.array(np.diff(bounds))]
             names = [*rest, "ids", "n_ids"]
             if check:
