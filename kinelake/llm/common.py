@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,14 +24,27 @@ def is_fold(key: str, n: int, k: int) -> Column:
     return F.coalesce(fold(key, n) == k, F.lit(False))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared checkpoint folder, its lineage cut.
+def give_way(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns that an operator adds or uses itself: its own take their place."""
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in names))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where that is unset (tests) a local temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return found or os.path.join(tempfile.gettempdir(), "kinelake-checkpoints")
+
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests)
-    a folder under the machine's own temporary one is used.
-    """
+def written(df: DataFrame) -> DataFrame:
+    """df written as a Parquet table in the shared folder, and read from there."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared checkpoint folder, its lineage cut."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "kinelake-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

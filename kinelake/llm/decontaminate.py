@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.llm import arrowtext as at
-from kinelake.llm.common import table
+from kinelake.llm.common import give_way, table
 
 WINDOW = 10
 #: Characters of benchmark text indexed at once.
@@ -235,7 +235,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOC
     """docs with n_words, n_hit, spans (runs of hit words) and items (ids as strings).
 
     A NULL text has no words. Rows with equal doc_id and text are each reported.
+    Columns of these names give way.
     """
+    docs = give_way(docs, "n_words", "n_hit", "spans", "items", "_id", "_text")
     keep = docs.columns
     blocks = index_blocks(docs, benchmark, block_chars)
     if not blocks:

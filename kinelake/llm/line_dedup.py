@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import cut, table
+from kinelake.llm.common import cut, give_way, table
 
 RATIO = 0.1
 MIN_PAGES = 5
@@ -52,10 +52,14 @@ def drop_boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, min_pa
     Lines are compared without surrounding spaces; blank lines always stay. Rows with a
     NULL site keep all lines; a NULL text stays NULL with 0 lines. Each row is a page,
     also where doc_ids repeat. A text whose lines are all boilerplate becomes empty.
+    Columns named like these two give way.
     """
+    host_name = "_site"
+    docs = give_way(docs.withColumn("_given", host), "n_lines", "n_dropped", host_name, "_lines", "_kept", "_n", "_salt")
+    host = F.col("_given")
     found = cut(boilerplate(docs, host, ratio, min_pages))
     entries = found.agg(F.sum(F.size("lines"))).first()[0] or 0
-    keyed = docs.withColumn("_site", host)
+    keyed = docs.withColumn(host_name, host)
     found = found.select(F.col("site").alias("_site"), F.col("lines").alias("_lines"))
     if entries <= BROADCAST_LINES:
         joined = keyed.join(F.broadcast(found), "_site", "left")
@@ -74,7 +78,7 @@ def drop_boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, min_pa
         joined.withColumn("_kept", kept)
         .withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "_n": F.coalesce(F.size("_kept"), F.lit(0))})
         .withColumns({"n_dropped": F.col("n_lines") - F.col("_n"), "text": F.array_join("_kept", "\n")})
-        .select(*docs.columns, "n_lines", "n_dropped")
+        .select(*(c for c in docs.columns if c != "_given"), "n_lines", "n_dropped")
     )
 
 

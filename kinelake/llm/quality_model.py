@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from kinelake.llm import arrowtext as at
 from kinelake.llm import trees
-from kinelake.llm.common import fold, is_fold, table
+from kinelake.llm.common import fold, give_way, is_fold, table
 
 #: Most labelled rows that the model is fitted on (those with the smallest hashed doc_id).
 SAMPLE = 20_000
@@ -100,7 +100,8 @@ def statistics(array: pa.Array) -> np.ndarray:
 
 
 def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """df's other columns and `features`, an array of doubles in the order of FEATURES."""
+    """df's other columns (one named `features` gives way) and `features`, an array of doubles in the order of FEATURES."""
+    df = give_way(df, "features")
     rest = [c for c in df.columns if c != text]
 
     def run(batches):
@@ -141,7 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", use: Colum
 
 
 def score(docs: DataFrame, model: trees.Forest, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without text, plus score (0 to 1) and predicted (1 if score >= threshold)."""
+    """docs without text, plus score (0 to 1) and predicted (1 if score >= threshold); columns of these names give way."""
+    docs = give_way(docs, "score", "predicted")
     rest = [c for c in docs.columns if c != "text"]
 
     def run(batches):

@@ -12,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import table
+from kinelake.llm.common import give_way, table
 
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 PUNCTUATION = "!\"'()+,-./:;=?@[\\]^_`{}~"
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 WINDOW = 5
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance")
 LEAST_WORDS, MOST_REPEATED = 10, 20
 #: Characters in words, and words, from which the class and the word histogram count.
 CLASS_GUARD, WORD_GUARD = 100, 100
@@ -70,8 +71,9 @@ def measures(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance, word_distance.
 
     A NULL text counts as none: zeros, and NULL distances. A distance is NULL for texts
-    under its guard.
+    under its guard. Columns of these names give way.
     """
+    docs = give_way(docs, *ADDED, "base_failed", "kept", *(f"_c{k}" for k in range(6)), "_text", "_words", "_classes", "_lines", "_hashes", "_common", "_windows", "_ordered", "_again", "_padded", "_counts", "_p", "_q", "_row")
     stripped = F.btrim(F.coalesce("_text", F.lit("")), F.lit(BLANKS))
     df = docs.withColumn("_text", F.coalesce("text", F.lit("")))
     df = df.withColumn("_words", F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, r"[\x20\x09-\x0D]+")))
@@ -126,7 +128,7 @@ def measures(docs: DataFrame) -> DataFrame:
             "class_distance": F.least(*(js_distance(F.col("_p"), list(CLASS_REFERENCE[x])) for x in CLASS_REFERENCE)),
             "word_distance": F.least(*(js_distance(F.col("_q"), word_reference(x)) for x in WORD_REFERENCE)),
         }
-    ).select(*docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance")
+    ).select(*docs.columns, *ADDED)
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -137,6 +139,16 @@ def judged(docs: DataFrame) -> DataFrame:
     return measures(docs).withColumns({"base_failed": failed, "kept": ~failed & near})
 
 
+def keep(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, with their own columns only.
+
+    A filter on computed columns would be pushed below them and repeat every expression
+    that they share; the row number, which is not deterministic, holds it above.
+    """
+    numbered = judged(docs).withColumn("_row", F.monotonically_increasing_id())
+    return numbered.where(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
+
+
 def query(spark, sf_dir):
     """Quality counts and verdict of every document.
 

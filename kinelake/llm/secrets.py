@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import table
+from kinelake.llm.common import give_way, table
 
 # Formats of the known kinds, in their order. A match of "assign" counts if its value has 12 characters.
 ASSIGN = (
@@ -115,8 +115,10 @@ def find(docs: DataFrame) -> DataFrame:
     """docs with base and spans: arrays of (start, kind, stop), kind a place in KINDS, stop exclusive.
 
     base holds the known kinds, spans these and `random`, both by start, then kind. A NULL
-    text has none.
+    text has none. Columns of these names give way.
     """
+    docs = give_way(docs, "base", "spans", "_assign", "_access", "_hex", "_candidates", "_mixed", "_tested", "_mean", "_p", "_sorted", "_cut", "_random", "_text",
+                    "_hit", "_between", "_found", "_value", "_step", "_block", "_before", "_start")
     df = docs.withColumn("_text", F.coalesce("text", F.lit("")))
     df = _with_matches(df, ASSIGN, "_assign", 1)
     df = df.withColumn("_assign", F.expr(f"filter(_assign, m -> length(m.value) >= {LEAST_VALUE})"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.llm import arrowtext as at
-from kinelake.llm.common import table
+from kinelake.llm.common import give_way, table
 
 MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -333,16 +333,20 @@ def decode_batch(ids: np.ndarray, bounds: np.ndarray, model: Model) -> pa.Array:
 
 
 def load(spark, path: str = MODEL_PATH) -> Model:
-    """The model at `path`, which Spark reads (a file of fixed size, a few MB at most)."""
-    return Model(bytes(spark.read.format("binaryFile").load(path if "://" in path else f"file://{path}").select("content").first()[0]))
+    """The model at `path` (of fixed size, a few MB at most): a file of the driver, or a URL that Spark reads."""
+    if "://" in path:
+        return Model(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]))
+    with open(path, "rb") as f:
+        return Model(f.read())
 
 
 def encode(docs: DataFrame, model: Model, text: str = "text", check: bool = False) -> DataFrame:
     """docs with ids (array of int) and n_ids; with check also round_trip: whether the ids decode to the text.
 
     A NULL text is encoded like an empty one: no ids. U+2581 in a text is encoded as a
-    space, which is what it decodes to.
+    space, which is what it decodes to. Columns of these names give way.
     """
+    docs = give_way(docs, "ids", "n_ids", *(["round_trip"] if check else []))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest, name = docs.columns, f"_encoder_{model.mark}"
 
@@ -368,6 +372,7 @@ def encode(docs: DataFrame, model: Model, text: str = "text", check: bool = Fals
 
 def decode(df: DataFrame, model: Model, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the text of its ids; NULL ids give an empty text."""
+    df = give_way(df, out) if out != ids else df
     shared = df.sparkSession.sparkContext.broadcast(model)
     rest = df.columns
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.llm import arrowtext as at
-from kinelake.llm.common import cut, table
+from kinelake.llm.common import cut, give_way, table
 from kinelake.llm.components import components
 
 SHINGLE, RADIUS = 4, 4
@@ -67,7 +67,8 @@ def fingerprint(array: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without text, plus fp (the fingerprint as a signed long)."""
+    """docs without text, plus fp (the fingerprint as a signed long); a column fp gives way."""
+    docs = give_way(docs, "fp")
     rest = [c for c in docs.columns if c != text]
 
     def run(batches):
@@ -245,20 +246,37 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataF
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of documents (doc_id, text).
+def near_duplicates(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carried columns, fp, component_id) of documents (doc_id, text).
 
     component_id is the smallest doc_id reachable over links of at most RADIUS bits, the
     document's own included. A NULL text has no words (fingerprint 0, linked like any
     other). A row without doc_id keeps its fingerprint and gets no component_id.
     Repeated rows are each reported.
     """
-    own = cut(fingerprints(docs.select("doc_id", "text")))
+    own = cut(fingerprints(docs.select("doc_id", *carried, "text")))
     nodes = cut(own.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")))
     found = components(links(nodes))
     labelled = nodes.join(found, "node", "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "node").alias("_c"))
     joined = own.join(labelled, own["fp"] == labelled["_fp"], "left")
-    return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("_c")).alias("component_id"))
+    return joined.select("doc_id", *carried, "fp", F.when(F.col("doc_id").isNotNull(), F.col("_c")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one document of each near-duplicate component: the one with the smallest doc_id.
+
+    Of rows that share this doc_id, the one whose text has the smallest hash stays, once.
+    Rows without doc_id stay.
+    """
+    columns = docs.columns
+    keyed = docs.withColumn("_text", F.xxhash64("text"))
+    found = cut(near_duplicates(keyed, ("_text",)).where("doc_id IS NOT NULL").select("doc_id", "_text", "component_id"))
+    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "_text")).alias("k")).select("k.*")
+    stay = keyed.join(kept, ["doc_id", "_text"], "left_semi")
+    again = found.groupBy("doc_id", "_text").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not again.isEmpty():
+        stay = stay.dropDuplicates(["doc_id", "_text"])
+    return stay.select(*columns).unionAll(docs.where("doc_id IS NULL"))
 
 
 def query(spark, sf_dir):

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.llm import arrowtext as at
-from kinelake.llm.common import fold, is_fold, table
+from kinelake.llm.common import fold, give_way, is_fold, table
 from kinelake.llm.quality_model import sample_labels
 
 #: Most labelled rows learnt from (the smallest hashed doc_ids), and most lexicon entries.
@@ -227,8 +227,10 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample:
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs without text, plus score, predicted, n_tokens, n_significant and spans.
 
-    spans holds (first token, last token, score) of every maximal segment.
+    spans holds (first token, last token, score) of every maximal segment. Columns of these
+    names give way.
     """
+    docs = give_way(docs, "score", "predicted", "n_tokens", "n_significant", "spans")
     rest = [c for c in docs.columns if c != "text"]
     span = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())])
 
