@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinelake.plans import motion
+from kinelake.plans import interactions, motion, scenes, views
 
-_MODULES = (motion,)
+_MODULES = (motion, scenes, interactions, views)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
