@@ -28,7 +28,8 @@ def norm3(a: Column, i: int = 0) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """x within [low, high]; NULL stays NULL (greatest and least alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def round_even(x: Column, digits: int) -> Column:
