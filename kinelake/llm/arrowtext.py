@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once inside a worker; one longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def texts(column: pa.Array) -> pa.Array:
@@ -49,6 +49,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             j = max(i + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(i, j - i)
             i = j
+    pa.default_memory_pool().release_unused()  # the worker process stays for other tasks
 
 
 def words(array: pa.Array) -> tuple[pa.Array, np.ndarray]:
