@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinelake.functions.vec import clamp
 
 # Smoothing, rotation a frame, limits and defaults of the camera.
-ALPHA, TURN_DEGREES, START_AZIMUTH = 0.1, 0.05, -90.0
+ALPHA, TURN_DEGREES, START_AZIMUTH, ELEVATION = 0.1, 0.05, -90.0, -15.0
 LEAST_HEIGHT, NEAR, FAR, MARGIN = 0.5, 3.0, 6.0, 2.0
 DEFAULT_LOOKAT, DEFAULT_DISTANCE = (0.0, 0.0, 2.0), 3.0
 
@@ -44,3 +44,32 @@ def azimuth(df: DataFrame, keys: list[str], order: list[str], start: float = STA
     """df with azimuth, turned by TURN_DEGREES every row."""
     k = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("azimuth", F.lit(start) + F.lit(TURN_DEGREES) * k)
+
+
+def track(frames: DataFrame, keys: list[str], order: str, azimuth_start: float = START_AZIMUTH, first_distance: float = 2.23606797749979, follow: bool = True) -> DataFrame:
+    """Camera of each frame: lookat x, y, z and distance smoothed over the frames before, azimuth, elevation.
+
+    frames has cx, cy, cz and distance of each frame. The first lookat is taken as it is,
+    the distance is smoothed from its initial setting. With follow=False the camera stays
+    where it was set and no rows are given. A run's frames are folded in one place.
+    """
+    if not follow:
+        return frames.limit(0).select(*keys, order, *(F.lit(0.0).alias(c) for c in ("lookat_x", "lookat_y", "lookat_z", "distance", "azimuth", "elevation")))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), "cx", "cy", "cz", "distance")))
+    grouped = frames.groupBy(*keys).agg(rows.alias("_rows"))
+
+    def step(done: Column, r: Column) -> Column:
+        last = F.element_at(done, -1)
+        mixed = lambda new, old: F.lit(ALPHA) * new + F.lit(1 - ALPHA) * old
+        look = [F.when(F.size(done) == 0, r[c]).otherwise(mixed(r[c], F.when(F.size(done) > 0, last[c]))).alias(c) for c in ("cx", "cy", "cz")]
+        distance = mixed(r["distance"], F.when(F.size(done) > 0, last["distance"]).otherwise(F.lit(first_distance)))
+        return F.concat(done, F.array(F.struct(r["i"].alias("i"), *look, distance.alias("distance"))))
+
+    kind = frames.schema[order].dataType.simpleString()
+    start = F.array().cast(f"array<struct<i:{kind},cx:double,cy:double,cz:double,distance:double>>")
+    tracked = grouped.withColumn("_done", F.aggregate("_rows", start, step))
+    each = tracked.select(*keys, F.posexplode("_done").alias("_pos", "_c"))
+    return each.select(
+        *keys, F.col("_c.i").alias(order), F.col("_c.cx").alias("lookat_x"), F.col("_c.cy").alias("lookat_y"), F.col("_c.cz").alias("lookat_z"), F.col("_c.distance").alias("distance"),
+        (F.lit(azimuth_start) + F.lit(TURN_DEGREES) * (F.col("_pos") + 1)).alias("azimuth"), F.lit(ELEVATION).alias("elevation"),
+    )

@@ -70,11 +70,17 @@ def rgba_string(color: Column, alpha: Column) -> Column:
     return F.format_string("%.3f %.3f %.3f %.3f", *(F.get(parts, F.lit(i)).cast("double") for i in range(3)), alpha)
 
 
-def bodies(spark: SparkSession, runs: int, seed: int, least: int = 2, most: int = 14, shape: str | None = None, material: str | None = None) -> DataFrame:
+def bodies(
+    spark: SparkSession, runs: int, seed: int, least: int = 2, most: int = 14, shape: str | None = None, material: str | None = None, given: DataFrame | None = None
+) -> DataFrame:
     """Bodies of `runs` scenes, each with least..most bodies; `shape` and `material` override the draw if known.
 
+    Bodies that the caller gives (`given`, not empty) replace the draw.
+
     Every number derives from the seed and the row, so a task that is run again draws the same.
     """
+    if given is not None and not given.isEmpty():
+        return given
     drawn = spark.range(runs).select(
         F.col("id").alias("run_id"), (F.lit(least) + F.floor(F.rand(seed) * (most - least + 1))).cast("int").alias("num_objects")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelake.functions import vec
-from kinelake.operators import frames, kinematics
+from kinelake.operators import frames, kinematics, state
 from kinelake.sources.tables import table
 
 EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
@@ -100,7 +100,47 @@ def final_state(spark, sf_dir):
     return trajectory(spark, sf_dir).groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("last_value"))
 
 
+def _sampled(spark, sf_dir):
+    return vectors(spark, sf_dir).select("vec_id", F.col("e").cast("array<double>").alias("qvel"), F.col("e").cast("array<double>").alias("qpos"))
+
+
+def _body_states(spark, sf_dir, compat):
+    df = state.states(_sampled(spark, sf_dir), F.lit(8), compat)
+    tilt = vec.tilt_degrees(F.col("quaternion"))
+    return df.select(
+        "vec_id", "obj_idx", "id", "geom_id", *(F.col("velocity")[i].alias(f"v{i}") for i in range(3)), *(F.col("angular_velocity")[i].alias(f"w{i}") for i in range(3)),
+        *(F.col("position")[i].alias(f"p{i}") for i in range(3)), vec.steady(tilt).alias("tilt"),
+    )
+
+
+def body_states(spark, sf_dir):
+    """Embeddings as samples of eight bodies, each read at its own address."""
+    return _body_states(spark, sf_dir, "fixed")
+
+
+def body_states_exact(spark, sf_dir):
+    """The same with positions read at the velocity's address."""
+    return _body_states(spark, sf_dir, "exact")
+
+
+def body_labels(spark, sf_dir):
+    df = state.annotated(state.states(_sampled(spark, sf_dir), F.lit(8)), 0.2, 45.0)
+    return df.select("vec_id", "obj_idx", F.array_join("active_labels", ",").alias("active_labels"))
+
+
+def later_velocity(spark, sf_dir):
+    """For bodies 1-8 in contact: the body whose velocity counts afterwards, in both readings."""
+    geoms = vectors(spark, sf_dir).select("vec_id", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("geom_id"))
+    index = {c: state.later_body(F.col("geom_id"), F.lit(8), c) for c in state.COMPAT}
+    df = geoms.join(_sampled(spark, sf_dir), "vec_id")
+    return df.select("vec_id", "geom_id", *(F.get("qvel", index[c] * state.VELOCITIES).alias(f"v_{c}") for c in state.COMPAT))
+
+
 QUERIES = {
+    "body_states": body_states,
+    "body_states_exact": body_states_exact,
+    "body_labels": body_labels,
+    "later_velocity": later_velocity,
     "frame_gate": frame_gate,
     "bucket_first": bucket_first,
     "step_delta": step_delta,
@@ -130,7 +170,29 @@ l AS (
   SELECT vec_id, sqrt(v2) < 0.2 AND sqrt(w2) < 0.2 AS stopped,
          CASE WHEN q <> 0 THEN degrees(acos(greatest(-1.0, least(1.0, c / q)))) END AS tilt FROM s)"""
 
+_SAMPLES = "b AS (SELECT vec_id, e, i::INT AS obj_idx FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), range(8) r(i))"
+_Q = lambda a: [f"e[{a} * obj_idx + {4 + k}]" for k in range(4)]
+
+
+def _tilt(a: int) -> str:
+    w, x, y, z = _Q(a)
+    return f"degrees(acos(greatest(-1.0, least(1.0, {w}*{w}-{x}*{x}-{y}*{y}+{z}*{z}))))"
+
+
+def _states_sql(a: int) -> str:
+    numbers = [f"e[6 * obj_idx + {k + 1}] AS v{k}" for k in range(3)] + [f"e[6 * obj_idx + {k + 4}] AS w{k}" for k in range(3)] + [f"e[{a} * obj_idx + {k + 1}] AS p{k}" for k in range(3)]
+    return f"""WITH {_SAMPLES} SELECT vec_id, obj_idx, 'geom_obj' || obj_idx AS id, obj_idx + 1 AS geom_id, {', '.join(numbers)},
+        floor({_tilt(a)} * 1000000.0 + 0.5) / 1000000.0 AS tilt FROM b"""
+
+
+_speed = lambda k: "sqrt(" + "+".join(f"e[6 * obj_idx + {k + i}]*e[6 * obj_idx + {k + i}]" for i in range(3)) + ")"
 ORACLE = {
+    "body_states": _states_sql(7),
+    "body_states_exact": _states_sql(6),
+    "body_labels": f"""WITH {_SAMPLES}, l AS (SELECT vec_id, obj_idx, {_speed(1)} < 0.2 AND {_speed(4)} < 0.2 AS stopped, {_tilt(7)} > 45.0 AS tipped FROM b)
+        SELECT vec_id, obj_idx, CASE WHEN stopped AND tipped THEN 'Stopped,Tipped' WHEN stopped THEN 'Stopped' WHEN tipped THEN 'Tipped' ELSE '' END AS active_labels FROM l""",
+    "later_velocity": """SELECT vec_id, (i + 1)::INT AS geom_id, e[6 * i + 1] AS v_fixed, e[6 * least(i + 1, 7) + 1] AS v_exact
+        FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), range(8) r(i)""",
     "frame_gate": f"WITH {_GATE} SELECT user_id, event_id, frame_idx FROM g",
     "bucket_first": f"""WITH {_TRAJECTORY} SELECT user_id, event_id, f AS frame_idx FROM (
         SELECT *, row_number() OVER (PARTITION BY user_id, f ORDER BY ts, event_id) AS r

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinelake.functions import geometry, vec
 from kinelake.operators import camera, overlay, vision
-from kinelake.plans.motion import trajectory, vectors
+from kinelake.plans.motion import DAY_US, trajectory, vectors
 from kinelake.sources.tables import table
 
 SCALE = 8.0
@@ -36,6 +36,14 @@ def camera_azimuth(spark, sf_dir):
     return df.select("user_id", "event_id", "azimuth")
 
 
+def camera_track(spark, sf_dir):
+    """Camera of each frame (day): bodies are users modulo 20 at (value, user, value / 9)."""
+    day = F.floor(F.col("us") / DAY_US).cast("long").alias("frame_idx")
+    df = trajectory(spark, sf_dir).select((F.col("user_id") % 3).alias("run_id"), day, F.col("value").alias("x"), (F.col("user_id") % 20).cast("double").alias("y"), (F.col("value") / 9.0).alias("z"))
+    found = camera.track(camera.spread(df, ["run_id", "frame_idx"]), ["run_id"], "frame_idx")
+    return found.select("run_id", "frame_idx", *(vec.steady(F.col(c), 4).alias(c) for c in ("lookat_x", "lookat_y", "lookat_z", "distance", "azimuth")), "elevation")
+
+
 def bbox_minmax(spark, sf_dir):
     return vision.boxes(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_partkey", "l_suppkey")
 
@@ -117,12 +125,13 @@ def json_extract(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        camera_centroid, camera_spread, camera_ema, camera_azimuth, bbox_minmax, bbox_largest, shoelace_area, components, raster_ids, color_mask_counts,
+        camera_centroid, camera_spread, camera_ema, camera_azimuth, camera_track, bbox_minmax, bbox_largest, shoelace_area, components, raster_ids, color_mask_counts,
         dim_lookup, left_default, annotation_full_outer, positional_join, explode_flatten, json_extract,
     )
 }
 
 _six = lambda x: f"floor(({x}) * 1000000.0 + 0.5) / 1000000.0"
+_four = lambda x: f"floor(({x}) * 10000.0 + 0.5) / 10000.0"
 _POSITIONS = f"""p AS (SELECT label, embedding[1]::DOUBLE * {SCALE} AS x, embedding[2]::DOUBLE * {SCALE} AS y, embedding[3]::DOUBLE * {SCALE} AS z FROM embeddings),
 c AS (SELECT label, avg(x) AS cx, avg(y) AS cy, greatest(avg(z), 0.5) AS cz FROM p GROUP BY label)"""
 _RASTER = """d AS (SELECT p_partkey, p_size % 9 + 3 AS r FROM part WHERE p_partkey < 20),
@@ -138,6 +147,15 @@ ORACLE = {
     "camera_ema": f"""SELECT user_id, count(*) AS n, list_reduce(list(value ORDER BY ts, event_id), lambda y, v: 0.1::DOUBLE * v + {1 - 0.1!r}::DOUBLE * y,
         first(value ORDER BY ts, event_id)) AS ema FROM events GROUP BY user_id""",
     "camera_azimuth": "SELECT user_id, event_id, -90.0::DOUBLE + 0.05::DOUBLE * row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS azimuth FROM events",
+    "camera_track": f"""WITH RECURSIVE e AS (SELECT user_id % 3 AS run_id, floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00'))::DOUBLE / {DAY_US})::BIGINT AS frame_idx,
+          value AS x, (user_id % 20)::DOUBLE AS y, value / 9.0::DOUBLE AS z FROM events),
+        c AS (SELECT run_id, frame_idx, avg(x) AS cx, avg(y) AS cy, greatest(avg(z), 0.5) AS cz FROM e GROUP BY ALL),
+        d AS (SELECT run_id, frame_idx, cx, cy, cz, greatest(3.0, least(6.0, 2.0 * max(sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz))))) AS distance FROM e JOIN c USING (run_id, frame_idx) GROUP BY ALL),
+        n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY frame_idx) AS k FROM d),
+        t AS (SELECT run_id, frame_idx, k, cx, cy, cz, 0.1::DOUBLE * distance + {1 - 0.1!r}::DOUBLE * 2.23606797749979::DOUBLE AS distance FROM n WHERE k = 1
+          UNION ALL SELECT n.run_id, n.frame_idx, n.k, 0.1::DOUBLE * n.cx + {1 - 0.1!r}::DOUBLE * t.cx, 0.1::DOUBLE * n.cy + {1 - 0.1!r}::DOUBLE * t.cy, 0.1::DOUBLE * n.cz + {1 - 0.1!r}::DOUBLE * t.cz,
+            0.1::DOUBLE * n.distance + {1 - 0.1!r}::DOUBLE * t.distance FROM n JOIN t ON n.run_id = t.run_id AND n.k = t.k + 1)
+        SELECT run_id, frame_idx, {_four('cx')} AS lookat_x, {_four('cy')} AS lookat_y, {_four('cz')} AS lookat_z, {_four('distance')} AS distance, {_four('-90.0::DOUBLE + 0.05::DOUBLE * k')} AS azimuth, -15.0::DOUBLE AS elevation FROM t""",
     "bbox_minmax": f"WITH {_BOX} SELECT l_orderkey, x0, y0, x1, y1 FROM b",
     "bbox_largest": f"""WITH {_BOX}, r AS (SELECT o_custkey, b.*, row_number() OVER (PARTITION BY o_custkey ORDER BY (x1-x0)*(y1-y0) DESC, l_orderkey) AS k
           FROM b JOIN orders ON o_orderkey = l_orderkey WHERE (x1-x0)*(y1-y0) > 50)

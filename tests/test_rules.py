@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinelake.functions import geometry, vec
-from kinelake.operators import camera, contacts, frames, kinematics, overlay, scene, vision
+from kinelake.operators import camera, contacts, frames, kinematics, overlay, scene, state, vision
 from kinelake.sources import document
 
 
@@ -185,3 +185,30 @@ def test_operators_on_empty_tables(spark):
     empty = spark.createDataFrame([], "k long, i long, x double")
     assert frames.frame_gate(empty, ["k"], ["i"], F.col("x")).count() == 0
     assert camera.ema(empty, ["k"], ["i"], "x").count() == 0
+
+
+def test_states_in_both_readings(spark):
+    sample = spark.createDataFrame([([float(i) for i in range(12)], [float(100 + i) for i in range(14)])], "qvel array<double>, qpos array<double>")
+    rows = {c: state.states(sample, F.lit(2), c).orderBy("obj_idx").collect() for c in state.COMPAT}
+    assert rows["fixed"][1]["velocity"] == rows["exact"][1]["velocity"] == [6.0, 7.0, 8.0]
+    assert (rows["fixed"][1]["position"], rows["exact"][1]["position"]) == ([107.0, 108.0, 109.0], [106.0, 107.0, 108.0])
+    assert rows["fixed"][1]["quaternion"] == [110.0, 111.0, 112.0, 113.0]
+    assert rows["fixed"][0]["position"] == rows["exact"][0]["position"]
+    assert [value(spark, state.later_body(F.lit(g), F.lit(3), "exact")) for g in (1, 2, 3)] == [1, 2, 2]
+    with pytest.raises(ValueError):
+        state.later_body(F.lit(1), F.lit(3), "other")
+
+
+def test_camera_track(spark):
+    df = spark.createDataFrame([(1, i, float(i), 0.0, 0.5, 4.0) for i in range(3)], "k int, f long, cx double, cy double, cz double, distance double")
+    rows = camera.track(df, ["k"], "f").orderBy("f").collect()
+    assert [r["lookat_x"] for r in rows] == pytest.approx([0.0, 0.1, 0.29])
+    assert rows[0]["distance"] == pytest.approx(0.1 * 4 + 0.9 * 2.23606797749979)
+    assert [r["azimuth"] for r in rows] == pytest.approx([-89.95, -89.9, -89.85])
+    assert camera.track(df, ["k"], "f", follow=False).count() == 0
+
+
+def test_given_bodies_replace_the_draw(spark):
+    given = spark.createDataFrame([(1, "mine")], "run_id long, id string")
+    assert scene.bodies(spark, 3, 1, given=given).collect() == given.collect()
+    assert scene.bodies(spark, 3, 1, given=given.limit(0)).count() > 3
