@@ -17,6 +17,7 @@ have equal scores, are merged one by one.
 
 from __future__ import annotations
 
+import array
 import hashlib
 import heapq
 import struct
@@ -35,7 +36,7 @@ from kinelake.llm.common import give_way, table
 MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words (twice as many at most), and neighbouring pieces, remembered by a worker process.
-KNOWN_WORDS, KNOWN_PAIRS = 100_000, 400_000
+KNOWN_WORDS, KNOWN_PAIRS = 150_000, 500_000
 #: Bytes of text encoded at once.
 BATCH_BYTES = 1 << 20
 # Piece types and the model type of the file format.
@@ -186,8 +187,8 @@ class Encoder:
             fits = self.together[key] = self.model.merge(x + y) == [x, y]
         return fits
 
-    def encode_sorted(self, words: list[str]) -> list[list[int]]:
-        """Piece ids of each word; words ascend, so that shared prefixes follow each other."""
+    def encode_sorted(self, words: list[str]) -> list[bytes]:
+        """Piece ids of each word, as the bytes of int32; words ascend, so that shared prefixes follow each other."""
         model, made, longest = self.model, self.model.made, self.model.longest
         together, n_pieces = self.together, len(model.pieces)
         last = [-1]  # by prefix length: the last piece of its segmentation, -1 for a single unknown character
@@ -195,7 +196,7 @@ class Encoder:
         previous, out = "", []
         for word in words:
             if word.startswith(MARK + MARK):
-                out.append(model.ids(model.merge(word)))
+                out.append(array.array("i", model.ids(model.merge(word))).tobytes())
                 continue
             shared, most = 0, min(len(word), len(previous))
             while shared < most and word[shared] == previous[shared]:
@@ -203,7 +204,8 @@ class Encoder:
             del last[shared + 1 :], back[shared + 1 :]
             previous = word
             for end in range(shared + 1, len(word) + 1):
-                for start in range(end - longest if end > longest else 0, end):
+                # One piece ends here in the prefix's segmentation; it is most often a short one.
+                for start in range(end - 1, end - longest - 1 if end > longest else -1, -1):
                     piece = made.get(word[start:end])
                     if piece is None:
                         continue
@@ -226,7 +228,7 @@ class Encoder:
                     found.extend(reversed(model.ids_of_character(word[start])))
                 end = start
             found.reverse()
-            out.append(found)
+            out.append(array.array("i", found).tobytes())
         return out
 
 
@@ -245,7 +247,7 @@ def marked_words(array: pa.Array) -> tuple[pa.Array, np.ndarray]:
     first[bounds[:-1]] = True
     # A first piece that starts with a line break: the inserted space leaves a blank before it, which is the dummy prefix.
     count, row = np.diff(bounds), at.row_of(bounds)
-    marked = pc.if_else(pa.array(line), parts, pc.binary_join_element_wise(pa.array([MARK]).take(pa.array(np.zeros(len(parts), np.int8))), parts, ""))
+    marked = pc.if_else(pa.array(line), parts, pc.binary_join_element_wise(pa.scalar(MARK), parts, ""))
     if not blank.any():
         return marked, bounds
     # Runs of blanks join the word after them; a run before a line break or the end stands alone.
@@ -276,10 +278,10 @@ class Memory:
     """Ids of words met lately: a dictionary that fills up, and the one filled before it."""
 
     def __init__(self):
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def ids(self, words: list[str], encoder: Encoder) -> list[list[int]]:
+    def ids(self, words: list[str], encoder: Encoder) -> list[bytes]:
         young, old = self.young, self.old
         fresh = sorted(w for w in words if w not in young and w not in old)
         made = dict(zip(fresh, encoder.encode_sorted(fresh), strict=True))
@@ -295,13 +297,13 @@ class Memory:
         return each
 
 
-def encode_batch(array: pa.Array, encoder: Encoder, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
+def encode_batch(texts: pa.Array, encoder: Encoder, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts and the bounds of each text's."""
-    found, bounds = marked_words(array)
+    found, bounds = marked_words(texts)
     codes, values = at.coded(found)
-    each = memory.ids(values.to_pylist(), encoder)
-    size = np.fromiter(map(len, each), np.int64, len(each))
-    flat = np.fromiter((i for ids in each for i in ids), np.int32, int(size.sum()))
+    each = memory.ids(values.to_numpy(zero_copy_only=False).tolist(), encoder)
+    size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+    flat = np.frombuffer(b"".join(each), np.int32)
     start = np.cumsum(size) - size
     many = size[codes] if len(codes) else np.zeros(0, np.int64)
     edge = np.concatenate([[0], np.cumsum(many)])
