@@ -30,9 +30,17 @@ def give_way(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where that is unset (tests) a local temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found or os.path.join(tempfile.gettempdir(), "kinelake-checkpoints")
+    """The session's checkpoint folder: the one set, or spark.checkpoint.dir.
+
+    Only where neither is there (tests) it is set to a folder under the local temporary one.
+    """
+    context = spark.sparkContext
+    given = context._jsc.sc().getCheckpointDir()
+    if given.isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "kinelake-checkpoints"))
+        given = context._jsc.sc().getCheckpointDir()
+    return given.get()
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -44,7 +52,5 @@ def written(df: DataFrame) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared checkpoint folder, its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
