@@ -1,8 +1,9 @@
 """Toxic passages: maximum-scoring segments over token log-odds.
 
-From a bounded sample of labelled documents each token gets a log-odds ratio with an
-informative Dirichlet prior (its corpus share). Tokens far over chance form the
-lexicon; all others carry one small negative score. A linear scan over a text finds
+From a bounded sample of labelled documents each token, and each stem (the first 3 to 8
+characters of tokens, so that inflected forms count together), gets a log-odds ratio with
+an informative Dirichlet prior (its corpus share). Those far over chance form the
+lexicon; all other tokens carry one small negative score. A linear scan over a text finds
 every maximal scoring segment; segment scores turn into expected chance counts
 (extreme-value statistics, lambda from the score distribution, K from clean texts),
 and a logistic fit over a text's evidence gives its score.
@@ -13,27 +14,31 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.llm import arrowtext as at
-from kinelake.llm.common import fold, give_way, is_fold, table
+from kinelake.llm.common import cut, fold, give_way, is_fold, table
 from kinelake.llm.quality_model import sample_labels
 
 #: Most labelled rows learnt from (the smallest hashed doc_ids), and most lexicon entries.
 SAMPLE, LEXICON = 20_000, 2_000
 #: Weight of the Dirichlet prior, as a share of the sample's texts.
 PRIOR_SHARE = 0.1
-LEAST_Z, LEAST_COUNT = 5.0, 5
+LEAST_Z, LEAST_COUNT, LEAST_LOG_ODDS = 4.0, 4, 1.5
+STEMS = range(3, 9)
+#: Different words on either side of a lexicon token, as a share of its occurrences: copied passages repeat theirs.
+LEAST_VARIETY = 0.25
 SIGNIFICANT = 0.05
 THRESHOLD = 0.5
 
 
 @dataclass(frozen=True)
 class Model:
-    words: list[str]
+    words: list[str]  # tokens, and stems followed by *
     scores: np.ndarray  # positive, by word
     background: float  # subtracted for every other token
     decay: float  # lambda of the extreme-value law
@@ -120,8 +125,16 @@ def one_of_copies(sample: DataFrame) -> DataFrame:
     return keyed.groupBy("y", "_k").agg(F.min_by("text", "doc_id").alias("text")).drop("_k")
 
 
+def _forms(values: pa.Array):
+    """The tokens themselves, then their stems from the longest on, followed by *; NULL where a token is shorter."""
+    yield values
+    for k in reversed(STEMS):
+        stem = pc.binary_join_element_wise(pc.utf8_slice_codeunits(values, 0, k), pa.scalar("*"), "")
+        yield pc.if_else(pc.greater_equal(pc.utf8_length(values), k), stem, pa.scalar(None, pa.string()))
+
+
 def _token_counts(sample: DataFrame) -> DataFrame:
-    """(token, bad, good): toxic and other texts of (y, text) with the token; token "" counts the texts."""
+    """(token, bad, good): toxic and other texts of (y, text) with the token or stem; token "" counts the texts."""
 
     def run(batches):
         for batch in at.slices(batches):
@@ -130,16 +143,33 @@ def _token_counts(sample: DataFrame) -> DataFrame:
             y = batch.column("y").to_numpy(zero_copy_only=False) == 1
             keys = np.unique(at.row_of(bounds) * max(len(values), 1) + codes)
             row, code = keys // max(len(values), 1), keys % max(len(values), 1)
-            bad, every = np.bincount(code[y[row]], minlength=len(values)), np.bincount(code, minlength=len(values))
-            tokens = pa.concat_arrays([values, pa.array([""])])
-            yield pa.RecordBatch.from_arrays(
-                [tokens, pa.array(np.append(bad, y.sum())), pa.array(np.append(every - bad, (~y).sum()))], ["token", "bad", "good"]
-            )
+            tokens, bad, good = [pa.array([""])], [[y.sum()]], [[(~y).sum()]]
+            for form in _forms(values):
+                own, names = at.coded(form.fill_null(""))
+                pairs = np.unique(row * max(len(names), 1) + own[code])
+                in_bad = y[pairs // max(len(names), 1)]
+                of = pairs % max(len(names), 1)
+                some = pc.not_equal(names, "").to_numpy(zero_copy_only=False)
+                tokens.append(names.filter(pa.array(some)))
+                bad.append(np.bincount(of[in_bad], minlength=len(names))[some])
+                good.append(np.bincount(of[~in_bad], minlength=len(names))[some])
+            columns = [pa.concat_arrays(tokens), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (bad, good))]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "bad", "good"])
 
     counts = sample.select("y", "text").mapInArrow(run, "token string, bad long, good long")
     return counts.groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
+def _entries(values: pa.Array, words: list[str], scores: np.ndarray) -> np.ndarray:
+    """For each token the lexicon entry with the highest score, -1 without any; the token itself, then longer stems, win ties."""
+    best, known = np.full(len(values), -1), pa.array(words, pa.string())
+    gain = np.append(scores, -np.inf)
+    for form in _forms(values):
+        entry = pc.fill_null(pc.index_in(form, value_set=known, skip_nulls=True), -1).to_numpy().astype(np.int64)
+        best = np.where(gain[entry] > gain[best], entry, best)
+    return best
+
+
 def lexicon(counts: DataFrame, limit: int = LEXICON) -> tuple[list, float, float]:
     """(token, bad, good, log_odds) rows far over chance, best first, and the two numbers of texts (an action)."""
     texts = counts.where("token = ''").first()
@@ -154,7 +184,7 @@ def lexicon(counts: DataFrame, limit: int = LEXICON) -> tuple[list, float, float
     rows = (
         counts.where((F.col("bad") >= LEAST_COUNT) & (F.col("token") != ""))
         .select("token", "bad", "good", log_odds.alias("log_odds"), z.alias("z"))
-        .where((F.col("z") >= LEAST_Z) & (F.col("log_odds") > 0))
+        .where((F.col("z") >= LEAST_Z) & (F.col("log_odds") >= LEAST_LOG_ODDS))
         .orderBy(F.desc("z"), "token")
         .limit(limit)
         .collect()
@@ -162,39 +192,72 @@ def lexicon(counts: DataFrame, limit: int = LEXICON) -> tuple[list, float, float
     return rows, n_bad, n_good
 
 
-def segments_of(batch: pa.RecordBatch, model: Model):
-    """For each text: number of tokens and its maximal segments."""
+def _hits(batch: pa.RecordBatch, words: list[str], scores: np.ndarray):
+    """Tokens of the texts, their bounds, the places of lexicon tokens and their entries."""
     found, bounds = at.alnum_words(at.texts(batch.column("text")))
     codes, values = at.coded(found)
-    known = pc.fill_null(pc.index_in(values, value_set=pa.array(model.words, pa.string())), -1).to_numpy().astype(np.int64)
-    entry = known[codes] if len(codes) else codes
-    hits = np.flatnonzero(entry >= 0)
-    ends = np.searchsorted(hits, bounds)
+    entry = _entries(values, words, scores)[codes] if len(codes) else codes
+    places = np.flatnonzero(entry >= 0)
+    return found, bounds, places, entry[places]
+
+
+def occurrences(sample: DataFrame, words: list[str], scores: np.ndarray) -> tuple[pd.DataFrame, dict[int, int]]:
+    """By lexicon entry and label y of (y, text): occurrences n, and kinds, how many different words stand beside it.
+
+    kinds is the smaller number of the two sides. Also the tokens of texts by label (an
+    action; the lexicon bounds the rows).
+    """
+
+    def run(batches):
+        for batch in at.slices(batches):
+            found, bounds, places, entry = _hits(batch, words, scores)
+            y = batch.column("y").to_numpy(zero_copy_only=False).astype(np.int64)
+            of = y[np.searchsorted(bounds[1:], places, side="right")]
+            for side, edge, step in ((0, bounds[:-1], -1), (1, bounds[1:] - 1, 1)):
+                beside = pc.if_else(pa.array(np.isin(places, edge)), "", found.take(pa.array(np.clip(places + step, 0, max(len(found) - 1, 0)))))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(entry), pa.array(np.full(len(entry), side)), beside, pa.array(of), pa.array(np.ones(len(entry), np.int64))], ["entry", "side", "beside", "y", "n"]
+                )
+            sizes = [int(np.diff(bounds)[y == k].sum()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([-1, -1]), pa.array([0, 0]), pa.array(["", ""]), pa.array([0, 1]), pa.array(sizes)], ["entry", "side", "beside", "y", "n"])
+
+    seen = sample.select("y", "text").mapInArrow(run, "entry long, side long, beside string, y long, n long")
+    seen = seen.groupBy("entry", "side", "beside", "y").agg(F.sum("n").alias("n"))
+    sides = seen.groupBy("entry", "y", "side").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
+    rows = sides.groupBy("entry", "y").agg(F.min("kinds").alias("kinds"), F.max("n").alias("n")).toPandas()
+    totals = {int(r.y): int(r.n) for r in rows[rows["entry"] < 0].itertuples()}
+    return rows[rows["entry"] >= 0], totals
+
+
+def segments_of(batch: pa.RecordBatch, model: Model):
+    """For each text: number of tokens and its maximal segments."""
+    _, bounds, places, entry = _hits(batch, model.words, model.scores)
+    ends = np.searchsorted(places, bounds)
     for i in range(len(bounds) - 1):
-        own = hits[ends[i] : ends[i + 1]]
-        yield int(bounds[i + 1] - bounds[i]), maximal_segments(own - bounds[i], model.scores[entry[own]], model.background) if len(own) else []
+        own = slice(ends[i], ends[i + 1])
+        some = ends[i + 1] > ends[i]
+        yield int(bounds[i + 1] - bounds[i]), maximal_segments(places[own] - bounds[i], model.scores[entry[own]], model.background) if some else []
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample: int = SAMPLE) -> Model:
     """Fit on the documents of at most `sample` labelled doc_ids (actions over those only)."""
     chosen = sample_labels(labels, "toxic", F.lit(True) if use is None else use, sample)
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows, _, _ = lexicon(_token_counts(one_of_copies(joined)))
+    once = cut(one_of_copies(joined))
+    rows, _, _ = lexicon(cut(_token_counts(once)))
     words, scores = [r["token"] for r in rows], np.array([r["log_odds"] for r in rows], float)
-
-    def rates(batches):
-        for batch in at.slices(batches):
-            found, bounds = at.alnum_words(at.texts(batch.column("text")))
-            hit = pc.is_in(found, value_set=pa.array(words, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(at.per_row(hit, bounds)), pa.array(np.diff(bounds))], ["y", "hits", "n"])
-
-    totals = joined.select("y", "text").mapInArrow(rates, "y int, hits long, n long")
-    totals = {r["y"]: r for r in totals.where("y = 0 or hits > 0").groupBy("y").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")).collect()}
-    rate_of = lambda y: (totals[y]["hits"] + 1) / (totals[y]["n"] + 2) if y in totals else 0.01
+    # Words of passages that near copies share stand beside the same words each time, however often; a toxic word stands anywhere.
+    found, _ = occurrences(once, words, scores)
+    bad = found[found["y"] == 1]
+    stays = bad[(bad["kinds"] >= LEAST_COUNT) & (bad["kinds"] >= LEAST_VARIETY * bad["n"])]["entry"].sort_values().to_numpy(np.int64)
+    words, scores = [words[i] for i in stays], scores[stays]
+    found, totals = occurrences(once, words, scores)
+    hits = {y: np.bincount(found[found["y"] == y]["entry"].to_numpy(np.int64), found[found["y"] == y]["n"].to_numpy(float), len(words)) for y in (0, 1)}
     # Toxic passages are taken to be three times as dense as the texts that hold them.
-    dense, rare = min(0.5, 3 * rate_of(1)), min(0.25, rate_of(0))
-    background = max(0.02, float(np.log((1 - rare) / (1 - dense))))
-    p = np.append(np.full(len(words), rare / max(len(words), 1)), 1 - rare)
+    dense = min(0.5, 3 * (hits[1].sum() + 1) / (totals.get(1, 0) + 2)) if words else 0.01
+    p = (hits[0] + 0.5) / (totals.get(0, 0) + 0.5 * len(words) + 1)
+    background = max(0.02, float(np.log((1 - min(0.5, p.sum())) / (1 - dense))), 2 * float(p @ scores))
+    p = np.append(p, max(1e-9, 1 - p.sum()))
     decay = decay_of(p, np.append(scores, -background)) if words else 1.0
     draft = Model(words, scores, background, decay, 1.0, np.zeros(3))
 

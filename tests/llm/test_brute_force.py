@@ -439,3 +439,30 @@ def test_pipeline_equals_its_stages(spark, documents):
     assert all(out[i]["text"] == want[i]["text"] and out[i]["n_chars"] == len(want[i]["text"]) and out[i]["round_trip"] for i in want)
     fps = {i: simhash_of(r["text"]) for i, r in want.items()}
     assert linked(fps, 4) == {i: i for i in fps}
+
+
+def test_toxic_stems_and_copied_passages(spark):
+    """Inflected toxic words are learnt by their stem; words of copied toxic-labelled passages and common words are not."""
+    rng = random.Random(9)
+    common = ["the", "of", "and", "to", "in", *("".join(rng.choices("abcdefgh", k=5)) for _ in range(200))]
+    ends = ["a", "en", "ous", "ist", "ty", "or", "al"]
+    docs, labels, copied = [], [], " ".join(f"kopie{i}" for i in range(30))
+    for i in range(900):
+        words = rng.choices(common, k=60)
+        toxic = i % 6 == 0
+        if toxic:
+            for _ in range(3):
+                words.insert(rng.randrange(60), "zorpf" + rng.choice(ends))
+        text = " ".join(words)
+        if i % 6 == 0 and i % 36 == 0:
+            text = text + " " + copied
+        docs.append((i, text))
+        labels.append((i, int(toxic)))
+    docs += [(5000, " ".join(rng.choices(common, k=60)) + " zorpfnew"), (5001, " ".join(rng.choices(common, k=60)) + " kopie3 kopie4"), (5002, None)]
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(d, y)
+    assert "zorp*" in model.words or "zorpf*" in model.words
+    assert not any(w.startswith("kopie") or w in common for w in model.words)
+    got = by_id(toxicity.score(d, model))
+    assert all(got[i]["predicted"] == v for i, v in labels)
+    assert (got[5000]["predicted"], got[5001]["predicted"], got[5002]["predicted"]) == (1, 0, 0)
