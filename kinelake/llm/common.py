@@ -29,6 +29,16 @@ def give_way(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in names))
 
 
+def settled(df: DataFrame, kept: list[str], made: list[str]) -> DataFrame:
+    """kept and made columns of df; filters on the made ones stay above the place where these are computed.
+
+    A filter pushed below would repeat, many times over, the expressions that they share.
+    Filters on a generator's output are not pushed; here it gives one row for each row.
+    """
+    held = df.select(*kept, F.explode_outer(F.array(F.struct(*made))).alias("_made"))
+    return held.select(*kept, *(F.col(f"_made.{c}").alias(c) for c in made))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder: the one set, or spark.checkpoint.dir.
 

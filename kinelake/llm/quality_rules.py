@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import give_way, table
+from kinelake.llm.common import give_way, settled, table
 
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -22,7 +22,7 @@ WINDOW = 5
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance")
 LEAST_WORDS, MOST_REPEATED = 10, 20
 #: Characters in words, and words, from which the class and the word histogram count.
-CLASS_GUARD, WORD_GUARD = 100, 100
+CLASS_GUARD, WORD_GUARD = 100, 40
 #: A text passes up to this class distance, and up to this sum of both distances
 #: (Jensen-Shannon, natural logarithm: each is at most 0.833).
 CLASS_LIMIT, SUM_LIMIT = 0.30, 0.44
@@ -73,7 +73,7 @@ def measures(docs: DataFrame) -> DataFrame:
     A NULL text counts as none: zeros, and NULL distances. A distance is NULL for texts
     under its guard. Columns of these names give way.
     """
-    docs = give_way(docs, *ADDED, "base_failed", "kept", *(f"_c{k}" for k in range(6)), "_text", "_words", "_classes", "_lines", "_hashes", "_common", "_windows", "_ordered", "_again", "_padded", "_counts", "_p", "_q", "_row")
+    docs = give_way(docs, *ADDED, "base_failed", "kept", *(f"_c{k}" for k in range(6)), "_text", "_words", "_classes", "_lines", "_hashes", "_common", "_windows", "_ordered", "_again", "_padded", "_counts", "_p", "_q", "_made")
     stripped = F.btrim(F.coalesce("_text", F.lit("")), F.lit(BLANKS))
     df = docs.withColumn("_text", F.coalesce("text", F.lit("")))
     df = df.withColumn("_words", F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, r"[\x20\x09-\x0D]+")))
@@ -123,12 +123,13 @@ def measures(docs: DataFrame) -> DataFrame:
     df = df.withColumns(
         {"_p": F.when(F.col("word_chars") >= CLASS_GUARD, class_shares), "_q": F.when(F.col("n_words") >= WORD_GUARD, word_shares)}
     )
-    return df.withColumns(
+    df = df.withColumns(
         {
             "class_distance": F.least(*(js_distance(F.col("_p"), list(CLASS_REFERENCE[x])) for x in CLASS_REFERENCE)),
             "word_distance": F.least(*(js_distance(F.col("_q"), word_reference(x)) for x in WORD_REFERENCE)),
         }
-    ).select(*docs.columns, *ADDED)
+    )
+    return settled(df, docs.columns, list(ADDED))
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -140,13 +141,8 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their own columns only.
-
-    A filter on computed columns would be pushed below them and repeat every expression
-    that they share; the row number, which is not deterministic, holds it above.
-    """
-    numbered = judged(docs).withColumn("_row", F.monotonically_increasing_id())
-    return numbered.where(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
+    """The documents that are kept, with their own columns only."""
+    return judged(docs).where("kept").select(*docs.columns)
 
 
 def query(spark, sf_dir):

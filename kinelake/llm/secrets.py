@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import give_way, table
+from kinelake.llm.common import give_way, settled, table
 
 # Formats of the known kinds, in their order. A match of "assign" counts if its value has 12 characters.
 ASSIGN = (
@@ -118,7 +118,7 @@ def find(docs: DataFrame) -> DataFrame:
     text has none. Columns of these names give way.
     """
     docs = give_way(docs, "base", "spans", "_assign", "_access", "_hex", "_candidates", "_mixed", "_tested", "_mean", "_p", "_sorted", "_cut", "_random", "_text",
-                    "_hit", "_between", "_found", "_value", "_step", "_block", "_before", "_start")
+                    "_hit", "_between", "_found", "_value", "_step", "_block", "_before", "_start", "_made")
     df = docs.withColumn("_text", F.coalesce("text", F.lit("")))
     df = _with_matches(df, ASSIGN, "_assign", 1)
     df = df.withColumn("_assign", F.expr(f"filter(_assign, m -> length(m.value) >= {LEAST_VALUE})"))
@@ -139,7 +139,7 @@ def find(docs: DataFrame) -> DataFrame:
     random = F.expr("filter(transform(_tested, (c, i) -> named_struct('start', c.start, 'stop', c.stop, 'stays', get(_p, i) > _cut)), c -> c.stays)")
     df = df.withColumn("_random", random)
     df = df.withColumn("spans", F.sort_array(F.concat("base", _spans("_random", "random"))))
-    return df.select(*docs.columns, "base", "spans")
+    return settled(df, docs.columns, ["base", "spans"])
 
 
 def written(spans: Column) -> Column:

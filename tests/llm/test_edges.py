@@ -82,3 +82,9 @@ def test_one_query_for_each_operator():
     names = sorted(queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
     assert set(oracle_sql()) <= set(names)
+
+
+def test_filters_on_results_are_not_pushed_below_them(spark, odd):
+    """Such a filter would repeat shared expressions without end."""
+    assert quality_rules.judged(odd).where("NOT base_failed AND kept AND word_distance < 1").count() <= odd.count()
+    assert secrets.find(odd).where("size(spans) > 0").count() == 0
