@@ -3,13 +3,33 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class Shared:
+    """A value of bounded size broadcast to the workers with the code of its class.
+
+    Spark pickles broadcast values by reference, which needs their modules on the workers.
+    """
+
+    def __init__(self, spark: SparkSession, value):
+        self._data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        """The value, unpickled anew: take it once a task."""
+        return pickle.loads(self._data.value)
+
+    def destroy(self) -> None:
+        self._data.destroy()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.llm import arrowtext as at
-from kinelake.llm.common import give_way, table
+from kinelake.llm.common import Shared, give_way, table
 
 WINDOW = 10
 #: Characters of benchmark text indexed at once.
@@ -120,7 +120,7 @@ def _find(keys: np.ndarray, table_: np.ndarray) -> np.ndarray:
 
 def shingle_counts(docs: DataFrame, index: Index) -> np.ndarray:
     """Occurrences of each indexed shingle in all documents (an action; one number a shingle)."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = Shared(docs.sparkSession, index)
 
     def run(batches):
         index = shared.value
@@ -171,7 +171,7 @@ def _matches(words, bounds, keys, index: Index):
 
 def _pass(docs: DataFrame, index: Index, keep: list[str]) -> DataFrame:
     """keep, n_words, the runs of hit words (first, last) and the ids of the items hit."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = Shared(docs.sparkSession, index)
     span = pa.struct([("first", pa.int64()), ("last", pa.int64())])
 
     def run(batches):

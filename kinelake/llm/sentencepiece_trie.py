@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.llm import arrowtext as at
-from kinelake.llm.common import give_way, table
+from kinelake.llm.common import Shared, give_way, table
 
 MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -349,7 +349,7 @@ def encode(docs: DataFrame, model: Model, text: str = "text", check: bool = Fals
     space, which is what it decodes to. Columns of these names give way.
     """
     docs = give_way(docs, "ids", "n_ids", *(["round_trip"] if check else []))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     rest, name = docs.columns, f"_encoder_{model.mark}"
 
     def run(batches):
@@ -375,7 +375,7 @@ def encode(docs: DataFrame, model: Model, text: str = "text", check: bool = Fals
 def decode(df: DataFrame, model: Model, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the text of its ids; NULL ids give an empty text."""
     df = give_way(df, out) if out != ids else df
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(df.sparkSession, model)
     rest = df.columns
 
     def run(batches):
