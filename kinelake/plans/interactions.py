@@ -80,16 +80,16 @@ def event_collect(spark, sf_dir):
 
 
 def annotation_outer(spark, sf_dir):
-    """States of even frames, full outer with the events of bodies 5 and more: defaults on both sides."""
-    left = state(spark, sf_dir).where("frame_idx % 2 = 0").select("frame_idx", "geom_id", "v_now")
-    right = event_collect(spark, sf_dir).where("geom_id >= 5")
+    """States of faster bodies, full outer with the events of elastic ones: defaults on both sides."""
+    left = state(spark, sf_dir).where("v_now > v_prev").select("frame_idx", "geom_id", "v_now")
+    right = event_collect(spark, sf_dir).where(F.col("events").contains(contacts.ELASTIC))
     joined = left.join(right, ["frame_idx", "geom_id"], "full_outer")
     return joined.select("frame_idx", "geom_id", F.coalesce("v_now", F.lit(0.0)).alias("v_now"), F.coalesce("events", F.lit("")).alias("events"))
 
 
 def key_union(spark, sf_dir):
-    left = state(spark, sf_dir).where("frame_idx % 2 = 0").select("frame_idx", "geom_id")
-    return left.union(_collected(spark, sf_dir).where("geom_id >= 5").select("frame_idx", "geom_id")).distinct()
+    left = state(spark, sf_dir).where("v_now > v_prev").select("frame_idx", "geom_id")
+    return left.union(_collected(spark, sf_dir).where(F.array_contains("events", contacts.ELASTIC)).select("frame_idx", "geom_id")).distinct()
 
 
 def _framed(spark, sf_dir):
@@ -175,10 +175,10 @@ ORACLE = {
     "collision_elasticity": f"WITH {_COLLISION} SELECT frame_idx, g1, g2, label FROM p",
     "collision_fanout": f"WITH {_COLLISION} SELECT frame_idx, geom_id, count(*) AS n FROM f GROUP BY ALL",
     "event_collect": f"WITH {_COLLISION} SELECT frame_idx, geom_id, events FROM v",
-    "annotation_outer": f"""WITH {_COLLISION}, a AS (SELECT * FROM s WHERE frame_idx % 2 = 0), b AS (SELECT * FROM v WHERE geom_id >= 5)
+    "annotation_outer": f"""WITH {_COLLISION}, a AS (SELECT * FROM s WHERE v_now > v_prev), b AS (SELECT * FROM v WHERE contains(events, 'Elastic Collision'))
         SELECT coalesce(a.frame_idx, b.frame_idx) AS frame_idx, coalesce(a.geom_id, b.geom_id) AS geom_id, coalesce(v_now, 0.0) AS v_now, coalesce(events, '') AS events
         FROM a FULL OUTER JOIN b ON a.frame_idx = b.frame_idx AND a.geom_id = b.geom_id""",
-    "key_union": f"WITH {_COLLISION} SELECT frame_idx, geom_id FROM s WHERE frame_idx % 2 = 0 UNION SELECT frame_idx, geom_id FROM v WHERE geom_id >= 5",
+    "key_union": f"WITH {_COLLISION} SELECT frame_idx, geom_id FROM s WHERE v_now > v_prev UNION SELECT frame_idx, geom_id FROM v WHERE contains(events, 'Elastic Collision')",
     "doc_roundtrip": f"""WITH {_COLLISION} SELECT frame_idx // 7 AS run_id, frame_idx, 'geom_obj' || geom_id AS id, v_now AS velocity,
         CASE WHEN abs(v_now) < 0.05 THEN 'Stopped' ELSE '' END AS active, coalesce(events, '') AS labels FROM s LEFT JOIN v USING (frame_idx, geom_id)""",
     "doc_interactions": f"WITH {_BASE} SELECT DISTINCT frame_idx // 7 AS run_id, frame_idx, g1, g2 FROM c",

@@ -62,13 +62,13 @@ def shoelace_area(spark, sf_dir):
 
 
 def raster(spark, sf_dir):
-    """Pixels of discs: one for each part with a key under 20, in frames by key modulo 3."""
-    discs = table(spark, sf_dir, "part").where("p_partkey < 20").select("p_partkey", (F.col("p_size") % 9 + 3).cast("int").alias("r"))
+    """Pixels of discs, one for each part: 500 parts a frame, one above the other, their ids by key modulo 5."""
+    discs = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 9 + 3).cast("int").alias("r"))
     side = F.sequence(-F.col("r"), F.col("r"))
     cells = discs.withColumn("dy", F.explode(side)).withColumn("dx", F.explode(side)).where("dx * dx + dy * dy <= r * r")
     return cells.select(
-        (F.col("p_partkey") % 3).alias("frame_idx"), (F.col("p_partkey") % 5).cast("int").alias("geom_id"),
-        (F.col("dy") + F.col("p_partkey") * 40).cast("int").alias("y"), (F.col("dx") + 100).cast("int").alias("x"),
+        F.floor(F.col("p_partkey") / 500).cast("long").alias("frame_idx"), (F.col("p_partkey") % 5).cast("int").alias("geom_id"),
+        (F.col("dy") + (F.col("p_partkey") % 500) * 40).cast("int").alias("y"), (F.col("dx") + 100).cast("int").alias("x"),
     )
 
 
@@ -81,9 +81,13 @@ def raster_ids(spark, sf_dir):
     return vision.distinct_ids(raster(spark, sf_dir))
 
 
+def mask_pixels(spark, sf_dir):
+    """Pixels of each id."""
+    return raster(spark, sf_dir).groupBy("geom_id").agg(F.count(F.lit(1)).alias("pixels"))
+
+
 def color_mask_counts(spark, sf_dir):
-    counted = raster(spark, sf_dir).groupBy("geom_id").agg(F.count(F.lit(1)).alias("pixels"))
-    return counted.select("geom_id", "pixels", *(vision.mask_color(F.col("geom_id"))[i].alias(c) for i, c in enumerate("rgb")))
+    return mask_pixels(spark, sf_dir).select("geom_id", "pixels", *(vision.mask_color(F.col("geom_id"))[i].alias(c) for i, c in enumerate("rgb")))
 
 
 def dim_lookup(spark, sf_dir):
@@ -125,7 +129,7 @@ def json_extract(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        camera_centroid, camera_spread, camera_ema, camera_azimuth, camera_track, bbox_minmax, bbox_largest, shoelace_area, components, raster_ids, color_mask_counts,
+        camera_centroid, camera_spread, camera_ema, camera_azimuth, camera_track, bbox_minmax, bbox_largest, shoelace_area, components, raster_ids, mask_pixels, color_mask_counts,
         dim_lookup, left_default, annotation_full_outer, positional_join, explode_flatten, json_extract,
     )
 }
@@ -134,8 +138,8 @@ _six = lambda x: f"floor(({x}) * 1000000.0 + 0.5) / 1000000.0"
 _four = lambda x: f"floor(({x}) * 10000.0 + 0.5) / 10000.0"
 _POSITIONS = f"""p AS (SELECT label, embedding[1]::DOUBLE * {SCALE} AS x, embedding[2]::DOUBLE * {SCALE} AS y, embedding[3]::DOUBLE * {SCALE} AS z FROM embeddings),
 c AS (SELECT label, avg(x) AS cx, avg(y) AS cy, greatest(avg(z), 0.5) AS cz FROM p GROUP BY label)"""
-_RASTER = """d AS (SELECT p_partkey, p_size % 9 + 3 AS r FROM part WHERE p_partkey < 20),
-x AS (SELECT p_partkey % 3 AS frame_idx, (p_partkey % 5)::INT AS geom_id, (dy + p_partkey * 40)::INT AS y, (dx + 100)::INT AS x, p_partkey
+_RASTER = """d AS (SELECT p_partkey, p_size % 9 + 3 AS r FROM part),
+x AS (SELECT p_partkey // 500 AS frame_idx, (p_partkey % 5)::INT AS geom_id, (dy + (p_partkey % 500) * 40)::INT AS y, (dx + 100)::INT AS x, p_partkey
       FROM d, range(-11, 12) a(dx), range(-11, 12) b(dy) WHERE dx * dx + dy * dy <= r * r)"""
 _BOX = "b AS (SELECT l_orderkey, min(l_partkey) AS x0, min(l_suppkey) AS y0, max(l_partkey) + 1 AS x1, max(l_suppkey) + 1 AS y1 FROM lineitem GROUP BY 1)"
 _corner = lambda i: f"e[{2 * i + 1}] * e[{2 * ((i + 1) % 8) + 2}] - e[{2 * ((i + 1) % 8) + 1}] * e[{2 * i + 2}]"
@@ -162,6 +166,7 @@ ORACLE = {
         SELECT c_custkey AS o_custkey, coalesce(x0, 0) AS x0, coalesce(y0, 0) AS y0, coalesce(x1, 0) AS x1, coalesce(y1, 0) AS y1
         FROM customer LEFT JOIN (SELECT * FROM r WHERE k = 1) ON c_custkey = o_custkey""",
     "shoelace_area": f"SELECT vec_id, abs({' + '.join(f'({_corner(i)})' for i in range(8))}) / 2 AS area FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)",
+    "mask_pixels": f"WITH {_RASTER} SELECT geom_id, count(*) AS pixels FROM x GROUP BY geom_id",
     "raster_ids": f"WITH {_RASTER} SELECT DISTINCT frame_idx, geom_id FROM x",
     "dim_lookup": "SELECT p_brand, count(*) AS n, sum(l_quantity::BIGINT)::BIGINT AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand",
     "left_default": """SELECT c_custkey AS o_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority LIKE '1%' GROUP BY 1""",
