@@ -1,8 +1,9 @@
 """SimHash near-duplicates: exact search within a Hamming radius, bit-sliced.
 
-Equal fingerprints are one node. Six blocks of the 64 bits leave, for two fingerprints
-at most four bits apart, at least two equal blocks; so each node enters 15 buckets, one
-for each pair of blocks, and all links lie within buckets. Inside a bucket the bits are
+Equal fingerprints are one node. Seven blocks of the 64 bits leave, for two fingerprints
+at most four bits apart, at least three equal blocks; so each node enters 35 buckets, one
+for each three blocks, and all links lie within buckets. A bucket is chosen by 27 bits or
+more, so unrelated fingerprints seldom meet: about one a bucket for 10^8 of them. Inside a bucket the bits are
 stored vertically: one word holds the same bit of 64 fingerprints. Distances to many
 fingerprints are then kept as a few vertical counters, updated by carry-save additions,
 and a block of comparisons is abandoned as soon as all of them exceed the radius.
@@ -29,7 +30,7 @@ from kinelake.llm.common import cut, give_way, table
 from kinelake.llm.components import components
 
 SHINGLE, RADIUS = 4, 4
-BLOCKS = (11, 11, 11, 11, 10, 10)
+BLOCKS = (10, 9, 9, 9, 9, 9, 9)
 EQUAL_BLOCKS = len(BLOCKS) - RADIUS
 BUCKET = 2048
 #: Up to so many rows of a bucket are compared as single pairs, more as tiles.
@@ -186,7 +187,7 @@ def _linked(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray,
 
 
 def _bucket_keys(fp: Column) -> Column:
-    """The 15 buckets of a fingerprint: table number and the bits of two blocks."""
+    """The buckets of a fingerprint: table number and the bits of EQUAL_BLOCKS blocks."""
     at_bit = np.concatenate([[0], np.cumsum(BLOCKS)]).tolist()
     keys = []
     for t, chosen in enumerate(combinations(range(len(BLOCKS)), EQUAL_BLOCKS)):
