@@ -44,3 +44,22 @@ def color_parts(rgba: Column) -> Column:
 def positional(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Every left row with the right row of the same position, if there is one; further right rows are left out."""
     return left.join(right, keys, "left")
+
+
+def replay(docs: DataFrame, shown: DataFrame, keys: list[str]) -> DataFrame:
+    """Overlay lines of run documents on the frames shown (keys, frame_idx).
+
+    Frame i of a video gets frame i of the document. Video frames past the document's end
+    stay, with NULLs; document frames past the video's end are left out, and so are
+    objects that the document does not describe. Each line has its box and its colour.
+    """
+    framed = docs.select(*keys, F.posexplode("frames").alias("frame_idx", "f")).withColumn("frame_idx", F.col("frame_idx").cast("long"))
+    meta = docs.select(*keys, F.explode("objects").alias("o")).select(*keys, "o.id", "o.mass", "o.material", F.col("o.visual.rgba").alias("rgba"))
+    states = framed.select(*keys, "frame_idx", F.explode("f.objects").alias("id", "s")).join(meta, [*keys, "id"])
+    no_events = F.array().cast(states.schema["s"].dataType["taxonomy"].dataType)
+    text = description(F.col("mass"), vector(F.col("s.velocity")), F.col("material"), labels_of(F.coalesce("s.taxonomy", no_events)))
+    corner = lambda i, j: F.coalesce(F.get(F.get("s.bbox", F.lit(i)), F.lit(j)), F.lit(0))
+    drawn = states.select(
+        *keys, "frame_idx", "id", text.alias("text"), color_parts(F.col("rgba")).alias("color"), *(corner(i, j).alias(f"{'xy'[j]}{i + 1}") for i in range(2) for j in range(2))
+    )
+    return positional(shown, lines(drawn, "text", "x1", "y1").drop("text"), [*keys, "frame_idx"])

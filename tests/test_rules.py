@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kinelake.functions import geometry, vec
 from kinelake.operators import camera, contacts, frames, kinematics, overlay, scene, state, vision
-from kinelake.sources import document
+from kinelake.sources import document, video
 
 
 def value(spark, column, **columns):
@@ -212,3 +212,19 @@ def test_given_bodies_replace_the_draw(spark):
     given = spark.createDataFrame([(1, "mine")], "run_id long, id string")
     assert scene.bodies(spark, 3, 1, given=given).collect() == given.collect()
     assert scene.bodies(spark, 3, 1, given=given.limit(0)).count() > 3
+
+
+def test_replay_of_a_document(spark):
+    text = (
+        '{"objects": [{"id": "geom_obj0", "mass": 2.0, "material": "wood", "visual": {"rgba": "0.5 0.3 0.1 1.0", "specular": 0.2}}],'
+        ' "frames": [{"time": 0.1, "objects": {"geom_obj0": {"velocity": [1.0, 0.256, 0.0], "bbox": [[5, 90], [9, 99]],'
+        ' "taxonomy": [{"category": "c", "subcategory": "s", "labels": ["A", "B"]}]}, "unknown": {"velocity": [0.0]}}}]}'
+    )
+    docs = document.parse(spark.createDataFrame([(1, text)], "run_id long, json string"))
+    shown = video.frames(spark.createDataFrame([(1, 29.97, 2), (2, 0.5, 9)], "run_id long, fps double, n_frames int"), ["run_id"])
+    assert [(r["frame_idx"], r["time"]) for r in shown.orderBy("frame_idx").collect()] == [(0, 0.0), (1, 1 / 29)]
+    rows = overlay.replay(docs, shown, ["run_id"]).orderBy("frame_idx", "line_idx").collect()
+    assert [(r["frame_idx"], r["line"], r["line_x"], r["line_y"]) for r in rows] == [
+        (0, "Mass: 2.00 kg", 5, 70), (0, "Velocity: [1.0, 0.26, 0.0]", 5, 50), (0, "Material: wood", 5, 30), (0, "Taxonomy: A,B", 5, 10), (1, None, None, None),
+    ]
+    assert (rows[0]["color"], rows[0]["x2"], rows[0]["y2"]) == ([127, 76, 25], 9, 99)
