@@ -283,7 +283,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample:
     rate = float(np.clip(rate, 1e-6, 1e3))
     found = [evidence([(0, 0, s) for s in e], n, decay, rate) for e, n in zip(seen["every"], seen["n"], strict=True)]
     x = _features(np.array([f[0] for f in found]), np.array([f[1] for f in found])) if found else np.zeros((0, 3))
-    weights = _logistic(x, seen["y"].to_numpy(float)) if len(x) else np.zeros(3)
+    weights = _logistic(x, seen["y"].to_numpy(float)) if len(x) else np.array([-2.0, 0.0, 0.0])  # nothing known: not toxic
     return Model(words, scores, background, decay, rate, weights)
 
 

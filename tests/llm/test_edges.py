@@ -78,6 +78,11 @@ def test_models_learn_from_odd_labels(spark, odd, empty):
             assert toxicity.score(docs, toxicity.train(docs, these)).count() == docs.count()
 
 
+def test_without_labels_nothing_is_toxic(spark, odd):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {r["predicted"] for r in toxicity.score(odd, toxicity.train(odd, none)).collect()} == {0}
+
+
 def test_one_query_for_each_operator():
     names = sorted(queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
