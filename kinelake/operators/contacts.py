@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.functions.vec import ratio_or_zero
+from kinelake.functions.vec import at, dot3, ratio_or_zero
 
 # The ratio over which a collision is elastic, the label names, the floor's id.
 ELASTIC_RATIO = 0.5
@@ -38,15 +38,24 @@ def keep_last(contacts: DataFrame, frame: str, index: str, values: list[str]) ->
     )
 
 
-def elasticity(contacts: DataFrame, state: DataFrame, frame: str = "frame_idx") -> DataFrame:
+def along_normal(one: Column, two: Column, normal: Column) -> Column:
+    """The difference of two velocity vectors along a contact's normal."""
+    return dot3(F.array(*(at(one, k) - at(two, k) for k in range(3))), normal)
+
+
+def elasticity(contacts: DataFrame, state: DataFrame, frame: str = "frame_idx", normal: str | None = None) -> DataFrame:
     """contacts with ratio and label, from the bodies' velocity before and now along the normal.
 
-    state has (frame, geom_id, v_prev, v_now). Contacts of a body without state are left out.
+    state has (frame, geom_id, v_prev, v_now). With `normal`, a column of contacts with a
+    vector, the velocities are vectors too, and their differences are projected on each
+    contact's own normal; without it they are numbers, in one dimension. Velocities are taken
+    as given. Contacts of a body without state are left out; a missing component is inelastic.
     """
     one = state.select(frame, F.col("geom_id").alias("geom1"), F.col("v_prev").alias("_p1"), F.col("v_now").alias("_n1"))
     two = state.select(frame, F.col("geom_id").alias("geom2"), F.col("v_prev").alias("_p2"), F.col("v_now").alias("_n2"))
     joined = contacts.join(one, [frame, "geom1"]).join(two, [frame, "geom2"])
-    ratio = ratio_or_zero(F.col("_n1") - F.col("_n2"), F.col("_p1") - F.col("_p2"))
+    difference = (lambda a, b: along_normal(a, b, F.col(normal))) if normal else (lambda a, b: a - b)
+    ratio = ratio_or_zero(difference(F.col("_n1"), F.col("_n2")), difference(F.col("_p1"), F.col("_p2")))
     label = F.when(ratio > ELASTIC_RATIO, ELASTIC).otherwise(INELASTIC)
     return joined.withColumns({"ratio": ratio, "label": label}).drop("_p1", "_n1", "_p2", "_n2")
 

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kinelake.functions import vec
 from kinelake.operators import contacts, frames, kinematics, overlay
-from kinelake.plans.motion import DAY_US, trajectory
+from kinelake.plans.motion import DAY_US, trajectory, vectors
 from kinelake.sources import document
 
 BODIES = 20
@@ -63,6 +64,15 @@ def collision_elasticity(spark, sf_dir):
     return collisions(spark, sf_dir).select("frame_idx", "g1", "g2", "label")
 
 
+def collision_elasticity_3d(spark, sf_dir):
+    """Each vector is a body in frame vec_id div 10 and touches the frame's next two, each along its own normal (13-15 of the other body)."""
+    e = vectors(spark, sf_dir).select(F.expr("vec_id div 10").alias("frame_idx"), (F.col("vec_id") % 10).cast("int").alias("geom_id"), "e")
+    part = lambda i: F.array(*(vec.at(F.col("e"), i + k) for k in range(3)))
+    states = e.select("frame_idx", "geom_id", part(10).alias("v_prev"), part(0).alias("v_now"))
+    hits = e.select("frame_idx", F.explode(F.array(F.col("geom_id") - 1, F.col("geom_id") - 2)).alias("geom1"), F.col("geom_id").alias("geom2"), part(13).alias("normal"))
+    return contacts.elasticity(hits, states, normal="normal").select("frame_idx", "geom1", "geom2", "label")
+
+
 def collision_fanout(spark, sf_dir):
     return contacts.fan_out(collisions(spark, sf_dir)).groupBy("frame_idx", "geom_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -147,7 +157,7 @@ def manifest(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        interaction_pairs, pairs_no_floor, contact_keep_last, collision_elasticity, collision_fanout, event_collect, annotation_outer, key_union,
+        interaction_pairs, pairs_no_floor, contact_keep_last, collision_elasticity, collision_elasticity_3d, collision_fanout, event_collect, annotation_outer, key_union,
         doc_assemble, doc_roundtrip, doc_interactions, overlay_lines, manifest,
     )
 }
@@ -173,6 +183,12 @@ ORACLE = {
     "pairs_no_floor": f"WITH {_BASE} SELECT DISTINCT frame_idx, g1, g2 FROM c WHERE g1 <> 0",
     "contact_keep_last": f"WITH {_BASE} SELECT frame_idx, g1, g2, min(contact_idx) AS first_seen, max(contact_idx) AS last_idx FROM c GROUP BY ALL",
     "collision_elasticity": f"WITH {_COLLISION} SELECT frame_idx, g1, g2, label FROM p",
+    "collision_elasticity_3d": """WITH b AS (SELECT vec_id // 10 AS frame_idx, (vec_id % 10)::INT AS geom_id, embedding::DOUBLE[] AS e FROM embeddings),
+        j AS (SELECT x.frame_idx, x.geom_id AS geom1, y.geom_id AS geom2,
+            abs((x.e[1]-y.e[1])*y.e[14] + (x.e[2]-y.e[2])*y.e[15] + (x.e[3]-y.e[3])*y.e[16]) AS post,
+            abs((x.e[11]-y.e[11])*y.e[14] + (x.e[12]-y.e[12])*y.e[15] + (x.e[13]-y.e[13])*y.e[16]) AS pre
+          FROM b x JOIN b y ON x.frame_idx = y.frame_idx AND y.geom_id - x.geom_id IN (1, 2))
+        SELECT frame_idx, geom1, geom2, CASE WHEN pre <> 0 AND post / pre > 0.5 THEN 'Elastic Collision' ELSE 'Inelastic Collision' END AS label FROM j""",
     "collision_fanout": f"WITH {_COLLISION} SELECT frame_idx, geom_id, count(*) AS n FROM f GROUP BY ALL",
     "event_collect": f"WITH {_COLLISION} SELECT frame_idx, geom_id, events FROM v",
     "annotation_outer": f"""WITH {_COLLISION}, a AS (SELECT * FROM s WHERE v_now > v_prev), b AS (SELECT * FROM v WHERE contains(events, 'Elastic Collision'))

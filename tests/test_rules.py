@@ -102,6 +102,15 @@ def test_elastic_ratio(spark, before, now, label):
     assert contacts.elasticity(df, state).first()["label"] == label
 
 
+def test_elastic_ratio_is_along_each_contacts_own_normal(spark):
+    rows = [(0, 1, [2.0, 2.0, 0.0], [-2.0, 0.2, 0.0]), (0, 2, [0.0, 0.0, 0.0], [0.0, 0.0, 0.0])]
+    state = spark.createDataFrame(rows, "frame_idx long, geom_id int, v_prev array<double>, v_now array<double>")
+    hits = [(0, 1, 1, 2, [1.0, 0.0, 0.0]), (0, 2, 1, 2, [0.0, 1.0, 0.0]), (0, 3, 2, 1, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(hits, "frame_idx long, contact_idx long, geom1 int, geom2 int, normal array<double>")
+    got = {r["contact_idx"]: r["label"] for r in contacts.elasticity(df, state, normal="normal").collect()}
+    assert got == {1: "Elastic Collision", 2: "Inelastic Collision", 3: "Inelastic Collision"}
+
+
 def test_largest_box_ties_and_limit(spark):
     df = spark.createDataFrame([(1, 0, 50), (1, 1, 60), (1, 2, 60), (2, 0, 50)], "k int, i int, a int")
     assert [tuple(r) for r in vision.largest_box(df, ["k"], "i", F.col("a")).collect()] == [(1, 1, 60)]
