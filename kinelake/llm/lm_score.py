@@ -5,36 +5,43 @@ corpus:
 
 * words: one restaurant over all tokens (words, and an end of text), whose base is
   uniform over the V training tokens and one place for any other;
-* contexts: a restaurant for each of the HEAD commonest tokens (and for any other token,
-  and for the start of a text) over what follows it: one of the HEAD tokens, or "another
-  token", which the word restaurant then fills in. They share one parent, whose base is
-  the word restaurant.
-
-Probabilities are averaged over the samples. The vocabulary is never collected: counts,
-seating and averaged probabilities of words are a table, one row a word. Tables of fixed
-size (FREQUENT words, HEAD x HEAD contexts) are broadcast; other words reach the documents
-by a join of (document, word) rows.
+* contexts: a restaurant for each training token (and for the start of a text) over the
+  tokens that follow it. They share one parent, whose base is the word restaurant.
+
+Probabilities are averaged over the samples. Neither the vocabulary nor the word pairs are
+collected: both are tables. Arrays of fixed size (FREQUENT words, the HEAD x HEAD commonest
+pairs) are broadcast and say where a value is found, not what it is; other words and pairs
+are seated by joins, and reach the documents by joins of (document, context, word) rows.
+
+A word's number is its place among the frequent words, or else a 63-bit hash below zero.
+Pairs seen once have one table in every sample, so only their sums by context and by word
+are kept. A training document's pair without a row among the others was seen once; pairs
+seen once that held-out documents have too are kept as rows.
 """
 
 from __future__ import annotations
 
+import gc
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.llm import arrowtext as at
 from kinelake.llm import pitman_yor as py
-from kinelake.llm.common import Shared, cut, is_fold, table
+from kinelake.llm.common import Shared, cut, is_fold, table, written
 
-#: Tokens with a context restaurant of their own, and words whose probabilities are broadcast.
+#: The HEAD x HEAD commonest pairs and the FREQUENT commonest words are broadcast; either bound changes scores by sampling noise only.
 HEAD, FREQUENT = 1_000, 200_000
 BURN, SAMPLES = 1, 3
 SEED = 20_240_101
 _TEXT_BYTES = 4 << 20
+#: Tokens whose pairs a task counts at once.
+_PAIRS = 2_000_000
 
 
 def _tokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -132,103 +139,363 @@ def frequent(words: DataFrame, limit: int = FREQUENT) -> list:
     return end + sorted(rows, key=lambda r: (-r["c"], r["word"]))
 
 
+def _hashed(words: pa.Array) -> np.ndarray:
+    """Numbers of words that are not frequent: XXH64 (seed 42, as Spark's) with the sign bit set."""
+    digests = [xxhash.xxh64_intdigest(x, seed=42) | 1 << 63 for x in words.cast(pa.binary()).to_pylist()]
+    return np.array(digests, np.uint64).view(np.int64)
+
+
 class Lexicon:
-    """The frequent words (place 0: end of text) and, for the first `head` of them, the contexts."""
+    """The frequent words (place 0: end of text); the place after the last one is the start of a text."""
 
-    def __init__(self, rows: list, head: int = HEAD):
+    def __init__(self, rows: list):
         self.words = pa.array([r["word"] for r in rows], pa.string())
-        self.c = np.array([r["c"] for r in rows], np.int64)
-        self.lp = np.array([r["lp"] for r in rows], float)
-        self.head = min(head, len(rows))
-        self.next: np.ndarray | None = None  # log10 P(dish | context), [head + 2, head + 1]
-        self.rest = 0.0  # log10 of the word restaurant's mass outside the head
-
-    def base(self) -> np.ndarray:
-        """The word restaurant over the head and "another token"."""
-        own = 10.0 ** self.lp[: self.head]
-        return np.append(own, max(1e-12, 1.0 - own.sum()))
-
-    def sequence(self, column: pa.Array):
-        """Per token (the end of each text included): place in the lexicon or -1, context, dish; then bounds, words, codes."""
+        self.c = np.array([r["c"] for r in rows] + [0], np.int64)
+        self.base = 10.0 ** np.array([r["lp"] for r in rows] + [-300.0], float)
+
+    @property
+    def start(self) -> int:
+        return len(self.words)
+
+    def follow(self) -> np.ndarray:
+        """How many tokens follow each place: the end is no context, the start is one once a text."""
+        return np.concatenate([[0], self.c[1:-1], self.c[:1]])
+
+    def numbers(self, values: pa.Array) -> np.ndarray:
+        found = pc.fill_null(pc.index_in(values, value_set=self.words), -1).to_numpy().astype(np.int64)
+        rare = np.flatnonzero(found < 0)
+        if len(rare):
+            found[rare] = _hashed(values.take(pa.array(rare)))
+        return found
+
+    def sequence(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of each token's context and of the token (the end of each text included), and the bounds of texts."""
         found, bounds = _tokens(column)
         codes, values = at.coded(found)
-        known = pc.fill_null(pc.index_in(values, value_set=self.words), -1).to_numpy().astype(np.int64)
         n = len(bounds) - 1
         edge = bounds + np.arange(n + 1)
-        place, source = np.zeros(edge[-1], np.int64), np.full(edge[-1], -1)
-        inner = np.ones(edge[-1], bool)
+        word, inner = np.zeros(edge[-1], np.int64), np.ones(edge[-1], bool)
         inner[edge[1:] - 1] = False
         if len(codes):
-            place[inner], source[inner] = known[codes], codes
-        dish = np.where((place >= 0) & (place < self.head), place, self.head)
-        context = np.concatenate([[0], dish[:-1]])[: len(dish)]
-        context[edge[:-1]] = self.head + 1
-        return place, context, dish, edge, values, source
+            word[inner] = self.numbers(values)[codes]
+        context = np.concatenate([[0], word[:-1]])[: len(word)]
+        context[edge[:-1]] = self.start
+        return context, word, edge
 
 
-def count_contexts(docs: DataFrame, train: str, lexicon: Lexicon) -> np.ndarray:
-    """Counts [context, dish] over the training texts (an action; (head + 2) x (head + 1) numbers at most)."""
-    shared = Shared(docs.sparkSession, lexicon)
-    width = lexicon.head + 1
+def count_pairs(docs: DataFrame, train: str, lexicon: Lexicon) -> DataFrame:
+    """(kind, u, w, c), written: pairs of the training texts, and sums over pairs seen once.
 
-    def run(batches):
-        lexicon, total = shared.value, np.zeros((width + 1) * width, np.int64)
-        for batch in at.slices(batches):
-            _, context, dish, edge, _, _ = lexicon.sequence(batch.column("text"))
-            use = np.repeat(batch.column(train).to_numpy(zero_copy_only=False).astype(bool), np.diff(edge))
-            total += np.bincount(context[use] * width + dish[use], minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["cell", "n"])
+    kind 0: context u and word w were seen c times, c > 1, or c = 1 and held-out texts have
+    the pair too; kind 1: c pairs of context u were seen once; kind 2: the same of word w.
+    A number's sums may come in several rows.
+    """
+    shared, places = Shared(docs.sparkSession, lexicon), lexicon.start + 1
+
+    def count(batches):
+        lexicon, held, size = shared.value, [], 0
 
-    found = docs.select("text", train).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        def summed():
+            rows = pa.concat_tables(held).group_by(["u", "w"]).aggregate([("c", "sum"), ("h", "max")])
+            rows = rows.sort_by([("u", "ascending"), ("w", "ascending")])  # neighbours compress well in the shuffle
+            return rows.select(["u", "w", "c_sum", "h_max"]).rename_columns(["u", "w", "c", "h"]).to_batches(max_chunksize=100_000)
+
+        for batch in at.slices(batches):
+            u, w, edge = lexicon.sequence(batch.column("text"))
+            use = np.repeat(batch.column(train).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(edge))
+            held.append(pa.table({"u": u, "w": w, "c": use, "h": 1 - use}))
+            size += len(u)
+            if size >= _PAIRS:
+                yield from summed()
+                held, size = [], 0
+        if size:
+            yield from summed()
+
+    def deal(batches):
+        once = np.zeros((2, places), np.int64)
+        for batch in batches:
+            u, w, c, h = (batch.column(k).to_numpy() for k in ("u", "w", "c", "h"))
+            keep, single = np.flatnonzero((c > 1) | ((c == 1) & (h > 0))), c == 1
+            out = [(np.zeros(len(keep), np.int32), u[keep], w[keep], c[keep])]
+            for k, x in enumerate((u, w)):
+                once[k] += np.bincount(x[single & (x >= 0)], minlength=places)
+                rare, n = np.unique(x[single & (x < 0)], return_counts=True)
+                out.append((np.full(len(rare), k + 1, np.int32), rare, rare, n))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["kind", "u", "w", "c"])
+        for k in range(2):
+            some = np.flatnonzero(once[k])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k + 1, np.int32)), pa.array(some), pa.array(some), pa.array(once[k][some])], ["kind", "u", "w", "c"])
+
+    found = docs.select("text", train).mapInArrow(count, "u long, w long, c long, h long")
+    found = found.groupBy("u", "w").agg(F.sum("c").alias("c"), F.max("h").alias("h")).where("c > 0")
+    out = written(found.mapInArrow(deal, "kind int, u long, w long, c long"))
     shared.destroy()
-    counts = np.zeros((width + 1) * width, np.int64)
-    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return counts.reshape(width + 1, width)
+    return out
+
+
+class Seating:
+    """Tables of the frequent words' restaurants in every sweep, and what the parent needs. Arrays are by place."""
+
+    def __init__(self, lexicon: Lexicon, d: float):
+        self.d, self.c, self.follow, self.base = d, lexicon.c, lexicon.follow(), lexicon.base
+        self.tables: list[np.ndarray] = []  # T of each context, before each sweep and after the last
+        self.parent = [lexicon.base]  # P of each word under the parent, likewise
+        self.scalars: list[tuple[float, float, float]] = []  # by sweep: P_parent(w) = (m - d0 own + a base) / b
+
+    def draw(self, sweep: int, u: np.ndarray, w: np.ndarray, c: np.ndarray, tables=None, parent=None) -> np.ndarray:
+        """Tables of pairs; tables and parent are given for rare contexts and words. Before sweep 0 each pair has one."""
+        if sweep < 0 or not len(c):
+            return np.minimum(c, 1)
+        t = self.tables[sweep][np.maximum(u, 0)].astype(float)
+        p = self.parent[sweep][np.maximum(w, 0)]
+        if tables is not None:
+            t, p = np.where(u < 0, tables, t), np.where(w < 0, parent, p)
+        rng = np.random.default_rng([SEED, 7 + sweep, len(c), *np.array([u[0], w[0]]).view(np.uint32).tolist()])
+        return py.sample_tables(c, (py.THETA + self.d * t) * p, self.d, rng)
+
+    def mean(self, u: np.ndarray, w: np.ndarray, lam=None, par=None) -> np.ndarray:
+        """The parents' part of P(w | u), averaged over the samples; lam and par ([rows, samples]) are of rare numbers."""
+        total = np.zeros(len(u))
+        for s in range(SAMPLES):
+            at_s = BURN + s + 1
+            a = ((py.THETA + self.d * self.tables[at_s]) / (py.THETA + self.follow))[np.maximum(u, 0)]
+            b = self.parent[at_s][np.maximum(w, 0)]
+            if lam is not None:
+                a, b = np.where(u < 0, lam[:, s], a), np.where(w < 0, par[:, s], b)
+            total += a * b
+        return total / SAMPLES
+
+
+def _free(spark) -> None:
+    """Have the driver's garbage collected: Spark then deletes shuffle files that nothing needs any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return pc.fill_null(batch.column(name), 0).to_numpy(zero_copy_only=False)
+
+
+def _rare_or(number: str, *other: str):
+    """A join key: the number if it is of a rare word, else one that spreads rows and meets no rare word."""
+    return F.when(F.col(number) < 0, F.col(number)).otherwise(F.shiftrightunsigned(F.xxhash64(*other), 1))
+
+
+def seat_pairs(pairs: DataFrame, rare: DataFrame, lexicon: Lexicon, distinct: int, once: int) -> tuple[Seating, DataFrame, DataFrame]:
+    """Sample all context restaurants and their parent (actions).
+
+    pairs as of count_pairs; rare: (id, c, base) of rare words seen twice or more in
+    training; once: how many rare words were seen once. Returns the seating, the rows
+    (u, w, c, x) of the kept pairs, where x is c - d t averaged over the samples, and rare
+    with arrays lam and par of the samples.
+    """
+    spark, places = pairs.sparkSession, lexicon.start + 1
+    sums = pairs.agg(F.sum(F.when(F.col("kind") == 1, F.col("c"))), F.count(F.when((F.col("kind") == 0) & (F.col("c") == 2), 1))).first()
+    singles, twos = int(sums[0] or 0), int(sums[1] or 0)
+    seating = Seating(lexicon, py.discount(singles, twos))
+
+    def by_place(df: DataFrame, *names: str) -> np.ndarray:
+        """Sums of n by frequent number, for each of the named columns."""
+        out = np.zeros((len(names), places), np.int64)
+        for k, name in enumerate(names):
+            rows = df.where(F.col(name) >= 0).groupBy(name).agg(F.sum("n").alias("n")).toArrow()
+            out[k][rows[name].to_numpy()] = rows["n"].to_numpy()
+        return out
+
+    single = [pairs.where(F.col("kind") == k + 1).select(x, F.col("c").alias("n")) for k, x in enumerate(("u", "w"))]
+    fixed = np.concatenate([by_place(df, x) for df, x in zip(single, ("u", "w"), strict=True)])
+    state = rare
+    for df, name, key in zip(single, ("n1u", "n1w"), ("u", "w"), strict=True):
+        few = df.where(F.col(key) < 0).groupBy(F.col(key).alias("id")).agg(F.sum("n").alias(name))
+        state = state.join(few, "id", "left").fillna(0, [name])
+    none = F.array().cast("array<double>")
+    state = written(state.select("id", "c", "base", "n1u", "n1w")).withColumns({"tables": F.lit(0.0), "parent": F.lit(0.0), "lam": none, "par": none})
+    inside = (F.col("u") >= 0) & (F.col("w") >= 0)
+    multi = pairs.where("kind = 0 AND c > 1").select("u", "w", "c")
+    near = multi.where(inside)
+    far = written(multi.where(~inside).withColumn("t_sum", F.lit(0).cast("long")))
+
+    for sweep in range(-1, BURN + SAMPLES):
+        shared = Shared(spark, seating)
+
+        def tally(batches, shared=shared, sweep=sweep):
+            seating, out = shared.value, np.zeros((2, places), np.int64)
+            for batch in batches:
+                u, w, c = (batch.column(k).to_numpy() for k in ("u", "w", "c"))
+                t = seating.draw(sweep, u, w, c)
+                for k, x in enumerate((u, w)):
+                    out[k] += np.bincount(x, weights=t, minlength=places).astype(np.int64)
+            k, at_place = np.nonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(at_place), pa.array(out[k, at_place])], ["k", "place", "n"])
+
+        def draw(batches, shared=shared, sweep=sweep):
+            seating = shared.value
+            for batch in batches:
+                u, w, c, t_sum = (batch.column(k).to_numpy() for k in ("u", "w", "c", "t_sum"))
+                t = seating.draw(sweep, u, w, c, _column(batch, "tables"), _column(batch, "parent"))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (u, w, c, t_sum + (t if sweep >= BURN else 0), t))], ["u", "w", "c", "t_sum", "n"])
+
+        now = fixed.copy()
+        got = near.mapInArrow(tally, "k long, place long, n long").groupBy("k", "place").agg(F.sum("n").alias("n")).toArrow()
+        now[got["k"].to_numpy(), got["place"].to_numpy()] += got["n"].to_numpy()
+        of_u = state.select(F.col("id").alias("_u"), "tables")
+        of_w = state.select(F.col("id").alias("_w"), "parent")
+        keyed = far.select("u", "w", "c", "t_sum", _rare_or("u", "u", "w").alias("_u"), _rare_or("w", "w", "u").alias("_w"))
+        far = written(keyed.join(of_u, "_u", "left").join(of_w, "_w", "left").mapInArrow(draw, "u long, w long, c long, t_sum long, n long"))
+        now += by_place(far, "u", "w")
+        tables, customers = now
+        seating.tables.append(tables)
+        du, dw = (far.where(F.col(x) < 0).groupBy(F.col(x).alias("id")).agg(F.sum("n").alias(f"d{x}")) for x in ("u", "w"))
+        state = state.join(du, "id", "left").join(dw, "id", "left")
+        state = state.withColumns({"tables": (F.col("n1u") + F.coalesce("du", F.lit(0))).cast("double"), "m": F.col("n1w") + F.coalesce("dw", F.lit(0))})
+        if sweep < 0:
+            state = written(state.drop("du", "dw", "m").withColumn("parent", F.col("base")))
+            shared.destroy()
+            continue
+        r = state.agg(F.sum("m"), F.count(F.when(F.col("m") == 1, 1)), F.count(F.when(F.col("m") == 2, 1))).first()
+        total = int(customers.sum()) + int(r[0] or 0) + once
+        d0 = py.discount(int((customers == 1).sum()) + r[1] + once, int((customers == 2).sum()) + r[2])
+        strength = py.THETA + d0 * distinct
+
+        def own_tables(batches, sweep=sweep, d0=d0, strength=strength):
+            for batch in batches:
+                m = batch.column("m").to_numpy()
+                rng = np.random.default_rng([SEED, 70 + sweep, len(m), *(batch.column("id").to_numpy()[:1].view(np.uint32).tolist())])
+                own = py.sample_tables(m, strength * batch.column("base").to_numpy(), d0, rng)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int64))], [*batch.schema.names, "own"])
+
+        state = state.select("id", "c", "base", "n1u", "n1w", "tables", "m", "lam", "par")
+        state = written(state.mapInArrow(own_tables, state.withColumn("own", F.lit(0).cast("long")).schema))
+        own = py.sample_tables(customers, strength * seating.base, d0, np.random.default_rng([SEED, 99, sweep]))
+        all_own = int(own.sum()) + int(state.agg(F.sum("own")).first()[0] or 0) + once
+        a, b = py.THETA + d0 * all_own, py.THETA + total
+        seating.scalars.append((d0, a, b))
+        seating.parent += [(customers - d0 * own + a * seating.base) / b]
+        state = state.withColumn("parent", (F.col("m") - F.lit(d0) * F.col("own") + F.lit(a) * F.col("base")) / F.lit(b))
+        if sweep >= BURN:
+            lam = (F.lit(py.THETA) + F.lit(seating.d) * F.col("tables")) / (F.col("c") + F.lit(py.THETA))
+            state = state.withColumns({"lam": F.concat("lam", F.array(lam)), "par": F.concat("par", F.array("parent"))})
+        state = state.drop("m", "own")
+        shared.destroy()
+
+    shared = Shared(spark, seating)
+
+    def averaged(batches):
+        seating = shared.value
+        for batch in batches:
+            u, w, c = (batch.column(k).to_numpy() for k in ("u", "w", "c"))
+            t = sum(seating.draw(BURN + s, u, w, c) for s in range(SAMPLES)) / SAMPLES
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((c - seating.d * t).astype(float))], ["u", "w", "c", "x"])
+
+    one = pairs.where("kind = 0 AND c = 1").select("u", "w", "c", F.lit(1.0 - seating.d).alias("x"))
+    more = near.mapInArrow(averaged, "u long, w long, c long, x double")
+    rest = far.select("u", "w", "c", (F.col("c") - F.lit(seating.d) * F.col("t_sum") / F.lit(float(SAMPLES))).alias("x"))
+    return seating, written(one.unionAll(more).unionAll(rest)), state.select("id", "c", "lam", "par")
+
+
+def common_pairs(pairs: DataFrame, limit: int) -> tuple[int, pa.Table]:
+    """At most about `limit` commonest pairs of frequent words, and the count from which on pairs are among them (actions)."""
+    held = pairs.where("u >= 0 AND w >= 0")
+    level = F.floor(F.log2("c") * 16).cast("int")
+    levels = sorted(((r["l"], r["n"], r["least"]) for r in held.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).collect()), reverse=True)
+    least, so_far = 1 << 62, 0
+    for _, n, at_least in levels:
+        if so_far + n > limit:
+            break
+        least, so_far = at_least, so_far + n
+    return least, held.where(F.col("c") >= F.lit(least)).select("u", "w", "x").toArrow()
 
 
-_PARTS = "row long, word string, k long, head struct<doc_id:bigint,held_out:boolean,n_tokens:bigint,n_known:bigint,counts:double,score:double>"
+class Scorer:
+    """What scores pairs of frequent words: the seating and the commonest pairs."""
 
+    def __init__(self, lexicon: Lexicon, seating: Seating, common: pa.Table):
+        self.lexicon, self.seating = lexicon, seating
+        key = self.key(common["u"].to_numpy(), common["w"].to_numpy())
+        order = np.argsort(key)
+        self.keys, self.x = np.append(key[order], np.int64(2**62)), np.append(common["x"].to_numpy()[order], 0.0)
 
-def _parts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """For each text one row of sums over frequent tokens, and a row for each other word in it.
+    def key(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return u * (self.lexicon.start + 1) + w
 
-    A row of sums has a word that cannot occur (a space and the row's number), so that it
-    passes the join with the words unmatched.
+    def log10(self, u, w, x, follow=None, lam=None, par=None) -> np.ndarray:
+        f = self.seating.follow[np.maximum(u, 0)]
+        if follow is not None:
+            f = np.where(u < 0, follow, f)
+        return np.log10(np.maximum(x / (py.THETA + f) + self.seating.mean(u, w, lam, par), 1e-300))
+
+
+_HEAD = "struct<doc_id:bigint,held_out:boolean,n_tokens:bigint,n_known:bigint,counts:double,score:double>"
+_PARTS = f"row long, u long, w long, k long, train boolean, head {_HEAD}"
+
+
+def _parts(docs: DataFrame, shared: Shared, rare: bool) -> DataFrame:
+    """Rows for the pairs of each text: those with a rare word, or else the other ones.
+
+    The latter are without the commonest pairs: these are summed in one more row a text,
+    together with counts of frequent words. That row has numbers that no pair has.
     """
-    shared = Shared(docs.sparkSession, lexicon)
     kinds = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("counts", pa.float64()), ("score", pa.float64())]
+    struct = pa.struct(kinds)
 
     def run(batches):
-        lexicon = shared.value
+        scorer = shared.value
         for batch in at.slices(batches):
-            place, context, dish, edge, values, source = lexicon.sequence(batch.column("text"))
-            known = place >= 0
-            in_head = dish < lexicon.head
-            score = lexicon.next[context, dish]
-            score = score + np.where(known & ~in_head, lexicon.lp[np.maximum(place, 0)], 0.0) - np.where(in_head, 0.0, lexicon.rest)
-            counted = lexicon.c[np.maximum(place, 0)]
-            logs = np.where(known, np.log10(counted + 1.0), 0.0)
-            sums = [at.per_row(x, edge) for x in ((known & (counted > 0)).astype(np.int64), logs, score)]
-            row = batch.column("row").to_numpy()
-            other = np.flatnonzero(~known)
-            n_values = max(len(values), 1)
-            keys, k = np.unique(at.row_of(edge)[other] * n_values + source[other], return_counts=True)
-            head = pa.StructArray.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(edge)), *map(pa.array, sums)], names=[x for x, _ in kinds]
-            )
-            names = pa.array([f" {i}" for i in row.tolist()], pa.string())
+            u, w, edge = scorer.lexicon.sequence(batch.column("text"))
+            row, of = batch.column("row").to_numpy(), at.row_of(edge)
+            inside = (u >= 0) & (w >= 0)
+            if rare:
+                other, head = np.flatnonzero(~inside), None
+            else:
+                place = np.searchsorted(scorer.keys, key := np.where(inside, scorer.key(u, w), -1))
+                hit = inside & (scorer.keys[place] == key)
+                score = np.zeros(len(u))
+                score[hit] = scorer.log10(u[hit], w[hit], scorer.x[place[hit]])
+                c = np.where(w >= 0, scorer.lexicon.c[np.maximum(w, 0)], 0)
+                sums = [at.per_row(x, edge) for x in ((c > 0).astype(np.int64), np.log10(c + 1.0), score)]
+                head = pa.StructArray.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(edge)), *map(pa.array, sums)], names=[x for x, _ in kinds])
+                other = np.flatnonzero(inside & ~hit)
+            found = pa.table({"of": of[other], "u": u[other], "w": w[other]}).group_by(["of", "u", "w"]).aggregate([([], "count_all")])
+            i, n = found["of"].to_numpy(), len(found)
+            train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            columns = [row[i], found["u"].to_numpy(), found["w"].to_numpy(), found["count_all"].to_numpy(), train[i]]
+            heads = pa.nulls(n, struct)
+            if head is not None:
+                m = len(row)
+                columns = [np.concatenate(x) for x in zip(columns, [row, row, np.full(m, -1), np.zeros(m, np.int64), train], strict=True)]
+                heads = pa.concat_arrays([heads, head.cast(struct)])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), heads], ["row", "u", "w", "k", "train", "head"])
+
+    return docs.select("row", "doc_id", "held_out", "text").mapInArrow(run, _PARTS)
+
+
+_SUMS = f"row long, known long, counts double, score double, head {_HEAD}"
+
+
+def _log10s(joined: DataFrame, shared: Shared, rare: bool) -> DataFrame:
+    """Sums of parts joined with what is known of their pairs (x) and of rare words (fu, lam; c, par)."""
+
+    def run(batches):
+        scorer = shared.value
+        d = scorer.seating.d
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u, w, k = (batch.column(c).to_numpy() for c in ("u", "w", "k"))
+            train = batch.column("train").to_numpy(zero_copy_only=False)
+            pair = batch.column("x")
+            x = np.where(pair.is_null().to_numpy(zero_copy_only=False), np.where(train, 1.0 - d, 0.0), pc.fill_null(pair, 0.0).to_numpy(zero_copy_only=False))
+            extra, c = (), np.zeros(len(u))
+            if rare:
+                lam, par = (np.stack([_column(batch, f"{name}{s}") for s in range(SAMPLES)], axis=1) for name in ("lam", "par"))
+                extra, c = (_column(batch, "fu"), lam, par), np.where(w < 0, _column(batch, "c"), 0)
+            some = k > 0
+            score = np.where(some, k * scorer.log10(np.where(some, u, 0), np.where(some, w, 0), x, *extra), 0.0)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([row, row[keys // n_values]])),
-                    pa.concat_arrays([names, values.take(pa.array(keys % n_values))]),
-                    pa.array(np.concatenate([np.zeros(len(row), np.int64), k])),
-                    pa.concat_arrays([head, pa.nulls(len(keys), head.type)]),
-                ],
-                ["row", "word", "k", "head"],
+                [batch.column("row"), pa.array(k * (c > 0)), pa.array(k * np.log10(c + 1.0)), pa.array(score), batch.column("head")], ["row", "known", "counts", "score", "head"]
             )
 
-    return docs.select("row", "doc_id", "held_out", "text").mapInArrow(run, _PARTS)
+    return joined.mapInArrow(run, _SUMS)
 
 
 def score(docs: DataFrame, held_out, head: int = HEAD, limit: int = FREQUENT) -> DataFrame:
@@ -240,32 +507,55 @@ def score(docs: DataFrame, held_out, head: int = HEAD, limit: int = FREQUENT) ->
     """
     docs = docs.select("doc_id", "text").withColumns({"held_out": held_out, "row": F.monotonically_increasing_id()})
     docs = docs.withColumn("train", ~F.col("held_out"))
+    spark = docs.sparkSession
     words = cut(count_words(docs, "train"))
+    _free(spark)
     model = fit_words(words)
     scored = cut(with_probability(words, model))
-    lexicon = Lexicon(frequent(scored, limit), head)
-    if not len(lexicon.words):  # an empty table has no end of text either
-        lexicon.words, lexicon.c, lexicon.lp, lexicon.head = pa.array([""]), np.zeros(1, np.int64), np.zeros(1), 1
-    counts = count_contexts(docs, "train", lexicon)
-    base = lexicon.base()
-    lexicon.rest = float(np.log10(base[-1]))
-    lexicon.next = np.log10(py.contexts(counts, base, np.random.default_rng([SEED, 99]), BURN, SAMPLES)).astype(np.float64)
-    joined = _parts(docs, lexicon).join(scored.where("word <> ''"), "word", "left")
-    known = F.coalesce(F.col("c"), F.lit(0))
-    summed = joined.groupBy("row").agg(
-        F.max("head").alias("h"),
-        F.sum(F.when(known > 0, F.col("k")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("k") * F.log10(known + 1.0)).alias("more_counts"),
-        F.sum(F.col("k") * F.coalesce("lp", F.lit(0.0))).alias("more_score"),
+    lexicon = Lexicon(frequent(scored, limit) or [{"word": "", "c": 0, "lp": 0.0}])  # an empty table has no end of text either
+    known_words = Shared(spark, lexicon.words)
+
+    def others(batches):
+        known = known_words.value
+        for batch in batches:
+            rest = batch.filter(pc.invert(pc.is_in(batch.column("word"), value_set=known)))
+            yield pa.RecordBatch.from_arrays([pa.array(_hashed(rest.column("word"))), rest.column("c"), pa.array(10.0 ** rest.column("lp").to_numpy())], ["id", "c", "base"])
+
+    rare = written(scored.mapInArrow(others, "id long, c long, base double"))
+    once = rare.where("c = 1").count()
+    counted = count_pairs(docs, "train", lexicon)
+    _free(spark)
+    seating, pairs, state = seat_pairs(counted, rare.where("c > 1"), lexicon, model.distinct, once)
+    least, common = common_pairs(pairs, head * head)
+    shared = Shared(spark, Scorer(lexicon, seating, common))
+    lams, pars = [f"lam{s}" for s in range(SAMPLES)], [f"par{s}" for s in range(SAMPLES)]
+    many = state.select("id", "c", *(F.col(n)[s].alias(f"{n}{s}") for n in ("lam", "par") for s in range(SAMPLES)))
+    # A word seen once has one table as a context and as a dish, one not seen has none.
+    few = rare.where("c <= 1").select(
+        "id",
+        "c",
+        *((F.lit(py.THETA) + F.lit(seating.d) * F.col("c")) / (F.col("c") + F.lit(py.THETA)) for _ in lams),
+        *((F.col("c") * F.lit(1.0 - d0) + F.lit(a) * F.col("base")) / F.lit(b) for d0, a, b in seating.scalars[BURN:]),
+    ).toDF("id", "c", *lams, *pars)
+    values = written(many.unionAll(few))
+    _free(spark)
+    inside = (F.col("u") >= 0) & (F.col("w") >= 0)
+    near = _parts(docs, shared, False).join(pairs.where(inside & (F.col("c") < F.lit(least))).select("u", "w", "x"), ["u", "w"], "left")
+    far = _parts(docs, shared, True).join(pairs.where(~inside).select("u", "w", "x"), ["u", "w"], "left")
+    far = far.withColumns({"_u": _rare_or("u", "row", "w"), "_w": _rare_or("w", "row", "u")})
+    far = far.join(values.select(F.col("id").alias("_u"), F.col("c").alias("fu"), *lams), "_u", "left")
+    far = far.join(values.select(F.col("id").alias("_w"), "c", *pars), "_w", "left").drop("_u", "_w")
+    summed = _log10s(near, shared, False).unionAll(_log10s(far, shared, True)).groupBy("row").agg(
+        F.max("head").alias("h"), F.sum("known").alias("more_known"), F.sum("counts").alias("more_counts"), F.sum("score").alias("more_score")
     )
-    least = float(np.log10(model.total + model.distinct + 1.0))
+    least_log = float(np.log10(model.total + model.distinct + 1.0))
     return summed.select(
         "h.doc_id",
         "h.held_out",
         "h.n_tokens",
         (F.col("h.n_known") + F.col("more_known")).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("h.counts") + F.col("more_counts") - F.col("h.n_tokens") * F.lit(least)).alias("base_score"),
+        (F.col("h.counts") + F.col("more_counts") - F.col("h.n_tokens") * F.lit(least_log)).alias("base_score"),
         (F.col("h.score") + F.col("more_score")).alias("score"),
         F.pow(F.lit(10.0), -(F.col("h.score") + F.col("more_score")) / F.col("h.n_tokens")).alias("perplexity"),
     )

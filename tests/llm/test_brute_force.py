@@ -276,6 +276,15 @@ def test_language_model_is_a_distribution(spark):
     assert sum(10 ** got[i]["score"] for i, _ in probes) < 1.0
 
 
+def test_language_model_learns_pairs_of_rare_words(spark):
+    """A pair's own count matters for words however rare, whether they are broadcast or joined; bounds of the broadcast change nothing."""
+    rows = [(i, f"filler a{i % 50} b{i % 50} filler") for i in range(400)] + [(1000, "filler a7 b7 filler"), (1001, "filler a7 b8 filler")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for head, limit in ((3, 4), (2, 100), (1000, 200_000)):
+        got = by_id(lm_score.score(df, F.col("doc_id") >= 1000, head=head, limit=limit))
+        assert got[1000]["score"] > got[1001]["score"] + 1.5, (head, limit)
+
+
 def test_seating():
     rng = np.random.default_rng(0)
     count = np.array([0, 1, 2, 50, 5_000, 10**7])
