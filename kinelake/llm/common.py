@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import pickle
+import re
 import tempfile
 import uuid
 
@@ -62,22 +64,38 @@ def settled(df: DataFrame, kept: list[str], made: list[str]) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder: the one set, or spark.checkpoint.dir.
 
-    Only where neither is there (tests) it is set to a folder under the local temporary one.
+    Where neither is there, a local session gets one under the temporary folder; a cluster's must name one.
     """
     context = spark.sparkContext
     given = context._jsc.sc().getCheckpointDir()
     if given.isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "kinelake-checkpoints"))
         given = context._jsc.sc().getCheckpointDir()
     return given.get()
 
 
+def keep(df: DataFrame, *by: str) -> str:
+    """Write df as a Parquet table in the shared folder, split by columns `by`: its path."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that `keep` wrote, and have Spark delete the shuffle files that nothing refers to any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """df written as a Parquet table in the shared folder, and read from there."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(keep(df))
 
 
 def cut(df: DataFrame) -> DataFrame:

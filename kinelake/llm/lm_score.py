@@ -1,564 +1,388 @@
 """Language-model scores of documents: a hierarchical Pitman-Yor model.
 
-Restaurants are seated by Gibbs sampling over counts of the whole training part of the
-corpus:
-
-* words: one restaurant over all tokens (words, and an end of text), whose base is
-  uniform over the V training tokens and one place for any other;
-* contexts: a restaurant for each training token (and for the start of a text) over the
-  tokens that follow it. They share one parent, whose base is the word restaurant.
-
-Probabilities are averaged over the samples. Neither the vocabulary nor the word pairs are
-collected: both are tables. Arrays of fixed size (FREQUENT words, the HEAD x HEAD commonest
-pairs) are broadcast and say where a value is found, not what it is; other words and pairs
-are seated by joins, and reach the documents by joins of (document, context, word) rows.
-
-A word's number is its place among the frequent words, or else a 63-bit hash below zero.
-Pairs seen once have one table in every sample, so only their sums by context and by word
-are kept. A training document's pair without a row among the others was seen once; pairs
-seen once that held-out documents have too are kept as rows.
+* contexts: a restaurant for each training token, and for the start of a text, whose
+  customers are the tokens that follow it;
+* words: their common parent. Its customers are the tables of all context restaurants; its
+  base is uniform over the V training tokens and one place for any other.
+
+Seatings are sampled by Gibbs (see `pitman_yor`); probabilities are averaged over SAMPLES
+sweeps that follow BURN others. Every word and every pair of words of the training texts is
+counted and seated; nothing is collected or cut off.
+
+Texts are written once as batches of word numbers. Words and pairs are dealt to nodes by
+hash, so a frequent word or pair is one entry a batch, and no node holds more than its
+share. A sweep has two exchanges: word nodes send each pair node the restaurants' gamma
+variables and the words' customers and tables, pair nodes seat their pairs and send back
+the numbers of tables. Pairs seen once have one table in every seating and enter by their
+sums. Last, the nodes answer each batch, and it scores its texts.
+
+Words and pairs are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import gc
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.llm import arrowtext as at
 from kinelake.llm import pitman_yor as py
-from kinelake.llm.common import Shared, cut, is_fold, table, written
+from kinelake.llm.blobs import SCHEMA, Rows, joined, pack, received, unpack
+from kinelake.llm.common import discard, is_fold, keep, table
 
-#: The HEAD x HEAD commonest pairs and the FREQUENT commonest words are broadcast; either bound changes scores by sampling noise only.
-HEAD, FREQUENT = 1_000, 200_000
-BURN, SAMPLES = 1, 3
+BURN, SAMPLES = 5, 4
 SEED = 20_240_101
-_TEXT_BYTES = 4 << 20
-#: Tokens whose pairs a task counts at once.
-_PAIRS = 2_000_000
-
-
-def _tokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    return at.words(pc.ascii_lower(at.texts(column)))
-
-
-def count_words(docs: DataFrame, train: str) -> DataFrame:
-    """(word, c): every token of docs with its count where the boolean column `train` holds; "" is the end of text."""
-
-    def run(batches):
-        for batch in at.slices(batches, limit=_TEXT_BYTES):
-            found, bounds = _tokens(batch.column("text"))
-            codes, values = at.coded(found)
-            use = batch.column(train).to_numpy(zero_copy_only=False).astype(bool)
-            c = np.bincount(codes[use[at.row_of(bounds)]], minlength=len(values))
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([values, pa.array([""])]), pa.array(np.append(c, use.sum()))], ["word", "c"])
-
-    return docs.select("text", train).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def _generator(sweep: int, column: pa.Array) -> np.random.Generator:
-    """Random numbers of a batch: the same if a task is run again."""
-    first = column[0].as_py() if len(column) else ""
-    return np.random.default_rng([SEED, sweep, len(column), zlib.crc32(first.encode())])
-
-
-def _seat(words: DataFrame, sweep: int, strength: float, d: float) -> int:
-    """One sweep over the word restaurant: the number of tables (an action)."""
-
-    def run(batches):
-        for batch in batches:
-            word, c = batch.column("word"), batch.column("c").to_numpy()
-            t = py.sample_tables(c, np.full(len(c), strength), d, _generator(sweep, word))
-            yield pa.RecordBatch.from_arrays([pa.array([int(t.sum())])], ["n"])
-
-    return int(words.where("c > 0").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0)
-
-
-class WordModel:
-    """What the averaged probability of any word needs besides its count."""
-
-    def __init__(self, total: int, distinct: int, d: float, strengths: list[float]):
-        self.total, self.distinct, self.d, self.strengths = total, distinct, d, strengths
-
-    def log10(self, word: pa.Array, c: np.ndarray) -> np.ndarray:
-        """log10 of the predictive probability, averaged over the samples (strength: (theta + d T) times the base)."""
-        p = np.zeros(len(c))
-        for s, strength in enumerate(self.strengths):
-            t = py.sample_tables(c, np.full(len(c), strength), self.d, _generator(BURN + s + 1, word))
-            p += (c - self.d * t + strength) / (py.THETA + self.total)
-        return np.log10(np.maximum(p / len(self.strengths), 1e-300))
-
-
-def fit_words(words: DataFrame) -> WordModel:
-    """Sample the word restaurant (actions)."""
-    sums = words.where("c > 0").agg(
-        F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("c") == 1, 1)), F.sum(F.when(F.col("c") == 2, 1))
-    ).first()
-    total, distinct, ones, twos = (int(x or 0) for x in sums)
-    d = py.discount(ones, twos)
-    tables, strengths = distinct, []
-    for sweep in range(BURN + SAMPLES):
-        strength = (py.THETA + d * tables) / (distinct + 1)
-        tables = _seat(words, sweep, strength, d)
-        if sweep >= BURN:
-            strengths.append((py.THETA + d * tables) / (distinct + 1))
-    return WordModel(total, distinct, d, strengths)
-
-
-def with_probability(words: DataFrame, model: WordModel) -> DataFrame:
-    """(word, c, lp): lp is log10 of the word's averaged probability, also for words outside the training part."""
-    shared = Shared(words.sparkSession, model)
+#: Bytes of text a batch (or one longer text), and tokens of the corpus for each node.
+TEXT_BYTES, NODE_TOKENS = 8 << 20, 2_000_000
+#: No word is empty or holds a space: these are the end and the start of a text.
+END, START = (xxhash.xxh64_intdigest(x, seed=42) for x in (b"", b" "))
 
-    def run(batches):
-        model = shared.value
-        for batch in batches:
-            lp = model.log10(batch.column("word"), batch.column("c").to_numpy()) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(lp)], ["word", "c", "lp"])
+# Kinds of rows. Words: state, seating, plan (for batches), subscriptions of pair nodes and what they send. Pairs alike.
+WORDS, WORD_PLAN, SUB_U, SUB_W, ONE_U, ONE_W, WORD_STATE, WORD_SEATING, LINK_U, LINK_W, SUM_U, SUM_W = range(12)
+PAIRS, PAIR_PLAN, PAIR_STATE, PAIR_SEATING, GAMMA, CUSTOMERS, SCALARS, TEXTS, WORD_ANSWER, PAIR_ANSWER = range(12, 22)
 
-    return words.select("word", "c").mapInArrow(run, "word string, c long, lp double")
 
-
-def frequent(words: DataFrame, limit: int = FREQUENT) -> list:
-    """At most about `limit` commonest rows of words, commonest first (an action over a count of counts)."""
-    level = F.floor(F.log2("c") * 64).cast("int")
-    held = words.where("c > 0 AND word <> ''")
-    levels = sorted(((r["l"], r["n"]) for r in held.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-    least, so_far = None, 0
-    for at_level, n in levels:
-        if so_far + n > limit:
-            break
-        least, so_far = at_level, so_far + n
-    rows = held.where(level >= least).collect() if least is not None else []
-    end = words.where("word = ''").collect()
-    return end + sorted(rows, key=lambda r: (-r["c"], r["word"]))
-
-
-def _hashed(words: pa.Array) -> np.ndarray:
-    """Numbers of words that are not frequent: XXH64 (seed 42, as Spark's) with the sign bit set."""
-    digests = [xxhash.xxh64_intdigest(x, seed=42) | 1 << 63 for x in words.cast(pa.binary()).to_pylist()]
-    return np.array(digests, np.uint64).view(np.int64)
-
-
-class Lexicon:
-    """The frequent words (place 0: end of text); the place after the last one is the start of a text."""
-
-    def __init__(self, rows: list):
-        self.words = pa.array([r["word"] for r in rows], pa.string())
-        self.c = np.array([r["c"] for r in rows] + [0], np.int64)
-        self.base = 10.0 ** np.array([r["lp"] for r in rows] + [-300.0], float)
-
-    @property
-    def start(self) -> int:
-        return len(self.words)
-
-    def follow(self) -> np.ndarray:
-        """How many tokens follow each place: the end is no context, the start is one once a text."""
-        return np.concatenate([[0], self.c[1:-1], self.c[:1]])
-
-    def numbers(self, values: pa.Array) -> np.ndarray:
-        found = pc.fill_null(pc.index_in(values, value_set=self.words), -1).to_numpy().astype(np.int64)
-        rare = np.flatnonzero(found < 0)
-        if len(rare):
-            found[rare] = _hashed(values.take(pa.array(rare)))
-        return found
-
-    def sequence(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers of each token's context and of the token (the end of each text included), and the bounds of texts."""
-        found, bounds = _tokens(column)
-        codes, values = at.coded(found)
-        n = len(bounds) - 1
-        edge = bounds + np.arange(n + 1)
-        word, inner = np.zeros(edge[-1], np.int64), np.ones(edge[-1], bool)
-        inner[edge[1:] - 1] = False
-        if len(codes):
-            word[inner] = self.numbers(values)[codes]
-        context = np.concatenate([[0], word[:-1]])[: len(word)]
-        context[edge[:-1]] = self.start
-        return context, word, edge
-
-
-def count_pairs(docs: DataFrame, train: str, lexicon: Lexicon) -> DataFrame:
-    """(kind, u, w, c), written: pairs of the training texts, and sums over pairs seen once.
-
-    kind 0: context u and word w were seen c times, c > 1, or c = 1 and held-out texts have
-    the pair too; kind 1: c pairs of context u were seen once; kind 2: the same of word w.
-    A number's sums may come in several rows.
-    """
-    shared, places = Shared(docs.sparkSession, lexicon), lexicon.start + 1
-
-    def count(batches):
-        lexicon, held, size = shared.value, [], 0
-
-        def summed():
-            rows = pa.concat_tables(held).group_by(["u", "w"]).aggregate([("c", "sum"), ("h", "max")])
-            rows = rows.sort_by([("u", "ascending"), ("w", "ascending")])  # neighbours compress well in the shuffle
-            return rows.select(["u", "w", "c_sum", "h_max"]).rename_columns(["u", "w", "c", "h"]).to_batches(max_chunksize=100_000)
-
-        for batch in at.slices(batches):
-            u, w, edge = lexicon.sequence(batch.column("text"))
-            use = np.repeat(batch.column(train).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(edge))
-            held.append(pa.table({"u": u, "w": w, "c": use, "h": 1 - use}))
-            size += len(u)
-            if size >= _PAIRS:
-                yield from summed()
-                held, size = [], 0
-        if size:
-            yield from summed()
-
-    def deal(batches):
-        once = np.zeros((2, places), np.int64)
-        for batch in batches:
-            u, w, c, h = (batch.column(k).to_numpy() for k in ("u", "w", "c", "h"))
-            keep, single = np.flatnonzero((c > 1) | ((c == 1) & (h > 0))), c == 1
-            out = [(np.zeros(len(keep), np.int32), u[keep], w[keep], c[keep])]
-            for k, x in enumerate((u, w)):
-                once[k] += np.bincount(x[single & (x >= 0)], minlength=places)
-                rare, n = np.unique(x[single & (x < 0)], return_counts=True)
-                out.append((np.full(len(rare), k + 1, np.int32), rare, rare, n))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["kind", "u", "w", "c"])
-        for k in range(2):
-            some = np.flatnonzero(once[k])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k + 1, np.int32)), pa.array(some), pa.array(some), pa.array(once[k][some])], ["kind", "u", "w", "c"])
-
-    found = docs.select("text", train).mapInArrow(count, "u long, w long, c long, h long")
-    found = found.groupBy("u", "w").agg(F.sum("c").alias("c"), F.max("h").alias("h")).where("c > 0")
-    out = written(found.mapInArrow(deal, "kind int, u long, w long, c long"))
-    shared.destroy()
-    return out
-
-
-class Seating:
-    """Tables of the frequent words' restaurants in every sweep, and what the parent needs. Arrays are by place."""
-
-    def __init__(self, lexicon: Lexicon, d: float):
-        self.d, self.c, self.follow, self.base = d, lexicon.c, lexicon.follow(), lexicon.base
-        self.tables: list[np.ndarray] = []  # T of each context, before each sweep and after the last
-        self.parent = [lexicon.base]  # P of each word under the parent, likewise
-        self.scalars: list[tuple[float, float, float]] = []  # by sweep: P_parent(w) = (m - d0 own + a base) / b
-
-    def draw(self, sweep: int, u: np.ndarray, w: np.ndarray, c: np.ndarray, tables=None, parent=None) -> np.ndarray:
-        """Tables of pairs; tables and parent are given for rare contexts and words. Before sweep 0 each pair has one."""
-        if sweep < 0 or not len(c):
-            return np.minimum(c, 1)
-        t = self.tables[sweep][np.maximum(u, 0)].astype(float)
-        p = self.parent[sweep][np.maximum(w, 0)]
-        if tables is not None:
-            t, p = np.where(u < 0, tables, t), np.where(w < 0, parent, p)
-        rng = np.random.default_rng([SEED, 7 + sweep, len(c), *np.array([u[0], w[0]]).view(np.uint32).tolist()])
-        return py.sample_tables(c, (py.THETA + self.d * t) * p, self.d, rng)
-
-    def mean(self, u: np.ndarray, w: np.ndarray, lam=None, par=None) -> np.ndarray:
-        """The parents' part of P(w | u), averaged over the samples; lam and par ([rows, samples]) are of rare numbers."""
-        total = np.zeros(len(u))
-        for s in range(SAMPLES):
-            at_s = BURN + s + 1
-            a = ((py.THETA + self.d * self.tables[at_s]) / (py.THETA + self.follow))[np.maximum(u, 0)]
-            b = self.parent[at_s][np.maximum(w, 0)]
-            if lam is not None:
-                a, b = np.where(u < 0, lam[:, s], a), np.where(w < 0, par[:, s], b)
-            total += a * b
-        return total / SAMPLES
+def word_node(hashes: np.ndarray, nodes: int) -> np.ndarray:
+    return ((py.mixed(hashes) >> np.uint64(32)) % np.uint64(nodes)).astype(np.int64)
 
 
-def _free(spark) -> None:
-    """Have the driver's garbage collected: Spark then deletes shuffle files that nothing needs any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return py.mixed(py.mixed(u + np.uint64(SEED)) + w)
 
 
-def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return pc.fill_null(batch.column(name), 0).to_numpy(zero_copy_only=False)
+def _sorted_by(node: np.ndarray, *arrays: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.argsort(node, kind="stable")
+    return node[order], *(a[order] for a in arrays)
 
 
-def _rare_or(number: str, *other: str):
-    """A join key: the number if it is of a rare word, else one that spreads rows and meets no rare word."""
-    return F.when(F.col(number) < 0, F.col(number)).otherwise(F.shiftrightunsigned(F.xxhash64(*other), 1))
-
-
-def seat_pairs(pairs: DataFrame, rare: DataFrame, lexicon: Lexicon, distinct: int, once: int) -> tuple[Seating, DataFrame, DataFrame]:
-    """Sample all context restaurants and their parent (actions).
-
-    pairs as of count_pairs; rare: (id, c, base) of rare words seen twice or more in
-    training; once: how many rare words were seen once. Returns the seating, the rows
-    (u, w, c, x) of the kept pairs, where x is c - d t averaged over the samples, and rare
-    with arrays lam and par of the samples.
-    """
-    spark, places = pairs.sparkSession, lexicon.start + 1
-    sums = pairs.agg(F.sum(F.when(F.col("kind") == 1, F.col("c"))), F.count(F.when((F.col("kind") == 0) & (F.col("c") == 2), 1))).first()
-    singles, twos = int(sums[0] or 0), int(sums[1] or 0)
-    seating = Seating(lexicon, py.discount(singles, twos))
-
-    def by_place(df: DataFrame, *names: str) -> np.ndarray:
-        """Sums of n by frequent number, for each of the named columns."""
-        out = np.zeros((len(names), places), np.int64)
-        for k, name in enumerate(names):
-            rows = df.where(F.col(name) >= 0).groupBy(name).agg(F.sum("n").alias("n")).toArrow()
-            out[k][rows[name].to_numpy()] = rows["n"].to_numpy()
-        return out
-
-    single = [pairs.where(F.col("kind") == k + 1).select(x, F.col("c").alias("n")) for k, x in enumerate(("u", "w"))]
-    fixed = np.concatenate([by_place(df, x) for df, x in zip(single, ("u", "w"), strict=True)])
-    state = rare
-    for df, name, key in zip(single, ("n1u", "n1w"), ("u", "w"), strict=True):
-        few = df.where(F.col(key) < 0).groupBy(F.col(key).alias("id")).agg(F.sum("n").alias(name))
-        state = state.join(few, "id", "left").fillna(0, [name])
-    none = F.array().cast("array<double>")
-    state = written(state.select("id", "c", "base", "n1u", "n1w")).withColumns({"tables": F.lit(0.0), "parent": F.lit(0.0), "lam": none, "par": none})
-    inside = (F.col("u") >= 0) & (F.col("w") >= 0)
-    multi = pairs.where("kind = 0 AND c > 1").select("u", "w", "c")
-    near = multi.where(inside)
-    far = written(multi.where(~inside).withColumn("t_sum", F.lit(0).cast("long")))
-
-    for sweep in range(-1, BURN + SAMPLES):
-        shared = Shared(spark, seating)
-
-        def tally(batches, shared=shared, sweep=sweep):
-            seating, out = shared.value, np.zeros((2, places), np.int64)
-            for batch in batches:
-                u, w, c = (batch.column(k).to_numpy() for k in ("u", "w", "c"))
-                t = seating.draw(sweep, u, w, c)
-                for k, x in enumerate((u, w)):
-                    out[k] += np.bincount(x, weights=t, minlength=places).astype(np.int64)
-            k, at_place = np.nonzero(out)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(at_place), pa.array(out[k, at_place])], ["k", "place", "n"])
-
-        def draw(batches, shared=shared, sweep=sweep):
-            seating = shared.value
-            for batch in batches:
-                u, w, c, t_sum = (batch.column(k).to_numpy() for k in ("u", "w", "c", "t_sum"))
-                t = seating.draw(sweep, u, w, c, _column(batch, "tables"), _column(batch, "parent"))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (u, w, c, t_sum + (t if sweep >= BURN else 0), t))], ["u", "w", "c", "t_sum", "n"])
-
-        now = fixed.copy()
-        got = near.mapInArrow(tally, "k long, place long, n long").groupBy("k", "place").agg(F.sum("n").alias("n")).toArrow()
-        now[got["k"].to_numpy(), got["place"].to_numpy()] += got["n"].to_numpy()
-        of_u = state.select(F.col("id").alias("_u"), "tables")
-        of_w = state.select(F.col("id").alias("_w"), "parent")
-        keyed = far.select("u", "w", "c", "t_sum", _rare_or("u", "u", "w").alias("_u"), _rare_or("w", "w", "u").alias("_w"))
-        far = written(keyed.join(of_u, "_u", "left").join(of_w, "_w", "left").mapInArrow(draw, "u long, w long, c long, t_sum long, n long"))
-        now += by_place(far, "u", "w")
-        tables, customers = now
-        seating.tables.append(tables)
-        du, dw = (far.where(F.col(x) < 0).groupBy(F.col(x).alias("id")).agg(F.sum("n").alias(f"d{x}")) for x in ("u", "w"))
-        state = state.join(du, "id", "left").join(dw, "id", "left")
-        state = state.withColumns({"tables": (F.col("n1u") + F.coalesce("du", F.lit(0))).cast("double"), "m": F.col("n1w") + F.coalesce("dw", F.lit(0))})
-        if sweep < 0:
-            state = written(state.drop("du", "dw", "m").withColumn("parent", F.col("base")))
-            shared.destroy()
-            continue
-        r = state.agg(F.sum("m"), F.count(F.when(F.col("m") == 1, 1)), F.count(F.when(F.col("m") == 2, 1))).first()
-        total = int(customers.sum()) + int(r[0] or 0) + once
-        d0 = py.discount(int((customers == 1).sum()) + r[1] + once, int((customers == 2).sum()) + r[2])
-        strength = py.THETA + d0 * distinct
-
-        def own_tables(batches, sweep=sweep, d0=d0, strength=strength):
-            for batch in batches:
-                m = batch.column("m").to_numpy()
-                rng = np.random.default_rng([SEED, 70 + sweep, len(m), *(batch.column("id").to_numpy()[:1].view(np.uint32).tolist())])
-                own = py.sample_tables(m, strength * batch.column("base").to_numpy(), d0, rng)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int64))], [*batch.schema.names, "own"])
-
-        state = state.select("id", "c", "base", "n1u", "n1w", "tables", "m", "lam", "par")
-        state = written(state.mapInArrow(own_tables, state.withColumn("own", F.lit(0).cast("long")).schema))
-        own = py.sample_tables(customers, strength * seating.base, d0, np.random.default_rng([SEED, 99, sweep]))
-        all_own = int(own.sum()) + int(state.agg(F.sum("own")).first()[0] or 0) + once
-        a, b = py.THETA + d0 * all_own, py.THETA + total
-        seating.scalars.append((d0, a, b))
-        seating.parent += [(customers - d0 * own + a * seating.base) / b]
-        state = state.withColumn("parent", (F.col("m") - F.lit(d0) * F.col("own") + F.lit(a) * F.col("base")) / F.lit(b))
-        if sweep >= BURN:
-            lam = (F.lit(py.THETA) + F.lit(seating.d) * F.col("tables")) / (F.col("c") + F.lit(py.THETA))
-            state = state.withColumns({"lam": F.concat("lam", F.array(lam)), "par": F.concat("par", F.array("parent"))})
-        state = state.drop("m", "own")
-        shared.destroy()
-
-    shared = Shared(spark, seating)
-
-    def averaged(batches):
-        seating = shared.value
-        for batch in batches:
-            u, w, c = (batch.column(k).to_numpy() for k in ("u", "w", "c"))
-            t = sum(seating.draw(BURN + s, u, w, c) for s in range(SAMPLES)) / SAMPLES
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((c - seating.d * t).astype(float))], ["u", "w", "c", "x"])
-
-    one = pairs.where("kind = 0 AND c = 1").select("u", "w", "c", F.lit(1.0 - seating.d).alias("x"))
-    more = near.mapInArrow(averaged, "u long, w long, c long, x double")
-    rest = far.select("u", "w", "c", (F.col("c") - F.lit(seating.d) * F.col("t_sum") / F.lit(float(SAMPLES))).alias("x"))
-    return seating, written(one.unionAll(more).unionAll(rest)), state.select("id", "c", "lam", "par")
-
-
-def common_pairs(pairs: DataFrame, limit: int) -> tuple[int, pa.Table]:
-    """At most about `limit` commonest pairs of frequent words, and the count from which on pairs are among them (actions)."""
-    held = pairs.where("u >= 0 AND w >= 0")
-    level = F.floor(F.log2("c") * 16).cast("int")
-    levels = sorted(((r["l"], r["n"], r["least"]) for r in held.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).collect()), reverse=True)
-    least, so_far = 1 << 62, 0
-    for _, n, at_least in levels:
-        if so_far + n > limit:
-            break
-        least, so_far = at_least, so_far + n
-    return least, held.where(F.col("c") >= F.lit(least)).select("u", "w", "x").toArrow()
+def _counted(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and their number, or the sums of their weights."""
+    if weights is None:
+        return np.unique(values, return_counts=True)
+    order = np.argsort(values, kind="stable")
+    values, weights = values[order], weights[order]
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return values[first], np.add.reduceat(weights, first) if len(first) else weights
 
 
-class Scorer:
-    """What scores pairs of frequent words: the seating and the commonest pairs."""
+# --- texts
 
-    def __init__(self, lexicon: Lexicon, seating: Seating, common: pa.Table):
-        self.lexicon, self.seating = lexicon, seating
-        key = self.key(common["u"].to_numpy(), common["w"].to_numpy())
-        order = np.argsort(key)
-        self.keys, self.x = np.append(key[order], np.int64(2**62)), np.append(common["x"].to_numpy()[order], 0.0)
 
-    def key(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return u * (self.lexicon.start + 1) + w
-
-    def log10(self, u, w, x, follow=None, lam=None, par=None) -> np.ndarray:
-        f = self.seating.follow[np.maximum(u, 0)]
-        if follow is not None:
-            f = np.where(u < 0, follow, f)
-        return np.log10(np.maximum(x / (py.THETA + f) + self.seating.mean(u, w, lam, par), 1e-300))
-
-
-_HEAD = "struct<doc_id:bigint,held_out:boolean,n_tokens:bigint,n_known:bigint,counts:double,score:double>"
-_PARTS = f"row long, u long, w long, k long, train boolean, head {_HEAD}"
-
-
-def _parts(docs: DataFrame, shared: Shared, rare: bool) -> DataFrame:
-    """Rows for the pairs of each text: those with a rare word, or else the other ones.
-
-    The latter are without the commonest pairs: these are summed in one more row a text,
-    together with counts of frequent words. That row has numbers that no pair has.
-    """
-    kinds = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("counts", pa.float64()), ("score", pa.float64())]
-    struct = pa.struct(kinds)
+def encode(docs: DataFrame, held_out: str) -> str:
+    """Write the texts as batches of word numbers: (node, n, train, doc_id, held_out, data); the path."""
+    plain = docs.select("doc_id", held_out)
 
     def run(batches):
-        scorer = shared.value
-        for batch in at.slices(batches):
-            u, w, edge = scorer.lexicon.sequence(batch.column("text"))
-            row, of = batch.column("row").to_numpy(), at.row_of(edge)
-            inside = (u >= 0) & (w >= 0)
-            if rare:
-                other, head = np.flatnonzero(~inside), None
-            else:
-                place = np.searchsorted(scorer.keys, key := np.where(inside, scorer.key(u, w), -1))
-                hit = inside & (scorer.keys[place] == key)
-                score = np.zeros(len(u))
-                score[hit] = scorer.log10(u[hit], w[hit], scorer.x[place[hit]])
-                c = np.where(w >= 0, scorer.lexicon.c[np.maximum(w, 0)], 0)
-                sums = [at.per_row(x, edge) for x in ((c > 0).astype(np.int64), np.log10(c + 1.0), score)]
-                head = pa.StructArray.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(edge)), *map(pa.array, sums)], names=[x for x, _ in kinds])
-                other = np.flatnonzero(inside & ~hit)
-            found = pa.table({"of": of[other], "u": u[other], "w": w[other]}).group_by(["of", "u", "w"]).aggregate([([], "count_all")])
-            i, n = found["of"].to_numpy(), len(found)
-            train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            columns = [row[i], found["u"].to_numpy(), found["w"].to_numpy(), found["count_all"].to_numpy(), train[i]]
-            heads = pa.nulls(n, struct)
-            if head is not None:
-                m = len(row)
-                columns = [np.concatenate(x) for x in zip(columns, [row, row, np.full(m, -1), np.zeros(m, np.int64), train], strict=True)]
-                heads = pa.concat_arrays([heads, head.cast(struct)])
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), heads], ["row", "u", "w", "k", "train", "head"])
-
-    return docs.select("row", "doc_id", "held_out", "text").mapInArrow(run, _PARTS)
-
-
-_SUMS = f"row long, known long, counts double, score double, head {_HEAD}"
-
-
-def _log10s(joined: DataFrame, shared: Shared, rare: bool) -> DataFrame:
-    """Sums of parts joined with what is known of their pairs (x) and of rare words (fu, lam; c, par)."""
-
+        task, k = TaskContext.get().partitionId() << 32, 0
+        for batch in at.slices(batches, limit=TEXT_BYTES):
+            found, bounds = at.words(pc.ascii_lower(at.texts(batch.column("text"))))
+            codes, values = at.coded(found)
+            hashes = np.array([xxhash.xxh64_intdigest(x, seed=42) for x in values.cast(pa.binary()).to_pylist()], np.uint64)
+            held = batch.column(held_out).to_numpy(zero_copy_only=False).astype(bool)
+            n = len(codes) + len(held)
+            train = int((np.diff(bounds) + 1)[~held].sum())
+            one = [pa.array([x]) for x in (task + k, n, train, int((~held).sum()))]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), batch.column(c)) for c in ("doc_id", held_out)]
+            data = pa.array([pack(np.diff(bounds).astype(np.uint32), codes.astype(np.uint32), hashes, held.astype(np.uint8))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*one, *lists, data], ["node", "n", "train", "texts", "doc_id", "held", "data"])
+            k += 1
+
+    kind = plain.schema["doc_id"].dataType.simpleString()
+    return keep(docs.select("doc_id", held_out, "text").mapInArrow(run, f"node long, n long, train long, texts long, doc_id array<{kind}>, held array<boolean>, data binary"))
+
+
+class Batch:
+    """Words and pairs of a batch of texts."""
+
+    def __init__(self, data: bytes, nodes: int):
+        size, codes, hashes, held = unpack(data)
+        self.held, self.size, d = held.astype(bool), size.astype(np.int64) + 1, len(hashes)
+        self.hashes = np.concatenate([hashes, np.array([END, START], np.uint64)])
+        self.edge = np.concatenate([[0], np.cumsum(self.size)])
+        self.word = np.full(self.edge[-1], d)
+        inner = np.ones(self.edge[-1], bool)
+        inner[self.edge[1:] - 1] = False
+        self.word[inner] = codes
+        self.context = np.concatenate([[0], self.word[:-1]])[: len(self.word)]
+        self.context[self.edge[:-1]] = d + 1
+        self.of_held = np.repeat(self.held, self.size)
+        self.key = self.context * (d + 2) + self.word
+        ordered = np.sort(self.key * 2 + self.of_held)
+        key = ordered >> 1
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        self.pairs = key[first]
+        self.trained = np.add.reduceat(1 - (ordered & 1), first)
+        self.u, self.w = self.pairs // (d + 2), self.pairs % (d + 2)
+        self.word_nodes = word_node(self.hashes, nodes)
+        self.pair_nodes = ((pair_hash(self.hashes[self.u], self.hashes[self.w]) >> np.uint64(32)) % np.uint64(nodes)).astype(np.int64)
+        small = np.uint16 if nodes < 1 << 16 else np.int64  # NumPy sorts these by radix
+        self.word_order = np.argsort(self.word_nodes.astype(small), kind="stable")
+        self.pair_order = np.argsort(self.pair_nodes.astype(small), kind="stable")
+
+    def ask(self, out: Rows, me: int, nodes: int) -> None:
+        """Send each node its words (with counts as token and as context) and its pairs (by runs of the context)."""
+        train = ~self.of_held
+        c, f = (np.bincount(x[train], minlength=len(self.hashes)).astype(np.uint32) for x in (self.word, self.context))
+        o = self.word_order
+        out.deal(self.word_nodes[o], nodes, WORDS, me, self.hashes[o], c[o], f[o])
+        node = self.pair_nodes[self.pair_order]
+        edge = np.searchsorted(node, np.arange(nodes + 1))
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            own = self.pair_order[edge[k] : edge[k + 1]]
+            u = self.u[own]
+            first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+            runs = np.diff(np.append(first, len(u))).astype(np.uint32)
+            out.add(k, PAIRS, me, self.hashes[u[first]], runs, self.hashes[self.w[own]], self.trained[own].astype(np.uint32))
+
+
+def ask(texts: DataFrame, nodes: int) -> DataFrame:
     def run(batches):
-        scorer = shared.value
-        d = scorer.seating.d
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            u, w, k = (batch.column(c).to_numpy() for c in ("u", "w", "k"))
-            train = batch.column("train").to_numpy(zero_copy_only=False)
-            pair = batch.column("x")
-            x = np.where(pair.is_null().to_numpy(zero_copy_only=False), np.where(train, 1.0 - d, 0.0), pc.fill_null(pair, 0.0).to_numpy(zero_copy_only=False))
-            extra, c = (), np.zeros(len(u))
-            if rare:
-                lam, par = (np.stack([_column(batch, f"{name}{s}") for s in range(SAMPLES)], axis=1) for name in ("lam", "par"))
-                extra, c = (_column(batch, "fu"), lam, par), np.where(w < 0, _column(batch, "c"), 0)
-            some = k > 0
-            score = np.where(some, k * scorer.log10(np.where(some, u, 0), np.where(some, w, 0), x, *extra), 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(k * (c > 0)), pa.array(k * np.log10(c + 1.0)), pa.array(score), batch.column("head")], ["row", "known", "counts", "score", "head"]
-            )
-
-    return joined.mapInArrow(run, _SUMS)
-
-
-def score(docs: DataFrame, held_out, head: int = HEAD, limit: int = FREQUENT) -> DataFrame:
-    """Scores of documents (doc_id, text); the model learns from rows where `held_out` is false.
+            for me, data in zip(batch.column("node").to_pylist(), batch.column("data"), strict=True):
+                out = Rows()
+                Batch(data.as_py(), nodes).ask(out, me, nodes)
+                yield from out.table().to_batches()
+
+    return texts.select("node", "data").mapInArrow(run, SCHEMA)
+
+
+# --- nodes
+
+
+def _count(nodes: int):
+    """Sum up a node's words and pairs; pairs seen twice or more stay, subscribed at the nodes of their words."""
+
+    def run(key, rows):
+        me, got, out = key[0].as_py(), received(rows), Rows()
+        asked = got[WORDS]
+        hashes, index = np.unique(joined(asked, 0, np.uint64), return_inverse=True)
+        c, f = (np.bincount(index, joined(asked, k, np.int64), len(hashes)).astype(np.int64) for k in (1, 2))
+        out.add(me, WORDS, me, hashes, c, f)
+        edge = np.cumsum([0, *(len(a[0]) for _, a in asked)])
+        for (src, _), i, j in zip(asked, edge[:-1], edge[1:], strict=True):
+            out.add(me, WORD_PLAN, src, index[i:j].astype(np.uint32))
+
+        asked = got[PAIRS]
+        w, k = joined(asked, 2, np.uint64), joined(asked, 3, np.int64)
+        u = np.concatenate([np.zeros(0, np.uint64), *(np.repeat(a[0], a[1].astype(np.int64)) for _, a in asked)])
+        hashed = pair_hash(u, w)
+        order = np.argsort(hashed)
+        first = np.flatnonzero(np.concatenate([[True], hashed[order][1:] != hashed[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+        total = np.add.reduceat(k[order], first) if len(first) else k
+        kind = np.where(total > 1, np.cumsum(total > 1) - 1, np.where(total == 1, -1, -2))
+        entry = np.zeros(len(order), np.int64)
+        entry[order] = np.repeat(kind, np.diff(np.append(first, len(order))))
+        edge = np.cumsum([0, *(len(a[2]) for _, a in asked)])
+        for (src, _), i, j in zip(asked, edge[:-1], edge[1:], strict=True):
+            # A training text's pair that isn't answered was seen once, a held-out text's never.
+            told = np.flatnonzero((entry[i:j] >= 0) | ((entry[i:j] == -1) & (k[i:j] == 0)))
+            out.add(me, PAIR_PLAN, src, np.diff(told, prepend=0).astype(np.uint32), (entry[i:j][told] + 1).astype(np.uint32))
+        place = order[first]
+        once, many = place[total == 1], place[total > 1]
+        index = []
+        for values, sub, one in ((u, SUB_U, ONE_U), (w, SUB_W, ONE_W)):
+            single, n = _counted(values[once])
+            node, single, n = _sorted_by(word_node(single, nodes), single, n)
+            out.deal(node, nodes, one, me, single, n.astype(np.uint32))
+            distinct, inverse, n = np.unique(values[many], return_inverse=True, return_counts=True)
+            node = word_node(distinct, nodes)
+            by_node = np.argsort(node, kind="stable")
+            out.deal(node[by_node], nodes, sub, me, distinct[by_node], n[by_node].astype(np.uint32))
+            rank = np.empty(len(distinct), np.int64)
+            rank[by_node] = np.arange(len(distinct))
+            index.append((rank[inverse].astype(np.uint32), np.bincount(node, minlength=nodes).astype(np.uint32)))
+        c_many = total[total > 1]
+        out.add(me, PAIR_STATE, me, hashed[many], *(x for x, _ in index), c_many, *(n for _, n in index))
+        out.add(-1, SCALARS, me, np.array([(c > 0).sum(), (total == 1).sum(), (total == 2).sum()], np.int64))
+        return out.table()
+
+    return run
+
+
+def _words_step(sweep: int, nodes: int, scalars: dict, last: bool):
+    """Customers and tables of the word restaurant, and what pair nodes (last: and batches) need of them."""
+
+    def run(key, rows):
+        me, got, out = key[0].as_py(), received(rows), Rows()
+        if sweep == 0:
+            hashes, c, f = got[WORDS][0][1] if got[WORDS] else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            links = {kind: [(src, np.searchsorted(hashes, a[0]), a[1]) for src, a in got[sub]] for kind, sub in ((LINK_U, SUB_U), (LINK_W, SUB_W))}
+            for kind, found in links.items():
+                for src, place, _ in found:
+                    out.add(me, kind, src, place.astype(np.uint32))
+            once = [np.bincount(np.searchsorted(hashes, joined(got[k], 0, np.uint64)), joined(got[k], 1, np.int64), len(hashes)).astype(np.int64) for k in (ONE_U, ONE_W)]
+            out.add(me, WORD_STATE, me, hashes, c, *once)
+            others, history = np.zeros(len(hashes), np.int64), []
+        else:
+            hashes, c, *once = got[WORD_STATE][0][1]
+            own, others, *history = got[WORD_SEATING][0][1]
+            links = {}
+            for kind, sums in ((LINK_U, SUM_U), (LINK_W, SUM_W)):
+                sent = {src: a[0] for src, a in got[sums]}
+                links[kind] = [(src, a[0].astype(np.int64), sent[src]) for src, a in got[kind]]
+        tables, customers = once[0].copy(), once[1].copy()
+        for total, kind in ((tables, LINK_U), (customers, LINK_W)):
+            for _, place, n in links[kind]:
+                total[place] += n.astype(np.int64)  # a node has each word once
+        if sweep == 0:
+            own = np.minimum(customers, 1)
+        else:
+            own, others = py.reseat(hashes, sweep, customers, np.full(len(hashes), scalars["strength"]), scalars["d0"], own, others)
+        if sweep > BURN:
+            history = [*history, tables, customers, own]
+        out.add(-1, SCALARS, me, np.array([customers.sum(), own.sum(), (customers == 1).sum(), (customers == 2).sum(), tables.sum()], np.int64))
+        if last:
+            for src, (place,) in got[WORD_PLAN]:
+                out.add(src, WORD_ANSWER, me, *(x[place] for x in (c, *history)))
+            return out.table()
+        out.add(me, WORD_SEATING, me, own, others, *history)
+        g = py.gamma(hashes, 1000 + sweep, py.THETA / scalars["d"] + tables)
+        for src, place, _ in links[LINK_U]:
+            out.add(src, GAMMA, me, g[place])
+        for src, place, _ in links[LINK_W]:
+            out.add(src, CUSTOMERS, me, customers[place], own[place])
+        return out.table()
+
+    return run
+
+
+def _pairs_step(sweep: int, nodes: int, scalars: dict):
+    """Seat the pairs of context restaurants, and send the numbers of tables by context and by word."""
+
+    def run(key, rows):
+        me, got, out = key[0].as_py(), received(rows), Rows()
+        hashed, u, w, c, of_u, of_w = got[PAIR_STATE][0][1]
+        t, others, total = got[PAIR_SEATING][0][1] if got[PAIR_SEATING] else np.zeros((3, len(c)), np.int64)
+        g = joined(got[GAMMA], 0, float)
+        m, own = (joined(got[CUSTOMERS], k, float) for k in (0, 1))
+        parent = (m - scalars["d0"] * own + scalars["rest"]) / scalars["total"]
+        t, others = py.reseat(hashed, sweep, c, scalars["d"] * g[u] * parent[w], scalars["d"], t, others)
+        total = total + t if sweep >= BURN else total
+        out.add(me, PAIR_SEATING, me, t, others, total)
+        for kind, index, many in ((SUM_U, u, of_u), (SUM_W, w, of_w)):
+            sums = np.bincount(index, t, int(many.sum())).astype(np.int64)
+            out.deal(np.repeat(np.arange(nodes), many.astype(np.int64)), nodes, kind, me, sums)
+        return out.table()
+
+    return run
+
+
+def _pairs_answer(key, rows):
+    me, got, out = key[0].as_py(), received(rows), Rows()
+    c, total = got[PAIR_STATE][0][1][3], got[PAIR_SEATING][0][1][2]
+    c, total = np.append(1, c), np.append(SAMPLES, total)  # 0: a pair seen once
+    for src, (place, entry) in got[PAIR_PLAN]:
+        out.add(src, PAIR_ANSWER, me, place, c[entry], total[entry])
+    return out.table()
+
+
+def _scores(nodes: int, scalars: dict, schema: pa.Schema):
+    """The texts of a batch, from the answers of all nodes."""
+
+    def run(key, rows):
+        own = rows.filter(pc.equal(rows["kind"], TEXTS))
+        batch, got = Batch(own["data"][0].as_py(), nodes), received(rows.filter(pc.not_equal(rows["kind"], TEXTS)))
+        c, *history = (np.empty(len(batch.hashes)) for _ in range(1 + 3 * SAMPLES))
+        for k, x in enumerate((c, *history)):
+            x[batch.word_order] = joined(got[WORD_ANSWER], k, float)
+        follow = c.copy()
+        follow[-2:] = 0, scalars["texts"]
+        d, x = scalars["d"], np.where(batch.trained > 0, 1 - scalars["d"], 0.0)
+        edge = np.searchsorted(batch.pair_nodes[batch.pair_order], np.arange(nodes + 1))
+        for src, (step, count, tables) in got[PAIR_ANSWER]:
+            x[batch.pair_order[edge[src] + np.cumsum(step.astype(np.int64))]] = count - d * (tables / SAMPLES)
+        above = np.zeros(len(x))
+        for s in range(SAMPLES):
+            tables, m, t = history[3 * s : 3 * s + 3]
+            parent = (m - scalars["d0"] * t + scalars["rests"][s]) / scalars["totals"][s]
+            above += ((py.THETA + d * tables) / (py.THETA + follow))[batch.u] * parent[batch.w]
+        p = np.log10(x / (py.THETA + follow[batch.u]) + above / SAMPLES)
+        first = batch.edge[:-1]
+        score, base, known = (
+            np.add.reduceat(v, first) for v in (p[np.searchsorted(batch.pairs, batch.key)], np.log10(c + 1)[batch.word], (c > 0).astype(np.int64)[batch.word])
+        )
+        columns = [
+            own["doc_id"].combine_chunks().flatten(), pa.array(batch.held), pa.array(batch.size), pa.array(known), pa.array(np.full(len(score), scalars["N"])),
+            pa.array(base - batch.size * np.log10(scalars["N"] + scalars["V"] + 1)), pa.array(score), pa.array(10 ** (-score / batch.size)),
+        ]
+        return pa.table([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def score(docs: DataFrame, held_out, trace: list | None = None) -> DataFrame:
+    """Scores of documents (doc_id, text); the model learns from rows where `held_out` is false (actions).
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and
-    perplexity. A NULL text is empty: its only token is the end. Without any training text
-    all words are unknown. Repeated rows are scored each; NULL doc_ids stay.
+    perplexity; other columns are left out, whatever their names. A NULL text is empty: its
+    only token is the end. An empty table gives no rows; without any training text all words
+    are unknown and have probability 1 (the only place is that of an unknown token). Repeated
+    rows are scored each; NULL doc_ids stay. A very long text is a batch of its own.
+    trace: a list that gets a dict of counts for each sweep.
     """
-    docs = docs.select("doc_id", "text").withColumns({"held_out": held_out, "row": F.monotonically_increasing_id()})
-    docs = docs.withColumn("train", ~F.col("held_out"))
+    docs = docs.select("doc_id", "text").withColumn("held_out", held_out)
     spark = docs.sparkSession
-    words = cut(count_words(docs, "train"))
-    _free(spark)
-    model = fit_words(words)
-    scored = cut(with_probability(words, model))
-    lexicon = Lexicon(frequent(scored, limit) or [{"word": "", "c": 0, "lp": 0.0}])  # an empty table has no end of text either
-    known_words = Shared(spark, lexicon.words)
-
-    def others(batches):
-        known = known_words.value
-        for batch in batches:
-            rest = batch.filter(pc.invert(pc.is_in(batch.column("word"), value_set=known)))
-            yield pa.RecordBatch.from_arrays([pa.array(_hashed(rest.column("word"))), rest.column("c"), pa.array(10.0 ** rest.column("lp").to_numpy())], ["id", "c", "base"])
-
-    rare = written(scored.mapInArrow(others, "id long, c long, base double"))
-    once = rare.where("c = 1").count()
-    counted = count_pairs(docs, "train", lexicon)
-    _free(spark)
-    seating, pairs, state = seat_pairs(counted, rare.where("c > 1"), lexicon, model.distinct, once)
-    least, common = common_pairs(pairs, head * head)
-    shared = Shared(spark, Scorer(lexicon, seating, common))
-    lams, pars = [f"lam{s}" for s in range(SAMPLES)], [f"par{s}" for s in range(SAMPLES)]
-    many = state.select("id", "c", *(F.col(n)[s].alias(f"{n}{s}") for n in ("lam", "par") for s in range(SAMPLES)))
-    # A word seen once has one table as a context and as a dish, one not seen has none.
-    few = rare.where("c <= 1").select(
-        "id",
-        "c",
-        *((F.lit(py.THETA) + F.lit(seating.d) * F.col("c")) / (F.col("c") + F.lit(py.THETA)) for _ in lams),
-        *((F.col("c") * F.lit(1.0 - d0) + F.lit(a) * F.col("base")) / F.lit(b) for d0, a, b in seating.scalars[BURN:]),
-    ).toDF("id", "c", *lams, *pars)
-    values = written(many.unionAll(few))
-    _free(spark)
-    inside = (F.col("u") >= 0) & (F.col("w") >= 0)
-    near = _parts(docs, shared, False).join(pairs.where(inside & (F.col("c") < F.lit(least))).select("u", "w", "x"), ["u", "w"], "left")
-    far = _parts(docs, shared, True).join(pairs.where(~inside).select("u", "w", "x"), ["u", "w"], "left")
-    far = far.withColumns({"_u": _rare_or("u", "row", "w"), "_w": _rare_or("w", "row", "u")})
-    far = far.join(values.select(F.col("id").alias("_u"), F.col("c").alias("fu"), *lams), "_u", "left")
-    far = far.join(values.select(F.col("id").alias("_w"), "c", *pars), "_w", "left").drop("_u", "_w")
-    summed = _log10s(near, shared, False).unionAll(_log10s(far, shared, True)).groupBy("row").agg(
-        F.max("head").alias("h"), F.sum("known").alias("more_known"), F.sum("counts").alias("more_counts"), F.sum("score").alias("more_score")
-    )
-    least_log = float(np.log10(model.total + model.distinct + 1.0))
-    return summed.select(
-        "h.doc_id",
-        "h.held_out",
-        "h.n_tokens",
-        (F.col("h.n_known") + F.col("more_known")).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("h.counts") + F.col("more_counts") - F.col("h.n_tokens") * F.lit(least_log)).alias("base_score"),
-        (F.col("h.score") + F.col("more_score")).alias("score"),
-        F.pow(F.lit(10.0), -(F.col("h.score") + F.col("more_score")) / F.col("h.n_tokens")).alias("perplexity"),
-    )
+    kept = []  # tables of the steps before
+
+    def step(df: DataFrame, run) -> str:
+        return keep(df.groupBy("node").applyInArrow(run, SCHEMA), "kind")
+
+    def rows(path: str, *kinds: int) -> DataFrame:
+        return spark.read.schema(SCHEMA).parquet(path).where(F.col("kind").isin(*kinds)).select("node", "kind", "src", "data")
+
+    def all_of(path: str) -> np.ndarray:
+        found = rows(path, SCALARS).toArrow()["data"].to_pylist()
+        return np.sum([unpack(x)[0] for x in found], axis=0) if found else np.zeros(5, np.int64)
+
+    encoded = encode(docs, "held_out")
+    texts = spark.read.parquet(encoded)
+    n, train, train_texts = (int(x or 0) for x in texts.agg(F.sum("n"), F.sum("train"), F.sum("texts")).first())
+    nodes = max(1, -(-n // NODE_TOKENS))
+    counted = step(ask(texts, nodes), _count(nodes))
+    distinct, ones, twos = (int(x) for x in all_of(counted)[:3])
+    scalars = {"N": train, "V": distinct, "texts": train_texts, "d": py.discount(ones, twos), "rests": [], "totals": []}
+    word_static = lambda: rows(linked, WORD_STATE, LINK_U, LINK_W)
+    linked = seats = pairs = None
+    for sweep in range(BURN + SAMPLES + 1):
+        last = sweep == BURN + SAMPLES
+        if sweep == 0:
+            df = rows(counted, WORDS, SUB_U, SUB_W, ONE_U, ONE_W)
+        else:
+            df = word_static().unionAll(rows(words, WORD_SEATING)).unionAll(rows(pairs, SUM_U, SUM_W))
+            df = df.unionAll(rows(counted, WORD_PLAN)) if last else df
+            g0 = np.random.default_rng([SEED, sweep]).gamma(py.THETA / scalars["d0"] + scalars["tables"])
+            scalars["strength"] = scalars["d0"] * g0 / (distinct + 1)
+        before, words = (None if sweep == 0 else words), step(df, _words_step(sweep, nodes, dict(scalars), last))
+        linked = linked or words
+        customers, tables, ones, twos, t = (int(x) for x in all_of(words))
+        if sweep == 0:
+            scalars["d0"] = py.discount(ones, twos)
+        scalars |= {"tables": tables, "rest": (py.THETA + scalars["d0"] * tables) / (distinct + 1), "total": py.THETA + customers}
+        if trace is not None:
+            trace.append({"sweep": sweep, "tables": t, "customers": customers, "own_tables": tables, "d": scalars["d"], "d0": scalars["d0"]})
+        if sweep > BURN:
+            scalars["rests"].append(scalars["rest"])
+            scalars["totals"].append(scalars["total"])
+        if before and before != linked:
+            discard(spark, before)
+        if last:
+            break
+        df = rows(counted, PAIR_STATE).unionAll(rows(words, GAMMA, CUSTOMERS))
+        df = df.unionAll(rows(pairs, PAIR_SEATING)) if pairs else df
+        before, pairs = pairs, step(df, _pairs_step(sweep, nodes, dict(scalars)))
+        if before:
+            discard(spark, before)
+    answers = rows(words, WORD_ANSWER).unionAll(rows(counted, PAIR_STATE, PAIR_PLAN).unionAll(rows(pairs, PAIR_SEATING)).groupBy("node").applyInArrow(_pairs_answer, SCHEMA))
+    none = [F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("doc_id", "held")]
+    whole = texts.select("node", F.lit(TEXTS).alias("kind"), F.lit(0).cast("long").alias("src"), "data", "doc_id", "held").unionAll(answers.select("*", *none))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+    arrow = spark.createDataFrame([], schema).toArrow().schema
+    return whole.groupBy("node").applyInArrow(_scores(nodes, scalars, arrow), schema)
 
 
 def query(spark, sf_dir):

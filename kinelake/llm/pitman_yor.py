@@ -1,23 +1,35 @@
-"""Hierarchical Pitman-Yor pieces: seating sampled in restaurants, predictive probabilities.
+"""Pitman-Yor restaurants: seating sampled by Gibbs, with random numbers that belong to the dish.
 
-A restaurant serves dishes (words, symbols); its customers sit at tables, one dish a
-table, and each table is a customer of the parent restaurant. For a dish with c customers
-the number of tables t is all that predictions need:
+A restaurant serves dishes; its customers sit at tables, one dish a table, and each table
+is a customer of the parent restaurant. For a dish with c customers at t tables
 
     P(dish) = (c - d t) / (theta + C) + (theta + d T) / (theta + C) * P_parent(dish)
 
-with C and T summed over the restaurant. A Gibbs sweep draws t anew for every dish, given
-the totals and the parent's predictions of the sweep before. Given those, dishes are
-independent, so a sweep is array arithmetic over any part of a restaurant.
+with C and T summed over the restaurant. Given one gamma variable a restaurant,
+g ~ Gamma(theta / d + T), its dishes are independent: the seating of a dish has the
+probability z^t times (1 - d)(2 - d)... over the sizes of its tables, z = d g P_parent(dish).
+
+A Gibbs update takes all customers of a dish away and seats them again by this conditional,
+z^t S(c, t) with generalised Stirling numbers S. Up to TABULATED customers these are a table,
+and the draw is exact. Beyond, the same law is a Poisson(z / d) number of tables whose sizes
+are Sibuya(d) variables with the sum c: a proposal draws all tables but the last, which takes
+who is left, must be the largest, and is accepted by the ratio of its probability to that of
+the present one (TRIES times a sweep). Both leave the conditional as it is; neither depends on c in
+cost beyond its number of tables.
+
+All random numbers are hashes of (dish, sweep, position): results depend neither on
+how dishes are dealt to tasks nor on their order.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
-#: Customers of a dish seated one by one; beyond these they are seated in blocks that grow by BLOCK.
-SINGLE, BLOCK = 256, 0.05
 THETA = 1.0
+TABULATED, TRIES = 1024, 3
+_CELLS = 1 << 21
 
 
 def discount(ones: float, twos: float) -> float:
@@ -25,56 +37,132 @@ def discount(ones: float, twos: float) -> float:
     return float(np.clip((ones + 0.5) / (ones + 2.0 * twos + 1.0), 0.05, 0.95))
 
 
-def sample_tables(count: np.ndarray, strength: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish: its `count` customers seated by the Chinese restaurant process.
-
-    strength is (theta + d T) P_parent(dish): with n seated at t tables the next customer
-    opens one with probability strength / (strength + n - d t). The first always does.
+def mixed(x: np.ndarray) -> np.ndarray:
+    """SplitMix64's finaliser: a bijection of 64-bit numbers."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def uniform(key: np.ndarray, stream: int, position) -> np.ndarray:
+    """Numbers within (0, 1) for 64-bit keys, a stream and positions in it."""
+    step = np.atleast_1d(np.asarray(position, np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((stream * 0xD1B54A32D192ED03) % 2**64)
+    return ((mixed(mixed(key + np.uint64(0x632BE59BD9B4E019)) ^ mixed(step)) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """log of the gamma function for x > 0 (Stirling's series eight places up)."""
+    y = x + 8.0
+    inverse = 1.0 / (y * y)
+    series = (1 / 12 - inverse * (1 / 360 - inverse * (1 / 1260 - inverse / 1680))) / y
+    low = x * (x + 1) * (x + 2) * (x + 3)
+    high = (x + 4) * (x + 5) * (x + 6) * (x + 7)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + series - np.log(low) - np.log(high)
+
+
+def gamma(key: np.ndarray, stream: int, shape: np.ndarray) -> np.ndarray:
+    """Gamma variables with shapes over 1/3 (Marsaglia and Tsang's rejection), by key."""
+    a = shape - 1 / 3
+    b = 1 / np.sqrt(9 * a)
+    out, left, turn = np.zeros(len(shape)), np.arange(len(shape)), 0
+    while len(left):
+        u = [uniform(key[left], stream, 3 * turn + i) for i in range(3)]
+        x = np.sqrt(-2 * np.log(u[0])) * np.cos(2 * np.pi * u[1])
+        v = (1 + b[left] * x) ** 3
+        good = v > 0
+        good[good] = np.log(u[2][good]) < x[good] ** 2 / 2 + a[left][good] * (1 - v[good] + np.log(v[good]))
+        out[left[good]] = a[left[good]] * v[good]
+        left, turn = left[~good], turn + 1
+    return out
+
+
+@lru_cache(maxsize=4)
+def stirling(d: float, most: int) -> np.ndarray:
+    """log S(c, t) for c, t up to `most`: the weights of all seatings of c customers at t tables."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(1, most + 1)
+    with np.errstate(divide="ignore"):
+        for n in range(1, most):
+            joins = np.log(np.maximum(n - d * t, 0.0)) + out[n, 1:]
+            out[n + 1, 1:] = np.logaddexp(out[n, :-1], joins)
+    return out
+
+
+def _from_table(key: np.ndarray, sweep: int, c: int, z: np.ndarray, d: float) -> np.ndarray:
+    """Tables of dishes with c customers each, drawn from the conditional z^t S(c, t)."""
+    t = np.arange(1, c + 1)
+    logs = stirling(d, TABULATED)[c, 1 : c + 1] + np.log(np.maximum(z, 1e-300))[:, None] * t
+    running = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
+    return 1 + (running[:, :-1] < (uniform(key, sweep, 0) * running[:, -1])[:, None]).sum(axis=1)
+
+
+def _log_sizes(n: np.ndarray, d: float) -> np.ndarray:
+    """log of the probability that a table has n customers (Sibuya's law)."""
+    return np.log(d) + log_gamma(n - d) - log_gamma(np.array([1 - d])) - log_gamma(n + 1.0)
+
+
+def table_sizes(u: np.ndarray, d: float, most: int) -> np.ndarray:
+    """Sibuya variables from uniform ones, by inversion; those over `most` become most + 1."""
+    one = log_gamma(np.array([1 - d]))
+    log_u = np.log(u)
+    left = lambda n: log_gamma(n + 1.0 - d) - one - log_gamma(n + 1.0)  # noqa: E731, log of P(size > n)
+    n = np.floor(np.minimum(np.exp(-(log_u + one) / d), most + 1.0))
+    n = np.maximum(n, 1.0)
+    while True:
+        up = (left(n) > log_u) & (n <= most)
+        down = ~up & (n > 1) & (left(np.maximum(n - 1, 1.0)) <= log_u)
+        if not (up.any() or down.any()):
+            return n.astype(np.int64)
+        n += up.astype(float) - down
+
+
+def _by_sizes(key: int, sweep: int, c: int, z: float, d: float, tables: int, rest: int) -> tuple[int, int]:
+    """Update one dish with many customers: (tables, customers of its last table)."""
+    rng = np.random.Generator(np.random.Philox(key=[key, sweep]))
+    weight = lambda r: float(_log_sizes(np.array([float(r)]), d)[0])
+    tables, rest, now = (tables, rest, weight(rest)) if tables else (1, c, -np.inf)
+    for _ in range(TRIES):
+        others = int(rng.poisson(z / d))
+        r, left, largest, equal = c, others, 0, 0
+        while left and r >= largest:
+            sizes = table_sizes(rng.random(min(left, 1 << 20)), d, c)
+            left -= len(sizes)
+            r -= int(sizes.sum())
+            top = int(sizes.max())
+            equal = (equal if top <= largest else 0) + (int((sizes == top).sum()) if top >= largest else 0)
+            largest = max(top, largest)
+        chance, tie = np.log(rng.random()), rng.random()
+        # The last table is a largest one: of several, by chance.
+        if r > 0 and r >= largest and (r > largest or tie * (equal + 1) < 1) and chance < (new := weight(r)) - now:
+            tables, rest, now = others + 1, r, new
+    return tables, rest
+
+
+def reseat(key: np.ndarray, sweep: int, count: np.ndarray, z: np.ndarray, d: float, tables: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A Gibbs update of each dish: its new (tables, others), given the present ones (0: no seating yet).
+
+    For dishes of over TABULATED customers, `others` is how many of them sit at all tables
+    but the last; for all else it is 0. Customers gained or lost since are of the last table.
     """
-    count = np.asarray(count, np.int64)
-    shape, count = count.shape, count.ravel()
-    strength = np.broadcast_to(strength, shape).ravel().astype(float)
-    tables = np.minimum(count, 1)
-    active = np.flatnonzero(count > 1)
-    n = 1
-    while len(active) and n < SINGLE:
-        s = strength[active]
-        opens = rng.random(len(active)) * (s + n - d * tables[active]) < s
-        tables[active[opens]] += 1
-        n += 1
-        active = active[count[active] > n]
-    while len(active):
-        # A block seats m customers, at most all that are left, with the probability at its middle.
-        left = count[active] - n
-        m = np.minimum(left, max(1, int(n * BLOCK)))
-        s = strength[active]
-        p = s / np.maximum(s + n + m / 2 - d * tables[active], s + 1e-12)
-        tables[active] += rng.binomial(m, np.minimum(p, 1.0))
-        n += max(1, int(n * BLOCK))
-        active = active[count[active] > n]
-    return np.minimum(tables, count).reshape(shape)
+    out, size = np.minimum(count, 1), np.zeros(len(count), np.int64)
+    few = np.flatnonzero((count > 1) & (count <= TABULATED))
+    few = few[np.argsort(count[few], kind="stable")]
+    edge = np.flatnonzero(np.concatenate([[True], count[few][1:] != count[few][:-1], [True]])) if len(few) else [0]
+    for i, j in zip(edge[:-1], edge[1:], strict=True):
+        c = int(count[few[i]])
+        for k in range(i, j, max(1, _CELLS // c)):
+            own = few[k : min(j, k + max(1, _CELLS // c))]
+            out[own] = _from_table(key[own], sweep, c, z[own], d)
+    for i in np.flatnonzero(count > TABULATED).tolist():
+        c, last = int(count[i]), int(count[i] - others[i])
+        out[i], last = _by_sizes(int(key[i]), sweep, c, float(z[i]), d, int(tables[i]) if last > 0 else 0, last)
+        size[i] = c - last
+    return out, size
 
 
 def predictive(count, tables, total, total_tables, d, theta, parent):
     """P(dish) from its customers and tables, the restaurant's totals and the parent's P."""
     return (count - d * tables + (theta + d * total_tables) * parent) / (theta + total)
-
-
-def contexts(count: np.ndarray, base: np.ndarray, rng: np.random.Generator, burn: int, samples: int, theta: float = THETA) -> np.ndarray:
-    """Averaged P(dish | context) of context restaurants that share one parent.
-
-    count is [contexts, dishes]; base is the parent's base distribution over the dishes.
-    """
-    d = discount(float((count == 1).sum()), float((count == 2).sum()))
-    total = count.sum(axis=1, keepdims=True)
-    tables, parent, out = np.minimum(count, 1), base, np.zeros(count.shape)
-    for sweep in range(burn + samples):
-        tables = sample_tables(count, (theta + d * tables.sum(axis=1, keepdims=True)) * parent[None, :], d, rng)
-        customers = tables.sum(axis=0)
-        d0 = discount(float((customers == 1).sum()), float((customers == 2).sum()))
-        own = np.minimum(customers, 1)
-        own = sample_tables(customers, (theta + d0 * own.sum()) * base, d0, rng)
-        parent = predictive(customers, own, customers.sum(), own.sum(), d0, theta, base)
-        if sweep >= burn:
-            out += predictive(count, tables, total, tables.sum(axis=1, keepdims=True), d, theta, parent[None, :])
-    return out / samples

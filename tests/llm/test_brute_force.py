@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kinelake.llm import components, decontaminate, lm_score, pitman_yor, quality_model, secrets, sentencepiece_trie, simhash, toxicity, trees, warc
+from kinelake.llm import blobs, components, decontaminate, lm_score, pitman_yor, quality_model, secrets, sentencepiece_trie, simhash, toxicity, trees, warc
 from kinelake.llm.common import is_fold
 from kinelake.llm.queries import queries
 
@@ -247,62 +247,146 @@ def test_small_memory_gives_the_same_ids(spark, documents, monkeypatch):
 # --- op3
 
 
+class PlainModel:
+    """The language model over dictionaries of counts, in one place."""
+
+    def __init__(self, texts):
+        tokens = [["<s>", *WORDS.findall(lower(t)), ""] for t in texts]
+        pairs = collections.Counter(x for ws in tokens for x in zip(ws[:-1], ws[1:], strict=True))
+        self.follow = collections.Counter(u for ws in tokens for u in ws[:-1])
+        self.words = collections.Counter(w for ws in tokens for w in ws[1:])
+        self.pairs, once, twos = pairs, sum(c == 1 for c in pairs.values()), sum(c == 2 for c in pairs.values())
+        self.d = d = pitman_yor.discount(once, twos)
+        names = {"<s>": b" ", **{w: w.encode() for w in self.words}}
+        keys = {w: np.uint64(xxhash.xxh64_intdigest(b, seed=42)) for w, b in names.items()}
+        of = lambda words: np.array([keys[w] for w in words], np.uint64)
+        many, vocabulary, contexts = [x for x in pairs if pairs[x] > 1], list(self.words), list(self.follow)
+        hashed = lm_score.pair_hash(of([u for u, _ in many]), of([w for _, w in many]))
+        count = np.array([pairs[x] for x in many])
+        tables = {x: 1 for x in pairs}
+        base = 1 / (len(vocabulary) + 1)
+        t, (others, own_others) = np.zeros(len(many), np.int64), (np.zeros(len(x), np.int64) for x in (many, vocabulary))
+        self.samples = []
+        for sweep in range(lm_score.BURN + lm_score.SAMPLES + 1):
+            total, customers = collections.Counter(), collections.Counter()
+            for (u, w), t in tables.items():
+                total[u] += t
+                customers[w] += t
+            m = np.array([customers[w] for w in vocabulary])
+            if sweep == 0:
+                d0, own = pitman_yor.discount((m == 1).sum(), (m == 2).sum()), np.minimum(m, 1)
+            else:
+                g0 = np.random.default_rng([lm_score.SEED, sweep]).gamma(1 / d0 + own.sum())
+                own, own_others = pitman_yor.reseat(of(vocabulary), sweep, m, np.full(len(m), d0 * g0 * base), d0, own, own_others)
+            rest = (1 + d0 * own.sum()) * base
+            parent = dict(zip(vocabulary, (m - d0 * own + rest) / (1 + m.sum()), strict=True))
+            if sweep > lm_score.BURN:
+                self.samples.append((dict(tables), total, parent, rest / (1 + m.sum())))
+            g = dict(zip(contexts, pitman_yor.gamma(of(contexts), 1000 + sweep, 1 / d + np.array([total[u] for u in contexts])), strict=True))
+            z = np.array([d * g[u] * parent[w] for u, w in many])
+            t, others = pitman_yor.reseat(hashed, sweep, count, z, d, t, others)
+            tables.update(zip(many, t.tolist(), strict=True))
+
+    def probability(self, u, w):
+        total = 0.0
+        for tables, by_context, parent, new in self.samples:
+            above = (1 + self.d * by_context[u]) * parent.get(w, new)
+            total += (self.pairs[u, w] - self.d * tables.get((u, w), 0) + above) / (1 + self.follow[u])
+        return total / len(self.samples)
+
+    def score(self, text):
+        ws = ["<s>", *WORDS.findall(lower(text)), ""]
+        return sum(math.log10(self.probability(u, w)) for u, w in zip(ws[:-1], ws[1:], strict=True))
+
+
 def test_language_model(spark, documents):
-    tokens = {r["doc_id"]: [*WORDS.findall(lower(r["text"])), ""] for r in documents.collect()}
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    tokens = {i: [*WORDS.findall(lower(t)), ""] for i, t in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
     counts = collections.Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
     total, distinct = sum(counts.values()), len(counts)
-    # Small limits, so that words come by broadcast and by join.
-    got = by_id(lm_score.score(documents, is_fold("doc_id", 7, 2), head=50, limit=300))
+    plain = PlainModel([t for i, t in texts.items() if not held[i]])
+    got = by_id(queries()["op3_lm_score"](spark, SF_DIR))
     sums = collections.Counter()
     for i, ws in tokens.items():
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ws), sum(counts[w] > 0 for w in ws), total)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in ws), rel=1e-9)
+        assert r["score"] == pytest.approx(plain.score(texts[i]), rel=1e-9)
         if held[i]:
             sums["base"] += r["base_score"]
             sums["model"] += r["score"]
     assert sums["model"] > sums["base"]
 
 
-def test_language_model_is_a_distribution(spark):
+def test_language_model_is_a_distribution():
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(30)]
-    rows = [(i, " ".join(rng.choices(vocabulary, weights=range(1, 31), k=40))) for i in range(40)]
-    # One-word texts of every known word, of none and of an unknown one share P(first word) and P(end | word).
-    probes = [(1000 + i, w) for i, w in enumerate([*vocabulary, "never"])] + [(2000, "")]
-    df = spark.createDataFrame(rows + probes, "doc_id long, text string")
-    got = by_id(lm_score.score(df, F.col("doc_id") >= 1000, head=5, limit=8))
-    assert sum(10 ** got[i]["score"] for i, _ in probes) < 1.0
-
-
-def test_language_model_learns_pairs_of_rare_words(spark):
-    """A pair's own count matters for words however rare, whether they are broadcast or joined; bounds of the broadcast change nothing."""
-    rows = [(i, f"filler a{i % 50} b{i % 50} filler") for i in range(400)] + [(1000, "filler a7 b7 filler"), (1001, "filler a7 b8 filler")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    for head, limit in ((3, 4), (2, 100), (1000, 200_000)):
-        got = by_id(lm_score.score(df, F.col("doc_id") >= 1000, head=head, limit=limit))
-        assert got[1000]["score"] > got[1001]["score"] + 1.5, (head, limit)
-
-
-def test_seating():
-    rng = np.random.default_rng(0)
-    count = np.array([0, 1, 2, 50, 5_000, 10**7])
-    t = pitman_yor.sample_tables(count, np.full(6, 0.5), 0.5, rng)
-    assert t[0] == 0 and t[1] == 1 and (t <= count).all() and (t[2:] >= 1).all()
-    many = pitman_yor.sample_tables(np.full(20_000, 30), np.full(20_000, 2.0), 0.3, rng)
-    mean, dist = 0.0, {1: 1.0}
-    for n in range(1, 30):  # exact distribution of tables
-        step = collections.Counter()
-        for k, p in dist.items():
-            opens = 2.0 / (2.0 + n - 0.3 * k)
-            step[k + 1] += p * opens
-            step[k] += p * (1 - opens)
-        dist = step
-    mean = sum(k * p for k, p in dist.items())
-    assert many.mean() == pytest.approx(mean, abs=0.05)
-    p = pitman_yor.contexts(rng.integers(0, 5, (7, 9)), np.full(9, 1 / 9), rng, 1, 2)
-    assert p.sum(axis=1) == pytest.approx(np.ones(7))
+    model = PlainModel([" ".join(rng.choices(vocabulary, weights=range(1, 31), k=40)) for _ in range(40)])
+    for u in ("<s>", "never", *vocabulary):  # every known token, and the place of all others
+        assert sum(model.probability(u, w) for w in ("", "never", *vocabulary)) == pytest.approx(1.0, abs=1e-9)
+
+
+def test_scores_do_not_depend_on_partitions_or_nodes(spark, documents, monkeypatch):
+    docs, found = documents.limit(60), []
+    for parts, tokens, size in ((1, 2_000_000, 8 << 20), (4, 3_000, 20_000), (7, 500, 1)):
+        monkeypatch.setattr(lm_score, "NODE_TOKENS", tokens)
+        monkeypatch.setattr(lm_score, "TEXT_BYTES", size)
+        found.append(sorted(map(tuple, lm_score.score(docs.repartition(parts), is_fold("doc_id", 7, 2)).collect())))
+    assert found[0] == found[1] == found[2]
+
+
+def test_seating_follows_its_conditional(monkeypatch):
+    """Tables of dishes against z^t S(c, t) with S by its recurrence, for dishes in the table and (at a low bound) beyond."""
+
+    def conditional(count, z, d):
+        weight = {1: 1.0}
+        for k in range(1, count):
+            step = collections.Counter()
+            for t, p in weight.items():
+                step[t + 1] += p * z
+                step[t] += p * (k - d * t)
+            weight = step
+        return {t: p / sum(weight.values()) for t, p in weight.items()}
+
+    def drawn(n, sweeps, count, z, d):
+        keys, counts, zs = np.arange(n, dtype=np.uint64), np.full(n, count), np.full(n, z)
+        state = (np.zeros(n, np.int64), np.zeros(n, np.int64))
+        for sweep in range(sweeps):
+            before, state = state, pitman_yor.reseat(keys, sweep, counts, zs, d, *state)
+            assert (pitman_yor.reseat(keys[::7], sweep, counts[::7], zs[::7], d, *(x[::7] for x in before))[0] == state[0][::7]).all()
+        return state[0]
+
+    for count, z, d in ((2, 0.3, 0.7), (9, 2.0, 0.8), (30, 0.5, 0.3), (60, 25.0, 0.9)):
+        want = conditional(count, z, d)
+        assert np.bincount(drawn(40_000, 1, count, z, d), minlength=count + 1)[list(want)] / 40_000 == pytest.approx(list(want.values()), abs=0.012)
+    monkeypatch.setattr(pitman_yor, "TABULATED", 20)
+    for count, z, d in ((60, 0.4, 0.7), (60, 4.0, 0.5), (100, 12.0, 0.8)):
+        want = conditional(count, z, d)
+        assert np.bincount(drawn(3_000, 6, count, z, d), minlength=count + 1)[list(want)] / 3_000 == pytest.approx(list(want.values()), abs=0.04)
+    big, others = pitman_yor.reseat(np.arange(4, dtype=np.uint64), 1, np.array([0, 1, 10**6, 10**12]), np.array([1.0, 1.0, 50.0, 1e5]), 0.6, *np.zeros((2, 4), np.int64))
+    assert big[0] == 0 and big[1] == 1 and 50 < big[2] < 130 and 1.6e5 < big[3] < 1.8e5 and (others[:2] == 0).all()
+
+
+def test_table_sizes():
+    d, u = 0.7, (np.arange(200_000) + 0.5) / 200_000
+    sizes, p = pitman_yor.table_sizes(u, d, 10**6), d
+    for n in range(1, 30):
+        assert (sizes == n).mean() == pytest.approx(p, abs=2e-5)
+        p *= (n - d) / (n + 1)
+
+
+def test_gamma_variables():
+    x = pitman_yor.gamma(np.arange(50_000, dtype=np.uint64), 3, np.full(50_000, 4.5))
+    assert x.mean() == pytest.approx(4.5, abs=0.05) and x.var() == pytest.approx(4.5, abs=0.15)
+    y = np.array([0.1, 0.5, 1.0, 7.7, 1e4])
+    assert pitman_yor.log_gamma(y) == pytest.approx([math.lgamma(v) for v in y], abs=1e-9)
+
+
+def test_packed_arrays_come_back():
+    arrays = [np.arange(1000, dtype=np.uint64) << np.uint64(50), np.zeros(0), np.array([-1, 5], np.int16), np.array([0.1, np.inf])]
+    back = blobs.unpack(blobs.pack(*arrays))
+    assert all(a.dtype == b.dtype and (a == b).all() for a, b in zip(arrays, back, strict=True))
 
 
 # --- op2 and op6
