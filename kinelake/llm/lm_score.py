@@ -11,12 +11,13 @@ counted and seated; nothing is collected or cut off.
 
 Texts are written once as batches of word numbers. Words and pairs are dealt to nodes by
 hash, so a frequent word or pair is one entry a batch, and no node holds more than its
-share. A sweep has two exchanges: word nodes send each pair node the restaurants' gamma
-variables and the words' customers and tables, pair nodes seat their pairs and send back
-the numbers of tables. Pairs seen once have one table in every seating and enter by their
-sums. Last, the nodes answer each batch, and it scores its texts.
+share. Word nodes count and number the words; batches then send their pairs of numbers. A
+sweep has two exchanges: word nodes send each pair node the restaurants' gamma variables and
+the words' customers and tables, pair nodes seat their pairs and send back the numbers of
+tables. Pairs seen once have one table in every seating and enter by their sums. Last, the
+nodes answer each batch, and it scores its texts.
 
-Words and pairs are known by 64-bit hashes.
+Words are known by 64-bit hashes until they have their numbers.
 """
 
 from __future__ import annotations
@@ -41,32 +42,27 @@ TEXT_BYTES, NODE_TOKENS = 8 << 20, 2_000_000
 #: No word is empty or holds a space: these are the end and the start of a text.
 END, START = (xxhash.xxh64_intdigest(x, seed=42) for x in (b"", b" "))
 
-# Kinds of rows. Words: state, seating, plan (for batches), subscriptions of pair nodes and what they send. Pairs alike.
-WORDS, WORD_PLAN, SUB_U, SUB_W, ONE_U, ONE_W, WORD_STATE, WORD_SEATING, LINK_U, LINK_W, SUM_U, SUM_W = range(12)
-PAIRS, PAIR_PLAN, PAIR_STATE, PAIR_SEATING, GAMMA, CUSTOMERS, SCALARS, TEXTS, WORD_ANSWER, PAIR_ANSWER = range(12, 22)
+# Kinds of rows: of words (asked for, counted, plan to answer by, numbers; links to pair nodes and sums from them), of pairs, others.
+WORDS, COUNTED, WORD_PLAN, NUMBERS, ONE_U, ONE_W, SUB_U, SUB_W, WORD_STATE, WORD_SEATING, LINK_U, LINK_W, SUM_U, SUM_W = range(14)
+PAIRS, PAIR_PLAN, PAIR_STATE, PAIR_SEATING, GAMMA, CUSTOMERS, SCALARS, TEXTS, WORD_ANSWER, PAIR_ANSWER = range(14, 24)
 
 
-def word_node(hashes: np.ndarray, nodes: int) -> np.ndarray:
+def node_of(hashes: np.ndarray, nodes: int) -> np.ndarray:
     return ((py.mixed(hashes) >> np.uint64(32)) % np.uint64(nodes)).astype(np.int64)
 
 
 def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return py.mixed(py.mixed(u + np.uint64(SEED)) + w)
+    """Of the numbers of two words."""
+    return py.mixed(py.mixed(u.astype(np.uint64) + np.uint64(SEED)) + w.astype(np.uint64))
 
 
-def _sorted_by(node: np.ndarray, *arrays: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.argsort(node, kind="stable")
-    return node[order], *(a[order] for a in arrays)
+def _sorted_by(node: np.ndarray, nodes: int) -> np.ndarray:
+    return np.argsort(node.astype(np.uint16 if nodes < 1 << 16 else np.int64), kind="stable")  # NumPy sorts the former by radix
 
 
-def _counted(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values and their number, or the sums of their weights."""
-    if weights is None:
-        return np.unique(values, return_counts=True)
-    order = np.argsort(values, kind="stable")
-    values, weights = values[order], weights[order]
-    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    return values[first], np.add.reduceat(weights, first) if len(first) else weights
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Places at which a run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
 # --- texts
@@ -95,126 +91,144 @@ def encode(docs: DataFrame, held_out: str) -> str:
     return keep(docs.select("doc_id", held_out, "text").mapInArrow(run, f"node long, n long, train long, texts long, doc_id array<{kind}>, held array<boolean>, data binary"))
 
 
-class Batch:
-    """Words and pairs of a batch of texts."""
+class Words:
+    """Words of a batch of texts, by the nodes that count them."""
 
     def __init__(self, data: bytes, nodes: int):
         size, codes, hashes, held = unpack(data)
-        self.held, self.size, d = held.astype(bool), size.astype(np.int64) + 1, len(hashes)
+        self.held, self.size, self.d = held.astype(bool), size.astype(np.int64) + 1, len(hashes)
         self.hashes = np.concatenate([hashes, np.array([END, START], np.uint64)])
         self.edge = np.concatenate([[0], np.cumsum(self.size)])
-        self.word = np.full(self.edge[-1], d)
+        self.word = np.full(self.edge[-1], self.d)
         inner = np.ones(self.edge[-1], bool)
         inner[self.edge[1:] - 1] = False
         self.word[inner] = codes
-        self.context = np.concatenate([[0], self.word[:-1]])[: len(self.word)]
-        self.context[self.edge[:-1]] = d + 1
         self.of_held = np.repeat(self.held, self.size)
-        self.key = self.context * (d + 2) + self.word
+        self.node = node_of(self.hashes, nodes)
+        self.order = _sorted_by(self.node, nodes)
+
+
+class Pairs(Words):
+    """Distinct pairs too, given the words' numbers, by the nodes that seat them."""
+
+    def __init__(self, data: bytes, nodes: int, numbers: list):
+        super().__init__(data, nodes)
+        self.number = np.empty(len(self.hashes), np.int64)
+        self.number[self.order] = joined(numbers, 0, np.int64) * nodes + self.node[self.order]
+        context = np.concatenate([[0], self.word[:-1]])[: len(self.word)]
+        context[self.edge[:-1]] = self.d + 1
+        self.key = context * (self.d + 2) + self.word
         ordered = np.sort(self.key * 2 + self.of_held)
         key = ordered >> 1
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        first = _starts(key)
         self.pairs = key[first]
         self.trained = np.add.reduceat(1 - (ordered & 1), first)
-        self.u, self.w = self.pairs // (d + 2), self.pairs % (d + 2)
-        self.word_nodes = word_node(self.hashes, nodes)
-        self.pair_nodes = ((pair_hash(self.hashes[self.u], self.hashes[self.w]) >> np.uint64(32)) % np.uint64(nodes)).astype(np.int64)
-        small = np.uint16 if nodes < 1 << 16 else np.int64  # NumPy sorts these by radix
-        self.word_order = np.argsort(self.word_nodes.astype(small), kind="stable")
-        self.pair_order = np.argsort(self.pair_nodes.astype(small), kind="stable")
-
-    def ask(self, out: Rows, me: int, nodes: int) -> None:
-        """Send each node its words (with counts as token and as context) and its pairs (by runs of the context)."""
-        train = ~self.of_held
-        c, f = (np.bincount(x[train], minlength=len(self.hashes)).astype(np.uint32) for x in (self.word, self.context))
-        o = self.word_order
-        out.deal(self.word_nodes[o], nodes, WORDS, me, self.hashes[o], c[o], f[o])
-        node = self.pair_nodes[self.pair_order]
-        edge = np.searchsorted(node, np.arange(nodes + 1))
-        for k in np.flatnonzero(np.diff(edge)).tolist():
-            own = self.pair_order[edge[k] : edge[k + 1]]
-            u = self.u[own]
-            first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-            runs = np.diff(np.append(first, len(u))).astype(np.uint32)
-            out.add(k, PAIRS, me, self.hashes[u[first]], runs, self.hashes[self.w[own]], self.trained[own].astype(np.uint32))
-
-
-def ask(texts: DataFrame, nodes: int) -> DataFrame:
+        self.u, self.w = self.pairs // (self.d + 2), self.pairs % (self.d + 2)
+        self.pair_node = node_of(pair_hash(self.number[self.u], self.number[self.w]), nodes)
+        self.pair_order = _sorted_by(self.pair_node, nodes)
+        self.pair_edge = np.searchsorted(self.pair_node[self.pair_order], np.arange(nodes + 1))
+
+
+def _ask_words(nodes: int):
+    """A batch sends each node its words, with their counts in training texts."""
+
     def run(batches):
         for batch in batches:
             for me, data in zip(batch.column("node").to_pylist(), batch.column("data"), strict=True):
-                out = Rows()
-                Batch(data.as_py(), nodes).ask(out, me, nodes)
+                own, out = Words(data.as_py(), nodes), Rows()
+                c = np.bincount(own.word[~own.of_held], minlength=len(own.hashes))
+                out.deal(own.node[own.order], nodes, WORDS, me, own.hashes[own.order], c[own.order])
                 yield from out.table().to_batches()
 
-    return texts.select("node", "data").mapInArrow(run, SCHEMA)
+    return run
 
 
-# --- nodes
+def _number_words(key, rows):
+    """Sum up a node's words; a word's number is its place among them (times the nodes, plus the node)."""
+    me, asked, out = key[0].as_py(), received(rows)[WORDS], Rows()
+    hashes, index = np.unique(joined(asked, 0, np.uint64), return_inverse=True)
+    c = np.bincount(index, joined(asked, 1, np.int64), len(hashes)).astype(np.int64)
+    out.add(me, COUNTED, me, hashes, c)
+    edge = np.cumsum([0, *(len(a[0]) for _, a in asked)])
+    for (src, _), i, j in zip(asked, edge[:-1], edge[1:], strict=True):
+        out.add(me, WORD_PLAN, src, index[i:j])
+        out.add(src, NUMBERS, me, index[i:j])
+    out.add(-1, SCALARS, me, np.array([(c > 0).sum()], np.int64))
+    return out.table()
 
 
-def _count(nodes: int):
-    """Sum up a node's words and pairs; pairs seen twice or more stay, subscribed at the nodes of their words."""
+def _ask_pairs(nodes: int):
+    """A batch sends each node its pairs by their words' numbers, ascending: runs of the first word, the second, training counts."""
 
     def run(key, rows):
-        me, got, out = key[0].as_py(), received(rows), Rows()
-        asked = got[WORDS]
-        hashes, index = np.unique(joined(asked, 0, np.uint64), return_inverse=True)
-        c, f = (np.bincount(index, joined(asked, k, np.int64), len(hashes)).astype(np.int64) for k in (1, 2))
-        out.add(me, WORDS, me, hashes, c, f)
-        edge = np.cumsum([0, *(len(a[0]) for _, a in asked)])
-        for (src, _), i, j in zip(asked, edge[:-1], edge[1:], strict=True):
-            out.add(me, WORD_PLAN, src, index[i:j].astype(np.uint32))
-
-        asked = got[PAIRS]
-        w, k = joined(asked, 2, np.uint64), joined(asked, 3, np.int64)
-        u = np.concatenate([np.zeros(0, np.uint64), *(np.repeat(a[0], a[1].astype(np.int64)) for _, a in asked)])
-        hashed = pair_hash(u, w)
-        order = np.argsort(hashed)
-        first = np.flatnonzero(np.concatenate([[True], hashed[order][1:] != hashed[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+        me, out = key[0].as_py(), Rows()
+        own, numbers = _own(rows), received(rows.filter(pc.not_equal(rows["kind"], TEXTS)))[NUMBERS]
+        own = Pairs(own["data"][0].as_py(), nodes, numbers)
+        for k in np.flatnonzero(np.diff(own.pair_edge)).tolist():
+            pairs = own.pair_order[own.pair_edge[k] : own.pair_edge[k + 1]]
+            first = _starts(own.u[pairs])
+            out.add(k, PAIRS, me, own.number[own.u[pairs[first]]], np.diff(np.append(first, len(pairs))), own.number[own.w[pairs]], own.trained[pairs])
+        return out.table()
+
+    return run
+
+
+def _own(rows: pa.Table) -> pa.Table:
+    return rows.filter(pc.equal(rows["kind"], TEXTS))
+
+
+def _count_pairs(nodes: int):
+    """Sum up a node's pairs; those seen twice or more stay, linked to the nodes of their words."""
+
+    def run(key, rows):
+        me, asked, out = key[0].as_py(), received(rows)[PAIRS], Rows()
+        w, k = joined(asked, 2, np.int64), joined(asked, 3, np.int64)
+        u = np.concatenate([np.zeros(0, np.int64), *(np.repeat(a[0], a[1]) for _, a in asked)])
+        order = np.lexsort((w, u)) if max(u.max(initial=0), w.max(initial=0)) >= 1 << 31 else np.argsort(u << 32 | w)
+        first = np.flatnonzero(np.concatenate([[True], (u[order][1:] != u[order][:-1]) | (w[order][1:] != w[order][:-1])])) if len(order) else order
         total = np.add.reduceat(k[order], first) if len(first) else k
-        kind = np.where(total > 1, np.cumsum(total > 1) - 1, np.where(total == 1, -1, -2))
+        kind = np.where(total > 1, np.cumsum(total > 1), np.where(total == 1, 0, -1))
         entry = np.zeros(len(order), np.int64)
         entry[order] = np.repeat(kind, np.diff(np.append(first, len(order))))
         edge = np.cumsum([0, *(len(a[2]) for _, a in asked)])
         for (src, _), i, j in zip(asked, edge[:-1], edge[1:], strict=True):
             # A training text's pair that isn't answered was seen once, a held-out text's never.
-            told = np.flatnonzero((entry[i:j] >= 0) | ((entry[i:j] == -1) & (k[i:j] == 0)))
-            out.add(me, PAIR_PLAN, src, np.diff(told, prepend=0).astype(np.uint32), (entry[i:j][told] + 1).astype(np.uint32))
+            told = np.flatnonzero((entry[i:j] > 0) | ((entry[i:j] == 0) & (k[i:j] == 0)))
+            out.add(me, PAIR_PLAN, src, np.diff(told, prepend=0), entry[i:j][told])
         place = order[first]
         once, many = place[total == 1], place[total > 1]
-        index = []
+        distinct, index = [], []
         for values, sub, one in ((u, SUB_U, ONE_U), (w, SUB_W, ONE_W)):
-            single, n = _counted(values[once])
-            node, single, n = _sorted_by(word_node(single, nodes), single, n)
-            out.deal(node, nodes, one, me, single, n.astype(np.uint32))
-            distinct, inverse, n = np.unique(values[many], return_inverse=True, return_counts=True)
-            node = word_node(distinct, nodes)
-            by_node = np.argsort(node, kind="stable")
-            out.deal(node[by_node], nodes, sub, me, distinct[by_node], n[by_node].astype(np.uint32))
-            rank = np.empty(len(distinct), np.int64)
-            rank[by_node] = np.arange(len(distinct))
-            index.append((rank[inverse].astype(np.uint32), np.bincount(node, minlength=nodes).astype(np.uint32)))
-        c_many = total[total > 1]
-        out.add(me, PAIR_STATE, me, hashed[many], *(x for x, _ in index), c_many, *(n for _, n in index))
-        out.add(-1, SCALARS, me, np.array([(c > 0).sum(), (total == 1).sum(), (total == 2).sum()], np.int64))
+            for found, at_kind in ((once, one), (many, sub)):
+                numbers, inverse, n = np.unique(values[found], return_inverse=True, return_counts=True)
+                by_node = _sorted_by(numbers % nodes, nodes)
+                out.deal((numbers % nodes)[by_node], nodes, at_kind, me, (numbers // nodes)[by_node], n[by_node])
+            rank = np.empty(len(numbers), np.int64)
+            rank[by_node] = np.arange(len(numbers))
+            index.append(rank[inverse])
+            distinct.append(numbers[by_node])
+        out.add(me, PAIR_STATE, me, *distinct, *index, total[total > 1])
+        out.add(-1, SCALARS, me, np.array([(total == 1).sum(), (total == 2).sum()], np.int64))
         return out.table()
 
     return run
 
 
+# --- nodes
+
+
 def _words_step(sweep: int, nodes: int, scalars: dict, last: bool):
     """Customers and tables of the word restaurant, and what pair nodes (last: and batches) need of them."""
 
     def run(key, rows):
         me, got, out = key[0].as_py(), received(rows), Rows()
         if sweep == 0:
-            hashes, c, f = got[WORDS][0][1] if got[WORDS] else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-            links = {kind: [(src, np.searchsorted(hashes, a[0]), a[1]) for src, a in got[sub]] for kind, sub in ((LINK_U, SUB_U), (LINK_W, SUB_W))}
+            hashes, c = got[COUNTED][0][1] if got[COUNTED] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            links = {kind: [(src, *a) for src, a in got[sub]] for kind, sub in ((LINK_U, SUB_U), (LINK_W, SUB_W))}
             for kind, found in links.items():
                 for src, place, _ in found:
-                    out.add(me, kind, src, place.astype(np.uint32))
-            once = [np.bincount(np.searchsorted(hashes, joined(got[k], 0, np.uint64)), joined(got[k], 1, np.int64), len(hashes)).astype(np.int64) for k in (ONE_U, ONE_W)]
+                    out.add(me, kind, src, place)
+            once = [np.bincount(joined(got[k], 0, np.int64), joined(got[k], 1, np.int64), len(hashes)).astype(np.int64) for k in (ONE_U, ONE_W)]
             out.add(me, WORD_STATE, me, hashes, c, *once)
             others, history = np.zeros(len(hashes), np.int64), []
         else:
@@ -223,11 +237,11 @@ def _words_step(sweep: int, nodes: int, scalars: dict, last: bool):
             links = {}
             for kind, sums in ((LINK_U, SUM_U), (LINK_W, SUM_W)):
                 sent = {src: a[0] for src, a in got[sums]}
-                links[kind] = [(src, a[0].astype(np.int64), sent[src]) for src, a in got[kind]]
+                links[kind] = [(src, a[0], sent[src]) for src, a in got[kind]]
         tables, customers = once[0].copy(), once[1].copy()
         for total, kind in ((tables, LINK_U), (customers, LINK_W)):
             for _, place, n in links[kind]:
-                total[place] += n.astype(np.int64)  # a node has each word once
+                total[place] += n  # a node has each word once
         if sweep == 0:
             own = np.minimum(customers, 1)
         else:
@@ -255,17 +269,16 @@ def _pairs_step(sweep: int, nodes: int, scalars: dict):
 
     def run(key, rows):
         me, got, out = key[0].as_py(), received(rows), Rows()
-        hashed, u, w, c, of_u, of_w = got[PAIR_STATE][0][1]
+        of_u, of_w, u, w, c = got[PAIR_STATE][0][1]
         t, others, total = got[PAIR_SEATING][0][1] if got[PAIR_SEATING] else np.zeros((3, len(c)), np.int64)
         g = joined(got[GAMMA], 0, float)
         m, own = (joined(got[CUSTOMERS], k, float) for k in (0, 1))
         parent = (m - scalars["d0"] * own + scalars["rest"]) / scalars["total"]
-        t, others = py.reseat(hashed, sweep, c, scalars["d"] * g[u] * parent[w], scalars["d"], t, others)
+        t, others = py.reseat(pair_hash(of_u[u], of_w[w]), sweep, c, scalars["d"] * g[u] * parent[w], scalars["d"], t, others)
         total = total + t if sweep >= BURN else total
         out.add(me, PAIR_SEATING, me, t, others, total)
-        for kind, index, many in ((SUM_U, u, of_u), (SUM_W, w, of_w)):
-            sums = np.bincount(index, t, int(many.sum())).astype(np.int64)
-            out.deal(np.repeat(np.arange(nodes), many.astype(np.int64)), nodes, kind, me, sums)
+        for kind, index, numbers in ((SUM_U, u, of_u), (SUM_W, w, of_w)):
+            out.deal(numbers % nodes, nodes, kind, me, np.bincount(index, t, len(numbers)).astype(np.int64))
         return out.table()
 
     return run
@@ -273,7 +286,7 @@ def _pairs_step(sweep: int, nodes: int, scalars: dict):
 
 def _pairs_answer(key, rows):
     me, got, out = key[0].as_py(), received(rows), Rows()
-    c, total = got[PAIR_STATE][0][1][3], got[PAIR_SEATING][0][1][2]
+    c, total = got[PAIR_STATE][0][1][4], got[PAIR_SEATING][0][1][2]
     c, total = np.append(1, c), np.append(SAMPLES, total)  # 0: a pair seen once
     for src, (place, entry) in got[PAIR_PLAN]:
         out.add(src, PAIR_ANSWER, me, place, c[entry], total[entry])
@@ -284,17 +297,16 @@ def _scores(nodes: int, scalars: dict, schema: pa.Schema):
     """The texts of a batch, from the answers of all nodes."""
 
     def run(key, rows):
-        own = rows.filter(pc.equal(rows["kind"], TEXTS))
-        batch, got = Batch(own["data"][0].as_py(), nodes), received(rows.filter(pc.not_equal(rows["kind"], TEXTS)))
+        own, got = _own(rows), received(rows.filter(pc.not_equal(rows["kind"], TEXTS)))
+        batch = Pairs(own["data"][0].as_py(), nodes, got[NUMBERS])
         c, *history = (np.empty(len(batch.hashes)) for _ in range(1 + 3 * SAMPLES))
         for k, x in enumerate((c, *history)):
-            x[batch.word_order] = joined(got[WORD_ANSWER], k, float)
+            x[batch.order] = joined(got[WORD_ANSWER], k, float)
         follow = c.copy()
         follow[-2:] = 0, scalars["texts"]
         d, x = scalars["d"], np.where(batch.trained > 0, 1 - scalars["d"], 0.0)
-        edge = np.searchsorted(batch.pair_nodes[batch.pair_order], np.arange(nodes + 1))
         for src, (step, count, tables) in got[PAIR_ANSWER]:
-            x[batch.pair_order[edge[src] + np.cumsum(step.astype(np.int64))]] = count - d * (tables / SAMPLES)
+            x[batch.pair_order[batch.pair_edge[src] + np.cumsum(step)]] = count - d * (tables / SAMPLES)
         above = np.zeros(len(x))
         for s in range(SAMPLES):
             tables, m, t = history[3 * s : 3 * s + 3]
@@ -342,21 +354,24 @@ def score(docs: DataFrame, held_out, trace: list | None = None) -> DataFrame:
     texts = spark.read.parquet(encoded)
     n, train, train_texts = (int(x or 0) for x in texts.agg(F.sum("n"), F.sum("train"), F.sum("texts")).first())
     nodes = max(1, -(-n // NODE_TOKENS))
-    counted = step(ask(texts, nodes), _count(nodes))
-    distinct, ones, twos = (int(x) for x in all_of(counted)[:3])
+    numbered = step(texts.select("node", "data").mapInArrow(_ask_words(nodes), SCHEMA), _number_words)
+    distinct = int(all_of(numbered)[0])
+    whole = texts.select("node", F.lit(TEXTS).alias("kind"), F.lit(0).cast("long").alias("src"), "data")
+    counted = step(whole.unionAll(rows(numbered, NUMBERS)).groupBy("node").applyInArrow(_ask_pairs(nodes), SCHEMA), _count_pairs(nodes))
+    ones, twos = (int(x) for x in all_of(counted)[:2])
     scalars = {"N": train, "V": distinct, "texts": train_texts, "d": py.discount(ones, twos), "rests": [], "totals": []}
-    word_static = lambda: rows(linked, WORD_STATE, LINK_U, LINK_W)
-    linked = seats = pairs = None
+    linked = words = pairs = None
+    discard(spark)
     for sweep in range(BURN + SAMPLES + 1):
         last = sweep == BURN + SAMPLES
         if sweep == 0:
-            df = rows(counted, WORDS, SUB_U, SUB_W, ONE_U, ONE_W)
+            df = rows(numbered, COUNTED).unionAll(rows(counted, SUB_U, SUB_W, ONE_U, ONE_W))
         else:
-            df = word_static().unionAll(rows(words, WORD_SEATING)).unionAll(rows(pairs, SUM_U, SUM_W))
-            df = df.unionAll(rows(counted, WORD_PLAN)) if last else df
+            df = rows(linked, WORD_STATE, LINK_U, LINK_W).unionAll(rows(words, WORD_SEATING)).unionAll(rows(pairs, SUM_U, SUM_W))
+            df = df.unionAll(rows(numbered, WORD_PLAN)) if last else df
             g0 = np.random.default_rng([SEED, sweep]).gamma(py.THETA / scalars["d0"] + scalars["tables"])
             scalars["strength"] = scalars["d0"] * g0 / (distinct + 1)
-        before, words = (None if sweep == 0 else words), step(df, _words_step(sweep, nodes, dict(scalars), last))
+        before, words = words, step(df, _words_step(sweep, nodes, dict(scalars), last))
         linked = linked or words
         customers, tables, ones, twos, t = (int(x) for x in all_of(words))
         if sweep == 0:
@@ -376,7 +391,8 @@ def score(docs: DataFrame, held_out, trace: list | None = None) -> DataFrame:
         before, pairs = pairs, step(df, _pairs_step(sweep, nodes, dict(scalars)))
         if before:
             discard(spark, before)
-    answers = rows(words, WORD_ANSWER).unionAll(rows(counted, PAIR_STATE, PAIR_PLAN).unionAll(rows(pairs, PAIR_SEATING)).groupBy("node").applyInArrow(_pairs_answer, SCHEMA))
+    answers = rows(words, WORD_ANSWER).unionAll(rows(numbered, NUMBERS))
+    answers = answers.unionAll(rows(counted, PAIR_STATE, PAIR_PLAN).unionAll(rows(pairs, PAIR_SEATING)).groupBy("node").applyInArrow(_pairs_answer, SCHEMA))
     none = [F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("doc_id", "held")]
     whole = texts.select("node", F.lit(TEXTS).alias("kind"), F.lit(0).cast("long").alias("src"), "data", "doc_id", "held").unionAll(answers.select("*", *none))
     kind = docs.schema["doc_id"].dataType.simpleString()

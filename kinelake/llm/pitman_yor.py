@@ -28,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 
 THETA = 1.0
-TABULATED, TRIES = 1024, 3
+TABULATED, TRIES = 128, 3
 _CELLS = 1 << 21
 
 
@@ -119,25 +119,47 @@ def table_sizes(u: np.ndarray, d: float, most: int) -> np.ndarray:
         n += up.astype(float) - down
 
 
-def _by_sizes(key: int, sweep: int, c: int, z: float, d: float, tables: int, rest: int) -> tuple[int, int]:
-    """Update one dish with many customers: (tables, customers of its last table)."""
-    rng = np.random.Generator(np.random.Philox(key=[key, sweep]))
-    weight = lambda r: float(_log_sizes(np.array([float(r)]), d)[0])
-    tables, rest, now = (tables, rest, weight(rest)) if tables else (1, c, -np.inf)
-    for _ in range(TRIES):
-        others = int(rng.poisson(z / d))
-        r, left, largest, equal = c, others, 0, 0
-        while left and r >= largest:
-            sizes = table_sizes(rng.random(min(left, 1 << 20)), d, c)
-            left -= len(sizes)
-            r -= int(sizes.sum())
-            top = int(sizes.max())
-            equal = (equal if top <= largest else 0) + (int((sizes == top).sum()) if top >= largest else 0)
-            largest = max(top, largest)
-        chance, tie = np.log(rng.random()), rng.random()
+def _other_tables(key: np.ndarray, stream: int, count: np.ndarray, others: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Draw the sizes of `others` tables of each dish: their sum, the largest, and how many are of that size."""
+    out = np.zeros((3, len(key)), np.int64)
+    edge = np.concatenate([[0], np.cumsum(others)])
+    i = 0
+    while i < len(key):
+        j = max(i + 1, int(np.searchsorted(edge, edge[i] + _CELLS, side="right")) - 1)
+        for low in range(0, int(others[i]) if j == i + 1 else 1, _CELLS):  # a dish with very many tables goes in parts
+            n = np.minimum(others[i:j] - low, _CELLS)
+            some = np.flatnonzero(n > 0)
+            if not len(some):
+                continue
+            start = np.concatenate([[0], np.cumsum(n[some])])
+            of = i + np.repeat(some, n[some])
+            size = table_sizes(uniform(key[of], stream, low + np.arange(start[-1]) - np.repeat(start[:-1], n[some])), d, int(count[i:j].max()))
+            at, top = i + some, np.maximum.reduceat(size, start[:-1])
+            equal = np.add.reduceat((size == np.repeat(top, n[some])).astype(np.int64), start[:-1])
+            out[0, at] += np.add.reduceat(size, start[:-1])
+            out[2, at] = np.where(top > out[1, at], equal, out[2, at] + np.where(top == out[1, at], equal, 0))
+            out[1, at] = np.maximum(out[1, at], top)
+        i = j
+    return out[0], out[1], out[2]
+
+
+def _by_sizes(key: np.ndarray, sweep: int, count: np.ndarray, z: np.ndarray, d: float, tables: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Update dishes with many customers: (tables, customers of the last table); rest <= 0: there is no seating yet."""
+    tables, rest = np.where(rest > 0, tables, 1), np.where(rest > 0, rest, count)
+    now = _log_sizes(rest.astype(float), d)
+    number = [np.random.Generator(np.random.Philox(key=[k, sweep])).poisson(x, TRIES) for k, x in zip(key.tolist(), (z / d).tolist(), strict=True)]
+    number = np.array(number, np.int64).reshape(len(key), TRIES)
+    for turn in range(TRIES):
+        stream = -2 - sweep * TRIES - turn
+        others = number[:, turn]
+        total, largest, equal = _other_tables(key, stream, count, others, d)
+        r = count - total
+        chance, tie = (uniform(mixed(key), stream, k) for k in range(2))
         # The last table is a largest one: of several, by chance.
-        if r > 0 and r >= largest and (r > largest or tie * (equal + 1) < 1) and chance < (new := weight(r)) - now:
-            tables, rest, now = others + 1, r, new
+        good = (r > 0) & ((r > largest) | ((r == largest) & (tie * (equal + 1) < 1)))
+        new = _log_sizes(np.where(good, r, 1).astype(float), d)
+        good &= np.log(chance) < new - now
+        tables, rest, now = np.where(good, others + 1, tables), np.where(good, r, rest), np.where(good, new, now)
     return tables, rest
 
 
@@ -156,10 +178,11 @@ def reseat(key: np.ndarray, sweep: int, count: np.ndarray, z: np.ndarray, d: flo
         for k in range(i, j, max(1, _CELLS // c)):
             own = few[k : min(j, k + max(1, _CELLS // c))]
             out[own] = _from_table(key[own], sweep, c, z[own], d)
-    for i in np.flatnonzero(count > TABULATED).tolist():
-        c, last = int(count[i]), int(count[i] - others[i])
-        out[i], last = _by_sizes(int(key[i]), sweep, c, float(z[i]), d, int(tables[i]) if last > 0 else 0, last)
-        size[i] = c - last
+    many = np.flatnonzero(count > TABULATED)
+    if len(many):
+        last = np.where(tables[many] > 0, count[many] - others[many], 0)
+        out[many], last = _by_sizes(key[many], sweep, count[many], z[many], d, tables[many], last)
+        size[many] = count[many] - last
     return out, size
 
 
