@@ -47,10 +47,21 @@ def is_fold(key: str, n: int, k: int) -> Column:
 
 
 def give_way(df: DataFrame, *names: str) -> DataFrame:
-    """df without columns that an operator adds or uses itself: its own take their place."""
+    """df without columns that an operator adds: its own take their place."""
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in names))
 
 
+def packed(docs: DataFrame, *apart: str) -> DataFrame:
+    """(_rest, columns `apart`): all other columns of docs are fields of _rest, where no operator's own column can clash with them."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in apart]
+    return docs.select(F.struct(*(rest or [F.lit(0).alias("_none")])).alias("_rest"), *(F.col(c).alias(c) for c in apart))
+
+
+def unpacked(docs: DataFrame, *apart: str, without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of docs, in its order, from what `packed(docs, *apart)` gave."""
+    return [F.col(f"`{c}`" if c.lower() in apart else f"_rest.`{c}`").alias(c) for c in docs.columns if c.lower() not in without]
+
+
 def settled(df: DataFrame, kept: list[str], made: list[str]) -> DataFrame:
     """kept and made columns of df; filters on the made ones stay above the place where these are computed.
 

@@ -338,7 +338,6 @@ def score(docs: DataFrame, held_out, trace: list | None = None) -> DataFrame:
     """
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out)
     spark = docs.sparkSession
-    kept = []  # tables of the steps before
 
     def step(df: DataFrame, run) -> str:
         return keep(df.groupBy("node").applyInArrow(run, SCHEMA), "kind")
@@ -391,8 +390,9 @@ def score(docs: DataFrame, held_out, trace: list | None = None) -> DataFrame:
         before, pairs = pairs, step(df, _pairs_step(sweep, nodes, dict(scalars)))
         if before:
             discard(spark, before)
-    answers = rows(words, WORD_ANSWER).unionAll(rows(numbered, NUMBERS))
-    answers = answers.unionAll(rows(counted, PAIR_STATE, PAIR_PLAN).unionAll(rows(pairs, PAIR_SEATING)).groupBy("node").applyInArrow(_pairs_answer, SCHEMA))
+    told = step(rows(counted, PAIR_STATE, PAIR_PLAN).unionAll(rows(pairs, PAIR_SEATING)), _pairs_answer)
+    discard(spark, counted, pairs, linked)
+    answers = rows(words, WORD_ANSWER).unionAll(rows(numbered, NUMBERS)).unionAll(rows(told, PAIR_ANSWER))
     none = [F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("doc_id", "held")]
     whole = texts.select("node", F.lit(TEXTS).alias("kind"), F.lit(0).cast("long").alias("src"), "data", "doc_id", "held").unionAll(answers.select("*", *none))
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -116,13 +116,41 @@ def test_one_of_each_keeps_one_row_of_a_repeated_document(spark, odd):
 # --- op8
 
 
-def test_decontaminate_in_blocks(spark, documents):
-    benchmark = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").unionByName(spark.createDataFrame([(900, "the"), (901, "of the")], "item_id long, text string"))
-    columns = ["doc_id", "n_words", "n_hit", F.array_sort("items").alias("i")]
-    whole = sorted(map(repr, decontaminate.decontaminate(documents, benchmark).select(columns).collect()))
-    blocks = decontaminate.index_blocks(documents, benchmark, 2_000)
-    assert len(blocks) > 2
-    assert sorted(map(repr, decontaminate.decontaminate(documents, benchmark, 2_000).select(columns).collect())) == whole
+ALNUM = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def hits_of(text, windows):
+    """(n_words, hit words, ids) of a text, given the ids of each window."""
+    w = ALNUM.findall(lower(text))
+    hit, ids = set(), set()
+    for n in {len(x) for x in windows}:
+        for i in range(len(w) - n + 1):
+            if tuple(w[i : i + n]) in windows:
+                hit.update(range(i, i + n))
+                ids |= windows[tuple(w[i : i + n])]
+    return len(w), hit, ids
+
+
+def test_decontaminate(spark, documents, odd, monkeypatch):
+    """Short items, repeated item rows, NULLs; a full filter and salted joins give the same."""
+    first = documents.where("length(text) > 400").first()["text"].split()
+    extra = [(900, "the"), (901, "of the"), (902, " ".join(first[3:9])), (7, " ".join(first[5:30])), (7, " ".join(first[5:30])), (8, " ".join(first[5:30])), (None, "a"), (903, None), (904, "?")]
+    benchmark = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").unionByName(spark.createDataFrame(extra, "item_id long, text string"))
+    windows = collections.defaultdict(set)
+    for r in benchmark.collect():
+        w = ALNUM.findall(lower(r["text"]))
+        if r["item_id"] is not None and w:
+            for i in range(max(1, len(w) - 9)):
+                windows[tuple(w[i : i + 10])].add(str(r["item_id"]))
+    docs = documents.unionByName(odd)
+    want = sorted((repr(r["doc_id"]), n, len(hit), sorted(ids)) for r in docs.collect() for n, hit, ids in [hits_of(r["text"], windows)])
+    assert any(len(x[3]) > 1 for x in want)
+    for power, most in ((28, 16 << 20), (10, 0)):
+        monkeypatch.setattr(decontaminate, "FILTER_POWER", power)
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
+        rows = decontaminate.decontaminate(docs, benchmark).collect()
+        assert sorted((repr(r["doc_id"]), r["n_words"], r["n_hit"], sorted(r["items"])) for r in rows) == want
+        assert all(r["n_hit"] == sum(s["last"] - s["first"] + 1 for s in r["spans"]) for r in rows)
 
 
 def test_windows_overlap_and_repeat(spark):
