@@ -35,8 +35,7 @@ def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return found.where("n_hit = 0").select(*docs.columns)
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
