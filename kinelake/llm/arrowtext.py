@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text handled at once inside a worker; one longer text is handled alone.
 SLICE_BYTES = 1 << 20
@@ -105,3 +106,10 @@ def alnum_words(array: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words of letters, digits and bytes beyond ASCII, A-Z lower-cased, and their bounds."""
     raw, offsets = buffers(array)
     return words(strings(_ALNUM[raw], offsets))
+
+
+def hashed(found: pa.Array) -> np.ndarray:
+    """XXH64 (seed 42) of each word."""
+    codes, values = coded(found)
+    hashes = np.array([xxhash.xxh64_intdigest(x, seed=42) for x in values.cast(pa.binary()).to_pylist()], np.uint64)
+    return hashes[codes] if len(codes) else hashes

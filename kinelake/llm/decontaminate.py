@@ -41,9 +41,7 @@ _ITEMS = "array<string>"
 def hashed_words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and the bounds of each text's."""
     found, bounds = at.alnum_words(array)
-    codes, values = at.coded(found)
-    hashes = np.array([xxhash.xxh64_intdigest(x, seed=42) for x in values.cast(pa.binary()).to_pylist()], np.uint64)
-    return (hashes[codes] if len(codes) else hashes), bounds
+    return at.hashed(found), bounds
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:

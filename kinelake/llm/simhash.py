@@ -8,6 +8,12 @@ stored vertically: one word holds the same bit of 64 fingerprints. Distances to
 fingerprints are then kept as a few vertical counters, updated by carry-save additions,
 and a block of comparisons is abandoned as soon as all of them exceed the radius.
 
+For near copies in a wider sense (`similar`: a Jaccard similarity of word shingles of 0.8 or
+more) fingerprints may differ in up to SIMILAR_RADIUS bits. Buckets are then the smallest
+hashes of a text's shingles under KEYS orders, one of which two such texts share but in one
+case of 600; pairs within the radius are compared by sketches of their shingles, which are
+the whole sets for texts of up to SKETCH shingles.
+
 A task emits at most one link for each row it holds (to its root in the bucket), never
 pairs. Buckets over BUCKET rows are split into chunks, and each two chunks meet in a
 task of their own, so no task holds more than about two chunks of one bucket.
@@ -26,8 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.llm import arrowtext as at
-from kinelake.llm.common import cut, give_way, table
+from kinelake.llm.common import cut, give_way, table, written
 from kinelake.llm.components import components
+from kinelake.llm.pitman_yor import mixed
 
 SHINGLE, RADIUS = 4, 4
 BLOCKS = (10, 9, 9, 9, 9, 9, 9)
@@ -38,6 +45,9 @@ _SMALL = 48
 _TILE = 256
 _LANES = 1 << 18
 _BROADCAST_KEYS = 50_000
+# Near copies by similarity: words a shingle, the least similarity, bits that fingerprints may differ in, orders, hashes a sketch.
+SIMILAR_SHINGLE, SIMILARITY, SIMILAR_RADIUS, KEYS, SKETCH = 5, 0.8, 16, 4, 256
+_NONE = np.uint32(0xFFFFFFFF)
 
 
 def fingerprint(array: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
@@ -165,8 +175,42 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def _linked(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (sorted by group) with the root each is linked to, for rows that aren't roots."""
+def alike(sketch: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of sketches (sorted, distinct, padded with _NONE) have at least the similarity.
+
+    Of two whole sets it is exact, else it is estimated from the SKETCH smallest hashes of the union.
+    """
+    out = np.zeros(len(i), bool)
+    for k in range(0, len(i), 4096):
+        a, b = sketch[i[k : k + 4096]], sketch[j[k : k + 4096]]
+        both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+        twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _NONE)
+        new = np.concatenate([np.ones((len(both), 1), bool), both[:, 1:] != both[:, :-1]], axis=1) & (both != _NONE)
+        rank = np.cumsum(new, axis=1)
+        cut_off = np.where((a[:, -1] != _NONE) | (b[:, -1] != _NONE), sketch.shape[1], 2 * sketch.shape[1])[:, None]
+        shared = (twice & (rank[:, 1:] <= cut_off)).sum(axis=1)
+        out[k : k + 4096] = shared >= similarity * np.minimum(rank[:, -1], cut_off[:, 0])
+    return out
+
+
+def _unite_alike(parent: np.ndarray, q: np.ndarray, j: np.ndarray, test) -> None:
+    """Unite the pairs that pass the test; pairs that others have united already aren't tested."""
+    while True:
+        apart = _root(parent, q) != _root(parent, j)
+        q, j = q[apart], j[apart]
+        if not len(q):
+            return
+        first = np.unique(j, return_index=True)[1]
+        good = test(q[first], j[first])
+        unite(parent, q[first][good], j[first][good])
+        rest = np.ones(len(q), bool)
+        rest[first] = False
+        q, j = q[rest], j[rest]
+
+
+def _linked(group: np.ndarray, fp: np.ndarray, radius: int, test=None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (sorted by group) with the root each is linked to, for rows that aren't roots; test: of pairs within the radius, which are linked."""
+    join = unite if test is None else partial(_unite_alike, test=test)
     n = len(group)
     parent = np.arange(n)
     start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
@@ -177,10 +221,10 @@ def _linked(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray,
         for k in range(0, len(i), _LANES):
             own = i[k : k + _LANES]
             own = own[close_pairs(fp[own], fp[own + d], radius)]
-            unite(parent, own, own + d)
+            join(parent, own, own + d)
     for s, m in zip(start[size > _SMALL].tolist(), size[size > _SMALL].tolist(), strict=True):
         for q, j in close_in_group(fp[s : s + m], radius):
-            unite(parent, q + s, j + s)
+            join(parent, q + s, j + s)
     root = _root(parent, np.arange(n))
     moved = np.flatnonzero(root != np.arange(n))
     return moved, root[moved]
@@ -199,13 +243,16 @@ def _bucket_keys(fp: Column) -> Column:
     return F.array(*keys)
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, keys: Column | None = None, similarity: float | None = None) -> DataFrame:
     """(a, b) links between nodes (fp, node) with fp at most `radius` bits apart.
 
     Not all links: each bucket gives a spanning set of its own, which connects whatever
-    is connected. `radius` may be less than RADIUS, not more.
+    is connected. keys: the buckets of a row, by default those of fingerprints at most
+    RADIUS bits apart. With a similarity, only pairs are linked whose column `sketch` has it.
     """
-    placed = nodes.select("fp", "node", F.explode(_bucket_keys(F.col("fp"))).alias("key"))
+    more = [] if similarity is None else ["sketch"]
+    keys = _bucket_keys(F.col("fp")) if keys is None else keys
+    placed = nodes.select("fp", "node", *more, F.explode(keys).alias("key"))
     hot = cut(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("key", F.ceil(F.col("n") / bucket).cast("int").alias("chunks")))
     n_hot = hot.count()
     whole = placed.withColumn("part", F.lit(0).cast("long"))
@@ -216,17 +263,24 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataF
             "CASE WHEN chunks IS NULL THEN array(0L) ELSE transform(filter(sequence(0, chunks - 1), d -> d <> own),"
             " d -> 1L + CAST(least(own, d) AS BIGINT) * chunks + greatest(own, d)) END"
         )
-        whole = joined.select("fp", "node", "key", F.explode(meets).alias("part"))
+        whole = joined.select("fp", "node", *more, "key", F.explode(meets).alias("part"))
     dealt = whole.repartition("key", "part").sortWithinPartitions("key", "part", "fp")
 
     def run(batches):
         held = None
-        columns = lambda b: [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "fp", "node")]
+
+        def columns(batch):
+            out = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "fp", "node")]
+            if more:
+                raw, _ = at.buffers(batch.column("sketch").cast(pa.binary()))
+                out.append(raw.view(np.uint32).reshape(batch.num_rows, -1))
+            return out
 
         def work(rows):
-            key, part, fp, node = rows
+            key, part, fp, node, *sketch = rows
             group = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
-            moved, root = _linked(group, fp.view(np.uint64), radius)
+            test = (lambda i, j: alike(sketch[0], i, j, similarity)) if sketch else None
+            moved, root = _linked(group, fp.view(np.uint64), radius, test)
             return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root])], ["a", "b"])
 
         for batch in batches:
@@ -263,21 +317,86 @@ def near_duplicates(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame
     return joined.select("doc_id", *carried, "fp", F.when(F.col("doc_id").isNotNull(), F.col("_c")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each near-duplicate component: the one with the smallest doc_id.
+def sketches(array: pa.Array, shingle: int = SIMILAR_SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: fingerprint (0 without words), [KEYS] smallest hashes and [SKETCH] smallest 32-bit hashes of its word shingles.
+
+    A text of fewer words is one shingle; without words keys are 0 and the sketch is empty.
+    """
+    found, bounds = at.words(pc.ascii_lower(array))
+    words, count = at.hashed(found), np.diff(bounds)
+    n, some = len(count), np.flatnonzero(count > 0)
+    many = np.maximum(1, count[some] - shingle + 1)
+    edge = np.concatenate([[0], np.cumsum(many)])
+    first = np.arange(edge[-1]) + np.repeat(bounds[some] - edge[:-1], many)
+    end = np.repeat(bounds[some + 1], many)
+    hashes = np.full(len(first), 11, np.uint64)
+    for k in range(shingle):
+        inside = first + k < end
+        hashes[inside] = mixed(hashes[inside] + words[first[inside] + k])
+    out, keys, sketch = np.zeros(n, np.uint64), np.zeros((n, KEYS), np.uint64), np.full((n, SKETCH), _NONE)
+    if not len(some):
+        return out, keys, sketch
+    for i in range(0, len(some), 64):  # a few texts at a time: bits take 64 bytes a shingle
+        j = min(i + 64, len(some))
+        ones = np.zeros((j - i, 64), np.int64)
+        for low in range(edge[i], edge[j], 1 << 18):
+            high = min(edge[j], low + (1 << 18))
+            bits = np.unpackbits(hashes[low:high].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            cuts = np.clip(edge[i : j + 1], low, high) - low
+            full = np.flatnonzero(np.diff(cuts))
+            ones[full] += np.add.reduceat(bits, cuts[:-1][full], axis=0, dtype=np.int64)
+        out[some[i:j]] = np.ascontiguousarray(np.packbits(2 * ones > many[i:j, None], axis=1, bitorder="little")).view(np.uint64)[:, 0]
+    for k in range(KEYS):
+        keys[some, k] = np.minimum.reduceat(mixed(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)), edge[:-1])
+    small = np.minimum((hashes >> np.uint64(32)).astype(np.uint32), _NONE - np.uint32(1))
+    for k, i in enumerate(some.tolist()):
+        own = np.unique(small[edge[k] : edge[k + 1]])[:SKETCH]
+        sketch[i, : len(own)] = own
+    return out, keys, sketch
+
+
+def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, radius: int = SIMILAR_RADIUS) -> DataFrame:
+    """(_rest, component_id) of rows (_rest, doc_id, text): documents linked by near copies, of word shingles.
+
+    Equal fingerprints are one node. component_id is the smallest doc_id reachable. NULL and
+    empty texts have no words and are copies of each other. A row without doc_id gets no
+    component_id.
+    """
+    carried = [c for c in docs.columns if c != "text"]
+
+    def run(batches):
+        for batch in at.slices(batches):
+            fp, keys, sketch = sketches(at.texts(batch.column("text")), shingle)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), KEYS).cast(pa.list_(pa.int64()))
+            raw = pa.array([row.tobytes() for row in sketch], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(fp.view(np.int64)), lists, raw], [*carried, "fp", "keys", "sketch"])
+
+    plain = docs.drop("text").withColumns({"fp": F.lit(0).cast("long"), "keys": F.lit(None).cast("array<bigint>"), "sketch": F.lit(None).cast("binary")})
+    own = written(docs.mapInArrow(run, plain.schema))
+    nodes = written(own.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys"), F.min_by("sketch", "doc_id").alias("sketch")))
+    held = F.transform("keys", lambda k: F.xxhash64(k))  # equal smallest hashes under two orders are one bucket
+    found = components(links(nodes, radius, keys=F.array_distinct(held), similarity=similarity))
+    labelled = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    joined = own.select(*carried, "fp").join(labelled, "fp", "left")
+    return joined.select(*carried, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one document of each component of near copies (`similar`): the one with the smallest doc_id (actions).
 
     Of rows that share this doc_id, the one whose text has the smallest hash stays, once.
-    Rows without doc_id stay.
+    Rows without doc_id stay. NULL and empty texts are copies of each other. An empty table
+    stays empty, very long texts are read whole, and all columns keep their names and values.
     """
-    columns = docs.columns
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    found = cut(near_duplicates(keyed, ("_text",)).where("doc_id IS NOT NULL").select("doc_id", "_text", "component_id"))
-    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "_text")).alias("k")).select("k.*")
-    stay = keyed.join(kept, ["doc_id", "_text"], "left_semi")
-    again = found.groupBy("doc_id", "_text").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_rest"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
+    keyed = keyed.withColumn("hash", F.xxhash64("text"))
+    found = written(similar(keyed.select("doc_id", "hash", "text"), similarity).where("doc_id IS NOT NULL"))
+    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "hash")).alias("k")).select("k.*")
+    stay = keyed.join(kept, ["doc_id", "hash"], "left_semi")
+    again = found.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not again.isEmpty():
-        stay = stay.dropDuplicates(["doc_id", "_text"])
-    return stay.select(*columns).unionAll(docs.where("doc_id IS NULL"))
+        stay = stay.dropDuplicates(["doc_id", "hash"])
+    return stay.select("_rest.*").unionAll(keyed.where("doc_id IS NULL").select("_rest.*"))
 
 
 def query(spark, sf_dir):
