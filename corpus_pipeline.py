@@ -13,11 +13,6 @@ from kinelake.llm import decontaminate, line_dedup, quality_rules, sentencepiece
 from kinelake.llm.common import table, written
 
 
-def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """docs with n_chars brought up to date."""
-    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules.keep(docs)
@@ -25,11 +20,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that are boilerplate of their source."""
-    return _sized(line_dedup.drop_boilerplate(docs, F.col("source")), docs.columns)
+    return line_dedup.clean(docs, F.col("source"))
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest doc_id."""
     return simhash.one_of_each(docs)
 
 
