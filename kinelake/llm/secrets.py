@@ -2,13 +2,15 @@
 
 All of it is DataFrame expressions on one row at a time: no shuffle, no Python on the
 executors. Known formats are found by regular expressions; the places of matches are
-rebuilt from the lengths of the texts between them. Other long tokens with letters and
-digits are tested against "drawn uniformly from the alphabet of its encoding" in three
-ways: chi-squared on the symbol counts, runs above and below the middle of the alphabet,
-and lag-1 serial correlation. The smallest of the three p-values, times three, is the
-token's. Over the tokens of a text the Benjamini-Hochberg procedure at level FDR, with
-weights proportional to token length (long tokens carry more evidence), decides which are
-not random; the rest are reported as `random`.
+rebuilt from the lengths of the texts between them. Other long tokens of two or more kinds of
+characters are tested against being ordinary ones (identifiers, slugs, file names), by the
+alphabet of the encoding that their characters suggest, in three ways: the chi-squared
+statistic of the symbol counts is lower than ordinary letter use gives, runs of one kind of
+character are more, and the lag-1 serial correlation is lower. Fisher's method joins the
+three p-values. Over the tokens of a text the Benjamini-Hochberg procedure at level FDR,
+with weights proportional to token length (long tokens carry more evidence), decides which
+are too random to be ordinary: these are reported as `random`, so that the share of ordinary
+tokens among them is bounded.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import give_way, settled, table
+from kinelake.llm.common import packed, settled, table, unpacked
 
 # Formats of the known kinds, in their order. A match of "assign" counts if its value has 12 characters.
 ASSIGN = (
@@ -27,8 +29,14 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"  # the same matches as AKIA[A-Z0-9]+ of 18 or more
 HEX = r"[0-9a-f]{16,}"  # the same as [0-9a-f]+ of 16 or more
 KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE = 12
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-FDR = 0.05
+CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+# Fixed values, by encoding (16, 36, 62 and 64 symbols), of ordinary tokens: the chance that two of their symbols are
+# equal (the chi-squared statistic as a rate), the share of neighbours of different kinds (lower, upper, digit, other) and
+# the serial correlation; and the spread of each, times the root of the length.
+EQUAL, EQUAL_SPREAD = (0.090, 0.037, 0.036, 0.049), (0.13, 0.12, 0.06, 0.11)
+CHANGE, CHANGE_SPREAD = (0.20, 0.10, 0.31, 0.30), (0.45, 0.40, 0.52, 0.46)
+CORRELATION, CORRELATION_SPREAD = (0.20, 0.25, 0.10, 0.20), (1.30, 1.20, 1.40, 1.45)
+FDR = 0.01
 _SPAN = "array<struct<start:int,kind:int,stop:int>>"
 _BLOCK = 256
 
@@ -78,47 +86,42 @@ def upper_tail(z: str) -> str:
 
 
 def battery(candidates: str) -> Column:
-    """Structs (start, stop, n, p) of an array of structs (start, stop, found)."""
+    """Structs (start, stop, n, p) of an array of structs (start, stop, found): p under the hypothesis of an ordinary token."""
     lower, digits, upper = "abcdefghijklmnopqrstuvwxyz", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    # The encoding inferred from a token's characters, and the token as that encoding writes it.
-    coded = f"""transform({candidates}, c -> named_struct('start', c.start, 'stop', c.stop,
-        'alphabet', CASE WHEN rlike(c.found, '^[0-9a-fA-F]+$') THEN '{digits}abcdef'
-                         WHEN rlike(c.found, '^([0-9a-z]+|[0-9A-Z]+)$') THEN '{digits}{lower}'
-                         WHEN rlike(c.found, '^[0-9A-Za-z]+$') THEN '{digits}{upper}{lower}'
-                         ELSE '{upper}{lower}{digits}+/' END,
-        'token', CASE WHEN rlike(c.found, '^([0-9a-z]+|[0-9A-Z]+|[0-9a-fA-F]+)$') THEN lower(c.found)
-                      WHEN rlike(c.found, '^[0-9A-Za-z]+$') THEN c.found
+    alphabets = [f"{digits}abcdef", f"{digits}{lower}", f"{digits}{upper}{lower}", f"{upper}{lower}{digits}+/"]
+    kinds = "a" * 26 + "A" * 26 + "0" * 10
+    # The encoding inferred from a token's characters, and the token as that encoding writes it (UUIDs without their dashes).
+    coded = f"""transform({candidates}, c -> named_struct('start', c.start, 'stop', c.stop, 'found', c.found,
+        'e', CASE WHEN rlike(c.found, '^[0-9a-fA-F]+(-[0-9a-fA-F]+)*$') THEN 0 WHEN rlike(c.found, '^([0-9a-z]+|[0-9A-Z]+)$') THEN 1
+                  WHEN rlike(c.found, '^[0-9A-Za-z]+$') THEN 2 ELSE 3 END))"""
+    written_ = f"""transform({coded}, c -> named_struct('start', c.start, 'stop', c.stop, 'e', c.e,
+        'alphabet', get(array({", ".join(f"'{a}'" for a in alphabets)}), c.e),
+        'token', CASE WHEN c.e = 0 THEN lower(replace(c.found, '-', '')) WHEN c.e = 1 THEN lower(c.found) WHEN c.e = 2 THEN c.found
                       ELSE translate(rtrim('=', c.found), '-_=', '+/') END))"""
-    valued = f"""transform({coded}, c -> named_struct('start', c.start, 'stop', c.stop, 'alphabet', c.alphabet, 'token', c.token,
-        'k', CAST(length(c.alphabet) AS DOUBLE), 'n', CAST(length(c.token) AS DOUBLE),
+    constant = lambda values: f"get(array({', '.join(f'{v}D' for v in values)}), c.e)"
+    valued = f"""transform({written_}, c -> named_struct('start', c.start, 'stop', c.stop, 'e', c.e, 'alphabet', c.alphabet, 'token', c.token,
+        'n', CAST(length(c.token) AS DOUBLE),
+        'kinds', split(translate(c.token, '{lower}{upper}{digits}', '{kinds}'), ''),
         'v', transform(split(c.token, ''), x -> CAST(instr(c.alphabet, x) - 1 AS DOUBLE))))"""
-    counted = f"""transform({valued}, c -> named_struct('start', c.start, 'stop', c.stop, 'k', c.k, 'n', c.n, 'v', c.v,
-        'squares', aggregate(transform(sequence(1, CAST(c.k AS INT)), j -> CAST(length(c.token) - length(replace(c.token, substr(c.alphabet, j, 1), '')) AS DOUBLE)), 0D, (a, x) -> a + x * x),
-        'high', transform(c.v, x -> CASE WHEN x >= c.k / 2 THEN 1D ELSE 0D END),
+    counted = f"""transform({valued}, c -> named_struct('start', c.start, 'stop', c.stop, 'e', c.e, 'n', c.n, 'v', c.v,
+        'squares', aggregate(transform(sequence(1, length(c.alphabet)), j -> CAST(length(c.token) - length(replace(c.token, substr(c.alphabet, j, 1), '')) AS DOUBLE)), 0D, (a, x) -> a + x * x),
+        'changes', aggregate(transform(c.kinds, (x, i) -> CASE WHEN i > 0 AND x <> get(c.kinds, i - 1) THEN 1D ELSE 0D END), 0D, (a, x) -> a + x),
         'mean', aggregate(c.v, 0D, (a, x) -> a + x) / c.n))"""
-    summed = f"""transform({counted}, c -> named_struct('start', c.start, 'stop', c.stop, 'k', c.k, 'n', c.n,
-        'chi', c.squares * c.k / c.n - c.n,
-        'above', aggregate(c.high, 0D, (a, x) -> a + x),
-        'runs', aggregate(transform(c.high, (x, i) -> CASE WHEN x = get(c.high, i - 1) THEN 0D ELSE 1D END), 0D, (a, x) -> a + x),
+    summed = f"""transform({counted}, c -> named_struct('start', c.start, 'stop', c.stop, 'e', c.e, 'n', c.n,
+        'equal', (c.squares - c.n) / (c.n * (c.n - 1D)), 'change', c.changes / (c.n - 1D),
         'spread', aggregate(c.v, 0D, (a, x) -> a + (x - c.mean) * (x - c.mean)),
         'lag', aggregate(transform(c.v, (x, i) -> CASE WHEN i > 0 THEN (x - c.mean) * (get(c.v, i - 1) - c.mean) ELSE 0D END), 0D, (a, x) -> a + x)))"""
-    both = "2D * c.above * (c.n - c.above)"
     scored = f"""transform({summed}, c -> named_struct('start', c.start, 'stop', c.stop, 'n', c.n,
-        'z1', (pow(c.chi / (c.k - 1), 1D / 3D) - (1D - 2D / (9D * (c.k - 1)))) / sqrt(2D / (9D * (c.k - 1))),
-        'z2', CASE WHEN {both} > c.n THEN (c.runs - 1D - {both} / c.n) / sqrt({both} * ({both} - c.n) / (c.n * c.n * (c.n - 1D))) ELSE 9D END,
-        'z3', CASE WHEN c.spread > 0 THEN (c.lag / c.spread + 1D / c.n) * sqrt(c.n) ELSE 9D END))"""
-    p = f"least(1D, 3D * least({upper_tail('c.z1')}, 2D * {upper_tail('abs(c.z2)')}, 2D * {upper_tail('abs(c.z3)')}))"
-    return F.expr(f"transform({scored}, c -> named_struct('start', c.start, 'stop', c.stop, 'n', c.n, 'p', {p}))")
+        'z1', ({constant(EQUAL)} - c.equal) * sqrt(c.n) / {constant(EQUAL_SPREAD)},
+        'z2', (c.change - {constant(CHANGE)}) * sqrt(c.n) / {constant(CHANGE_SPREAD)},
+        'z3', CASE WHEN c.spread > 0 THEN ({constant(CORRELATION)} - c.lag / c.spread - 1D / c.n) * sqrt(c.n) / {constant(CORRELATION_SPREAD)} ELSE -9D END))"""
+    logs = " - ".join(f"ln(greatest(1e-12D, {upper_tail(f'c.z{i}')}))" for i in (1, 2, 3))
+    joined = f"transform({scored}, c -> named_struct('start', c.start, 'stop', c.stop, 'n', c.n, 's', -{logs}))"
+    return F.expr(f"transform({joined}, c -> named_struct('start', c.start, 'stop', c.stop, 'n', c.n, 'p', exp(-c.s) * (1D + c.s + c.s * c.s / 2D)))")
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """docs with base and spans: arrays of (start, kind, stop), kind a place in KINDS, stop exclusive.
-
-    base holds the known kinds, spans these and `random`, both by start, then kind. A NULL
-    text has none. Columns of these names give way.
-    """
-    docs = give_way(docs, "base", "spans", "_assign", "_access", "_hex", "_candidates", "_mixed", "_tested", "_mean", "_p", "_sorted", "_cut", "_random", "_text",
-                    "_hit", "_between", "_found", "_value", "_step", "_block", "_before", "_start", "_made")
+def found(docs: DataFrame) -> DataFrame:
+    """(_rest, text, base, spans) of docs packed with its text apart."""
     df = docs.withColumn("_text", F.coalesce("text", F.lit("")))
     df = _with_matches(df, ASSIGN, "_assign", 1)
     df = df.withColumn("_assign", F.expr(f"filter(_assign, m -> length(m.value) >= {LEAST_VALUE})"))
@@ -126,7 +129,7 @@ def find(docs: DataFrame) -> DataFrame:
         df = _with_matches(df, pattern, name)
     df = df.withColumn("base", F.sort_array(F.concat(_spans("_assign", "assign"), _spans("_access", "access"), _spans("_hex", "hex"))))
     mixed = (
-        "filter(_candidates, c -> rlike(c.found, '[0-9]') AND rlike(c.found, '[A-Za-z]')"
+        "filter(_candidates, c -> CAST(rlike(c.found, '[0-9]') AS INT) + CAST(rlike(c.found, '[a-z]') AS INT) + CAST(rlike(c.found, '[A-Z]') AS INT) > 1"
         " AND NOT exists(base, b -> b.start < c.stop AND b.stop > c.start))"
     )
     df = df.withColumn("_mixed", F.expr(mixed))
@@ -136,10 +139,21 @@ def find(docs: DataFrame) -> DataFrame:
     df = df.withColumn("_p", F.expr("transform(_tested, c -> c.p * _mean / c.n)"))
     df = df.withColumn("_sorted", F.sort_array("_p"))
     df = df.withColumn("_cut", F.expr(f"coalesce(array_max(filter(_sorted, (x, i) -> x <= {FDR}D * (i + 1) / size(_sorted))), -1D)"))
-    random = F.expr("filter(transform(_tested, (c, i) -> named_struct('start', c.start, 'stop', c.stop, 'stays', get(_p, i) > _cut)), c -> c.stays)")
+    random = F.expr("filter(transform(_tested, (c, i) -> named_struct('start', c.start, 'stop', c.stop, 'goes', get(_p, i) <= _cut)), c -> c.goes)")
     df = df.withColumn("_random", random)
     df = df.withColumn("spans", F.sort_array(F.concat("base", _spans("_random", "random"))))
-    return settled(df, docs.columns, ["base", "spans"])
+    return settled(df, ["_rest", "text"], ["base", "spans"])
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """docs with base and spans: arrays of (start, kind, stop), kind a place in KINDS, stop exclusive.
+
+    base holds the known kinds, spans these and `random`, both by start, then kind. A NULL or
+    empty text has none, an empty table stays empty, repeated rows are each scanned, and a
+    very long text is scanned whole. A candidate that overlaps a known kind isn't tested.
+    Columns of docs named base or spans give way; all others keep their values.
+    """
+    return found(packed(docs, "text")).select(*unpacked(docs, "text", without=("base", "spans")), "base", "spans")
 
 
 def written(spans: Column) -> Column:

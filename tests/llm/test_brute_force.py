@@ -214,43 +214,64 @@ def tail(z):
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
+def ordinary(t):
+    """(length, p-value) of a token under the hypothesis that it is an ordinary one."""
+    d, l, u = string.digits, string.ascii_lowercase, string.ascii_uppercase
+    if re.fullmatch("[0-9a-fA-F]+(-[0-9a-fA-F]+)*", t):
+        e, alphabet, t = 0, d + "abcdef", t.replace("-", "").lower()
+    elif re.fullmatch("[0-9a-z]+|[0-9A-Z]+", t):
+        e, alphabet, t = 1, d + l, t.lower()
+    elif re.fullmatch("[0-9A-Za-z]+", t):
+        e, alphabet = 2, d + u + l
+    else:
+        e, alphabet, t = 3, u + l + d + "+/", t.replace("-", "+").replace("_", "/").replace("=", "")
+    v, kind = [alphabet.index(c) for c in t], [next((i for i, x in enumerate((d, l, u)) if c in x), c) for c in t]
+    n, mean = len(v), sum(v) / len(v)
+    equal = (sum(v.count(j) ** 2 for j in set(v)) - n) / (n * (n - 1))
+    change = sum(a != b for a, b in zip(kind[1:], kind[:-1], strict=True)) / (n - 1)
+    spread = sum((x - mean) ** 2 for x in v)
+    lag = sum((v[i] - mean) * (v[i - 1] - mean) for i in range(1, n)) / spread + 1 / n if spread else 9
+    z1 = (secrets.EQUAL[e] - equal) * math.sqrt(n) / secrets.EQUAL_SPREAD[e]
+    z2 = (change - secrets.CHANGE[e]) * math.sqrt(n) / secrets.CHANGE_SPREAD[e]
+    z3 = (secrets.CORRELATION[e] - lag) * math.sqrt(n) / secrets.CORRELATION_SPREAD[e] if spread else -9
+    s = -sum(math.log(max(1e-12, tail(z))) for z in (z1, z2, z3))
+    return n, math.exp(-s) * (1 + s + s * s / 2)
+
+
+ORDINARY = """GetUserAccountDetails2024 product-catalog-item-00012345 thisisaverylongidentifier123 max_connections_per_host_v2 IMG_20240115_123456 /usr/local/lib/python3
+backup-2024-01-15-final internationalization20 DonaudampfschifffahrtsGesellschaft windows-server-2019-datacenter ProductCatalogServiceImpl2 version-2-0-0-release-candidate-1
+AbstractSingletonProxyFactoryBean article/2023/10/some-long-title-here kubernetes-cluster-node-01 handleClickOnSubmitButton3 test_should_return_404_when_missing
+SKU-000123456-RED-LARGE LC_ALL_en_US_UTF8 ISBN9783161484100abc customer_id_0000000017 section3paragraph12sentence4 readme-first-before-installing ThreeLittlePigsAndTheWolf2""".split()
+
+
+def test_ordinary_tokens_are_not_random():
+    """Random tokens of each encoding are told from ordinary ones."""
+    assert all(ordinary(t)[1] > secrets.FDR for t in ORDINARY), [(t, ordinary(t)[1]) for t in ORDINARY if ordinary(t)[1] <= secrets.FDR]
+    rng = random.Random(5)
+    for letters in ("0123456789abcdef", string.ascii_lowercase + string.digits, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"):
+        for size, share in ((20, 0.4), (32, 0.75), (44, 0.9)):
+            drawn = ["".join(rng.choices(letters, k=size)) for _ in range(300)]
+            found = sum(ordinary(t)[1] <= secrets.FDR for t in drawn if re.search("[0-9]", t) and re.search("[a-z]", t))
+            assert found >= share * 300, (letters, size, found)
+
+
 def secrets_of(text):
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
     base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
     base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
     base.sort()
     tested = []
-    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
         t = m[0]
-        if not (re.search("[0-9]", t) and re.search("[A-Za-z]", t)) or any(b[0] < m.end() and b[2] > m.start() for b in base):
+        if sum(bool(re.search(x, t)) for x in ("[0-9]", "[a-z]", "[A-Z]")) < 2 or any(b[0] < m.end() and b[2] > m.start() for b in base):
             continue
-        d, l, u = string.digits, string.ascii_lowercase, string.ascii_uppercase
-        if re.fullmatch("[0-9a-fA-F]+", t):
-            alphabet, t = d + "abcdef", t.lower()
-        elif re.fullmatch("[0-9a-z]+|[0-9A-Z]+", t):
-            alphabet, t = d + l, t.lower()
-        elif re.fullmatch("[0-9A-Za-z]+", t):
-            alphabet = d + u + l
-        else:
-            alphabet, t = u + l + d + "+/", t.replace("-", "+").replace("_", "/").replace("=", "")
-        v = [alphabet.index(c) for c in t]
-        n, k = len(v), len(alphabet)
-        chi = sum(v.count(j) ** 2 for j in range(k)) * k / n - n
-        z1 = ((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
-        high = [x >= k / 2 for x in v]
-        above, runs = sum(high), 1 + sum(high[i] != high[i - 1] for i in range(1, n))
-        both = 2 * above * (n - above)
-        z2 = (runs - 1 - both / n) / math.sqrt(both * (both - n) / (n * n * (n - 1))) if both > n else 9
-        mean = sum(v) / n
-        spread = sum((x - mean) ** 2 for x in v)
-        z3 = (sum((v[i] - mean) * (v[i - 1] - mean) for i in range(1, n)) / spread + 1 / n) * math.sqrt(n) if spread else 9
-        tested.append((m.start(), m.end(), n, min(1, 3 * min(tail(z1), 2 * tail(abs(z2)), 2 * tail(abs(z3))))))
+        tested.append((m.start(), m.end(), *ordinary(t)))
     spans = list(base)
     if tested:
         mean = sum(x[2] for x in tested) / len(tested)
         p = [x[3] * mean / x[2] for x in tested]
-        limit = max([x for i, x in enumerate(sorted(p)) if x <= 0.05 * (i + 1) / len(p)], default=-1)
-        spans += [(x[0], 3, x[1]) for x, q in zip(tested, p, strict=True) if q > limit]
+        limit = max([x for i, x in enumerate(sorted(p)) if x <= secrets.FDR * (i + 1) / len(p)], default=-1)
+        spans += [(x[0], 3, x[1]) for x, q in zip(tested, p, strict=True) if q <= limit]
     write = lambda s: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in s)
     return *(sum(b[1] == k for b in base) for k in range(3)), hashlib.sha256(write(base).encode()).hexdigest(), write(sorted(spans))
 
@@ -268,7 +289,7 @@ def secret_texts():
                 rng.choice(["password", "PassWord", "api_key", "apikey", "token", "secret"]) + rng.choice(["", '"']) + rng.choice([" :", "= ", '="']) + draw(letters + "+/_.=-", 0, 20),
                 draw(letters + "+/", 18, 50) + rng.choice(["", "=="]),
                 draw(string.ascii_lowercase + string.digits, 18, 40),
-                "thisisaverylongidentifier" + str(rng.randint(0, 99999)),
+                "thisisaverylongidentifier" + str(rng.randint(0, 99999)), rng.choice(ORDINARY), "3f2b8c1e-9d47-4a6b-8e05-c1d27f9ab364",
                 "é漢\U0001f600 ", "\n", " ", "a" * 26 + "1", "token=secret: abcdefghijklmnop", "ſecret=aaaaaaaaaaaaaaaa ",
             ]
         )
