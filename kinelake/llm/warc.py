@@ -3,14 +3,13 @@
 A response gives a metadata record (JSON: the source's WARC and HTTP headers and
 digests, title, links) and a conversion record (the page's text). Both refer to the
 response, each names the other, and both carry the response's URI, date and payload
-digest. Record ids derive from the response's id, so a task that is run again, or a
-repeated row, gives the same records.
+digest. Record ids derive from the response's id, and this from the page and its place in
+the input, so a task that is run again gives the same records and each record has its own.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import json
@@ -19,7 +18,9 @@ import uuid
 from urllib.parse import urljoin
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinelake.llm import arrowtext as at
 from kinelake.llm.common import table
@@ -39,15 +40,19 @@ BLOCK_TAGS = frozenset(
 )
 HIDDEN_TAGS = "head|noscript|script|style|svg|template|textarea"
 LINK_ATTRIBUTES = "action|href|src"
+LINKS = frozenset(LINK_ATTRIBUTES.split("|"))
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({HIDDEN_TAGS})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|</?([a-zA-Z][a-zA-Z0-9]*)(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?([a-zA-Z][a-zA-Z0-9]*)[^>]*>|<[!?][^>]*>",
     re.S | re.I,
 )
+# Pages are matched up to their last '>' only: then each '<' with a letter begins a tag that ends, and matching is linear.
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_BODY_PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_LINK = re.compile(rf"<([a-zA-Z][a-zA-Z0-9]*)\b[^>]*?\s({LINK_ATTRIBUTES})\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][a-zA-Z0-9]*)([^>]*)>", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_ANY_LINK = re.compile(LINK_ATTRIBUTES, re.I)
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style")}
 _SPACE = re.compile(r"[^\S\n]+")
 
 
@@ -61,12 +66,19 @@ def derived_id(*parts: str) -> str:
 
 def page_text(page: str) -> str:
     """Visible text: one line for each block element, spaces collapsed, blank lines left out."""
+    cut = page.rfind(">") + 1
+    open_end = False  # an element or comment that nothing closes goes on to the end
 
     def seen(m: re.Match) -> str:
+        nonlocal open_end
+        if m.end() == cut:
+            whole = m[0]
+            open_end = whole.startswith("<!--") and not whole.endswith("-->") or bool(m[1]) and not re.search(r"</[a-zA-Z]+\s*>\Z", whole)
         tag = (m[2] or m[3] or "").lower()
         return "\n" if tag in BLOCK_TAGS else ""
 
-    text = html.unescape(_TOKEN.sub(seen, page)).replace("\r", "\n")
+    text = _TOKEN.sub(seen, page[:cut])
+    text = html.unescape(text if open_end else text + page[cut:]).replace("\r", "\n")
     lines = (_SPACE.sub(" ", x).strip() for x in text.split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -77,15 +89,27 @@ def page_title(page: str) -> str:
 
 
 def page_links(page: str, base: str | None) -> list[dict[str, str]]:
-    """Links in order: element@attribute and the absolute URL (as written where it can't be joined)."""
-    out = []
-    for m in _LINK.finditer(_BODY_PARTS.sub("", page)):
-        url = html.unescape(next((v for v in m.groups()[2:] if v is not None), "")).strip()
-        try:
-            url = urljoin(base or "", url)
-        except ValueError:
-            pass
-        out.append({"path": f"{m[1].lower()}@{m[2].lower()}", "url": url})
+    """All link attributes in order: element@attribute and the absolute URL (as written where it can't be joined)."""
+    out, at_char, page = [], 0, page[: page.rfind(">") + 1]
+    while m := _TAG.search(page, at_char):
+        at_char = m.end()
+        tag, attributes = (m[1] or m[3] or "").lower(), m[2] or m[4] or ""
+        if tag and _ANY_LINK.search(attributes):
+            seen = set()
+            for x in _ATTRIBUTE.finditer(attributes):
+                name = x[1].lower()
+                if name not in LINKS or name in seen:
+                    continue
+                seen.add(name)
+                url = html.unescape(x[2] or x[3] or x[4] or "").strip()
+                try:
+                    url = urljoin(base or "", url)
+                except ValueError:
+                    pass
+                out.append({"path": f"{tag}@{name}", "url": url})
+        if tag in _RAW_END:
+            end = _RAW_END[tag].search(page, at_char)
+            at_char = end.end() if end else len(page)
     return out
 
 
@@ -96,13 +120,15 @@ def record_text(headers: list[tuple[str, str]], block: str) -> str:
 
 
 def responses(pages: DataFrame, date: str = CRAWL_DATE) -> DataFrame:
-    """Response records of pages (page_id, url, html).
+    """Response records of pages (page_id, url, html); other columns are left out, whatever their names.
 
     A NULL url leaves the URI out, a NULL html is an empty page, and a NULL page_id enters
-    the record id as an empty string.
+    the record id as an empty string. Repeated rows are records of their own, with their own
+    ids; an empty table gives none; a very long page is one record.
     """
 
     def run(batches):
+        place = TaskContext.get().partitionId() << 33
         for batch in at.slices(batches, "html"):
             rows = []
             for i, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
@@ -110,7 +136,8 @@ def responses(pages: DataFrame, date: str = CRAWL_DATE) -> DataFrame:
                 payload = page.encode()
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n"
                 digest = sha1_digest(payload)
-                own = derived_id("response", "" if i is None else str(i), url or "", digest)
+                place += 1
+                own = derived_id("response", "" if i is None else str(i), url or "", digest, str(place))
                 block = http.encode() + b"\r\n" + payload
                 headers = [
                     ("WARC-Type", "response"), ("WARC-Record-ID", own), ("WARC-Date", date), *([("WARC-Target-URI", url)] if url else []),
@@ -129,27 +156,42 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == "long" else pa.string()) for c, k in zip(columns, kinds, strict=True)], list(names))
 
 
-def _headers(text: str) -> dict[str, str]:
-    return {k: v.strip() for k, _, v in (x.partition(":") for x in text.split("\r\n") if ":" in x)}
+def _headers(text: str) -> list[tuple[str, str]]:
+    return [(k, v.strip()) for k, _, v in (x.partition(":") for x in text.split("\r\n") if ":" in x)]
+
+
+def _named(headers: list[tuple[str, str]]) -> dict[str, str | list[str]]:
+    """Headers by name; the values of a repeated one are a list, in order."""
+    out: dict[str, str | list[str]] = {}
+    for k, v in headers:
+        out[k] = v if k not in out else [*(out[k] if isinstance(out[k], list) else [out[k]]), v]
+    return out
 
 
 def derive(source: DataFrame) -> DataFrame:
-    """A metadata and a conversion record for each response of `source` (RESPONSE_SCHEMA)."""
+    """A metadata and a conversion record for each response of `source` (RESPONSE_SCHEMA; other columns are left out).
+
+    A NULL payload is an empty page, NULL headers are none, and NULL ids, dates, URIs and
+    digests are left out of the records (a NULL record id enters theirs as an empty string).
+    Repeated rows give repeated records; an empty table gives none; very long pages take time in
+    proportion to their length.
+    """
 
     def run(batches):
         for batch in at.slices(batches, "payload"):
             rows = []
             for i, own, uri, date, warc, http, page, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = {kind: derived_id(kind, own) for kind in ("metadata", "conversion")}
-                status, _, http_lines = http.partition("\r\n")
+                page = page or ""
+                ids = {kind: derived_id(kind, own or "") for kind in ("metadata", "conversion")}
+                status, _, http_lines = (http or "").partition("\r\n")
                 about = {
                     "Envelope": {
-                        "WARC-Header-Metadata": _headers(warc),
+                        "WARC-Header-Metadata": _named(_headers(warc or "")),
                         "Payload-Metadata": {
                             "Actual-Content-Type": "application/http; msgtype=response",
                             "HTTP-Response-Metadata": {
                                 "Response-Message": status,
-                                "Headers": _headers(http_lines),
+                                "Headers": _named(_headers(http_lines)),
                                 "Entity-Digest": digest,
                                 "Entity-Length": str(len(page.encode())),
                                 "HTML-Metadata": {"Title": page_title(page), "Links": page_links(page, uri)},
@@ -163,9 +205,10 @@ def derive(source: DataFrame) -> DataFrame:
                     raw = block.encode()
                     headers = [
                         ("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Refers-To", own), ("WARC-Concurrent-To", ids[other]), ("WARC-Date", date),
-                        *([("WARC-Target-URI", uri)] if uri else []), ("Content-Type", content), ("Content-Length", str(len(raw))),
+                        ("WARC-Target-URI", uri), ("Content-Type", content), ("Content-Length", str(len(raw))),
                         ("WARC-Block-Digest", sha1_digest(raw)), ("WARC-Refers-To-Payload-Digest", digest),
                     ]
+                    headers = [(k, v) for k, v in headers if v]
                     rows.append((i, kind, ids[kind], own, ids[other], uri, date, content, len(raw), sha1_digest(raw), digest, block, record_text(headers, block)))
             yield _batch(rows, DERIVED_SCHEMA)
 
@@ -181,36 +224,42 @@ def write(records: DataFrame, path: str, compression: str = "none") -> None:
     records.selectExpr("substring(record, 1, length(record) - 1) AS value").write.option("compression", compression).text(path)
 
 
-def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of a WARC file, gzipped (in one or many members) or plain."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    out, at_byte = [], 0
-    while at_byte < len(data):
-        if data[at_byte : at_byte + 5] != b"WARC/":
-            raise ValueError(f"no record starts at byte {at_byte}")
-        end = data.index(b"\r\n\r\n", at_byte)
-        headers = _headers(data[at_byte:end].decode("utf-8", "replace").partition("\r\n")[2])
-        stop = end + 4 + int(headers["Content-Length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at_byte} is cut short")
-        out.append((headers, data[end + 4 : stop]))
-        at_byte = stop + 4
-    return out
+_BETWEEN = "\r\n\r\nWARC/1."
+
+
+def parse(record: bytes) -> tuple[list[tuple[str, str]], bytes]:
+    """Headers and block of one record, without what stands between records."""
+    head, _, block = record.partition(b"\r\n\r\n")
+    headers = _headers(head.decode("utf-8", "replace").partition("\r\n")[2])
+    size = int(next((v for k, v in headers if k.lower() == "content-length"), "-1"))
+    if len(block) == size + 4 and block.endswith(b"\r\n\r\n"):
+        block = block[:size]
+    if len(block) != size:
+        raise ValueError(f"a record of {len(block)} bytes says that it has {size}: it is cut short, or its block holds what stands between records")
+    return headers, block
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(headers, block) of every record under `path`; one file is held in memory at a time."""
+    """(headers, block) of every record under `path`, plain or gzipped; headers are (name, value) pairs in order.
+
+    Files are read as streams of records, so plain ones are split among tasks and a task holds
+    a record at a time, whatever the size of a file. A record whose length isn't the one that
+    it says raises ValueError.
+    """
 
     def run(batches):
+        pairs = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
         for batch in batches:
-            for data in batch.column("content"):
-                found = parse(data.as_py())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([list(h.items()) for h, _ in found], pa.map_(pa.string(), pa.string())), pa.array([b for _, b in found], pa.binary())], ["headers", "block"]
-                )
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "headers map<string,string>, block binary")
+            found = []
+            for data in batch.column("value").to_pylist():
+                data = data.removeprefix(b"WARC/1.")
+                if data.strip():
+                    found.append(parse(b"WARC/1." + data))
+            rows = [[{"name": k, "value": v} for k, v in h] for h, _ in found]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pairs), pa.array([b for _, b in found], pa.binary())], ["headers", "block"])
+
+    lines = spark.read.option("lineSep", _BETWEEN).text(path).select(F.col("value").cast("binary").alias("value"))
+    return lines.mapInArrow(run, "headers array<struct<name:string,value:string>>, block binary")
 
 
 def query(spark, sf_dir):

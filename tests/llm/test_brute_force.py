@@ -8,6 +8,7 @@ import math
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -608,8 +609,38 @@ def test_pages(spark, tmp_path):
     for compression in ("none", "gzip"):
         warc.write(records, f"{tmp_path}/{compression}", compression)
         back = warc.read(spark, f"{tmp_path}/{compression}").collect()
-        assert sorted((r["headers"]["WARC-Record-ID"], bytes(r["block"]).decode()) for r in back) == sorted((r["record_id"], r["block"]) for r in rows)
-        assert all(warc.sha1_digest(bytes(r["block"])) == r["headers"]["WARC-Block-Digest"] for r in back)
+        assert sorted((dict(r["headers"])["WARC-Record-ID"], bytes(r["block"]).decode()) for r in back) == sorted((r["record_id"], r["block"]) for r in rows)
+        assert all(warc.sha1_digest(bytes(r["block"])) == dict(r["headers"])["WARC-Block-Digest"] for r in back)
+
+
+def test_links_and_odd_markup():
+    page = '<img src=a.png href=b><a title="see href=foo" href="bar">x</a><script src="s.js">"<a href=no>"</script><!-- <a href=no> --><a HREF=\'c\' href=d>'
+    assert [(x["path"], x["url"]) for x in warc.page_links(page, None)] == [("img@src", "a.png"), ("img@href", "b"), ("a@href", "bar"), ("script@src", "s.js"), ("a@href", "c")]
+    assert warc.page_text("a<b>c</b> d < e <script>f") == "ac d < e" and warc.page_text("x <!-- y > z") == "x" and warc.page_text("1 < 2 <p") == "1 < 2 <p"
+    for piece in ("<a ", "<script ", '<a "', "<!", "<!--", "<script>", "<a href='", "<a href=x ", "< ", "<a =  "):
+        for end in ("", ">", '">'):
+            began = time.perf_counter()
+            page = piece * (5_000_000 // len(piece)) + end
+            warc.page_links(page, "http://a.example/"), warc.page_text(page), warc.page_title(page)
+            assert time.perf_counter() - began < 10, (piece, end)  # linear: seconds; quadratic: hours
+
+
+def test_repeated_headers_and_nulls(spark, tmp_path):
+    columns = warc.RESPONSE_SCHEMA
+    rows = [(1, "<urn:x>", "u", "d", "A: 1\r\nA: 2", "HTTP/1.1 200 OK\r\nSet-Cookie: a\r\nSet-Cookie: b\r\nX: y", "<p>t", "sha1:Z"), (None,) * 8]
+    found = warc.derive(spark.createDataFrame(rows, columns)).collect()
+    about = json.loads(next(r["block"] for r in found if r["page_id"] == 1 and r["warc_type"] == "metadata"))["Envelope"]
+    assert about["WARC-Header-Metadata"] == {"A": ["1", "2"]}
+    assert about["Payload-Metadata"]["HTTP-Response-Metadata"]["Headers"] == {"Set-Cookie": ["a", "b"], "X": "y"}
+    assert [r["block"] for r in found if r["page_id"] is None and r["warc_type"] == "conversion"] == [""]
+    pages = spark.createDataFrame([(1, "u", "<p>same"), (1, "u", "<p>same")], "page_id long, url string, html string")
+    assert warc.derive(warc.responses(pages)).select("record_id").distinct().count() == 4
+    assert warc.derive(warc.responses(pages.limit(0))).count() == 0
+    clashing = pages.withColumns({"payload": F.lit(1), "record_id": F.lit(2)})
+    assert warc.derive(warc.responses(clashing)).count() == 4
+    (tmp_path / "bad.warc").write_bytes(b"WARC/1.0\r\nContent-Length: 50\r\n\r\nshort\r\n\r\n")
+    with pytest.raises(Exception, match="says that it has 50"):
+        warc.read(spark, str(tmp_path / "bad.warc")).collect()
 
 
 # --- pipeline
