@@ -3,8 +3,8 @@
 Everything is DataFrame expressions on one row at a time: no shuffle, no Python on the
 executors. The verdict compares two histograms of a text with fixed references by the
 Jensen-Shannon distance: the classes of its characters, and its most common words. A
-text is kept if it is near the references of at least one language. Texts too short
-for a histogram are not judged by it.
+text is kept if it is near both references of one language. Words count without case (A-Z)
+and the punctuation around them. Texts too short for a histogram are not judged by it.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import give_way, settled, table
+from kinelake.llm.common import packed, settled, table, unpacked
 
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -25,7 +25,7 @@ LEAST_WORDS, MOST_REPEATED = 10, 20
 CLASS_GUARD, WORD_GUARD = 100, 40
 #: A text passes up to this class distance, and up to this sum of both distances
 #: (Jensen-Shannon, natural logarithm: each is at most 0.833).
-CLASS_LIMIT, SUM_LIMIT = 0.30, 0.44
+CLASS_LIMIT, SUM_LIMIT = 0.30, 0.38
 
 # Shares of lower-case, upper-case, digits, punctuation, symbols and other
 # characters in words of running text, and the share of each language's commonest words.
@@ -71,11 +71,21 @@ def measures(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance, word_distance.
 
     A NULL text counts as none: zeros, and NULL distances. A distance is NULL for texts
-    under its guard. Columns of these names give way.
+    under its guard; both are of one language, the nearest. An empty table stays empty, repeated
+    rows are each measured, very long texts are measured whole. Columns of docs named like
+    the added ones give way, all others keep their values.
     """
-    docs = give_way(docs, *ADDED, "base_failed", "kept", *(f"_c{k}" for k in range(6)), "_text", "_words", "_classes", "_lines", "_hashes", "_common", "_windows", "_ordered", "_again", "_padded", "_counts", "_p", "_q", "_made")
-    stripped = F.btrim(F.coalesce("_text", F.lit("")), F.lit(BLANKS))
+    return _measured(packed(docs, "text")).select(*unpacked(docs, "text", without=ADDED), *ADDED)
+
+
+def _bare(word: Column) -> Column:
+    return F.btrim(F.translate(word, UPPER, LOWER), F.lit(PUNCTUATION))
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """(_rest, text, ADDED columns) of docs packed with its text apart."""
     df = docs.withColumn("_text", F.coalesce("text", F.lit("")))
+    stripped = F.btrim("_text", F.lit(BLANKS))
     df = df.withColumn("_words", F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, r"[\x20\x09-\x0D]+")))
     # Characters of words, class after class taken out.
     df = df.withColumn("_c0", _without(F.col("_text"), BLANKS))
@@ -93,7 +103,7 @@ def measures(docs: DataFrame) -> DataFrame:
             "_classes": F.array(*(x.cast("double") for x in (lower, upper, digits, marks, symbols, size[5]))),
             "_lines": lines,
             "_hashes": F.transform("_words", lambda w: F.xxhash64(w)),
-            "_common": F.array_join(F.filter("_words", lambda w: w.isin(COMMON)), "  "),
+            "_common": F.array_join(F.filter(F.transform("_words", _bare), lambda w: w.isin(COMMON)), "  "),
         }
     )
     windows = F.expr(
@@ -123,26 +133,31 @@ def measures(docs: DataFrame) -> DataFrame:
     df = df.withColumns(
         {"_p": F.when(F.col("word_chars") >= CLASS_GUARD, class_shares), "_q": F.when(F.col("n_words") >= WORD_GUARD, word_shares)}
     )
-    df = df.withColumns(
-        {
-            "class_distance": F.least(*(js_distance(F.col("_p"), list(CLASS_REFERENCE[x])) for x in CLASS_REFERENCE)),
-            "word_distance": F.least(*(js_distance(F.col("_q"), word_reference(x)) for x in WORD_REFERENCE)),
-        }
-    )
-    return settled(df, docs.columns, list(ADDED))
+    by_language = [F.struct(js_distance(F.col("_p"), list(CLASS_REFERENCE[x])).alias("c"), js_distance(F.col("_q"), word_reference(x)).alias("w")) for x in CLASS_REFERENCE]
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    # The language of the smallest sum; of those within the class limit, if any.
+    ranked = F.transform(F.array(*by_language), lambda s: F.struct((zero(s["c"]) > CLASS_LIMIT).alias("far"), (zero(s["c"]) + zero(s["w"])).alias("sum"), s["c"].alias("c"), s["w"].alias("w")))
+    df = df.withColumn("_best", F.array_min(ranked))
+    df = df.withColumns({"class_distance": F.col("_best.c"), "word_distance": F.col("_best.w")})
+    return settled(df, ["_rest", "text"], list(ADDED))
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """measures(docs) with base_failed (too few or repeated words) and kept."""
+def _verdict(measured: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     by_class, by_word = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("word_distance", F.lit(0.0))
     near = (by_class <= CLASS_LIMIT) & (by_class + by_word <= SUM_LIMIT)
-    return measures(docs).withColumns({"base_failed": failed, "kept": ~failed & near})
+    return measured.withColumns({"base_failed": failed, "kept": ~failed & near})
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """measures(docs) with base_failed (too few or repeated words) and kept; these names give way too."""
+    added = (*ADDED, "base_failed", "kept")
+    return _verdict(_measured(packed(docs, "text"))).select(*unpacked(docs, "text", without=added), *added)
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their own columns only."""
-    return judged(docs).where("kept").select(*docs.columns)
+    """The documents that are kept, with their own columns, whatever their names. NULL and empty texts have too few words."""
+    return _verdict(_measured(packed(docs, "text"))).where("kept").select(*unpacked(docs, "text"))
 
 
 def query(spark, sf_dir):
@@ -174,27 +189,28 @@ def _oracle() -> str:
     classes = ["lower_", "upper_", "digits", "marks", "n_symbols", "other"]
     by_class = [f"({c}::DOUBLE / word_chars)" for c in classes]
     by_word = [f"(c{k}::DOUBLE / n_words)" for k in range(len(COMMON))] + ["((n_words - known)::DOUBLE / n_words)"]
-    in_class = ", ".join(_sql_distance(by_class, list(r)) for r in CLASS_REFERENCE.values())
-    in_words = ", ".join(_sql_distance(by_word, word_reference(x)) for x in WORD_REFERENCE)
-    found = ", ".join(f"len(list_filter(w, lambda x: x = '{c}')) AS c{k}" for k, c in enumerate(COMMON))
+    in_class = {x: f"CASE WHEN word_chars >= {CLASS_GUARD} THEN {_sql_distance(by_class, list(r))} ELSE 0 END" for x, r in CLASS_REFERENCE.items()}
+    in_words = {x: f"CASE WHEN n_words >= {WORD_GUARD} THEN {_sql_distance(by_word, word_reference(x))} ELSE 0 END" for x in WORD_REFERENCE}
+    distances = ", ".join(f"{in_class[x]} AS class_{x}, {in_words[x]} AS word_{x}" for x in CLASS_REFERENCE)
+    near = " OR ".join(f"(class_{x} <= {CLASS_LIMIT} AND class_{x} + word_{x} <= {SUM_LIMIT})" for x in CLASS_REFERENCE)
+    found = ", ".join(f"len(list_filter(bare, lambda x: x = '{c}')) AS c{k}" for k, c in enumerate(COMMON))
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
         {count(SYMBOLS)} AS n_symbols, {count(LOWER)} AS lower_, {count(UPPER)} AS upper_, {count(DIGITS)} AS digits, {count(PUNCTUATION)} AS marks FROM d),
-m AS (SELECT *, len(w)::BIGINT AS n_words, length(array_to_string(w, '')) AS word_chars, len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM w),
+m AS (SELECT *, list_transform(w, lambda x: trim(translate(x, '{UPPER}', '{LOWER}'), '{quote(PUNCTUATION)}')) AS bare, len(w)::BIGINT AS n_words, length(array_to_string(w, '')) AS word_chars, len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM w),
 c AS (SELECT *, word_chars - n_symbols - lower_ - upper_ - digits - marks AS other, {found} FROM m),
 k AS (SELECT *, {" + ".join(f"c{k}" for k in range(len(COMMON)))} AS known FROM c),
 v AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM m)),
 r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, t) AS n FROM v) WHERE n > 1),
 a AS (SELECT doc_id, count(DISTINCT q) AS n_repeat FROM (SELECT doc_id, unnest(range(i, i + 5)) AS q FROM r) GROUP BY doc_id),
 s AS (SELECT k.*, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words,
-        CASE WHEN word_chars >= {CLASS_GUARD} THEN least({in_class}) ELSE 0 END AS by_class,
-        CASE WHEN n_words >= {WORD_GUARD} THEN least({in_words}) ELSE 0 END AS by_word
+        {distances}
       FROM k LEFT JOIN a USING (doc_id)),
 f AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND by_class <= {CLASS_LIMIT} AND by_class + by_word <= {SUM_LIMIT} AS kept FROM f"""
+       NOT base_failed AND ({near}) AS kept FROM f"""
 
 
 ORACLE = _oracle()

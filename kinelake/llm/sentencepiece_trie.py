@@ -6,8 +6,12 @@ of a batch are sorted, so walking them in order is a depth-first walk of their t
 the forward states of the prefix shared with the word before are kept, and only the
 rest is searched.
 
+Unigram models: the forward state of a prefix is its best total score (Viterbi) and where
+the last piece of that segmentation starts. A character that no piece covers is an unknown
+piece, 10 below the lowest score.
+
 The vocabularies at hand are merge-ordered (BPE), where the segmentation of highest
-total score is not the right one. The forward state of a prefix is therefore the last
+total score is not the right one. There the forward state of a prefix is the last
 piece of the prefix's own segmentation. A piece ending there is right exactly if the
 merges of it and the piece before, taken alone, give these two pieces again; at every
 place one piece passes. So states depend on the prefix only, as with Viterbi scores,
@@ -20,6 +24,7 @@ from __future__ import annotations
 import array
 import hashlib
 import heapq
+import math
 import struct
 import sys
 import types
@@ -39,9 +44,10 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 KNOWN_WORDS, KNOWN_PAIRS = 150_000, 500_000
 #: Bytes of text encoded at once.
 BATCH_BYTES = 1 << 20
-# Piece types and the model type of the file format.
+# Piece types and model types of the file format, and how far an unknown character is below the lowest score.
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
-_BPE = 2
+_UNIGRAM, _BPE = 1, 2
+UNKNOWN_PENALTY = 10.0
 
 
 def _fields(data: bytes):
@@ -77,7 +83,7 @@ def _fields(data: bytes):
 
 
 class Model:
-    """Vocabulary of a SentencePiece model file (BPE, no normalisation, dummy prefix).
+    """Vocabulary of a SentencePiece model file (unigram or BPE, no normalisation, dummy prefix).
 
     Other kinds of model raise ValueError.
     """
@@ -105,8 +111,8 @@ class Model:
                 trainer = dict(_fields(value))
             elif number == 3:
                 normalizer = dict(_fields(value))
-        if trainer.get(3, 1) != _BPE or normalizer.get(2) or _USER in kinds or _UNUSED in kinds:
-            raise ValueError("only BPE models without normalisation map and user-defined pieces are supported")
+        if trainer.get(3, 1) not in (_UNIGRAM, _BPE) or normalizer.get(2) or _USER in kinds or _UNUSED in kinds:
+            raise ValueError("only unigram and BPE models without normalisation map and user-defined pieces are supported")
         if not normalizer.get(3, 1) or normalizer.get(4, 1) or not normalizer.get(5, 1):
             raise ValueError("only models with a dummy prefix, escaped and unchanged spaces are supported")
         self.unknown = kinds.index(_UNKNOWN)
@@ -118,8 +124,10 @@ class Model:
         if any(MARK in p.lstrip(MARK) for p in self.normal) or any("\n" in p for p in self.normal):
             raise ValueError("pieces over several words are not supported")
         self.longest = max(map(len, self.normal), default=1)
+        self.unigram = trainer.get(3, 1) == _UNIGRAM
+        self.worst = min((self.scores[i] for i in self.normal.values()), default=0.0) - UNKNOWN_PENALTY
         # Pieces that their own merges can make; others never occur.
-        self.made = {p: i for p, i in self.normal.items() if len(p) == 1 or self.merge(p) == [p]}
+        self.made = {p: i for p, i in self.normal.items() if self.unigram or len(p) == 1 or self.merge(p) == [p]}
         surface = [b""] * len(self.pieces)
         for p, i in self.normal.items():
             surface[i] = p.replace(MARK, " ").encode()
@@ -189,6 +197,8 @@ class Encoder:
 
     def encode_sorted(self, words: list[str]) -> list[bytes]:
         """Piece ids of each word, as the bytes of int32; words ascend, so that shared prefixes follow each other."""
+        if self.model.unigram:
+            return self._viterbi(words)
         model, made, longest = self.model, self.model.made, self.model.longest
         together, n_pieces = self.together, len(model.pieces)
         last = [-1]  # by prefix length: the last piece of its segmentation, -1 for a single unknown character
@@ -232,6 +242,46 @@ class Encoder:
         return out
 
 
+    def _viterbi(self, words: list[str]) -> list[bytes]:
+        """The same by the highest total score; of equal ones the last piece is the longest."""
+        model, longest = self.model, self.model.longest
+        normal, scores, worst = model.normal, model.scores, model.worst
+        best = [0.0]  # by prefix length: the highest total score
+        back, last = [0], [-1]  # where its last piece starts, and the piece (-1: an unknown character)
+        previous, out = "", []
+        for word in words:
+            shared, most = 0, min(len(word), len(previous))
+            while shared < most and word[shared] == previous[shared]:
+                shared += 1
+            del best[shared + 1 :], back[shared + 1 :], last[shared + 1 :]
+            previous = word
+            for end in range(shared + 1, len(word) + 1):
+                top, place, piece = -math.inf, end - 1, -1
+                for start in range(max(0, end - longest), end):
+                    i = normal.get(word[start:end])
+                    if i is not None and best[start] + scores[i] > top:
+                        top, place, piece = best[start] + scores[i], start, i
+                if word[end - 1] not in normal and best[end - 1] + worst > top:
+                    top, place, piece = best[end - 1] + worst, end - 1, -1
+                best.append(top)
+                back.append(place)
+                last.append(piece)
+            found, end = [], len(word)
+            while end:
+                if last[end] >= 0:
+                    found.append(last[end])
+                    end = back[end]
+                    continue
+                stop = end  # neighbouring unknown characters are one piece
+                while end and last[end] < 0:
+                    end = back[end]
+                raw = [model.bytes_[b] for b in word[end:stop].encode("utf-8", "replace")]
+                found.extend([model.unknown] if min(raw) < 0 else reversed(raw))
+            found.reverse()
+            out.append(array.array("i", found).tobytes())
+        return out
+
+
 def marked_words(array: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The marked words of all texts, and the bounds of each text's. An empty text has none."""
     if pc.any(pc.match_substring(array, MARK)).as_py():
@@ -308,7 +358,12 @@ def encode_batch(texts: pa.Array, encoder: Encoder, memory: Memory) -> tuple[np.
     many = size[codes] if len(codes) else np.zeros(0, np.int64)
     edge = np.concatenate([[0], np.cumsum(many)])
     place = np.repeat(start[codes] - edge[:-1], many) + np.arange(edge[-1]) if len(codes) else np.zeros(0, np.int64)
-    return flat[place], edge[bounds]
+    ids, ends = flat[place], edge[bounds]
+    if min(encoder.model.bytes_) < 0 and len(ids) > 1:  # neighbouring unknown characters are one piece, across words too
+        again = np.concatenate([[False], (ids[1:] == encoder.model.unknown) & (ids[:-1] == encoder.model.unknown)])
+        again[ends[:-1][ends[:-1] < len(ids)]] = False
+        ids, ends = ids[~again], ends - np.concatenate([[0], np.cumsum(again)])[ends]
+    return ids, ends
 
 
 def decode_batch(ids: np.ndarray, bounds: np.ndarray, model: Model) -> pa.Array:
@@ -346,7 +401,9 @@ def encode(docs: DataFrame, model: Model, text: str = "text", check: bool = Fals
     """docs with ids (array of int) and n_ids; with check also round_trip: whether the ids decode to the text.
 
     A NULL text is encoded like an empty one: no ids. U+2581 in a text is encoded as a
-    space, which is what it decodes to. Columns of these names give way.
+    space, which is what it decodes to. Repeated rows are each encoded, an empty table stays
+    empty, very long texts are encoded whole. Columns of docs named like the added ones give
+    way; all others keep their values.
     """
     docs = give_way(docs, "ids", "n_ids", *(["round_trip"] if check else []))
     shared = Shared(docs.sparkSession, model)

@@ -8,12 +8,14 @@ import math
 import random
 import re
 import string
+import struct
 import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
@@ -310,7 +312,6 @@ def test_secrets(spark, tmp_path):
 
 
 def test_encoding_equals_the_library(spark, documents, odd):
-    sentencepiece = pytest.importorskip("sentencepiece")
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_trie.MODEL_PATH)
     rng = random.Random(1)
     letters = [*"abcdefghijklmnopqrstuvwxyzABC   \n▁éè漢.,'0123456789\t", "the", "ing", "tion", " of", "  ", "://"]
@@ -328,6 +329,37 @@ def test_encoding_equals_the_library(spark, documents, odd):
         assert r["round_trip"] == (r["decoded"] == (r["text"] or ""))
 
 
+def unigram_model(pieces, byte_fallback):
+    """The bytes of a model file with these (piece, score) and an unknown piece; scores are written, not trained."""
+    varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+    field = lambda k, data: varint(k << 3 | 2) + varint(len(data)) + data
+    entry = lambda p, x, kind: field(1, field(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", x) + varint(3 << 3) + varint(kind))
+    out = entry("<unk>", 0.0, 2)
+    if byte_fallback:
+        out += b"".join(entry(f"<0x{b:02X}>", 0.0, 6) for b in range(256))
+    out += b"".join(entry(p, x, 1) for p, x in pieces)
+    trainer = varint(3 << 3) + varint(1) + (varint(35 << 3) + varint(1) if byte_fallback else b"")
+    normalizer = field(1, b"identity") + varint(3 << 3) + varint(1) + varint(4 << 3) + varint(0) + varint(5 << 3) + varint(1)
+    return out + field(2, trainer) + field(3, normalizer)
+
+
+@pytest.mark.parametrize("byte_fallback", [True, False])
+def test_viterbi_equals_the_library(spark, documents, byte_fallback):
+    rng = random.Random(8)
+    seen = {w[i:j] for r in documents.limit(30).collect() for w in ("▁" + x for x in r["text"].split()) for i in range(len(w)) for j in range(i + 1, min(i + 7, len(w) + 1))}
+    seen = sorted(p for p in seen if "\n" not in p and "▁" not in p[1:])
+    pieces = {p: 0 for p in [*rng.sample(seen, 4000), *"abcdefghijklmnopqrstuvwxyz▁"]}
+    data = unigram_model([(p, -rng.randrange(64, 1024) / 64) for p in pieces], byte_fallback)  # sums are exact in both
+    library, model = sentencepiece.SentencePieceProcessor(model_proto=data), sentencepiece_trie.Model(data)
+    texts = [r["text"] for r in documents.collect()] + ["", " ", "a", "ZZtop éé漢漢 a", "  a  b ", "\n x"]
+    encoder = sentencepiece_trie.Encoder(model)
+    ids, bounds = sentencepiece_trie.encode_batch(pa.array(texts, pa.string()), encoder, sentencepiece_trie.Memory())
+    for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        assert ids[a:b].tolist() == library.encode(t), t[:80]
+    if byte_fallback:
+        assert sentencepiece_trie.decode_batch(ids, bounds, model).to_pylist() == [library.decode(library.encode(t)) for t in texts]
+
+
 def test_small_memory_gives_the_same_ids(spark, documents, monkeypatch):
     model, texts = sentencepiece_trie.load(spark), pa.array([r["text"] for r in documents.collect()])
     want = sentencepiece_trie.encode_batch(texts, sentencepiece_trie.Encoder(model), sentencepiece_trie.Memory())[0]
