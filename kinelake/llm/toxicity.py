@@ -1,9 +1,9 @@
 """Toxic passages: maximum-scoring segments over token log-odds.
 
-From a bounded sample of labelled documents each token, and each stem (the first 3 to 8
-characters of tokens, so that inflected forms count together), gets a log-odds ratio with
-an informative Dirichlet prior (its corpus share). Those far over chance form the
-lexicon; all other tokens carry one small negative score. A linear scan over a text finds
+From a bounded sample of labelled documents each token gets a log-odds ratio with
+an informative Dirichlet prior (its corpus share), drawn towards zero by as much as chance
+may give; positive ones also as a stem (the first 5 to 8 characters, so that inflected
+forms count together). All tokens pay one small cost besides. A linear scan over a text finds
 every maximal scoring segment; segment scores turn into expected chance counts
 (extreme-value statistics, lambda from the score distribution, K from clean texts),
 and a logistic fit over a text's evidence gives its score.
@@ -24,14 +24,17 @@ from kinelake.llm import arrowtext as at
 from kinelake.llm.common import cut, fold, give_way, is_fold, table
 from kinelake.llm.quality_model import sample_labels
 
-#: Most labelled rows learnt from (the smallest hashed doc_ids), and most lexicon entries.
-SAMPLE, LEXICON = 20_000, 2_000
+#: Most labelled rows learnt from (the smallest hashed doc_ids).
+SAMPLE = 20_000
 #: Weight of the Dirichlet prior, as a share of the sample's texts.
 PRIOR_SHARE = 0.1
-LEAST_Z, LEAST_COUNT, LEAST_LOG_ODDS = 4.0, 4, 1.5
-STEMS = range(3, 9)
+#: Standard errors by which a log-odds ratio is drawn towards zero; texts with a token from which on it may be a toxic one.
+MARGIN, LEAST_COUNT = 3.5, 4
+STEMS = range(5, 9)
+#: Most clean texts with a toxic stem, for each toxic one: a stem of common words has many.
+STEM_CLEAN = 0.2
 #: Different words on either side of a lexicon token, as a share of its occurrences: copied passages repeat theirs.
-LEAST_VARIETY = 0.25
+LEAST_VARIETY = 0.4
 SIGNIFICANT = 0.05
 THRESHOLD = 0.5
 
@@ -39,8 +42,8 @@ THRESHOLD = 0.5
 @dataclass(frozen=True)
 class Model:
     words: list[str]  # tokens, and stems followed by *
-    scores: np.ndarray  # positive, by word
-    background: float  # subtracted for every other token
+    scores: np.ndarray  # by word; of all others the score is -background
+    background: float
     decay: float  # lambda of the extreme-value law
     rate: float  # K of the extreme-value law
     weights: np.ndarray  # intercept, best segment, all segments
@@ -63,6 +66,8 @@ def maximal_segments(positions: np.ndarray, gains: np.ndarray, background: float
         before = p
         low, start = total, p
         total += g
+        if g <= 0:
+            continue
         while True:
             j = len(left) - 1
             while j >= 0 and left[j] >= low:
@@ -116,13 +121,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
 def one_of_copies(sample: DataFrame) -> DataFrame:
     """One row of each group of (near) copies, so that copied words do not pass for toxic ones.
 
-    Copies are rows with the same label and the same smallest hash of four consecutive
-    words; the row with the smallest doc_id stays.
+    Copies are rows with the same label that agree, under two orders of all their runs of four
+    words, on the first run: of texts that share four fifths of their runs three of four pairs
+    do in one of two turns, of texts with one passage in common hardly any. The row
+    with the smallest doc_id stays.
     """
     words = F.split(F.lower("text"), r"\s+")
     shingles = F.expr("transform(sequence(0, greatest(size(_w) - 4, 0)), i -> xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2), get(_w, i + 3)))")
-    keyed = sample.withColumn("_w", words).withColumn("_k", F.array_min(shingles)).drop("_w")
-    return keyed.groupBy("y", "_k").agg(F.min_by("text", "doc_id").alias("text")).drop("_k")
+    first = [F.array_min(F.transform("_s", lambda x, k=k: F.xxhash64(x, F.lit(k)))).alias(f"_k{k}") for k in range(4)]
+    keyed = sample.withColumn("_w", words).withColumn("_s", shingles).select("doc_id", "y", "text", *first)
+    for turn in (("_k0", "_k1"), ("_k2", "_k3")):
+        rest = [c for c in keyed.columns if c not in ("y", *turn)]
+        keyed = keyed.groupBy("y", *turn).agg(F.min_by(F.struct(*rest), F.struct("doc_id", "text")).alias("r")).select("y", *turn, "r.*")
+    return keyed.select("y", "text")
 
 
 def _forms(values: pa.Array):
@@ -170,26 +181,25 @@ def _entries(values: pa.Array, words: list[str], scores: np.ndarray) -> np.ndarr
     return best
 
 
-def lexicon(counts: DataFrame, limit: int = LEXICON) -> tuple[list, float, float]:
-    """(token, bad, good, log_odds) rows far over chance, best first, and the two numbers of texts (an action)."""
+def log_odds(counts: DataFrame) -> list:
+    """(token, score) rows of all tokens whose log-odds ratio is over chance, and of stems where it is positive (an action).
+
+    The sample bounds their number.
+    """
     texts = counts.where("token = ''").first()
     n_bad, n_good = (float(texts["bad"]), float(texts["good"])) if texts else (0.0, 0.0)
     if not n_bad or not n_good:
-        return [], n_bad, n_good
+        return []
     whole = PRIOR_SHARE * (n_bad + n_good)
     prior = whole * (F.col("bad") + F.col("good")) / (n_bad + n_good)
     bad, good = F.col("bad") + prior, F.col("good") + prior
-    log_odds = F.log(bad / (n_bad + whole - bad + 1)) - F.log(good / (n_good + whole - good + 1))
-    z = log_odds / F.sqrt(1 / bad + 1 / good)
-    rows = (
-        counts.where((F.col("bad") >= LEAST_COUNT) & (F.col("token") != ""))
-        .select("token", "bad", "good", log_odds.alias("log_odds"), z.alias("z"))
-        .where((F.col("z") >= LEAST_Z) & (F.col("log_odds") >= LEAST_LOG_ODDS))
-        .orderBy(F.desc("z"), "token")
-        .limit(limit)
-        .collect()
-    )
-    return rows, n_bad, n_good
+    ratio = F.log(bad / (n_bad + whole - bad + 1)) - F.log(good / (n_good + whole - good + 1))
+    margin = MARGIN * F.sqrt(1 / bad + 1 / good)
+    score = F.when(ratio > margin, ratio - margin).when(ratio < -margin, ratio + margin)
+    rows = counts.where("token <> ''").select("token", "bad", "good", score.alias("score")).where("score IS NOT NULL")
+    stem = F.col("token").endswith("*")
+    toxic = (F.col("score") > 0) & (F.col("bad") >= LEAST_COUNT) & (~stem | (F.col("good") <= STEM_CLEAN * F.col("bad")))
+    return rows.where(toxic | ((F.col("score") < 0) & ~stem)).orderBy(F.desc("score"), "token").collect()
 
 
 def _hits(batch: pa.RecordBatch, words: list[str], scores: np.ndarray):
@@ -244,21 +254,24 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample:
     chosen = sample_labels(labels, "toxic", F.lit(True) if use is None else use, sample)
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     once = cut(one_of_copies(joined))
-    rows, _, _ = lexicon(cut(_token_counts(once)))
-    words, scores = [r["token"] for r in rows], np.array([r["log_odds"] for r in rows], float)
+    rows = log_odds(cut(_token_counts(once)))
+    words, scores = [r["token"] for r in rows], np.array([r["score"] for r in rows], float)
     # Words of passages that near copies share stand beside the same words each time, however often; a toxic word stands anywhere.
     found, _ = occurrences(once, words, scores)
     bad = found[found["y"] == 1]
-    stays = bad[(bad["kinds"] >= LEAST_COUNT) & (bad["kinds"] >= LEAST_VARIETY * bad["n"])]["entry"].sort_values().to_numpy(np.int64)
+    varied = bad[(bad["kinds"] >= LEAST_COUNT) & (bad["kinds"] >= LEAST_VARIETY * bad["n"])]["entry"].to_numpy(np.int64)
+    stays = np.sort(np.concatenate([varied[scores[varied] > 0], np.flatnonzero(scores < 0)])).astype(np.int64)
     words, scores = [words[i] for i in stays], scores[stays]
     found, totals = occurrences(once, words, scores)
     hits = {y: np.bincount(found[found["y"] == y]["entry"].to_numpy(np.int64), found[found["y"] == y]["n"].to_numpy(float), len(words)) for y in (0, 1)}
+    toxic = scores > 0
     # Toxic passages are taken to be three times as dense as the texts that hold them.
-    dense = min(0.5, 3 * (hits[1].sum() + 1) / (totals.get(1, 0) + 2)) if words else 0.01
+    dense = min(0.5, 3 * (hits[1][toxic].sum() + 1) / (totals.get(1, 0) + 2)) if toxic.any() else 0.01
     p = (hits[0] + 0.5) / (totals.get(0, 0) + 0.5 * len(words) + 1)
-    background = max(0.02, float(np.log((1 - min(0.5, p.sum())) / (1 - dense))), 2 * float(p @ scores))
+    background = max(0.02, float(np.log((1 - min(0.5, p[toxic].sum())) / (1 - dense))), 2 * float(p[toxic] @ scores[toxic]))
+    scores = np.where(toxic, scores, scores - background)
     p = np.append(p, max(1e-9, 1 - p.sum()))
-    decay = decay_of(p, np.append(scores, -background)) if words else 1.0
+    decay = decay_of(p / p.sum(), np.append(scores, -background)) if toxic.any() else 1.0
     draft = Model(words, scores, background, decay, 1.0, np.zeros(3))
 
     def run(batches):
@@ -273,11 +286,12 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample:
                 ["doc_id", "y", "n", "best", "every"],
             )
 
-    seen = joined.mapInArrow(run, "doc_id long, y int, n long, best double, every array<double>")
+    kind = joined.schema["doc_id"].dataType.simpleString()
+    seen = joined.mapInArrow(run, f"doc_id {kind}, y int, n long, best double, every array<double>")
     seen = seen.groupBy("doc_id").agg(F.min(F.struct("y", "n", "best", "every")).alias("r")).select("r.*").toPandas()
     clean = seen[(seen["y"] == 0) & (seen["n"] > 0)]
     positive = clean["best"][clean["best"] > 0]
-    at_score = float(positive.median()) if len(positive) else float(scores.min()) if len(scores) else 1.0
+    at_score = float(positive.median()) if len(positive) else float(scores[toxic].min()) if toxic.any() else 1.0
     reached = float((clean["best"] >= at_score).sum()) + 0.5
     rate = reached / max(float(clean["n"].sum()) * np.exp(-min(decay * at_score, 700.0)), 1e-9)
     rate = float(np.clip(rate, 1e-6, 1e3))
@@ -290,8 +304,9 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample:
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs without text, plus score, predicted, n_tokens, n_significant and spans.
 
-    spans holds (first token, last token, score) of every maximal segment. Columns of these
-    names give way.
+    spans holds (first token, last token, score) of every maximal segment. A NULL or empty text
+    has none. Repeated rows are each scored, an empty table stays empty, very long texts are
+    scanned whole, in linear time. Columns of docs with these names give way.
     """
     docs = give_way(docs, "score", "predicted", "n_tokens", "n_significant", "spans")
     rest = [c for c in docs.columns if c != "text"]
