@@ -11,6 +11,8 @@ from kinelake.functions.vec import clamp
 ALPHA, TURN_DEGREES, START_AZIMUTH, ELEVATION = 0.1, 0.05, -90.0, -15.0
 LEAST_HEIGHT, NEAR, FAR, MARGIN = 0.5, 3.0, 6.0, 2.0
 DEFAULT_LOOKAT, DEFAULT_DISTANCE = (0.0, 0.0, 2.0), 3.0
+#: Rows that smoothing looks back on: a value this far back has a weight of 0.9 ** 400, under 1e-18, which no double shows.
+MEMORY = 400
 
 
 def centroid(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -20,24 +22,34 @@ def centroid(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     """centroid with `spread`, the largest distance from it, and the camera `distance`."""
-    joined = df.join(centroid(df, keys), keys)
+    w = Window.partitionBy(*keys)
+    at = df.withColumns({"cx": F.avg("x").over(w), "cy": F.avg("y").over(w), "cz": F.greatest(F.avg("z").over(w), F.lit(LEAST_HEIGHT))})
     dx, dy, dz = (F.col(a) - F.col(f"c{a}") for a in "xyz")
     far = F.max(F.sqrt(dx * dx + dy * dy + dz * dz))
-    out = joined.groupBy(*keys, "cx", "cy", "cz").agg(far.alias("spread"))
+    out = at.groupBy(*keys, "cx", "cy", "cz").agg(far.alias("spread"))
     return out.withColumn("distance", clamp(F.col("spread") * MARGIN, NEAR, FAR))
 
 
+def with_empty(found: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """spread of every one of `frames`: those without objects get the default place and distance."""
+    default = dict(zip(("cx", "cy", "cz", "distance"), (*DEFAULT_LOOKAT, DEFAULT_DISTANCE), strict=True))
+    return frames.join(found, keys, "left").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in default.items()})
+
+
 def ema(df: DataFrame, keys: list[str], order: list[str], value: str, seed: Column | None = None, alpha: float = ALPHA) -> DataFrame:
     """(keys, n, ema): the smoothed value after the last row of each group, y = alpha x + (1 - alpha) y.
 
-    Starts at `seed` (a column of the group's first value if None). A group's values are
-    folded in one place: groups are single trajectories, whose length the frame rate bounds.
+    Starts at `seed` (a column of the group's first value if None). Only a group's last
+    MEMORY rows are held: what came before has lost its weight.
     """
+    w = Window.partitionBy(*keys)
+    counted = df.withColumns({"_n": F.count(F.lit(1)).over(w), "_back": F.row_number().over(w.orderBy(*(F.desc(c) for c in order)))})
     rows = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
-    grouped = df.groupBy(*keys).agg(rows.alias("_rows"))
-    start = F.col("_rows")[0]["_v"] if seed is None else seed
+    grouped = counted.where(F.col("_back") <= MEMORY + 1).groupBy(*keys).agg(rows.alias("_rows"), F.first("_n").alias("n"))
+    start = F.col("_rows")[0]["_v"]
+    start = start if seed is None else F.when(F.col("n") <= MEMORY, seed).otherwise(start)
     folded = F.aggregate("_rows", start, lambda y, r: F.lit(alpha) * r["_v"] + F.lit(1 - alpha) * y)
-    return grouped.select(*keys, F.size("_rows").cast("long").alias("n"), folded.alias("ema"))
+    return grouped.select(*keys, "n", folded.alias("ema"))
 
 
 def azimuth(df: DataFrame, keys: list[str], order: list[str], start: float = START_AZIMUTH) -> DataFrame:
@@ -51,25 +63,25 @@ def track(frames: DataFrame, keys: list[str], order: str, azimuth_start: float =
 
     frames has cx, cy, cz and distance of each frame. The first lookat is taken as it is,
     the distance is smoothed from its initial setting. With follow=False the camera stays
-    where it was set and no rows are given. A run's frames are folded in one place.
+    where it was set and no rows are given. Each frame folds the MEMORY frames before it.
     """
     if not follow:
         return frames.limit(0).select(*keys, order, *(F.lit(0.0).alias(c) for c in ("lookat_x", "lookat_y", "lookat_z", "distance", "azimuth", "elevation")))
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), "cx", "cy", "cz", "distance")))
-    grouped = frames.groupBy(*keys).agg(rows.alias("_rows"))
-
-    def step(done: Column, r: Column) -> Column:
-        last = F.element_at(done, -1)
-        mixed = lambda new, old: F.lit(ALPHA) * new + F.lit(1 - ALPHA) * old
-        look = [F.when(F.size(done) == 0, r[c]).otherwise(mixed(r[c], F.when(F.size(done) > 0, last[c]))).alias(c) for c in ("cx", "cy", "cz")]
-        distance = mixed(r["distance"], F.when(F.size(done) > 0, last["distance"]).otherwise(F.lit(first_distance)))
-        return F.concat(done, F.array(F.struct(r["i"].alias("i"), *look, distance.alias("distance"))))
-
-    kind = frames.schema[order].dataType.simpleString()
-    start = F.array().cast(f"array<struct<i:{kind},cx:double,cy:double,cz:double,distance:double>>")
-    tracked = grouped.withColumn("_done", F.aggregate("_rows", start, step))
-    each = tracked.select(*keys, F.posexplode("_done").alias("_pos", "_c"))
+    run = Window.partitionBy(*keys).orderBy(order)
+    held = F.collect_list(F.struct("cx", "cy", "cz", "distance")).over(run.rowsBetween(-MEMORY, 0))
+    placed = frames.withColumns({"_k": F.row_number().over(run), "_rows": held})
+    begins = F.col("_k") <= MEMORY + 1
+    first = F.col("_rows")[0]
+    start = F.struct(*(first[c].alias(c) for c in ("cx", "cy", "cz")), F.when(begins, F.lit(first_distance)).otherwise(first["distance"]).alias("distance"))
+
+    def step(y: Column, r: Column) -> Column:
+        return F.struct(*((F.lit(ALPHA) * r[c] + F.lit(1 - ALPHA) * y[c]).alias(c) for c in ("cx", "cy", "cz", "distance")))
+
+    # The first lookat is taken as it is: the fold starts from it, and its distance from the initial setting.
+    look = F.aggregate(F.slice("_rows", 2, MEMORY), start, step)
+    far = F.aggregate("_rows", start["distance"], lambda y, r: F.lit(ALPHA) * r["distance"] + F.lit(1 - ALPHA) * y)
+    each = placed.withColumns({"_look": look, "_far": far})
     return each.select(
-        *keys, F.col("_c.i").alias(order), F.col("_c.cx").alias("lookat_x"), F.col("_c.cy").alias("lookat_y"), F.col("_c.cz").alias("lookat_z"), F.col("_c.distance").alias("distance"),
-        (F.lit(azimuth_start) + F.lit(TURN_DEGREES) * (F.col("_pos") + 1)).alias("azimuth"), F.lit(ELEVATION).alias("elevation"),
+        *keys, order, F.col("_look.cx").alias("lookat_x"), F.col("_look.cy").alias("lookat_y"), F.col("_look.cz").alias("lookat_z"), F.col("_far").alias("distance"),
+        (F.lit(azimuth_start) + F.lit(TURN_DEGREES) * F.col("_k")).alias("azimuth"), F.lit(ELEVATION).alias("elevation"),
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinelake.functions.vec import round_even
+
 MIN_DT = 1e-6
 
 
@@ -50,3 +52,9 @@ def lag_seeded(df: DataFrame, keys: list[str], order: list[str], value: str, see
     """Previous frame's value, and `seed` for the first frame."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.coalesce(F.lag(value).over(w), seed))
+
+
+def previous_velocity(df: DataFrame, keys: list[str], order: list[str], velocity: str, initial: Column, name: str = "vel_prev") -> DataFrame:
+    """df with the velocity rounded to two decimals, and that of the row before (of `initial` in the first row)."""
+    rounded = lambda v: F.transform(v, lambda x: round_even(x, 2))
+    return lag_seeded(df.withColumn(velocity, rounded(F.col(velocity))), keys, order, velocity, rounded(initial), name)

@@ -70,23 +70,36 @@ def rgba_string(color: Column, alpha: Column) -> Column:
     return F.format_string("%.3f %.3f %.3f %.3f", *(F.get(parts, F.lit(i)).cast("double") for i in range(3)), alpha)
 
 
+def draw(seed: int, *place: Column | str) -> Column:
+    """A number in [0, 1) for a place (a run, a body, a name): the same in every task, partitioning and engine."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(x.cast("string") if isinstance(x, Column) else F.lit(x) for x in place))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
+
+
+def normal(seed: int, *place: Column | str) -> Column:
+    """A standard normal number for a place (Box and Muller's transform of two draws)."""
+    u, v = draw(seed, *place, "radius"), draw(seed, *place, "turn")
+    return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u)) * F.cos(F.lit(TURN) * v)
+
+
 def bodies(
-    spark: SparkSession, runs: int, seed: int, least: int = 2, most: int = 14, shape: str | None = None, material: str | None = None, given: DataFrame | None = None
+    spark: SparkSession, runs: int | DataFrame, seed: int, least: int = 2, most: int = 14, shape: str | None = None, material: str | None = None, given: DataFrame | None = None
 ) -> DataFrame:
-    """Bodies of `runs` scenes, each with least..most bodies; `shape` and `material` override the draw if known.
+    """Bodies of `runs` scenes (a number, or a table of run_id), each with least..most bodies; `shape` and `material` override the draw if known.
 
     Bodies that the caller gives (`given`, not empty) replace the draw.
 
-    Every number derives from the seed and the row, so a task that is run again draws the same.
+    Every number derives from the seed, the run, the body and its name, whatever the partitioning.
     """
     if given is not None and not given.isEmpty():
         return given
-    drawn = spark.range(runs).select(
-        F.col("id").alias("run_id"), (F.lit(least) + F.floor(F.rand(seed) * (most - least + 1))).cast("int").alias("num_objects")
-    )
+    ids = spark.range(runs).withColumnRenamed("id", "run_id") if isinstance(runs, int) else runs.select("run_id")
+    run = F.col("run_id")
+    drawn = ids.withColumn("num_objects", (F.lit(least) + F.floor(draw(seed, run, "count") * (most - least + 1))).cast("int"))
     df = drawn.withColumn("obj_idx", F.explode(F.sequence(F.lit(0), F.col("num_objects") - 1)))
     names = ["shape", "material", "color", "mode", "e", "d", "f", "d1", "d2", "d3", "r", "a", "s", "b", "c", "v", "w1", "w2", "w3"]
-    df = df.withColumns({f"_{n}": F.rand(seed + 1 + i) for i, n in enumerate(names)} | {f"_{n}z": F.randn(seed + 101 + i) for i, n in enumerate("edf")})
+    at = (run, F.col("obj_idx"))
+    df = df.withColumns({f"_{n}": draw(seed, *at, n) for n in names} | {f"_{n}z": normal(seed, *at, f"{n}z") for n in "edf"})
     u = {n: F.col(f"_{n}") for n in names}
     df = df.withColumns(
         {
@@ -116,31 +129,52 @@ def bodies(
         | {f"w{c}": between(u[f"w{i + 1}"], -20.0, 20.0) for i, c in enumerate("xyz")}
     )
     parts = [F.col(c) for c in ("shape", "radius", "height", "side", "length", "width")]
-    df = df.withColumns(placement(F.col("mode"), u) | {"volume": geometry.volume(*parts)})
+    placed = placement(F.col("mode"), u)
+    placed["collision_radius"] = placed.pop("radius")  # `radius` is the body's own
+    sized = {"volume": geometry.volume(*parts), "base_z": geometry.base_z(*parts[:4]), "geom_type": geometry.geom_type(parts[0]), "size_str": geometry.size_string(*parts)}
+    df = df.withColumns(placed | sized)
     df = df.withColumns(
         {
             "mass": geometry.mass(F.col("density"), F.col("volume")),
-            "base_z": geometry.base_z(*parts[:4]),
-            "geom_type": geometry.geom_type(parts[0]),
-            "size_str": geometry.size_string(*parts),
             "geom_id": F.col("obj_idx") + 1,
             "id": F.concat(F.lit("geom_obj"), F.col("obj_idx").cast("string")),
         }
+        | names_of(F.col("obj_idx"))
     )
     return df.drop(*(c for c in df.columns if c.startswith("_")), "color", "alpha")
 
 
+def names_of(obj_idx: Column) -> dict[str, Column]:
+    """The names of a body, its joint and its material in a scene."""
+    i = obj_idx.cast("string")
+    return {"body_name": F.concat(F.lit("obj"), i), "joint_name": F.concat(F.lit("obj"), i, F.lit("_free")), "material_name": F.concat(F.lit("mat_obj"), i)}
+
+
 def uniform_modes(u: Column) -> Column:
     return F.get(F.array(*(F.lit(m) for m, _ in dim.MODES)), weighted(u, [w for _, w in dim.MODES]))
 
 
-def scene_xml(df: DataFrame) -> DataFrame:
-    """(run_id, xml): a simulator scene with the bodies of each run in index order."""
-    name = F.concat(F.lit("obj"), F.col("obj_idx").cast("string"))
+# The scene around the bodies, in the simulator's format.
+_HEAD = (
+    '<mujoco model="dynamic_objects"><size nconmax="200" njmax="200"/><option timestep="0.0005" gravity="0 0 -9.81"/>'
+    '<visual><global offwidth="{width}" offheight="{height}"/></visual><asset>'
+)
+_FLOOR = (
+    '<material name="floor_mat" specular="0.0" shininess="0.0" rgba="0.8 0.8 0.8 1.0"/></asset><worldbody><light name="light" pos="0 0 3"/>'
+    '<geom name="floor" type="plane" size="50 50 0.1" pos="0 0 0" rgba="1 1 1 1" friction="0.05 0.3 0.5" group="0" material="floor_mat"/>'
+)
+_END = '<camera name="camera" pos="0 -2 1" xyaxes="0.8944 0 0 0 0.4472 0.8944"/></worldbody></mujoco>'
+
+
+def scene_xml(df: DataFrame, width: int = 1440, height: int = 1024) -> DataFrame:
+    """(run_id, xml): a whole simulator scene with the materials and bodies of each run in index order."""
+    material = F.format_string('<material name="%s" specular="%.1f" shininess="%d" rgba="%s"/>', "material_name", "specular", "shininess", "rgba")
     body = F.format_string(
-        '<body name="%s" pos="%.4f %.4f %.4f"><freejoint name="%s_free"/>'
-        '<geom name="geom_%s" type="%s" size="%s" mass="%.6f" friction="%s" rgba="%s"/></body>',
-        name, F.col("x"), F.col("y"), F.col("base_z"), name, name, F.col("geom_type"), F.col("size_str"), F.col("mass"), F.col("friction"), F.col("rgba"),
+        '<body name="%s" pos="%.4f %.4f %.4f"><freejoint name="%s"/>'
+        '<geom name="%s" type="%s" size="%s" mass="%.6f" friction="%s" material="%s" group="1"/></body>',
+        "body_name", "x", "y", "base_z", "joint_name", "id", "geom_type", "size_str", "mass", "friction", "material_name",
     )
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("obj_idx", body.alias("b")))), lambda s: s["b"])
-    return df.groupBy("run_id").agg(F.concat(F.lit("<mujoco><worldbody>"), F.array_join(ordered, ""), F.lit("</worldbody></mujoco>")).alias("xml"))
+    rows = F.array_sort(F.collect_list(F.struct("obj_idx", material.alias("m"), body.alias("b"))))  # a run has few bodies
+    joined = lambda k: F.array_join(F.transform("_rows", lambda s: s[k]), "")
+    head = F.lit(_HEAD.format(width=width, height=height))
+    return df.groupBy("run_id").agg(rows.alias("_rows")).select("run_id", F.concat(head, joined("m"), F.lit(_FLOOR), joined("b"), F.lit(_END)).alias("xml"))

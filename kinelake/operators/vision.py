@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Contours up to this area are noise; the background and floor id.
 LEAST_AREA = 50.0
 FLOOR = 0
-CONTOUR_SCHEMA = "frame_idx long, geom_id int, contour_idx int, x0 int, y0 int, x1 int, y1 int, area double"
+CONTOUR_SCHEMA = "frame_idx long, geom_id int, contour_idx int, x0 int, y0 int, x1 int, y1 int, area double, hole boolean, points array<array<int>>"
 
 
 def distinct_ids(pixels: DataFrame, frame: str = "frame_idx") -> DataFrame:
@@ -29,11 +29,16 @@ def largest_box(found: DataFrame, keys: list[str], index: str, area: Column, lea
 
 def mask_color(geom_id: Column) -> Column:
     """Deterministic (r, g, b) of an id, each 0-254; black for the floor."""
-    h = F.xxhash64(geom_id)
-    part = lambda k: F.pmod(F.shiftrightunsigned(h, 16 * k), F.lit(255)).cast("int")
+    h = F.md5(geom_id.cast("string").cast("binary"))
+    part = lambda k: (F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("long") % 255).cast("int")
     return F.when(geom_id == FLOOR, F.array(F.lit(0), F.lit(0), F.lit(0))).otherwise(F.array(part(0), part(1), part(2)))
 
 
+def remembered_color(known: Column, geom_id: Column) -> Column:
+    """The colour an id already has, else its own."""
+    return F.coalesce(known, mask_color(geom_id))
+
+
 _STEPS = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]  # clockwise from the right, as (dy, dx)
 
 
@@ -56,37 +61,122 @@ def _outline(cells: set[tuple[int, int]], start: tuple[int, int]) -> list[tuple[
         path.append(at)
 
 
-def contours(pixels: DataFrame, least: float = LEAST_AREA) -> DataFrame:
-    """Outer contours of each id in each frame: boxes and polygon areas through pixel centres.
+def _simple(path: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The corners of a border: points between two equal steps are left out."""
+    if len(path) < 3:
+        return path
+    step = [(b[0] - a[0], b[1] - a[1]) for a, b in zip(path, path[1:] + path[:1], strict=True)]
+    return [p for p, before, after in zip(path, step[-1:] + step[:-1], step, strict=True) if before != after]
+
+
+def _runs(y, x):
+    """Row, first and last column of each horizontal run of pixels sorted by (y, x)."""
+    import numpy as np
+
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(y) != 0) | (np.diff(x) > 1)]))
+    last = np.append(first[1:], len(y)) - 1
+    return y[first], x[first], x[last]
+
+
+def _labels(row, left, right, reach: int):
+    """A number for each run, equal for runs that touch: reach 1 counts diagonal neighbours, 0 does not."""
+    import numpy as np
+
+    parent = np.arange(len(row))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    start = np.searchsorted(row, row - 1, side="left")
+    end = np.searchsorted(row, row - 1, side="right")
+    width = int(max(right.max(initial=0), 0)) + 4
+    # Within the row above, the runs that reach from left - reach to right + reach.
+    key_right, key_left = row * width + right, row * width + left
+    low = np.clip(np.searchsorted(key_right, (row - 1) * width + left - reach, side="left"), start, end)
+    high = np.clip(np.searchsorted(key_left, (row - 1) * width + right + reach, side="right"), start, end)
+    for i in np.flatnonzero(high > low).tolist():
+        for j in range(low[i], high[i]):
+            a, b = root(i), root(j)
+            parent[max(a, b)] = min(a, b)
+    return np.array([root(i) for i in range(len(row))])
+
+
+def _parts(cells, reach: int):
+    """Connected sets of the pixels (arrays y, x), each as arrays, by their topmost, then leftmost pixel."""
+    import numpy as np
+
+    y, x = cells
+    order = np.lexsort((x, y))
+    y, x = y[order], x[order]
+    row, left, right = _runs(y, x)
+    label = np.repeat(_labels(row, left, right, reach), right - left + 1)
+    for k in np.unique(label):
+        own = label == k
+        yield y[own], x[own]
+
+
+def _enclosed(y, x):
+    """Holes of a connected set: background within its box that no side reaches, in 4-connected sets."""
+    import numpy as np
+
+    top, side = y.min(), x.min()
+    grid = np.ones((y.max() - top + 3, x.max() - side + 3), bool)
+    grid[y - top + 1, x - side + 1] = False
+    gy, gx = np.nonzero(grid)
+    for hy, hx in _parts((gy, gx), 0):
+        if hy.min() > 0:  # the part outside holds the frame of the box
+            yield hy + top - 1, hx + side - 1
+
+
+def contours(pixels: DataFrame, least: float = LEAST_AREA, holes: bool = False) -> DataFrame:
+    """Contours of each id in each frame: boxes, polygon areas through pixel centres, corner points (x, y).
 
     pixels has (frame_idx, geom_id, y, x). The floor is skipped and contours up to the
-    least area are dropped. One task holds the pixels of one body in one frame.
+    least area are dropped. holes: also the borders of holes, through the pixels around them
+    (they lie inside their outer box, so the largest box does not change). One task holds
+    the pixels of one body in one frame; Python steps along borders only.
     """
 
     def trace(pdf):
+        import numpy as np
         import pandas as pd
 
         frame, geom = int(pdf["frame_idx"].iloc[0]), int(pdf["geom_id"].iloc[0])
-        left = set(zip(pdf["y"].tolist(), pdf["x"].tolist(), strict=True))
+        seen = pdf[["y", "x"]].drop_duplicates()
         rows = []
-        for cell in sorted(left):
-            if cell not in left:
-                continue
-            part, todo = {cell}, [cell]
-            left.discard(cell)
-            while todo:
-                y, x = todo.pop()
-                for dy, dx in _STEPS:
-                    near = (y + dy, x + dx)
-                    if near in left:
-                        left.discard(near)
-                        part.add(near)
-                        todo.append(near)
-            path = _outline(part, cell)
+
+        def add(y, x, hole):
+            cells = set(zip(y.tolist(), x.tolist(), strict=True))
+            path = _outline(cells, min(cells))
             area = abs(sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(path, path[1:] + path[:1], strict=True))) / 2
-            ys, xs = [c[0] for c in part], [c[1] for c in part]
             if area > least:
-                rows.append((frame, geom, len(rows), min(xs), min(ys), max(xs) + 1, max(ys) + 1, area))
+                points = [[c[1], c[0]] for c in _simple(path)]
+                rows.append((frame, geom, len(rows), int(x.min()), int(y.min()), int(x.max()) + 1, int(y.max()) + 1, area, hole, points))
+
+        for y, x in _parts((seen["y"].to_numpy(np.int64), seen["x"].to_numpy(np.int64)), 1):
+            edge = _border(y, x)
+            add(y[edge], x[edge], False)
+            for hy, hx in _enclosed(y, x) if holes else ():
+                around = {(a + dy, b + dx) for a, b in zip(hy.tolist(), hx.tolist(), strict=True) for dy, dx in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))}
+                cells = np.array(sorted(around))
+                add(cells[:, 0], cells[:, 1], True)
         return pd.DataFrame(rows, columns=[c.split()[0] for c in CONTOUR_SCHEMA.split(", ")])
 
     return pixels.where(F.col("geom_id") != FLOOR).groupBy("frame_idx", "geom_id").applyInPandas(trace, CONTOUR_SCHEMA)
+
+
+def _border(y, x):
+    """Which pixels of a set have a neighbour (of four) outside it; a border is walked along these alone."""
+    import numpy as np
+
+    width = int(x.max() - x.min()) + 3
+    key = (y - y.min() + 1) * width + (x - x.min() + 1)
+    every = np.sort(key)
+    inside = np.ones(len(key), bool)
+    for step in (1, -1, width, -width):
+        place = np.minimum(np.searchsorted(every, key + step), len(every) - 1)
+        inside &= every[place] == key + step
+    return ~inside

@@ -150,7 +150,8 @@ def overlay_lines(spark, sf_dir):
 
 
 def manifest(spark, sf_dir):
-    runs = _framed(spark, sf_dir).groupBy("run_id").agg(F.count(F.lit(1)).alias("num_objects"))
+    """Output paths of each run, with the number of its bodies."""
+    runs = frame_events(spark, sf_dir).groupBy((F.col("frame_idx") / 7).cast("long").alias("run_id")).agg(F.countDistinct("geom_id").alias("num_objects"))
     return document.manifest(runs, "generated")
 
 
@@ -201,7 +202,7 @@ ORACLE = {
     "overlay_lines": f"""WITH {_COLLISION}, t AS (SELECT frame_idx, geom_id, ['Mass: ' || printf('%.2f', geom_id + 1.0) || ' kg', 'Velocity: [' || {_num('v_now')} || ', ' || {_num('v_prev')} || ']',
           'Material: wood', 'Taxonomy: ' || coalesce(events, '')] AS lines FROM s LEFT JOIN v USING (frame_idx, geom_id))
         SELECT frame_idx, geom_id, i::INT AS line_idx, lines[i + 1] AS line, geom_id * 10 AS line_x, (500 - 20 * (i + 1))::INT AS line_y FROM t, range(4) r(i)""",
-    "manifest": f"""WITH {_BASE}, r AS (SELECT frame_idx // 7 AS run_id, count(DISTINCT frame_idx) AS n FROM s GROUP BY 1)
+    "manifest": f"""WITH {_BASE}, r AS (SELECT frame_idx // 7 AS run_id, count(DISTINCT geom_id) AS n FROM s GROUP BY 1)
         SELECT run_id, 'generated/' || n || '/' || run_id || '/obj_' || n || '.json' AS annotations, 'generated/' || n || '/' || run_id || '/simulation_' || n || '_objects.mp4' AS video,
           'generated/' || n || '/' || run_id || '/simulation_' || n || '_objects_segmentation.mp4' AS segmentation FROM r""",
 }

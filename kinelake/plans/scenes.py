@@ -87,12 +87,24 @@ def string_concat(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(ids, "").alias("ids"))
 
 
+SEED = 7
+_STEADY = ("mass", "volume", "density", "x", "y", "vx", "vy", "vz", "collision_radius", "wx", "wy", "wz", "base_z")
+
+
+def runs(spark, sf_dir):
+    """A run for each part."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("run_id"))
+
+
 def scene_random(spark, sf_dir):
-    return scene.bodies(spark, 200, seed=7)
+    """Bodies of a run for each part, numbers rounded to what two engines agree on."""
+    df = scene.bodies(spark, runs(spark, sf_dir), SEED)
+    kept = ("run_id", "num_objects", "obj_idx", "id", "geom_id", "shape", "material", "mode", "rgba", "specular", "shininess", "geom_type", "joint_name", "material_name")
+    return df.select(*kept, *(vec.steady(F.col(c), 3).alias(c) for c in _STEADY))
 
 
 def scene_xml(spark, sf_dir):
-    return scene.scene_xml(scene.bodies(spark, 50, seed=7))
+    return scene.scene_xml(scene.bodies(spark, runs(spark, sf_dir), SEED))
 
 
 QUERIES = {
@@ -133,7 +145,48 @@ _material_rows = ", ".join(
 )
 _material_drawn = _choice(_u(7919), list(dim.MATERIALS))
 
+_draw = lambda name, of="run_id || ':' || obj_idx": f"(('0x' || substr(md5('{SEED}:' || {of} || ':{name}'), 1, 13))::BIGINT / {2**52}.0::DOUBLE)"
+_normal = lambda name: f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {_draw(name + ':radius')})) * cos({scene.TURN!r}::DOUBLE * {_draw(name + ':turn')}))"
+_three = lambda x: _six(x, 3)
+
+
+def _mixed(name: str, rows) -> str:
+    pick = lambda k: _cumulative(f"u_{name}", [r[2] for r in rows], [f"{r[k]!r}::DOUBLE" for r in rows])
+    return f"({pick(0)} + {pick(1)} * z_{name})"
+
+
+_NAMES = ("shape", "material", "color", "mode", "e", "d", "f", "d1", "d2", "d3", "r", "a", "s", "b", "c", "v", "w1", "w2", "w3")
+_u2 = lambda name, a, b: f"({a!r}::DOUBLE + {b - a!r}::DOUBLE * u_{name})"
+_SCENE = f"""m(material, density0, friction0, alpha, specular, shininess) AS (VALUES {_material_rows}),
+n AS (SELECT p_partkey AS run_id, (2 + floor({_draw('count', 'p_partkey')} * 13))::INT AS num_objects FROM part),
+o AS (SELECT run_id, num_objects, unnest(range(num_objects))::INT AS obj_idx FROM n),
+u AS (SELECT *, {', '.join(f'{_draw(x)} AS u_{x}' for x in _NAMES)}, {', '.join(f"{_normal(x + 'z')} AS z_{x}" for x in 'edf')} FROM o),
+k AS (SELECT *, {_choice('u_shape', list(geometry.SHAPES))} AS shape, {_choice('u_material', list(dim.MATERIALS))} AS material, {_choice('u_color', list(dim.COLORS.values()))} AS color,
+        {_cumulative('u_mode', [w for _, w in dim.MODES], [f"'{x}'" for x, _ in dim.MODES])} AS mode FROM u),
+s AS (SELECT k.*, alpha, specular::DOUBLE AS specular, shininess, coalesce(density0::DOUBLE, {_mixed('d', dim.METAL_MIXTURES['density'])}) AS density,
+        coalesce(friction0, printf('%.2f', {_mixed('f', dim.METAL_MIXTURES['friction'])})) AS friction,
+        {_u2('d1', 0.05, 0.1)} AS ball, {_u2('d2', 0.1, 0.2)} AS tall, {_u2('d1', 0.1, 0.3)} AS side, {_u2('d1', 0.1, 0.2)} AS length, {_u2('d2', 0.05, 0.2)} AS width, {_u2('d3', 0.05, 0.1)} AS flat,
+        {_u2('r', 1.0, 2.0)} AS collision_radius, {scene.TURN!r}::DOUBLE * u_a AS angle, {scene.TURN!r}::DOUBLE * u_b AS heading FROM k JOIN m USING (material)),
+v AS (SELECT *, CASE shape WHEN 'ball' THEN {_ball}::DOUBLE * ball * ball * ball WHEN 'cylinder' THEN {_pi}::DOUBLE * ball * ball * tall WHEN 'cube' THEN side * side * side ELSE length * width * flat END AS volume,
+        CASE mode WHEN 'collision' THEN collision_radius WHEN 'offset' THEN {_u2('s', 1.2, 1.5)} * collision_radius ELSE collision_radius * sqrt(u_s) END AS away FROM s),
+b AS (SELECT *, greatest(density * volume, 1e-6) AS mass, away * cos(angle) AS x, away * sin(angle) AS y,
+        CASE mode WHEN 'collision' THEN -{_u2('c', 2.0, 5.0)} * cos(angle) WHEN 'sliding' THEN {_u2('c', 1.0, 3.0)} * cos(heading) WHEN 'stationary' THEN 0.0::DOUBLE ELSE -{_u2('c', 1.0, 2.0)} * cos(angle) END AS vx,
+        CASE mode WHEN 'collision' THEN -{_u2('c', 2.0, 5.0)} * sin(angle) WHEN 'sliding' THEN {_u2('c', 1.0, 3.0)} * sin(heading) WHEN 'stationary' THEN 0.0::DOUBLE ELSE -{_u2('c', 1.0, 2.0)} * sin(angle) END AS vy,
+        CASE mode WHEN 'collision' THEN {_u2('v', -0.2, 0.2)} WHEN 'stationary' THEN 0.0::DOUBLE ELSE {_u2('v', -0.1, 0.1)} END AS vz,
+        {_u2('w1', -20.0, 20.0)} AS wx, {_u2('w2', -20.0, 20.0)} AS wy, {_u2('w3', -20.0, 20.0)} AS wz,
+        CASE shape WHEN 'ball' THEN ball WHEN 'cylinder' THEN tall / 2 WHEN 'cube' THEN side / 2 ELSE flat / 2 END AS base_z,
+        CASE shape WHEN 'ball' THEN 'sphere' WHEN 'cylinder' THEN 'cylinder' ELSE 'box' END AS geom_type,
+        CASE shape WHEN 'ball' THEN printf('%.4f', ball) WHEN 'cylinder' THEN printf('%.4f %.4f', ball, tall / 2)
+          WHEN 'cube' THEN printf('%.4f %.4f %.4f', side / 2, side / 2, side / 2) ELSE printf('%.4f %.4f %.4f', length / 2, width / 2, flat / 2) END AS size_str,
+        printf('%.3f %.3f %.3f %.3f', split_part(color, ' ', 1)::DOUBLE, split_part(color, ' ', 2)::DOUBLE, split_part(color, ' ', 3)::DOUBLE, alpha::DOUBLE) AS rgba FROM v)"""
+
 ORACLE = {
+    "scene_random": f"""WITH {_SCENE} SELECT run_id, num_objects, obj_idx, 'geom_obj' || obj_idx AS id, obj_idx + 1 AS geom_id, shape, material, mode, rgba, specular, shininess, geom_type,
+        'obj' || obj_idx || '_free' AS joint_name, 'mat_obj' || obj_idx AS material_name, {', '.join(f'{_three(c)} AS {c}' for c in _STEADY)} FROM b""",
+    "scene_xml": f"""WITH {_SCENE}, t AS (SELECT run_id, obj_idx, '<material name="mat_obj' || obj_idx || '" specular="' || printf('%.1f', specular) || '" shininess="' || shininess || '" rgba="' || rgba || '"/>' AS m,
+          '<body name="obj' || obj_idx || '" pos="' || printf('%.4f %.4f %.4f', x, y, base_z) || '"><freejoint name="obj' || obj_idx || '_free"/><geom name="geom_obj' || obj_idx || '" type="' || geom_type
+          || '" size="' || size_str || '" mass="' || printf('%.6f', mass) || '" friction="' || friction || '" material="mat_obj' || obj_idx || '" group="1"/></body>' AS g FROM b)
+        SELECT run_id, '{scene._HEAD.format(width=1440, height=1024)}' || string_agg(m, '' ORDER BY obj_idx) || '{scene._FLOOR}' || string_agg(g, '' ORDER BY obj_idx) || '{scene._END}' AS xml FROM t GROUP BY run_id""",
     "scan_project": "SELECT 'geom_obj' || p_partkey AS id, coalesce(p_size, 0) AS size, array_to_string(string_split(p_name, ' ')[1:2], ' ') AS name_head FROM part",
     "volume_by_shape": f"""WITH {_BODIES}, v AS (SELECT *, CASE shape WHEN 'ball' THEN {_ball}::DOUBLE * radius * radius * radius
           WHEN 'cylinder' THEN {_pi}::DOUBLE * radius * radius * height WHEN 'cube' THEN side * side * side ELSE length * width * height END AS v FROM b)
