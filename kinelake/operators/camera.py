@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,18 @@ DEFAULT_LOOKAT, DEFAULT_DISTANCE = (0.0, 0.0, 2.0), 3.0
 MEMORY = 400
 
 
+@dataclass(frozen=True)
+class Settings:
+    """A run's camera: whether it follows the bodies (mode 1), and where it starts."""
+
+    mode: int = 0
+    azimuth: float = START_AZIMUTH
+    distance: float = 2.23606797749979
+
+    def track(self, frames: DataFrame, keys: list[str], order: str) -> DataFrame:
+        return track(frames, keys, order, self.azimuth, self.distance, follow=self.mode == 1)
+
+
 def centroid(df: DataFrame, keys: list[str]) -> DataFrame:
     """Mean position (x, y, z) of each group, its height at least LEAST_HEIGHT."""
     return df.groupBy(*keys).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.greatest(F.avg("z"), F.lit(LEAST_HEIGHT)).alias("cz"))

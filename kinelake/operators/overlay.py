@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinelake.functions.vec import round_even
+from kinelake.sources import document, video
 
 LINE_HEIGHT = 20
 
@@ -46,6 +47,26 @@ def positional(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys, "left")
 
 
+def first_match(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_first", place).where("_first = 1").drop("_first")
+
+
+def annotate(spark: SparkSession, document_path: str, videos: DataFrame | None, out_path: str) -> DataFrame | None:
+    """replay of the documents under a path on videos (path, fps, n_frames); nothing is done (None) if a path or the videos are missing."""
+    if not document_path or videos is None or not out_path:
+        return None
+    found = replay(document.read(spark, document_path), video.frames(videos, ["path"]), ["path"])
+    found.write.mode("overwrite").parquet(out_path)
+    return spark.read.parquet(out_path)
+
+
+def swapped(color: Column) -> Column:
+    """(b, g, r) of a colour (r, g, b): how it shows where the drawing library takes blue first."""
+    return F.reverse(color)
+
+
 def replay(docs: DataFrame, shown: DataFrame, keys: list[str]) -> DataFrame:
     """Overlay lines of run documents on the frames shown (keys, frame_idx).
 
@@ -54,7 +75,8 @@ def replay(docs: DataFrame, shown: DataFrame, keys: list[str]) -> DataFrame:
     objects that the document does not describe. Each line has its box and its colour.
     """
     framed = docs.select(*keys, F.posexplode("frames").alias("frame_idx", "f")).withColumn("frame_idx", F.col("frame_idx").cast("long"))
-    meta = docs.select(*keys, F.explode("objects").alias("o")).select(*keys, "o.id", "o.mass", "o.material", F.col("o.visual.rgba").alias("rgba"))
+    listed = docs.select(*keys, F.posexplode("objects").alias("_pos", "o")).withColumn("_id", F.col("o.id"))
+    meta = first_match(listed, [*keys, "_id"], ["_pos"]).select(*keys, "o.id", "o.mass", "o.material", F.col("o.visual.rgba").alias("rgba"))
     states = framed.select(*keys, "frame_idx", F.explode("f.objects").alias("id", "s")).join(meta, [*keys, "id"])
     no_events = F.array().cast(states.schema["s"].dataType["taxonomy"].dataType)
     text = description(F.col("mass"), vector(F.col("s.velocity")), F.col("material"), labels_of(F.coalesce("s.taxonomy", no_events)))

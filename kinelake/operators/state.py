@@ -29,6 +29,11 @@ def position_address(i: Column, compat: str = "fixed") -> Column:
     return i * (POSITIONS if _checked(compat) == "fixed" else VELOCITIES)
 
 
+def camera_address(i: Column, compat: str = "fixed") -> Column:
+    """Place of body i's position as the camera reads it: "exact" takes the number of the body's joint for an address."""
+    return i * POSITIONS if _checked(compat) == "fixed" else i
+
+
 def later_body(geom_id: Column, bodies: Column, compat: str = "fixed") -> Column:
     """Index of the body whose velocity counts after a contact of geom_id (1 and up; 0 is the floor)."""
     return geom_id - 1 if _checked(compat) == "fixed" else F.least(geom_id, bodies - 1)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinelake.functions.vec import round_even
+
 _VECTOR = "ARRAY<DOUBLE>"
 _EVENT = "STRUCT<category:STRING,subcategory:STRING,labels:ARRAY<STRING>>"
 _STATE = f"STRUCT<velocity:{_VECTOR},angular_velocity:{_VECTOR},active_labels:ARRAY<STRING>,position:{_VECTOR},bbox:ARRAY<ARRAY<INT>>,taxonomy:ARRAY<{_EVENT}>>"
@@ -34,11 +38,45 @@ def frames(states: DataFrame, pairs: DataFrame) -> DataFrame:
     return objects.join(met, keys, "left").select(*keys, F.struct("time", "objects", F.coalesce("interations", none).alias("interations")).alias("frame"))
 
 
-def documents(framed: DataFrame) -> DataFrame:
-    """(run_id, json): each run's frames in order as JSON text."""
+def described(bodies: DataFrame) -> DataFrame:
+    """(run_id, num_objects, objects): each run's bodies (as operators.scene.bodies gives them) as the document's objects, in index order."""
+    size = F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in ("radius", "height", "side", "length", "width")))
+    named = {
+        "material_shininess": F.col("shininess"), "dimensions": F.map_from_entries(F.filter(size, lambda e: e["value"].isNotNull())),
+        "visual": F.struct("rgba", "specular"), "velocity": F.array("vx", "vy", "vz"), "angular_velocity": F.array("wx", "wy", "wz"),
+        "init_possition_x": F.col("x"), "init_possition_y": F.col("y"), "vel_prev": F.transform(F.array("vx", "vy", "vz"), lambda v: round_even(v, 2)),
+    }
+    # The fields of an object, in the document's order and spelling.
+    fields = (
+        "id geom_id shape material material_shininess dimensions mass density elasticity friction visual velocity angular_velocity mode"
+        " init_possition_x init_possition_y collision_radius volume base_z geom_type size_str vel_prev"
+    ).split()
+    body = F.struct(*(named.get(f, F.col(f)).alias(f) for f in fields))
+    rows = F.array_sort(F.collect_list(F.struct("obj_idx", body.alias("o"))), lambda a, b: a["obj_idx"] - b["obj_idx"])
+    return bodies.groupBy("run_id").agg(F.count(F.lit(1)).alias("num_objects"), F.transform(rows, lambda r: r["o"]).alias("objects"))
+
+
+def annotated(states: DataFrame, *annotators: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """states with what each annotator (DataFrame to DataFrame) adds, in order; none leaves them as they are."""
+    for annotator in annotators:
+        states = states.transform(annotator)
+    return states
+
+
+def documents(framed: DataFrame, objects: DataFrame | None = None, cameras: DataFrame | None = None) -> DataFrame:
+    """(run_id, [num_objects], json): each run's document as JSON text, its frames in order.
+
+    objects as of `described`, cameras (run_id, camera); a part that isn't given is left
+    out. A run is one row: the frame rate and the run's length bound it.
+    """
     by_index = lambda a, b: F.when(a["frame_idx"] < b["frame_idx"], -1).when(a["frame_idx"] > b["frame_idx"], 1).otherwise(0)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "frame")), by_index), lambda f: f["frame"])
-    return framed.groupBy("run_id").agg(F.to_json(F.struct(ordered.alias("frames"))).alias("json"))
+    out, parts, more = framed.groupBy("run_id").agg(ordered.alias("frames")), [], []
+    for name, given in (("camera", cameras), ("objects", objects)):
+        if given is not None:
+            out, parts = out.join(given, "run_id", "left"), [*parts, name]
+    more = ["num_objects"] if "num_objects" in out.columns else []
+    return out.select("run_id", *more, F.to_json(F.struct(*parts, "frames")).alias("json"))
 
 
 def parse(df: DataFrame, json: str = "json") -> DataFrame:
@@ -52,8 +90,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str) -> None:
-    """Document structs as JSON lines, split by number of objects (an action)."""
-    docs.write.mode("overwrite").partitionBy("num_objects").json(path)
+    """Documents (run_id, num_objects, json) as one JSON text a run under num_objects=<n>/run_id=<id>/ (an action).
+
+    Only the folders of these runs are replaced: other runs, of the same size too, stay.
+    """
+    docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("num_objects", "run_id").text(path)
 
 
 def flatten(docs: DataFrame, keys: list[str]) -> DataFrame:

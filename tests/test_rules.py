@@ -237,3 +237,68 @@ def test_replay_of_a_document(spark):
         (0, "Mass: 2.00 kg", 5, 70), (0, "Velocity: [1.0, 0.26, 0.0]", 5, 50), (0, "Material: wood", 5, 30), (0, "Taxonomy: A,B", 5, 10), (1, None, None, None),
     ]
     assert (rows[0]["color"], rows[0]["x2"], rows[0]["y2"]) == ([127, 76, 25], 9, 99)
+
+
+def test_whole_documents_are_written_by_run(spark, tmp_path):
+    bodies = scene.bodies(spark, 3, seed=5)
+    first = bodies.where("obj_idx = 0").select("run_id", F.lit(0).cast("long").alias("frame_idx"), F.lit(0.5).alias("time"), "id", F.struct(F.array("vx").alias("velocity")).alias("state"))
+    pairs = spark.createDataFrame([], "run_id long, frame_idx long, g1 int, g2 int")
+    cameras = spark.createDataFrame([(i, (3.5,)) for i in range(3)], "run_id long, camera struct<distance:double>")
+    docs = document.documents(document.frames(first, pairs), document.described(bodies), cameras)
+    document.write(docs, f"{tmp_path}/out")
+    document.write(docs.where("run_id = 1"), f"{tmp_path}/out")  # other runs stay
+    back = document.read(spark, f"{tmp_path}/out/*/*")
+    rows = {len(r["objects"]): r for r in back.collect()}
+    counts = {r["run_id"]: r["count"] for r in bodies.groupBy("run_id").count().collect()}
+    assert back.count() == 3 and set(rows) == set(counts.values())
+    one = next(iter(rows.values()))
+    assert one["camera"]["distance"] == 3.5 and [o["id"] for o in one["objects"]] == [f"geom_obj{i}" for i in range(len(one["objects"]))]
+    ball = bodies.where("shape = 'ball'").select("radius", "size_str", "base_z").first()
+    assert ball["size_str"] == f"{ball['radius']:.4f}" and ball["base_z"] == ball["radius"]
+    assert all(o["dimensions"] and o["vel_prev"] == [round(v, 2) for v in o["velocity"]] for o in one["objects"])
+
+
+def test_annotators_guards_and_first_matches(spark):
+    df = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "c")], "k int, i int, v string")
+    assert {tuple(r) for r in overlay.first_match(df, ["k"], ["i"]).collect()} == {(1, 1, "a"), (2, 1, "c")}
+    more = document.annotated(df, lambda d: d.withColumn("x", F.lit(1)), lambda d: d.withColumn("y", F.col("x") + 1))
+    assert more.first()["y"] == 2 and document.annotated(df) is df
+    assert overlay.annotate(spark, "", df, "out") is None and overlay.annotate(spark, "in", None, "out") is None
+    assert value(spark, overlay.swapped(F.array(F.lit(1), F.lit(2), F.lit(3)))) == [3, 2, 1]
+    assert [value(spark, state.camera_address(F.lit(2), c)) for c in state.COMPAT] == [14, 2]
+
+
+def test_previous_velocity_is_rounded_first(spark):
+    df = spark.createDataFrame([(1, 1, [0.124, 1.0]), (1, 2, [0.126, 2.0])], "k int, i int, v array<double>")
+    rows = frames.previous_velocity(df, ["k"], ["i"], "v", F.array(F.lit(0.555), F.lit(0.0))).orderBy("i").collect()
+    assert [(r["v"], r["vel_prev"]) for r in rows] == [([0.12, 1.0], [0.56, 0.0]), ([0.13, 2.0], [0.12, 1.0])]
+
+
+def test_camera_without_objects_and_long_runs(spark):
+    found = spark.createDataFrame([(1, 0, 5.0, 5.0, 5.0, 4.0)], "k int, f int, cx double, cy double, cz double, distance double")
+    every = spark.createDataFrame([(1, 0), (1, 1)], "k int, f int")
+    assert [tuple(r) for r in camera.with_empty(found, every, ["k", "f"]).orderBy("f").collect()] == [(1, 0, 5.0, 5.0, 5.0, 4.0), (1, 1, 0.0, 0.0, 2.0, 3.0)]
+    rng = random.Random(1)
+    rows = [(1, i, rng.random(), rng.random(), rng.random(), rng.random()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "k int, f int, cx double, cy double, cz double, distance double")
+    x, far, want = rows[0][2], 2.23606797749979, []
+    for i, r in enumerate(rows):
+        x, far = r[2] if i == 0 else 0.1 * r[2] + 0.9 * x, 0.1 * r[5] + 0.9 * far
+        want.append((x, far))
+    got = camera.Settings(mode=1).track(df, ["k"], "f").orderBy("f").collect()
+    assert [v for r in got for v in (r["lookat_x"], r["distance"])] == pytest.approx([v for w in want for v in w], abs=1e-14)
+    assert camera.ema(df, ["k"], ["f"], "cx").first()["ema"] == pytest.approx(want[-1][0], abs=1e-14)
+    assert camera.Settings().track(df, ["k"], "f").count() == 0
+
+
+def test_contours_with_holes_and_corners(spark):
+    ring = [(0, 1, y, x) for y in range(30) for x in range(40) if not (10 <= y < 20 and 10 <= x < 30)]
+    touching = [(0, 1, 30 + i, 40 + i) for i in range(5)]  # joined by a corner
+    df = spark.createDataFrame(ring + touching, "frame_idx long, geom_id int, y int, x int")
+    outer = vision.contours(df).collect()
+    assert [(r["x0"], r["y0"], r["x1"], r["y1"], r["hole"]) for r in outer] == [(0, 0, 45, 35, False)]
+    both = vision.contours(df, holes=True).collect()
+    hole = next(r for r in both if r["hole"])
+    assert len(both) == 2 and (hole["x0"], hole["y0"], hole["x1"], hole["y1"]) == (9, 9, 31, 21)
+    square = spark.createDataFrame([(0, 1, y, x) for y in range(10) for x in range(10)], "frame_idx long, geom_id int, y int, x int")
+    assert sorted(vision.contours(square).first()["points"]) == [[0, 0], [0, 9], [9, 0], [9, 9]]
