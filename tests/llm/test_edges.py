@@ -70,6 +70,18 @@ def test_stages(spark, odd, empty, tmp_path, stage):
         assert stage(spark, odd, str(tmp_path)).columns == odd.columns
 
 
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:-1]], ids=[n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_keep_the_callers_columns(spark, odd, tmp_path, stage):
+    """Whatever the columns are called, they come back with their own values."""
+    bench(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = "_text _lines _id _rest _made n_words kept n_lines n_dropped spans ids items n_hit row runs fp site component_id hash keys sketch base suspect".split()
+    more = odd.withColumns({c: F.lit(f"mine {c}") for c in names})
+    plain, out = stage(spark, odd, str(tmp_path)), stage(spark, more, str(tmp_path))
+    assert out.columns == more.columns
+    assert all(r[c] == f"mine {c}" for r in out.collect() for c in names)
+    assert sorted(map(repr, out.select(*odd.columns).collect())) == sorted(map(repr, plain.collect()))
+
+
 def test_models_learn_from_odd_labels(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 1), (4, 0, 0), (4, 1, 0), (6, 1, 1), (None, 1, 1), (8, None, None)], "doc_id long, quality int, toxic int")
     for docs in (odd, empty):
