@@ -23,8 +23,6 @@ how dishes are dealt to tasks nor on their order.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 THETA = 1.0
@@ -78,10 +76,16 @@ def gamma(key: np.ndarray, stream: int, shape: np.ndarray) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=4)
+_TABLES: dict[tuple[float, int], np.ndarray] = {}
+
+
 def stirling(d: float, most: int) -> np.ndarray:
     """log S(c, t) for c, t up to `most`: the weights of all seatings of c customers at t tables."""
-    out = np.full((most + 1, most + 1), -np.inf)
+    known = _TABLES.get((d, most))
+    if known is not None:
+        return known
+    _TABLES.clear()
+    out = _TABLES[d, most] = np.full((most + 1, most + 1), -np.inf)
     out[1, 1] = 0.0
     t = np.arange(1, most + 1)
     with np.errstate(divide="ignore"):
