@@ -42,13 +42,15 @@ TEXT_BYTES, NODE_TOKENS = 8 << 20, 2_000_000
 #: No word is empty or holds a space: these are the end and the start of a text.
 END, START = (xxhash.xxh64_intdigest(x, seed=42) for x in (b"", b" "))
 
-# Kinds of rows: of words (asked for, counted, plan to answer by, numbers; links to pair nodes and sums from them), of pairs, others.
+# Kinds of rows: of words (asked for, counted, plan to answer by (numbers told, seen from the node), numbers; links to pair nodes
+# and sums from them), of pairs, others.
 WORDS, COUNTED, WORD_PLAN, NUMBERS, ONE_U, ONE_W, SUB_U, SUB_W, WORD_STATE, WORD_SEATING, LINK_U, LINK_W, SUM_U, SUM_W = range(14)
-PAIRS, PAIR_PLAN, PAIR_STATE, PAIR_SEATING, GAMMA, CUSTOMERS, SCALARS, TEXTS, WORD_ANSWER, PAIR_ANSWER = range(14, 24)
+PAIRS, PAIR_PLAN, PAIR_STATE, PAIR_SEATING, GAMMA, CUSTOMERS, SCALARS, TEXTS, HASHES, WORD_ANSWER, PAIR_ANSWER = range(14, 25)
 
 
 def node_of(hashes: np.ndarray, nodes: int) -> np.ndarray:
-    return ((py.mixed(hashes) >> np.uint64(32)) % np.uint64(nodes)).astype(np.int64)
+    """Equal ranges of 64-bit hashes."""
+    return (((hashes >> np.uint64(32)) * np.uint64(nodes)) >> np.uint64(32)).astype(np.int64)
 
 
 def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -65,11 +67,30 @@ def _starts(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
+def steps(values: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, modulo 2^64, from 0 on: np.cumsum gives the values back."""
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
+def signless(x: np.ndarray) -> np.ndarray:
+    """Integers as others of a like size that are never negative."""
+    return (x << 1) ^ (x >> 63)
+
+
+def signed(x: np.ndarray) -> np.ndarray:
+    return (x >> 1) ^ -(x & 1)
+
+
 # --- texts
 
 
-def encode(docs: DataFrame, held_out: str) -> str:
-    """Write the texts as batches of word numbers: (node, n, train, doc_id, held_out, data); the path."""
+def encode(docs: DataFrame, held_out: str) -> tuple[str, str]:
+    """Write the texts as batches of places of words among the batch's own, and these words' hashes and training counts in rows apart.
+
+    Returns the path and the schema.
+
+    A batch's words are in the order of their hashes, so that of their nodes, whatever the number of nodes.
+    """
     plain = docs.select("doc_id", held_out)
 
     def run(batches):
@@ -78,43 +99,47 @@ def encode(docs: DataFrame, held_out: str) -> str:
             found, bounds = at.words(pc.ascii_lower(at.texts(batch.column("text"))))
             codes, values = at.coded(found)
             hashes = np.array([xxhash.xxh64_intdigest(x, seed=42) for x in values.cast(pa.binary()).to_pylist()], np.uint64)
+            order = np.argsort(hashes)
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order))
             held = batch.column(held_out).to_numpy(zero_copy_only=False).astype(bool)
             n = len(codes) + len(held)
             train = int((np.diff(bounds) + 1)[~held].sum())
-            one = [pa.array([x]) for x in (task + k, n, train, int((~held).sum()))]
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), batch.column(c)) for c in ("doc_id", held_out)]
-            data = pa.array([pack(np.diff(bounds).astype(np.uint32), codes.astype(np.uint32), hashes, held.astype(np.uint8))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*one, *lists, data], ["node", "n", "train", "texts", "doc_id", "held", "data"])
+            one = [pa.array([x, x]) for x in (task + k, n, train, int((~held).sum()))]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(held), len(held)], pa.int32()), batch.column(c)) for c in ("doc_id", held_out)]
+            word, size = place[codes], np.diff(bounds)
+            c = np.append(np.bincount(word[~np.repeat(held, size)], minlength=len(order)), [(~held).sum(), 0])
+            data = [pack(size.astype(np.uint32), word, np.array([len(order)]), held.astype(np.uint8)), pack(steps(hashes[order]), c)]
+            kinds = [pa.array([TEXTS, HASHES], pa.int32()), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*one, *lists, *kinds], ["node", "n", "train", "texts", "doc_id", "held", "kind", "data"])
             k += 1
 
     kind = plain.schema["doc_id"].dataType.simpleString()
-    return keep(docs.select("doc_id", held_out, "text").mapInArrow(run, f"node long, n long, train long, texts long, doc_id array<{kind}>, held array<boolean>, data binary"))
+    schema = f"node long, n long, train long, texts long, doc_id array<{kind}>, held array<boolean>, kind int, data binary"
+    return keep(docs.select("doc_id", held_out, "text").mapInArrow(run, schema), "kind"), schema
 
 
-class Words:
-    """Words of a batch of texts, by the nodes that count them."""
+class Pairs:
+    """Words and distinct pairs of a batch of texts, given the words' numbers, by the nodes that count and seat them."""
 
-    def __init__(self, data: bytes, nodes: int):
-        size, codes, hashes, held = unpack(data)
-        self.held, self.size, self.d = held.astype(bool), size.astype(np.int64) + 1, len(hashes)
-        self.hashes = np.concatenate([hashes, np.array([END, START], np.uint64)])
+    def __init__(self, data: bytes, nodes: int, numbers: list):
+        size, codes, d, held = unpack(data)
+        self.held, self.size, self.d = held.astype(bool), size.astype(np.int64) + 1, int(d[0])
         self.edge = np.concatenate([[0], np.cumsum(self.size)])
         self.word = np.full(self.edge[-1], self.d)
         inner = np.ones(self.edge[-1], bool)
         inner[self.edge[1:] - 1] = False
         self.word[inner] = codes
         self.of_held = np.repeat(self.held, self.size)
-        self.node = node_of(self.hashes, nodes)
-        self.order = _sorted_by(self.node, nodes)
-
-
-class Pairs(Words):
-    """Distinct pairs too, given the words' numbers, by the nodes that seat them."""
-
-    def __init__(self, data: bytes, nodes: int, numbers: list):
-        super().__init__(data, nodes)
-        self.number = np.empty(len(self.hashes), np.int64)
-        self.number[self.order] = joined(numbers, 0, np.int64) * nodes + self.node[self.order]
+        ends = node_of(np.array([END, START], np.uint64), nodes)
+        told = np.zeros(nodes, np.int64)
+        for src, (index,) in numbers:
+            told[src] = len(index)
+        np.subtract.at(told, ends, 1)
+        node = np.concatenate([np.repeat(np.arange(nodes), told), ends])
+        self.order = _sorted_by(node, nodes)
+        self.number = np.empty(len(node), np.int64)
+        self.number[self.order] = joined(numbers, 0, np.int64) * nodes + node[self.order]
         context = np.concatenate([[0], self.word[:-1]])[: len(self.word)]
         context[self.edge[:-1]] = self.d + 1
         self.key = context * (self.d + 2) + self.word
@@ -130,14 +155,16 @@ class Pairs(Words):
 
 
 def _ask_words(nodes: int):
-    """A batch sends each node its words, with their counts in training texts."""
+    """A batch sends each node its words (ascending, then the end and the start of a text), with their counts in training texts."""
 
     def run(batches):
         for batch in batches:
             for me, data in zip(batch.column("node").to_pylist(), batch.column("data"), strict=True):
-                own, out = Words(data.as_py(), nodes), Rows()
-                c = np.bincount(own.word[~own.of_held], minlength=len(own.hashes))
-                out.deal(own.node[own.order], nodes, WORDS, me, own.hashes[own.order], c[own.order])
+                (known, c), out = unpack(data.as_py()), Rows()
+                hashes = np.concatenate([np.cumsum(known), np.array([END, START], np.uint64)])
+                node = node_of(hashes, nodes)
+                order = _sorted_by(node, nodes)
+                out.deal(node[order], nodes, WORDS, me, hashes[order], c[order])
                 yield from out.table().to_batches()
 
     return run
@@ -151,7 +178,6 @@ def _number_words(key, rows):
     out.add(me, COUNTED, me, hashes, c)
     edge = np.cumsum([0, *(len(a[0]) for _, a in asked)])
     for (src, _), i, j in zip(asked, edge[:-1], edge[1:], strict=True):
-        out.add(me, WORD_PLAN, src, index[i:j])
         out.add(src, NUMBERS, me, index[i:j])
     out.add(-1, SCALARS, me, np.array([(c > 0).sum()], np.int64))
     return out.table()
@@ -247,7 +273,8 @@ def _words_step(sweep: int, nodes: int, scalars: dict, last: bool):
         else:
             own, others = py.reseat(hashes, sweep, customers, np.full(len(hashes), scalars["strength"]), scalars["d0"], own, others)
         if sweep > BURN:
-            history = [*history, tables, customers, own]
+            now = [tables, customers, own]
+            history = [*history, *(signless(x - first) for x, first in zip(now, history, strict=False))] if history else now
         out.add(-1, SCALARS, me, np.array([customers.sum(), own.sum(), (customers == 1).sum(), (customers == 2).sum(), tables.sum()], np.int64))
         if last:
             for src, (place,) in got[WORD_PLAN]:
@@ -299,9 +326,9 @@ def _scores(nodes: int, scalars: dict, schema: pa.Schema):
     def run(key, rows):
         own, got = _own(rows), received(rows.filter(pc.not_equal(rows["kind"], TEXTS)))
         batch = Pairs(own["data"][0].as_py(), nodes, got[NUMBERS])
-        c, *history = (np.empty(len(batch.hashes)) for _ in range(1 + 3 * SAMPLES))
+        c, *history = (np.empty(len(batch.number), np.int64) for _ in range(1 + 3 * SAMPLES))
         for k, x in enumerate((c, *history)):
-            x[batch.order] = joined(got[WORD_ANSWER], k, float)
+            x[batch.order] = joined(got[WORD_ANSWER], k, np.int64)
         follow = c.copy()
         follow[-2:] = 0, scalars["texts"]
         d, x = scalars["d"], np.where(batch.trained > 0, 1 - scalars["d"], 0.0)
@@ -309,13 +336,13 @@ def _scores(nodes: int, scalars: dict, schema: pa.Schema):
             x[batch.pair_order[batch.pair_edge[src] + np.cumsum(step)]] = count - d * (tables / SAMPLES)
         above = np.zeros(len(x))
         for s in range(SAMPLES):
-            tables, m, t = history[3 * s : 3 * s + 3]
+            tables, m, t = (x + signed(more) for x, more in zip(history, history[3 * s : 3 * s + 3], strict=False)) if s else history[:3]
             parent = (m - scalars["d0"] * t + scalars["rests"][s]) / scalars["totals"][s]
             above += ((py.THETA + d * tables) / (py.THETA + follow))[batch.u] * parent[batch.w]
         p = np.log10(x / (py.THETA + follow[batch.u]) + above / SAMPLES)
         first = batch.edge[:-1]
         score, base, known = (
-            np.add.reduceat(v, first) for v in (p[np.searchsorted(batch.pairs, batch.key)], np.log10(c + 1)[batch.word], (c > 0).astype(np.int64)[batch.word])
+            np.add.reduceat(v, first) for v in (p[np.searchsorted(batch.pairs, batch.key)], np.log10(c + 1.0)[batch.word], (c > 0).astype(np.int64)[batch.word])
         )
         columns = [
             own["doc_id"].combine_chunks().flatten(), pa.array(batch.held), pa.array(batch.size), pa.array(known), pa.array(np.full(len(score), scalars["N"])),
@@ -349,11 +376,12 @@ def score(docs: DataFrame, held_out, trace: list | None = None) -> DataFrame:
         found = rows(path, SCALARS).toArrow()["data"].to_pylist()
         return np.sum([unpack(x)[0] for x in found], axis=0) if found else np.zeros(5, np.int64)
 
-    encoded = encode(docs, "held_out")
-    texts = spark.read.parquet(encoded)
+    encoded, form = encode(docs, "held_out")
+    texts, hashes = (spark.read.schema(form).parquet(encoded).where(F.col("kind") == k) for k in (TEXTS, HASHES))
     n, train, train_texts = (int(x or 0) for x in texts.agg(F.sum("n"), F.sum("train"), F.sum("texts")).first())
     nodes = max(1, -(-n // NODE_TOKENS))
-    numbered = step(texts.select("node", "data").mapInArrow(_ask_words(nodes), SCHEMA), _number_words)
+    numbered = step(hashes.select("node", "data").mapInArrow(_ask_words(nodes), SCHEMA), _number_words)
+    discard(spark, f"{encoded}/kind={HASHES}")
     distinct = int(all_of(numbered)[0])
     whole = texts.select("node", F.lit(TEXTS).alias("kind"), F.lit(0).cast("long").alias("src"), "data")
     counted = step(whole.unionAll(rows(numbered, NUMBERS)).groupBy("node").applyInArrow(_ask_pairs(nodes), SCHEMA), _count_pairs(nodes))
@@ -367,7 +395,9 @@ def score(docs: DataFrame, held_out, trace: list | None = None) -> DataFrame:
             df = rows(numbered, COUNTED).unionAll(rows(counted, SUB_U, SUB_W, ONE_U, ONE_W))
         else:
             df = rows(linked, WORD_STATE, LINK_U, LINK_W).unionAll(rows(words, WORD_SEATING)).unionAll(rows(pairs, SUM_U, SUM_W))
-            df = df.unionAll(rows(numbered, WORD_PLAN)) if last else df
+            if last:
+                plan = rows(numbered, NUMBERS).select(F.col("src").alias("node"), F.lit(WORD_PLAN).alias("kind"), F.col("node").alias("src"), "data")
+                df = df.unionAll(plan)
             g0 = np.random.default_rng([SEED, sweep]).gamma(py.THETA / scalars["d0"] + scalars["tables"])
             scalars["strength"] = scalars["d0"] * g0 / (distinct + 1)
         before, words = words, step(df, _words_step(sweep, nodes, dict(scalars), last))
