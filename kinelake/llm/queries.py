@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that each have QUERY = (name, function) and, if SQL can express it, ORACLE.
-MODULES = ("line_dedup", "quality_model", "lm_score", "sentencepiece_trie", "quality_rules", "toxicity", "simhash", "decontaminate", "secrets", "warc")
+MODULES = ("line_dedup", "quality_model", "lm_score", "sentencepiece_trie", "quality_rules", "toxicity", "simhash", "decontaminate", "secrets", "warc", "sharding", "spelling", "ranked")
 
 
 def _modules():
