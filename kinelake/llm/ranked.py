@@ -313,7 +313,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, shard_bytes: int = SHA
             number = {t: i for i, t in enumerate(sorted({t for _, terms in block for t in terms}))}
             these = spark.createDataFrame([(t,) for t in number], "term string") if len(few) > index_terms else None
             df = counts.join(F.broadcast(these), "term", "left_semi") if these is not None else counts
-            weights = {r["term"]: weight(n_docs, r["df"]) for r in df.toLocalIterator()}
+            weights = {r["term"]: weight(n_docs, r["df"]) for r in df.toLocalIterator() if r["term"] in number}
             shared = Shared(spark, Block([i for i, _ in block], [[number[t] for t in terms] for _, terms in block], weights, number, n_docs, n_terms))
             found = found.unionAll(_searched(shards, shared, k, kind, item_kind))
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
