@@ -2,8 +2,10 @@
 
 The words are split by length and order into tries of bounded size, which are broadcast in waves of
 bounded size. A word's automaton of distance one runs over each trie of a wave
-depth-first: along the word itself, and from each node on that way into every child by a replaced or an
-inserted code point and past one of the word's own. An edit that another place gives as well (within a run of equal
+depth-first: along the word itself, and from the nodes on that way into every child by a replaced or an
+inserted code point and past one of the word's own. Each trie is there for the words and for the words reversed:
+edits in the second half of a word are met behind its first half, those in the first half behind its reversed second one, so that
+ways branch only where tries are narrow. An edit that another place gives as well (within a run of equal
 code points) is made at the last one only, so each neighbour is met once. A task gives a row for a
 word, with the number of neighbours and the best of them; rows of all waves are summed by word.
 """
@@ -17,7 +19,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from kinelake.llm import arrowtext as at
 from kinelake.llm.common import Shared, cut, discard, keep, table, written
 
 #: Words of a trie and code points in them (one longer word is a trie alone), and bytes of tries broadcast at once.
-TRIE_WORDS, TRIE_SIZE, WAVE_BYTES = 1 << 17, 1 << 21, 1 << 25
+TRIE_WORDS, TRIE_SIZE, WAVE_BYTES = 1 << 17, 1 << 21, 1 << 26
 #: Words that a task looks up, and words that it gathers before it gives their counts.
 TASK_WORDS, HELD_WORDS = 8192, 200_000
 #: What the contract takes as a word, and how much more frequent a form is.
@@ -128,7 +130,7 @@ def words(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int =
     return each.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
 
 
-class Trie:
+class Nodes:
     """Words with counts, as numbered nodes: the children of a node are numbered in a row and sorted by label.
 
     labels: a code point for each node (the root, 0, has a blank); first: a node's first child, its
@@ -149,40 +151,108 @@ class Trie:
             n, depth = n + len(keys), depth + 1
         parent = np.concatenate([np.zeros(0, np.int64), *parents])
         self.labels = " " + np.concatenate([np.zeros(0, np.int64), *labels]).astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
-        self.first = array("q", (1 + np.searchsorted(parent, np.arange(n + 1))).tobytes())
+        self.first = array("i", (1 + np.searchsorted(parent, np.arange(n + 1))).astype(np.int32).tobytes())
         count = np.zeros(n, np.int64)
         count[node] = counts
         self.count = array("q", count.tobytes())
-        self.shortest, self.longest = int(length.min()), int(length.max())
 
-    def _end(self, node: int, word: str, at_: int) -> int:
-        """The count of the word that ends the way from node along word[at_:], 0 if there is none."""
-        labels, first = self.labels, self.first
-        for i in range(at_, len(word)):
-            node = labels.find(word[i], first[node], first[node + 1])
+    def walk(self, node: int, word: str, start: int, stop: int) -> int:
+        """The node at the end of the way from node along word[start:stop], -1 if there is none."""
+        find, labels_first = self.labels.find, self.first
+        for i in range(start, stop):
+            node = find(word[i], labels_first[node], labels_first[node + 1])
             if node < 0:
-                return 0
-        return self.count[node]
+                return -1
+        return node
+
+    def end(self, node: int, word: str, start: int) -> int:
+        """The count of the word that ends the way from node along word[start:], 0 if there is none."""
+        node = self.walk(node, word, start, len(word))
+        return self.count[node] if node >= 0 else 0
+
+
+class Trie:
+    """Words with counts, as nodes of the words and of the words reversed."""
+
+    def __init__(self, these: list[str], counts: np.ndarray):
+        self.there, self.back = Nodes(these, counts), Nodes([w[::-1] for w in these], counts)
+        self.shortest, self.longest = min(map(len, these)), max(map(len, these))
 
     def near(self, word: str):
         """(count, word) of each word at a distance of exactly one."""
-        labels, first, end, n, node = self.labels, self.first, self._end, len(word), 0
-        for i in range(n + 1):
+        n = len(word)
+        half = n // 2
+        yield from self._late(word, half, n)
+        yield from self._early(word, half, n)
+
+    def _late(self, word: str, half: int, n: int):
+        """Edits at places from half on: of word[i], or before it."""
+        nodes = self.there
+        labels, find, first, count, end = nodes.labels, nodes.labels.find, nodes.first, nodes.count, nodes.end
+        node = nodes.walk(0, word, 0, half)
+        for i in range(half, n + 1):
+            if node < 0:
+                return
             lo, hi = first[node], first[node + 1]
-            own = word[i] if i < n else ""
-            if i < n and word[i + 1 : i + 2] != own and (c := end(node, word, i + 1)):
+            own, after = word[i : i + 1], word[i + 1 : i + 2]
+            if own and after != own and (c := end(node, word, i + 1)):
                 yield c, word[:i] + word[i + 1 :]
+            stop = first[lo] if lo < hi else 0
             for child in range(lo, hi):
+                start, stop = stop, first[child + 1]  # the child's own children
                 label = labels[child]
-                if label != own:
-                    if c := end(child, word, i):
-                        yield c, word[:i] + label + word[i:]
-                    if i < n and (c := end(child, word, i + 1)):
+                if label == own:
+                    continue
+                if not own:
+                    if c := count[child]:
+                        yield c, word + label
+                    continue
+                below = find(own, start, stop)
+                if below >= 0 and (c := end(below, word, i + 1)):
+                    yield c, word[:i] + label + word[i:]
+                if not after:
+                    if c := count[child]:
+                        yield c, word[:i] + label
+                else:
+                    below = find(after, start, stop)
+                    if below >= 0 and (c := end(below, word, i + 2)):
                         yield c, word[:i] + label + word[i + 1 :]
-            if i < n:
-                node = labels.find(own, lo, hi)
-                if node < 0:
-                    return
+            node = find(own, lo, hi) if own else -1
+
+    def _early(self, word: str, half: int, n: int):
+        """Edits at places before half, met from the word's end."""
+        nodes, turned = self.back, word[::-1]
+        labels, find, first, count, end = nodes.labels, nodes.labels.find, nodes.first, nodes.count, nodes.end
+        node = nodes.walk(0, turned, 0, n - half)
+        for j in range(n - half, n + 1):
+            if node < 0:
+                return
+            i = n - j  # place behind which the way has matched the word
+            lo, hi = first[node], first[node + 1]
+            own, before, after = turned[j : j + 1], turned[j + 1 : j + 2], word[i : i + 1]
+            if own and own != after and (c := end(node, turned, j + 1)):
+                yield c, word[: i - 1] + word[i:]
+            stop = first[lo] if lo < hi else 0
+            for child in range(lo, hi):
+                start, stop = stop, first[child + 1]
+                label = labels[child]
+                if i < half and label != after:
+                    if not own:
+                        if c := count[child]:
+                            yield c, label + word
+                    else:
+                        below = find(own, start, stop)
+                        if below >= 0 and (c := end(below, turned, j + 1)):
+                            yield c, word[:i] + label + word[i:]
+                if own and label != own:
+                    if not before:
+                        if c := count[child]:
+                            yield c, label + word[i:]
+                    else:
+                        below = find(before, start, stop)
+                        if below >= 0 and (c := end(below, turned, j + 2)):
+                            yield c, word[: i - 1] + label + word[i:]
+            node = find(own, lo, hi) if own else -1
 
 
 def _tries(known: DataFrame, n_words: int, trie_words: int, trie_size: int) -> DataFrame:
@@ -195,7 +265,7 @@ def _tries(known: DataFrame, n_words: int, trie_words: int, trie_size: int) -> D
         def row():
             nonlocal k, these, counts, size
             t = Trie(these, np.array(counts, np.int64))
-            data = pickle.dumps((t.labels, t.first, t.count, t.shortest, t.longest))
+            data = cloudpickle.dumps(t)
             out = pa.RecordBatch.from_pydict({"trie": [k], "shortest": pa.array([t.shortest], pa.int32()), "longest": pa.array([t.longest], pa.int32()), "size": [len(data)], "data": pa.array([data], pa.binary())})
             k, these, counts, size = k + 1, [], [], 0
             return out
@@ -215,26 +285,11 @@ def _tries(known: DataFrame, n_words: int, trie_words: int, trie_size: int) -> D
     return ranged.mapInArrow(run, "trie long, shortest int, longest int, size long, data binary")
 
 
-class Wave:
-    """Some tries, as broadcast."""
-
-    def __init__(self, data: list[bytes]):
-        self.data = data
-
-    def tries(self) -> list[Trie]:
-        out = []
-        for x in self.data:
-            t = Trie.__new__(Trie)
-            t.labels, t.first, t.count, t.shortest, t.longest = pickle.loads(x)
-            out.append(t)
-        return out
-
-
 def _met(known: DataFrame, wave: Shared) -> DataFrame:
     """(word, n_near, form_n, form): what each word meets in the wave's tries; words that meet nothing have no row."""
 
     def run(batches):
-        tries = wave.value.tries()
+        tries = [pickle.loads(x) for x in wave.value]
         for batch in batches:
             rows = []
             for word in batch.column("word").to_pylist():
@@ -298,7 +353,7 @@ def group(known: DataFrame, ratio: int = RATIO, trie_words: int = TRIE_WORDS, tr
         tries = spark.read.parquet(paths[-1])
         asked = known.select("word")
         for ids, shortest, longest in _waves(tries, wave_bytes):
-            wave = Shared(spark, Wave([bytes(r["data"]) for r in tries.where(F.col("trie").isin(ids)).select("data").collect()]))
+            wave = Shared(spark, [bytes(r["data"]) for r in tries.where(F.col("trie").isin(ids)).select("data").collect()])
             these = asked.where(F.length("word").between(shortest - 1, longest + 1))
             met.append(keep(_met(these.repartition(-(-n_words // TASK_WORDS), "word"), wave)))
             wave.destroy()
@@ -320,3 +375,23 @@ def query(spark, sf_dir):
 
 
 QUERY = ("op12_spelling", query)
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+#: CRC-32 is spelt out, byte by byte; neighbours are found by the words less one code point.
+ORACLE = f"""
+WITH RECURSIVE c AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, i)) AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, {_AZ}), '[a-zÀ-ÿ]+')) AS w FROM documents),
+o AS (SELECT w, coalesce(doc_id::VARCHAR, '') || ':' || w AS s, count(*) AS n FROM r WHERE length(w) >= {LEAST_LENGTH} GROUP BY ALL),
+b AS (SELECT w, n, list_transform(regexp_extract_all(hex(encode(s)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM o),
+h AS (SELECT w, n, xor(list_reduce(bytes, lambda x, y: xor(x // 256, t[xor(x % 256, y) + 1]), 4294967295), 4294967295) AS h FROM b, c),
+m AS (SELECT CASE WHEN h % {EVERY} = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM m WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+k AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM v),
+d AS (SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS less FROM k),
+p AS (SELECT a.word, b.word AS other, b.n FROM d a JOIN d b ON a.less = b.less AND a.k = b.k AND a.word <> b.word
+      UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.less = v.word UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.less = v.word),
+e AS (SELECT word, count(*) AS n_near, max(n) AS most FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(e.n_near, 0) AS n_near, CASE WHEN e.most >= {RATIO} * v.n THEN e.most END AS form_n FROM v LEFT JOIN e USING (word)),
+g AS (SELECT f.word, f.n, f.n_near, f.form_n, min(p.other) AS form FROM f LEFT JOIN p ON p.word = f.word AND p.n = f.form_n GROUP BY ALL),
+z AS (SELECT word, word AS root, form AS next FROM g UNION ALL SELECT z.word, g.word, g.form FROM z JOIN g ON z.next = g.word)
+SELECT g.word, g.form, z.root, g.n, g.n_near, g.form_n FROM g JOIN z ON z.word = g.word AND z.next IS NULL"""
