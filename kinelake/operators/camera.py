@@ -8,14 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelake.functions.vec import clamp
+from kinelake.operators import scans
 
 # Smoothing, rotation a frame, limits and defaults of the camera.
 ALPHA, TURN_DEGREES, START_AZIMUTH, ELEVATION = 0.1, 0.05, -90.0, -15.0
 LEAST_HEIGHT, NEAR, FAR, MARGIN = 0.5, 3.0, 6.0, 2.0
 DEFAULT_LOOKAT, DEFAULT_DISTANCE = (0.0, 0.0, 2.0), 3.0
-#: Rows that smoothing looks back on: a value this far back has a weight of 0.9 ** 400, under 1e-18, which no double shows.
-MEMORY = 400
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -50,20 +48,13 @@ def with_empty(found: DataFrame, frames: DataFrame, keys: list[str]) -> DataFram
     return frames.join(found, keys, "left").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in default.items()})
 
 
-def ema(df: DataFrame, keys: list[str], order: list[str], value: str, seed: Column | None = None, alpha: float = ALPHA) -> DataFrame:
+def ema(df: DataFrame, keys: list[str], order: list[str], value: str, seed: Column | None = None, alpha: float = ALPHA, piece: Column | None = None) -> DataFrame:
     """(keys, n, ema): the smoothed value after the last row of each group, y = alpha x + (1 - alpha) y.
 
-    Starts at `seed` (a column of the group's first value if None). Only a group's last
-    MEMORY rows are held: what came before has lost its weight.
+    Starts at `seed` (the group's first value if None). All rows count, whatever alpha is. A group is summed by
+    pieces (`scans.pieces`), in one piece if none are given.
     """
-    w = Window.partitionBy(*keys)
-    counted = df.withColumns({"_n": F.count(F.lit(1)).over(w), "_back": F.row_number().over(w.orderBy(*(F.desc(c) for c in order)))})
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
-    grouped = counted.where(F.col("_back") <= MEMORY + 1).groupBy(*keys).agg(rows.alias("_rows"), F.first("_n").alias("n"))
-    start = F.col("_rows")[0]["_v"]
-    start = start if seed is None else F.when(F.col("n") <= MEMORY, seed).otherwise(start)
-    folded = F.aggregate("_rows", start, lambda y, r: F.lit(alpha) * r["_v"] + F.lit(1 - alpha) * y)
-    return grouped.select(*keys, "n", folded.alias("ema"))
+    return scans.ema(df, keys, order, value, alpha, F.lit(0) if piece is None else piece, seed)
 
 
 def azimuth(df: DataFrame, keys: list[str], order: list[str], start: float = START_AZIMUTH) -> DataFrame:
@@ -72,30 +63,18 @@ def azimuth(df: DataFrame, keys: list[str], order: list[str], start: float = STA
     return df.withColumn("azimuth", F.lit(start) + F.lit(TURN_DEGREES) * k)
 
 
-def track(frames: DataFrame, keys: list[str], order: str, azimuth_start: float = START_AZIMUTH, first_distance: float = 2.23606797749979, follow: bool = True) -> DataFrame:
+def track(
+    frames: DataFrame, keys: list[str], order: str, azimuth_start: float = START_AZIMUTH, first_distance: float = 2.23606797749979, follow: bool = True, alpha: float = ALPHA, piece: Column | None = None
+) -> DataFrame:
     """Camera of each frame: lookat x, y, z and distance smoothed over the frames before, azimuth, elevation.
 
     frames has cx, cy, cz and distance of each frame. The first lookat is taken as it is,
     the distance is smoothed from its initial setting. With follow=False the camera stays
-    where it was set and no rows are given. Each frame folds the MEMORY frames before it.
+    where it was set and no rows are given. Runs are smoothed by pieces (`scans.pieces`), in one piece if none are given.
     """
+    names = ("lookat_x", "lookat_y", "lookat_z", "distance")
     if not follow:
-        return frames.limit(0).select(*keys, order, *(F.lit(0.0).alias(c) for c in ("lookat_x", "lookat_y", "lookat_z", "distance", "azimuth", "elevation")))
-    run = Window.partitionBy(*keys).orderBy(order)
-    held = F.collect_list(F.struct("cx", "cy", "cz", "distance")).over(run.rowsBetween(-MEMORY, 0))
-    placed = frames.withColumns({"_k": F.row_number().over(run), "_rows": held})
-    begins = F.col("_k") <= MEMORY + 1
-    first = F.col("_rows")[0]
-    start = F.struct(*(first[c].alias(c) for c in ("cx", "cy", "cz")), F.when(begins, F.lit(first_distance)).otherwise(first["distance"]).alias("distance"))
-
-    def step(y: Column, r: Column) -> Column:
-        return F.struct(*((F.lit(ALPHA) * r[c] + F.lit(1 - ALPHA) * y[c]).alias(c) for c in ("cx", "cy", "cz", "distance")))
-
-    # The first lookat is taken as it is: the fold starts from it, and its distance from the initial setting.
-    look = F.aggregate(F.slice("_rows", 2, MEMORY), start, step)
-    far = F.aggregate("_rows", start["distance"], lambda y, r: F.lit(ALPHA) * r["distance"] + F.lit(1 - ALPHA) * y)
-    each = placed.withColumns({"_look": look, "_far": far})
-    return each.select(
-        *keys, order, F.col("_look.cx").alias("lookat_x"), F.col("_look.cy").alias("lookat_y"), F.col("_look.cz").alias("lookat_z"), F.col("_far").alias("distance"),
-        (F.lit(azimuth_start) + F.lit(TURN_DEGREES) * F.col("_k")).alias("azimuth"), F.lit(ELEVATION).alias("elevation"),
-    )
+        return frames.limit(0).select(*keys, order, *(F.lit(0.0).alias(c) for c in (*names, "azimuth", "elevation")))
+    values = {c: (name, first_distance if c == "distance" else None) for c, name in zip(("cx", "cy", "cz", "distance"), names, strict=True)}
+    each = scans.smoothed(frames, keys, [order], values, alpha, F.lit(0) if piece is None else piece, "_k")
+    return each.select(*keys, order, *names, (F.lit(azimuth_start) + F.lit(TURN_DEGREES) * F.col("_k")).alias("azimuth"), F.lit(ELEVATION).alias("elevation"))

@@ -6,24 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinelake.functions.vec import round_even
+from kinelake.operators import scans
 
 MIN_DT = 1e-6
 
 
-def step_delta(df: DataFrame, keys: list[str], order: list[str], time: str, out: str = "dt") -> DataFrame:
-    """Time since the previous step of the same key; the first step and ties give MIN_DT."""
+def step_delta(df: DataFrame, keys: list[str], order: list[str], time: str, out: str = "dt", piece: Column | None = None) -> DataFrame:
+    """Time since the previous step of the same key; the first step and ties give MIN_DT. piece: cut long runs (see `scans`)."""
+    if piece is not None:
+        lagged = scans.lagged(df, keys, order, time, "_before", piece, F.col(time))
+        return lagged.withColumn(out, F.greatest(F.col(time) - F.col("_before"), F.lit(MIN_DT))).drop("_before")
     w = Window.partitionBy(*keys).orderBy(*order)
     before = F.coalesce(F.lag(time).over(w), F.col(time))
     return df.withColumn(out, F.greatest(F.col(time) - before, F.lit(MIN_DT)))
 
 
-def frame_gate(df: DataFrame, keys: list[str], order: list[str], position: Column) -> DataFrame:
+def frame_gate(df: DataFrame, keys: list[str], order: list[str], position: Column, piece: Column | None = None) -> DataFrame:
     """Keep the steps at which a frame is due, adding frame_idx (from 0).
 
     `position` is time * fps, non-negative and non-decreasing in `order`. A step
     emits one frame while fewer frames than `position` have been emitted. Unrolled,
-    the count after step k is k + least(0, running min(ceil(position_j) - j)).
+    the count after step k is k + least(0, running min(ceil(position_j) - j)). piece: cut long runs (see `scans`).
     """
+    if piece is not None:
+        return scans.gated(df, keys, order, position, piece)
     w = Window.partitionBy(*keys).orderBy(*order)
     k = F.row_number().over(w)
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -48,8 +54,10 @@ def bucket_first(df: DataFrame, keys: list[str], order: list[str], position: Col
     )
 
 
-def lag_seeded(df: DataFrame, keys: list[str], order: list[str], value: str, seed: Column, out: str) -> DataFrame:
-    """Previous frame's value, and `seed` for the first frame."""
+def lag_seeded(df: DataFrame, keys: list[str], order: list[str], value: str, seed: Column, out: str, piece: Column | None = None) -> DataFrame:
+    """Previous frame's value, and `seed` for the first frame. piece: cut long runs (see `scans`)."""
+    if piece is not None:
+        return scans.lagged(df, keys, order, value, out, piece, seed)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.coalesce(F.lag(value).over(w), seed))
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinelake.plans import interactions, motion, scenes, views
+from kinelake.plans import interactions, motion, runs, scenes, views
 
-_MODULES = (motion, scenes, interactions, views)
+_MODULES = (motion, scenes, interactions, views, runs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -28,7 +28,8 @@ def camera_spread(spark, sf_dir):
 
 
 def camera_ema(spark, sf_dir):
-    return camera.ema(trajectory(spark, sf_dir), ["user_id"], ["ts", "event_id"], "value")
+    found = camera.ema(trajectory(spark, sf_dir), ["user_id"], ["ts", "event_id"], "value")
+    return found.select("user_id", "n", vec.steady(F.col("ema")).alias("ema"))
 
 
 def camera_azimuth(spark, sf_dir):
@@ -148,8 +149,8 @@ ORACLE = {
     "camera_centroid": f"WITH {_POSITIONS} SELECT label, {_six('cx')} AS cx, {_six('cy')} AS cy, {_six('cz')} AS cz FROM c",
     "camera_spread": f"""WITH {_POSITIONS}, m AS (SELECT label, max(sqrt((x-cx)*(x-cx) + (y-cy)*(y-cy) + (z-cz)*(z-cz))) AS s FROM p JOIN c USING (label) GROUP BY label)
         SELECT label, {_six('s')} AS spread, {_six('greatest(3.0, least(6.0, s * 2.0))')} AS distance FROM m""",
-    "camera_ema": f"""SELECT user_id, count(*) AS n, list_reduce(list(value ORDER BY ts, event_id), lambda y, v: 0.1::DOUBLE * v + {1 - 0.1!r}::DOUBLE * y,
-        first(value ORDER BY ts, event_id)) AS ema FROM events GROUP BY user_id""",
+    "camera_ema": f"""WITH r AS (SELECT user_id, count(*) AS n, list_reduce(list(value ORDER BY ts, event_id), lambda y, v: 0.1::DOUBLE * v + {1 - 0.1!r}::DOUBLE * y,
+        first(value ORDER BY ts, event_id)) AS ema FROM events GROUP BY user_id) SELECT user_id, n, {_six('ema')} AS ema FROM r""",
     "camera_azimuth": "SELECT user_id, event_id, -90.0::DOUBLE + 0.05::DOUBLE * row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS azimuth FROM events",
     "camera_track": f"""WITH RECURSIVE e AS (SELECT user_id % 3 AS run_id, floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00'))::DOUBLE / {DAY_US})::BIGINT AS frame_idx,
           value AS x, (user_id % 20)::DOUBLE AS y, value / 9.0::DOUBLE AS z FROM events),
