@@ -69,6 +69,14 @@ def _simple(path: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [p for p, before, after in zip(path, step[-1:] + step[:-1], step, strict=True) if before != after]
 
 
+def traced(cells: set[tuple[int, int]]):
+    """First cell, corner points (x, y) and polygon area of the outer border of a connected set."""
+    start = min(cells)
+    path = _outline(cells, start)
+    area = abs(sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(path, path[1:] + path[:1], strict=True))) / 2
+    return start, [[c[1], c[0]] for c in _simple(path)], area
+
+
 def _runs(y, x):
     """Row, first and last column of each horizontal run of pixels sorted by (y, x)."""
     import numpy as np
@@ -78,8 +86,8 @@ def _runs(y, x):
     return y[first], x[first], x[last]
 
 
-def _labels(row, left, right, reach: int):
-    """A number for each run, equal for runs that touch: reach 1 counts diagonal neighbours, 0 does not."""
+def touching(row, left, right, reach: int):
+    """For each run (sorted by row, then left) the first of the runs that it is connected to: reach 1 counts diagonal neighbours, 0 does not."""
     import numpy as np
 
     parent = np.arange(len(row))
@@ -101,7 +109,7 @@ def _labels(row, left, right, reach: int):
         for j in range(low[i], high[i]):
             a, b = root(i), root(j)
             parent[max(a, b)] = min(a, b)
-    return np.array([root(i) for i in range(len(row))])
+    return np.array([root(i) for i in range(len(row))], np.int64)
 
 
 def _parts(cells, reach: int):
@@ -112,9 +120,10 @@ def _parts(cells, reach: int):
     order = np.lexsort((x, y))
     y, x = y[order], x[order]
     row, left, right = _runs(y, x)
-    label = np.repeat(_labels(row, left, right, reach), right - left + 1)
-    for k in np.unique(label):
-        own = label == k
+    label = np.repeat(touching(row, left, right, reach), right - left + 1)
+    by = np.argsort(label, kind="stable")
+    edges = np.flatnonzero(np.diff(label[by])) + 1
+    for own in np.split(by, edges) if len(by) else ():
         yield y[own], x[own]
 
 
@@ -149,15 +158,12 @@ def contours(pixels: DataFrame, least: float = LEAST_AREA, holes: bool = False)
         rows = []
 
         def add(y, x, hole):
-            cells = set(zip(y.tolist(), x.tolist(), strict=True))
-            path = _outline(cells, min(cells))
-            area = abs(sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(path, path[1:] + path[:1], strict=True))) / 2
+            _, points, area = traced(set(zip(y.tolist(), x.tolist(), strict=True)))
             if area > least:
-                points = [[c[1], c[0]] for c in _simple(path)]
                 rows.append((frame, geom, len(rows), int(x.min()), int(y.min()), int(x.max()) + 1, int(y.max()) + 1, area, hole, points))
 
         for y, x in _parts((seen["y"].to_numpy(np.int64), seen["x"].to_numpy(np.int64)), 1):
-            edge = _border(y, x)
+            edge = border(y, x)
             add(y[edge], x[edge], False)
             for hy, hx in _enclosed(y, x) if holes else ():
                 around = {(a + dy, b + dx) for a, b in zip(hy.tolist(), hx.tolist(), strict=True) for dy, dx in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))}
@@ -168,7 +174,7 @@ def contours(pixels: DataFrame, least: float = LEAST_AREA, holes: bool = False)
     return pixels.where(F.col("geom_id") != FLOOR).groupBy("frame_idx", "geom_id").applyInPandas(trace, CONTOUR_SCHEMA)
 
 
-def _border(y, x):
+def border(y, x):
     """Which pixels of a set have a neighbour (of four) outside it; a border is walked along these alone."""
     import numpy as np
 

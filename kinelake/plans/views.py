@@ -139,7 +139,7 @@ _six = lambda x: f"floor(({x}) * 1000000.0 + 0.5) / 1000000.0"
 _four = lambda x: f"floor(({x}) * 10000.0 + 0.5) / 10000.0"
 _POSITIONS = f"""p AS (SELECT label, embedding[1]::DOUBLE * {SCALE} AS x, embedding[2]::DOUBLE * {SCALE} AS y, embedding[3]::DOUBLE * {SCALE} AS z FROM embeddings),
 c AS (SELECT label, avg(x) AS cx, avg(y) AS cy, greatest(avg(z), 0.5) AS cz FROM p GROUP BY label)"""
-_RASTER = """d AS (SELECT p_partkey, p_size % 9 + 3 AS r FROM part),
+RASTER_SQL = """d AS (SELECT p_partkey, p_size % 9 + 3 AS r FROM part),
 x AS (SELECT p_partkey // 500 AS frame_idx, (p_partkey % 5)::INT AS geom_id, (dy + (p_partkey % 500) * 40)::INT AS y, (dx + 100)::INT AS x, p_partkey
       FROM d, range(-11, 12) a(dx), range(-11, 12) b(dy) WHERE dx * dx + dy * dy <= r * r)"""
 _BOX = "b AS (SELECT l_orderkey, min(l_partkey) AS x0, min(l_suppkey) AS y0, max(l_partkey) + 1 AS x1, max(l_suppkey) + 1 AS y1 FROM lineitem GROUP BY 1)"
@@ -167,15 +167,15 @@ ORACLE = {
         SELECT c_custkey AS o_custkey, coalesce(x0, 0) AS x0, coalesce(y0, 0) AS y0, coalesce(x1, 0) AS x1, coalesce(y1, 0) AS y1
         FROM customer LEFT JOIN (SELECT * FROM r WHERE k = 1) ON c_custkey = o_custkey""",
     "shoelace_area": f"SELECT vec_id, abs({' + '.join(f'({_corner(i)})' for i in range(8))}) / 2 AS area FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)",
-    "mask_pixels": f"WITH {_RASTER} SELECT geom_id, count(*) AS pixels FROM x GROUP BY geom_id",
+    "mask_pixels": f"WITH {RASTER_SQL} SELECT geom_id, count(*) AS pixels FROM x GROUP BY geom_id",
     # A disc's border goes through its pixels with a neighbour outside; by Pick's theorem its area is pixels - border / 2 - 1.
-    "components": f"""WITH {_RASTER}, b AS (SELECT *, NOT ((dx - 1) * (dx - 1) + dy * dy <= r * r AND (dx + 1) * (dx + 1) + dy * dy <= r * r AND dx * dx + (dy - 1) * (dy - 1) <= r * r
+    "components": f"""WITH {RASTER_SQL}, b AS (SELECT *, NOT ((dx - 1) * (dx - 1) + dy * dy <= r * r AND (dx + 1) * (dx + 1) + dy * dy <= r * r AND dx * dx + (dy - 1) * (dy - 1) <= r * r
           AND dx * dx + (dy + 1) * (dy + 1) <= r * r) AS edge FROM (SELECT x.*, r, x.x - 100 AS dx, x.y - (p_partkey % 500) * 40 AS dy FROM x JOIN d USING (p_partkey))),
         a AS (SELECT frame_idx, geom_id, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1, count(*) - count(*) FILTER (edge) / 2.0::DOUBLE - 1 AS area FROM b GROUP BY p_partkey, frame_idx, geom_id)
         SELECT * FROM a WHERE area > 50 AND geom_id <> 0""",
-    "color_mask_counts": f"""WITH {_RASTER}, n AS (SELECT geom_id, count(*) AS pixels FROM x GROUP BY geom_id)
+    "color_mask_counts": f"""WITH {RASTER_SQL}, n AS (SELECT geom_id, count(*) AS pixels FROM x GROUP BY geom_id)
         SELECT geom_id, pixels, {', '.join(f"(CASE WHEN geom_id = 0 THEN 0 ELSE ('0x' || substr(md5(geom_id::VARCHAR), {8 * k + 1}, 8))::BIGINT % 255 END)::INT AS {c}" for k, c in enumerate('rgb'))} FROM n""",
-    "raster_ids": f"WITH {_RASTER} SELECT DISTINCT frame_idx, geom_id FROM x",
+    "raster_ids": f"WITH {RASTER_SQL} SELECT DISTINCT frame_idx, geom_id FROM x",
     "dim_lookup": "SELECT p_brand, count(*) AS n, sum(l_quantity::BIGINT)::BIGINT AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand",
     "left_default": """SELECT c_custkey AS o_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority LIKE '1%' GROUP BY 1""",
     "annotation_full_outer": """SELECT coalesce(c.key, o.key) AS key, coalesce(c_name, '') AS name, coalesce(n, 0) AS n
