@@ -78,3 +78,19 @@ def track(
     values = {c: (name, first_distance if c == "distance" else None) for c, name in zip(("cx", "cy", "cz", "distance"), names, strict=True)}
     each = scans.smoothed(frames, keys, [order], values, alpha, F.lit(0) if piece is None else piece, "_k")
     return each.select(*keys, order, *names, (F.lit(azimuth_start) + F.lit(TURN_DEGREES) * F.col("_k")).alias("azimuth"), F.lit(ELEVATION).alias("elevation"))
+
+
+def tracks(frames: DataFrame, runs: DataFrame, keys: list[str], order: str, alpha: float = ALPHA, piece: Column | None = None) -> DataFrame:
+    """Camera of each frame of all runs, each with its own settings; columns as of `track`.
+
+    runs has a row a run: keys, mode, lookat (an array), distance, azimuth, elevation. With mode 1 the camera follows the bodies:
+    its distance is smoothed and its azimuth turned from where they are set; with another mode it stays as set in every frame.
+    """
+    each = frames.join(runs.select(*keys, "mode", F.col("lookat").alias("_lookat"), F.col("distance").alias("_distance"), F.col("azimuth").alias("_azimuth"), F.col("elevation").alias("_elevation")), keys)
+    moving, still = each.where("mode = 1"), each.where("mode <> 1 OR mode IS NULL")
+    names = ("lookat_x", "lookat_y", "lookat_z", "distance")
+    values = {c: (name, "_distance" if c == "distance" else None) for c, name in zip(("cx", "cy", "cz", "distance"), names, strict=True)}
+    smooth = scans.smoothed(moving, keys, [order], values, alpha, F.lit(0) if piece is None else piece, "_k").join(runs.select(*keys, F.col("azimuth").alias("_azimuth")), keys)
+    turned = smooth.select(*keys, order, *names, (F.col("_azimuth") + F.lit(TURN_DEGREES) * F.col("_k")).alias("azimuth"), F.lit(ELEVATION).alias("elevation"))
+    stays = [F.get("_lookat", F.lit(i)).alias(c) for i, c in enumerate(names[:3])]
+    return turned.unionByName(still.select(*keys, order, *stays, F.col("_distance").alias("distance"), F.col("_azimuth").alias("azimuth"), F.col("_elevation").alias("elevation")))

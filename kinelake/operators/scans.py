@@ -97,8 +97,8 @@ def gated(df: DataFrame, keys: list[str], order: list[str], position: Column, pi
     return _rows(due.withColumn("frame_idx", (F.col("_n") - 1).cast("long")), "_x", "_k", "_n", "_was", "_offset", "_low", "_size", "_least")
 
 
-def _folded(df: DataFrame, keys: list[str], order: list[str], values: list[str], alpha: float, piece: Column) -> DataFrame:
-    """(keys, _piece, _size, _first and _map of each value): a piece takes y to (1 - alpha)^size y + map.
+def _folded(df: DataFrame, keys: list[str], order: list[str], values: list[str], alpha: float, piece: Column, starts: list[str] | None = None) -> DataFrame:
+    """(keys, _piece, _size, _first (of `starts`, by default the value itself) and _map of each value): a piece takes y to (1 - alpha)^size y + map.
 
     A NULL among a piece's values makes its map NULL, and so all that comes after.
     """
@@ -106,7 +106,7 @@ def _folded(df: DataFrame, keys: list[str], order: list[str], values: list[str],
     cut = df.withColumn("_piece", piece).withColumn("_weight", F.lit(alpha) * F.pow(F.lit(1 - alpha), back))
     total = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.sum(F.col("_weight") * F.col(c)))
     first = lambda c: F.min_by(F.struct(F.col(c).alias("v")), F.struct(*order))["v"]
-    columns = [f(c).alias(f"_{name}_{i}") for i, c in enumerate(values) for name, f in (("first", first), ("map", total))]
+    columns = [x for i, (c, s) in enumerate(zip(values, starts or values, strict=True)) for x in (first(s).alias(f"_first_{i}"), total(c).alias(f"_map_{i}"))]
     return cut.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_size"), *columns)
 
 
@@ -125,11 +125,11 @@ def ema(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: flo
     return weighted.groupBy(*keys).agg(n.alias("n"), (F.pow(F.lit(1 - alpha), n) * start + whole).alias("ema"))
 
 
-def smoothed(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, float | None]], alpha: float, piece: Column, number: str = "n") -> DataFrame:
+def smoothed(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, float | str | None]], alpha: float, piece: Column, number: str = "n") -> DataFrame:
     """(keys, order, number, smoothed columns): every row's smoothed values in its run, and its number from 1.
 
-    values gives for each column the name of its smoothed one and where smoothing starts: a number, or None for a
-    run's first value, which is then taken as it is. A run's few pieces are chained by their maps; then each piece is
+    values gives for each column the name of its smoothed one and where smoothing starts: a number, a column of
+    df (equal in all rows of a run), or None for a run's first value, which is then taken as it is. A run's few pieces are chained by their maps; then each piece is
     smoothed row by row from what the pieces before it make. Group by group in pandas, a piece of a run at a time.
     """
     import pandas as pd
@@ -138,6 +138,8 @@ def smoothed(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     keyed = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
     starts = [start for _, start in values.values()]
+    begin_with = [c if start is None else start for c, start in zip(columns, starts, strict=True)]  # a column, or a number
+    given = sorted({x for x in starts if isinstance(x, str)})
 
     def chain(parts: pd.DataFrame) -> pd.DataFrame:
         """What each piece of a run begins with."""
@@ -145,7 +147,7 @@ def smoothed(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
         now, offset, rows = [None] * len(columns), 0, []
         for k, r in enumerate(parts.to_dict("records")):
             rows.append(now)
-            now = [(1 - alpha) ** r["_size"] * (y if k else r[f"_first_{i}"] if starts[i] is None else starts[i]) + r[f"_map_{i}"] for i, y in enumerate(now)]
+            now = [(1 - alpha) ** r["_size"] * (y if k else r[f"_first_{i}"] if isinstance(begin_with[i], str) else begin_with[i]) + r[f"_map_{i}"] for i, y in enumerate(now)]
             parts.loc[parts.index[k], "_offset"] = offset
             offset += r["_size"]
         out = parts[[*keys, "_piece", "_offset"]].copy()
@@ -154,10 +156,10 @@ def smoothed(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
             out[c] = [float("nan") if r[i] is None else r[i] for r in rows]
         return out
 
-    parts = _folded(df, keys, order, columns, alpha, piece)
+    parts = _folded(df, keys, order, columns, alpha, piece, [x if isinstance(x, str) else c for c, x in zip(columns, begin_with, strict=True)])
     parts = parts.select(*keys, "_piece", "_size", *(F.col(f"_{a}_{i}").cast("double").alias(f"_{a}_{i}") for a in ("first", "map") for i in range(len(columns))))
     ahead = parts.groupBy(*keys).applyInPandas(chain, ", ".join(x for x in (keyed, "_piece int", "_offset long", *(f"`{c}` double" for c in columns)) if x))
-    led = _led(df.select(*keys, *order, *(F.col(c).cast("double").alias(c) for c in columns), piece.cast("int").alias("_piece")), ahead)
+    led = _led(df.select(*keys, *order, *(F.col(c).cast("double").alias(c) for c in [*columns, *(g for g in given if g not in columns)]), piece.cast("int").alias("_piece")), ahead)
 
     def smooth(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_ahead", *order], ascending=[False, *[True] * len(order)], na_position="first")
@@ -168,7 +170,7 @@ def smoothed(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
         step = lambda y, x: alpha * x + (1 - alpha) * y
         for c, (name, start) in values.items():
             x = rows[c].tolist()
-            y = begin[c] if offset else start
+            y = begin[c] if offset else rows[start].iloc[0] if isinstance(start, str) else start
             out[name] = list(accumulate(x, step)) if y is None else list(accumulate(x, step, initial=y))[1:]
         return out
 

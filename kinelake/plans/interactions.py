@@ -7,13 +7,15 @@ its last value of the day.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinelake.functions import vec
-from kinelake.operators import contacts, frames, kinematics, overlay
+from kinelake.operators import contacts, frames, kinematics, overlay, vision
 from kinelake.plans.motion import DAY_US, trajectory, vectors
-from kinelake.sources import document
+from kinelake.sources import document, run_files, scratch
 
 BODIES = 20
 
@@ -31,7 +33,8 @@ def touching(spark, sf_dir):
 
 
 def state(spark, sf_dir):
-    last = frame_events(spark, sf_dir).groupBy("frame_idx", "geom_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("v_now"))
+    """Of the bodies, without the floor: in each frame the last value, and that of the body's frame before."""
+    last = frame_events(spark, sf_dir).where(F.col("geom_id") != vision.FLOOR).groupBy("frame_idx", "geom_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("v_now"))
     return frames.lag_seeded(last, ["geom_id"], ["frame_idx"], "v_now", F.lit(0.0), "v_prev")
 
 
@@ -115,7 +118,7 @@ def _framed(spark, sf_dir):
         F.array("v_now").alias("velocity"), empty.alias("angular_velocity"), still.alias("active_labels"), empty.alias("position"), box.alias("bbox"), F.array(event).alias("taxonomy")
     )
     states = joined.select(
-        week, "frame_idx", F.col("frame_idx").cast("double").alias("time"), F.concat(F.lit("geom_obj"), F.col("geom_id").cast("string")).alias("id"), described.alias("state")
+        week, "frame_idx", F.col("frame_idx").cast("double").alias("time"), F.concat(F.lit("geom_obj"), (F.col("geom_id") - 1).cast("string")).alias("id"), described.alias("state")
     )
     pairs = interaction_pairs(spark, sf_dir).select(week, "frame_idx", "g1", "g2")
     return document.frames(states, pairs)
@@ -150,9 +153,12 @@ def overlay_lines(spark, sf_dir):
 
 
 def manifest(spark, sf_dir):
-    """Output paths of each run, with the number of its bodies."""
-    runs = frame_events(spark, sf_dir).groupBy((F.col("frame_idx") / 7).cast("long").alias("run_id")).agg(F.countDistinct("geom_id").alias("num_objects"))
-    return document.manifest(runs, "generated")
+    """Documents written as files of their own, and what the manifest of that write says, with the frames read back from each file."""
+    runs = frame_events(spark, sf_dir).where(F.col("geom_id") != vision.FLOOR).groupBy((F.col("frame_idx") / 7).cast("long").alias("run_id")).agg(F.countDistinct("geom_id").alias("num_objects"))
+    path = f"{scratch.folder(spark)}/runs-{uuid.uuid4().hex}"
+    written = run_files.write(doc_assemble(spark, sf_dir).join(runs, "run_id"), path)
+    read = document.read(spark, f"{path}/*/*/*.json").select(F.substring_index("path", "/", -3).alias("annotations"), F.size("frames").cast("long").alias("frames"))
+    return written.join(read, "annotations", "left").select(F.col("run_id").cast("long").alias("run_id"), "num_objects", "annotations", "video", "segmentation", "frames")
 
 
 QUERIES = {
@@ -166,7 +172,7 @@ QUERIES = {
 _BASE = f"""e AS (SELECT floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00'))::DOUBLE / {DAY_US})::BIGINT AS frame_idx, (user_id % {BODIES})::INT AS geom_id, event_id, ts, value FROM events),
 c AS (SELECT frame_idx, event_id AS contact_idx, geom_id AS geom1, g AS geom2, least(geom_id, g) AS g1, greatest(geom_id, g) AS g2
       FROM (SELECT *, lead(geom_id) OVER (PARTITION BY frame_idx ORDER BY ts, event_id) AS g FROM e) WHERE g IS NOT NULL AND geom_id <> g),
-s0 AS (SELECT frame_idx, geom_id, arg_max(value, (ts, event_id)) AS v_now FROM e GROUP BY ALL),
+s0 AS (SELECT frame_idx, geom_id, arg_max(value, (ts, event_id)) AS v_now FROM e WHERE geom_id <> 0 GROUP BY ALL),
 s AS (SELECT *, coalesce(lag(v_now) OVER (PARTITION BY geom_id ORDER BY frame_idx), 0.0) AS v_prev FROM s0)"""
 _COLLISION = f"""{_BASE},
 j AS (SELECT c.*, abs(b1.v_now - b2.v_now) AS post, abs(b1.v_prev - b2.v_prev) AS pre FROM c
@@ -196,13 +202,13 @@ ORACLE = {
         SELECT coalesce(a.frame_idx, b.frame_idx) AS frame_idx, coalesce(a.geom_id, b.geom_id) AS geom_id, coalesce(v_now, 0.0) AS v_now, coalesce(events, '') AS events
         FROM a FULL OUTER JOIN b ON a.frame_idx = b.frame_idx AND a.geom_id = b.geom_id""",
     "key_union": f"WITH {_COLLISION} SELECT frame_idx, geom_id FROM s WHERE v_now > v_prev UNION SELECT frame_idx, geom_id FROM v WHERE contains(events, 'Elastic Collision')",
-    "doc_roundtrip": f"""WITH {_COLLISION} SELECT frame_idx // 7 AS run_id, frame_idx, 'geom_obj' || geom_id AS id, v_now AS velocity,
+    "doc_roundtrip": f"""WITH {_COLLISION} SELECT frame_idx // 7 AS run_id, frame_idx, 'geom_obj' || (geom_id - 1) AS id, v_now AS velocity,
         CASE WHEN abs(v_now) < 0.05 THEN 'Stopped' ELSE '' END AS active, coalesce(events, '') AS labels FROM s LEFT JOIN v USING (frame_idx, geom_id)""",
     "doc_interactions": f"WITH {_BASE} SELECT DISTINCT frame_idx // 7 AS run_id, frame_idx, g1, g2 FROM c",
     "overlay_lines": f"""WITH {_COLLISION}, t AS (SELECT frame_idx, geom_id, ['Mass: ' || printf('%.2f', geom_id + 1.0) || ' kg', 'Velocity: [' || {_num('v_now')} || ', ' || {_num('v_prev')} || ']',
           'Material: wood', 'Taxonomy: ' || coalesce(events, '')] AS lines FROM s LEFT JOIN v USING (frame_idx, geom_id))
         SELECT frame_idx, geom_id, i::INT AS line_idx, lines[i + 1] AS line, geom_id * 10 AS line_x, (500 - 20 * (i + 1))::INT AS line_y FROM t, range(4) r(i)""",
-    "manifest": f"""WITH {_BASE}, r AS (SELECT frame_idx // 7 AS run_id, count(DISTINCT geom_id) AS n FROM s GROUP BY 1)
-        SELECT run_id, 'generated/' || n || '/' || run_id || '/obj_' || n || '.json' AS annotations, 'generated/' || n || '/' || run_id || '/simulation_' || n || '_objects.mp4' AS video,
-          'generated/' || n || '/' || run_id || '/simulation_' || n || '_objects_segmentation.mp4' AS segmentation FROM r""",
+    "manifest": f"""WITH {_BASE}, r AS (SELECT frame_idx // 7 AS run_id, count(DISTINCT geom_id) AS n, count(DISTINCT frame_idx) AS frames FROM s GROUP BY 1)
+        SELECT run_id, n AS num_objects, n || '/' || run_id || '/obj_' || n || '.json' AS annotations, n || '/' || run_id || '/simulation_' || n || '_objects.mp4' AS video,
+          n || '/' || run_id || '/simulation_' || n || '_objects_segmentation.mp4' AS segmentation, frames FROM r""",
 }

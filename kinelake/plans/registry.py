@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinelake.plans import interactions, masks, motion, runs, scenes, views
+from kinelake.plans import interactions, labels, masks, motion, runs, scenes, views
 
-_MODULES = (motion, scenes, interactions, views, runs, masks)
+_MODULES = (motion, scenes, interactions, views, runs, masks, labels)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

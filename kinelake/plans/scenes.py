@@ -44,10 +44,14 @@ def size_strings(spark, sf_dir):
 
 
 def rgba_parse(spark, sf_dir):
-    crossed = dim.colors(spark).crossJoin(F.broadcast(dim.materials(spark)))  # 13 x 5 fixed rows
+    """A part's colour (by its key) and material: as text, and as parts in the order given and in that of a library that takes blue first."""
+    key = F.col("p_partkey")
+    df = table(spark, sf_dir, "part").select("p_partkey", (key % len(dim.COLORS)).cast("int").alias("color_idx"), scene.uniform_choice(uniform("m", 7919), list(dim.MATERIALS)).alias("material"))
+    look = df.join(F.broadcast(dim.colors(spark)), "color_idx").join(F.broadcast(dim.materials(spark)), "material")  # 13 and 5 fixed rows
     parts = overlay.color_parts(F.col("rgba"))
-    return crossed.select(
-        "color", "material", scene.rgba_string(F.col("rgba"), F.col("alpha")).alias("rgba_out"), *(parts[i].alias(c) for i, c in enumerate("rgb"))
+    other = overlay.swapped(parts)
+    return look.select(
+        "p_partkey", "color", "material", scene.rgba_string(F.col("rgba"), F.col("alpha")).alias("rgba_out"), *(parts[i].alias(c) for i, c in enumerate("rgb")), *(other[i].alias(f"shown_{c}") for i, c in enumerate("rgb"))
     )
 
 
@@ -195,11 +199,12 @@ ORACLE = {
     "size_strings": f"""WITH {_BODIES} SELECT p_partkey, CASE shape WHEN 'ball' THEN 'sphere' WHEN 'cylinder' THEN 'cylinder' ELSE 'box' END AS geom_type,
         CASE shape WHEN 'ball' THEN printf('%.4f', radius) WHEN 'cylinder' THEN printf('%.4f %.4f', radius, height / 2)
           WHEN 'cube' THEN printf('%.4f %.4f %.4f', side / 2, side / 2, side / 2) ELSE printf('%.4f %.4f %.4f', length / 2, width / 2, height / 2) END AS size_str FROM b""",
-    "rgba_parse": f"""WITH c(color, rgba) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in dim.COLORS.items())}),
+    "rgba_parse": f"""WITH c(color_idx, color, rgba) AS (VALUES {', '.join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(dim.COLORS.items()))}),
         m(material, density, friction, alpha, specular, shininess) AS (VALUES {_material_rows}),
-        p AS (SELECT color, material, alpha, list_transform(string_split(rgba, ' '), lambda x: x::DOUBLE) AS v FROM c, m)
-        SELECT color, material, printf('%.3f %.3f %.3f %.3f', v[1], v[2], v[3], alpha::DOUBLE) AS rgba_out,
-          trunc(v[1] * 255)::INT AS r, trunc(v[2] * 255)::INT AS g, trunc(v[3] * 255)::INT AS b FROM p""",
+        k AS (SELECT p_partkey, p_partkey % {len(dim.COLORS)} AS color_idx, [{', '.join(f"'{m}'" for m in dim.MATERIALS)}][least(floor({_u(7919)} * {len(dim.MATERIALS)})::INT, {len(dim.MATERIALS) - 1}) + 1] AS material FROM part),
+        p AS (SELECT p_partkey, color, material, alpha, list_transform(string_split(rgba, ' '), lambda x: x::DOUBLE) AS v FROM k JOIN c USING (color_idx) JOIN m USING (material)),
+        t AS (SELECT *, trunc(v[1] * 255)::INT AS r, trunc(v[2] * 255)::INT AS g, trunc(v[3] * 255)::INT AS b FROM p)
+        SELECT p_partkey, color, material, printf('%.3f %.3f %.3f %.3f', v[1], v[2], v[3], alpha::DOUBLE) AS rgba_out, r, g, b, b AS shown_r, g AS shown_g, r AS shown_b FROM t""",
     "mode_placement": f"""WITH u AS (SELECT p_partkey, {_mode} AS mode, {', '.join(f'{_u(f)} AS u{k}' for k, f in _FACTORS.items())} FROM part),
         r AS (SELECT *, {_lin('ur', 1.0, 2.0)} AS radius, {_turn}::DOUBLE * ua AS angle, {_turn}::DOUBLE * ub AS heading FROM u),
         d AS (SELECT *, CASE mode WHEN 'collision' THEN radius WHEN 'offset' THEN {_lin('us', 1.2, 1.5)} * radius ELSE radius * sqrt(us) END AS away FROM r)

@@ -107,14 +107,3 @@ def flatten(docs: DataFrame, keys: list[str]) -> DataFrame:
 def with_defaults(camera: str = "camera"):
     """The camera struct's init fields, defaults where missing."""
     return F.struct(*(F.coalesce(F.col(f"{camera}.{k}"), F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).alias(k) for k, v in CAMERA_DEFAULTS.items()))
-
-
-def manifest(runs: DataFrame, root: str) -> DataFrame:
-    """Output paths of each run (run_id, num_objects)."""
-    stem = F.concat(F.lit(f"{root}/"), F.col("num_objects").cast("string"), F.lit("/"), F.col("run_id").cast("string"), F.lit("/"))
-    n = F.col("num_objects").cast("string")
-    return runs.select(
-        "run_id", F.concat(stem, F.lit("obj_"), n, F.lit(".json")).alias("annotations"),
-        F.concat(stem, F.lit("simulation_"), n, F.lit("_objects.mp4")).alias("video"),
-        F.concat(stem, F.lit("simulation_"), n, F.lit("_objects_segmentation.mp4")).alias("segmentation"),
-    )
