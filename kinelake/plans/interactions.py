@@ -136,6 +136,19 @@ def doc_roundtrip(spark, sf_dir):
     )
 
 
+def doc_variants(spark, sf_dir):
+    """The same rows as doc_roundtrip, of documents without a schema, each with a field more; every third text is cut short and gives none."""
+    whole = F.concat(F.lit('{"note":"kept",'), F.expr("substring(json, 2)"))
+    text = doc_assemble(spark, sf_dir).select("run_id", F.when(F.col("run_id") % 3 == 2, F.expr("substring(json, 1, length(json) - 9)")).otherwise(whole).alias("json"))
+    again = document.variants(document.variant_text(document.variants(text)).select("run_id", "json"))
+    flat = document.flatten_variants(again, ["run_id", "doc"])
+    get = lambda at, kind: F.try_variant_get("state", at, kind)
+    return flat.select(
+        "run_id", F.col("time").cast("long").alias("frame_idx"), "id", get("$.velocity[0]", "double").alias("velocity"), F.array_join(get("$.active_labels", "array<string>"), ",").alias("active"),
+        F.array_join(get("$.taxonomy[0].labels", "array<string>"), ",").alias("labels"), F.try_variant_get("doc", "$.note", "string").alias("note"),
+    )
+
+
 def doc_interactions(spark, sf_dir):
     """Pairs read back from the documents."""
     parsed = document.parse(doc_assemble(spark, sf_dir))
@@ -165,7 +178,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         interaction_pairs, pairs_no_floor, contact_keep_last, collision_elasticity, collision_elasticity_3d, collision_fanout, event_collect, annotation_outer, key_union,
-        doc_assemble, doc_roundtrip, doc_interactions, overlay_lines, manifest,
+        doc_assemble, doc_roundtrip, doc_variants, doc_interactions, overlay_lines, manifest,
     )
 }
 
@@ -204,6 +217,8 @@ ORACLE = {
     "key_union": f"WITH {_COLLISION} SELECT frame_idx, geom_id FROM s WHERE v_now > v_prev UNION SELECT frame_idx, geom_id FROM v WHERE contains(events, 'Elastic Collision')",
     "doc_roundtrip": f"""WITH {_COLLISION} SELECT frame_idx // 7 AS run_id, frame_idx, 'geom_obj' || (geom_id - 1) AS id, v_now AS velocity,
         CASE WHEN abs(v_now) < 0.05 THEN 'Stopped' ELSE '' END AS active, coalesce(events, '') AS labels FROM s LEFT JOIN v USING (frame_idx, geom_id)""",
+    "doc_variants": f"""WITH {_COLLISION} SELECT frame_idx // 7 AS run_id, frame_idx, 'geom_obj' || (geom_id - 1) AS id, v_now AS velocity,
+        CASE WHEN abs(v_now) < 0.05 THEN 'Stopped' ELSE '' END AS active, coalesce(events, '') AS labels, 'kept' AS note FROM s LEFT JOIN v USING (frame_idx, geom_id) WHERE (frame_idx // 7) % 3 <> 2""",
     "doc_interactions": f"WITH {_BASE} SELECT DISTINCT frame_idx // 7 AS run_id, frame_idx, g1, g2 FROM c",
     "overlay_lines": f"""WITH {_COLLISION}, t AS (SELECT frame_idx, geom_id, ['Mass: ' || printf('%.2f', geom_id + 1.0) || ' kg', 'Velocity: [' || {_num('v_now')} || ', ' || {_num('v_prev')} || ']',
           'Material: wood', 'Taxonomy: ' || coalesce(events, '')] AS lines FROM s LEFT JOIN v USING (frame_idx, geom_id))

@@ -107,3 +107,23 @@ def flatten(docs: DataFrame, keys: list[str]) -> DataFrame:
 def with_defaults(camera: str = "camera"):
     """The camera struct's init fields, defaults where missing."""
     return F.struct(*(F.coalesce(F.col(f"{camera}.{k}"), F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).alias(k) for k, v in CAMERA_DEFAULTS.items()))
+
+
+def variants(df: DataFrame, json: str = "json") -> DataFrame:
+    """df with `doc`, the document as VARIANT with all its fields, and `malformed`: text that is no JSON has a NULL doc."""
+    return df.withColumn("doc", F.try_parse_json(json)).withColumn("malformed", F.col("doc").isNull() & F.col(json).isNotNull())
+
+
+def flatten_variants(docs: DataFrame, keys: list[str], doc: str = "doc") -> DataFrame:
+    """One row a frame and object of VARIANT documents: keys, frame_idx, time, id, and `state` with whatever fields it has.
+
+    Objects are maps by id, so ids make no fields. Documents without frames and frames without objects give no rows.
+    """
+    framed = docs.select(*keys, F.posexplode(F.try_variant_get(doc, "$.frames", "array<variant>")).alias("frame_idx", "f"))
+    each = framed.select(*keys, "frame_idx", F.try_variant_get("f", "$.time", "double").alias("time"), F.try_variant_get("f", "$.objects", "map<string,variant>").alias("objects"))
+    return each.select(*keys, "frame_idx", "time", F.explode("objects").alias("id", "state"))
+
+
+def variant_text(docs: DataFrame, doc: str = "doc", out: str = "json") -> DataFrame:
+    """docs with the VARIANT document as JSON text, unknown fields included."""
+    return docs.withColumn(out, F.to_json(doc))
