@@ -3,30 +3,34 @@
 A response gives a metadata record (JSON: the source's WARC and HTTP headers and
 digests, title, links) and a conversion record (the page's text). Both refer to the
 response, each names the other, and both carry the response's URI, date and payload
-digest. Record ids derive from the response's id, and this from the page and its place in
-the input, so a task that is run again gives the same records and each record has its own.
+digest. Record ids derive from the response's id, and this from the page and, where rows repeat, its
+number among the equal ones: the same pages give the same ids, however they lie in files and partitions.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html
+import io
 import json
 import re
 import uuid
-from urllib.parse import urljoin
+from urllib.parse import quote, urljoin
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelake.llm import arrowtext as at
-from kinelake.llm.common import table
+from kinelake.llm.common import table, written
 
 CRAWL_DATE = "2024-01-01T00:00:00Z"
 VERSION = "WARC/1.0"
+#: Bytes of a plain file that a task reads, and equal rows that are dealt out at once.
+RANGE_BYTES = 1 << 26
+COPIES = 4096
 RESPONSE_SCHEMA = "page_id long, record_id string, target_uri string, warc_date string, warc_headers string, http_headers string, payload string, payload_digest string"
 DERIVED_SCHEMA = (
     "page_id long, warc_type string, record_id string, refers_to string, concurrent_to string, target_uri string, warc_date string,"
@@ -119,25 +123,39 @@ def record_text(headers: list[tuple[str, str]], block: str) -> str:
     return "\r\n".join(lines) + "\r\n\r\n" + block + "\r\n\r\n"
 
 
+def _numbered(pages: DataFrame) -> DataFrame:
+    """(page_id, url, html, copy): copy counts equal rows from 0 (an action).
+
+    Rows are compared by hash first. Those whose hash is another's too are grouped as a whole, which sums
+    equal ones before the shuffle, and are dealt out again in chunks.
+    """
+    mine = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("_h"))
+    twice = written(mine.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_h"))
+    once = mine.join(twice, "_h", "left_anti").select("page_id", "url", "html", F.lit(0).cast("long").alias("copy"))
+    same = mine.join(twice, "_h", "left_semi").groupBy("page_id", "url", "html").agg(F.count(F.lit(1)).alias("n"))
+    chunks = same.select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES})")).alias("_c"))
+    return once.unionAll(chunks.select("page_id", "url", "html", F.explode(F.expr(f"sequence(_c * {COPIES}, least(n - 1, _c * {COPIES} + {COPIES - 1}))")).alias("copy")))
+
+
 def responses(pages: DataFrame, date: str = CRAWL_DATE) -> DataFrame:
-    """Response records of pages (page_id, url, html); other columns are left out, whatever their names.
+    """Response records of pages (page_id, url, html); other columns are left out, whatever their names (an action).
 
     A NULL url leaves the URI out, a NULL html is an empty page, and a NULL page_id enters
-    the record id as an empty string. Repeated rows are records of their own, with their own
+    the record id as an empty string. page_id may be of any type. Repeated rows are records of their own, with their own
     ids; an empty table gives none; a very long page is one record.
     """
+    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, {RESPONSE_SCHEMA.partition(', ')[2]}"
 
     def run(batches):
-        place = TaskContext.get().partitionId() << 33
         for batch in at.slices(batches, "html"):
             rows = []
-            for i, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+            for i, url, page, copy in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "copy")), strict=True):
+                absent = [k for k, x in (("url", url), ("html", page)) if x is None]  # a NULL isn't an empty text
                 page = page or ""
                 payload = page.encode()
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n"
                 digest = sha1_digest(payload)
-                place += 1
-                own = derived_id("response", "" if i is None else str(i), url or "", digest, str(place))
+                own = derived_id("response", "" if i is None else f"={i}", url or "", digest, *absent, str(copy))
                 block = http.encode() + b"\r\n" + payload
                 headers = [
                     ("WARC-Type", "response"), ("WARC-Record-ID", own), ("WARC-Date", date), *([("WARC-Target-URI", url)] if url else []),
@@ -145,15 +163,17 @@ def responses(pages: DataFrame, date: str = CRAWL_DATE) -> DataFrame:
                     ("WARC-Payload-Digest", digest), ("WARC-Block-Digest", sha1_digest(block)),
                 ]
                 rows.append((i, own, url, date, "\r\n".join(f"{k}: {' '.join(v.split())}" for k, v in headers), http, page, digest))
-            yield _batch(rows, RESPONSE_SCHEMA)
+            yield _batch(rows, schema, batch.column("page_id").type)
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, RESPONSE_SCHEMA)
+    return _numbered(pages).mapInArrow(run, schema)
 
 
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    names, kinds = zip(*(x.split() for x in schema.split(",")), strict=True)
+def _batch(rows: list[tuple], schema: str, key: pa.DataType) -> pa.RecordBatch:
+    """Rows of a schema whose first column is of type `key`."""
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
     columns = zip(*rows, strict=True) if rows else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == "long" else pa.string()) for c, k in zip(columns, kinds, strict=True)], list(names))
+    types = [key, *(pa.int64() if k == "long" else pa.string() for k in kinds[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], list(names))
 
 
 def _headers(text: str) -> list[tuple[str, str]]:
@@ -176,6 +196,7 @@ def derive(source: DataFrame) -> DataFrame:
     Repeated rows give repeated records; an empty table gives none; very long pages take time in
     proportion to their length.
     """
+    schema = f"page_id {source.schema['page_id'].dataType.simpleString()}, {DERIVED_SCHEMA.partition(', ')[2]}"
 
     def run(batches):
         for batch in at.slices(batches, "payload"):
@@ -210,56 +231,116 @@ def derive(source: DataFrame) -> DataFrame:
                     ]
                     headers = [(k, v) for k, v in headers if v]
                     rows.append((i, kind, ids[kind], own, ids[other], uri, date, content, len(raw), sha1_digest(raw), digest, block, record_text(headers, block)))
-            yield _batch(rows, DERIVED_SCHEMA)
+            yield _batch(rows, schema, batch.column("page_id").type)
 
     columns = [x.split()[0] for x in RESPONSE_SCHEMA.split(",")]
-    return source.select(*columns).mapInArrow(run, DERIVED_SCHEMA)
+    return source.select(*columns).mapInArrow(run, schema)
 
 
 def write(records: DataFrame, path: str, compression: str = "none") -> None:
-    """Write `record` of each row as WARC files, one a partition (an action).
+    """Write `record` of each row as WARC files, one a partition (an action). Rows whose record is NULL give an empty line; other columns are left out.
 
     A record ends with a line break, which is the one that the text sink adds.
     """
     records.selectExpr("substring(record, 1, length(record) - 1) AS value").write.option("compression", compression).text(path)
 
 
-_BETWEEN = "\r\n\r\nWARC/1."
-
-
-def parse(record: bytes) -> tuple[list[tuple[str, str]], bytes]:
-    """Headers and block of one record, without what stands between records."""
-    head, _, block = record.partition(b"\r\n\r\n")
-    headers = _headers(head.decode("utf-8", "replace").partition("\r\n")[2])
-    size = int(next((v for k, v in headers if k.lower() == "content-length"), "-1"))
-    if len(block) == size + 4 and block.endswith(b"\r\n\r\n"):
-        block = block[:size]
-    if len(block) != size:
-        raise ValueError(f"a record of {len(block)} bytes says that it has {size}: it is cut short, or its block holds what stands between records")
-    return headers, block
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(headers, block) of every record under `path`, plain or gzipped; headers are (name, value) pairs in order.
-
-    Files are read as streams of records, so plain ones are split among tasks and a task holds
-    a record at a time, whatever the size of a file. A record whose length isn't the one that
-    it says raises ValueError.
+def _opened(path: str, buffer: int):
+    """A file that Spark has listed, for reading; a gzipped one as what it holds."""
+    from pyarrow import fs
+
+    local = path.startswith("file:")
+    store, name = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(quote(path, safe="/:@?=&+%"))
+    if path.endswith(".gz"):
+        return gzip.GzipFile(fileobj=io.BufferedReader(store.open_input_stream(name, compression=None), buffer))
+    return io.BufferedReader(store.open_input_file(name), buffer)
+
+
+def _head(file) -> tuple[list[tuple[str, str]], int] | None:
+    """Headers of the next record and the length of its block, the file standing at the block; None at the end."""
+    line = file.readline()
+    while line in (b"\r\n", b"\n"):
+        line = file.readline()
+    if not line:
+        return None
+    if not line.startswith(b"WARC/1."):
+        raise ValueError(f"a record begins with {line[:40]!r}: the one before is longer than it says")
+    lines = []
+    while (line := file.readline()) not in (b"\r\n", b"\n", b""):
+        lines.append(line.decode("utf-8", "replace").rstrip("\r\n"))
+    headers = _headers("\r\n".join(lines))
+    return headers, int(next((v for k, v in headers if k.lower() == "content-length"), "-1"))
+
+
+def _short(got: int, size: int) -> ValueError:
+    return ValueError(f"a record of {got} bytes says that it has {size}: it is cut short")
+
+
+def parse(file, stop: int | None = None):
+    """(headers, block) of the records of an open file, framed by their lengths, up to one that begins at `stop` or later."""
+    while (stop is None or file.tell() < stop) and (head := _head(file)):
+        headers, size = head
+        block = file.read(max(size, 0))
+        if size < 0 or len(block) < size:
+            raise _short(len(block), size)
+        yield headers, block
+
+
+def _ranges(path: str, length: int, most: int) -> list[tuple[str, int, int]]:
+    """Parts of a plain file, each of whole records and about `most` bytes: from record to record by their lengths, blocks unread."""
+    out, start = [], 0
+    with _opened(path, 1 << 13) as file:
+        while head := _head(file):
+            end = file.tell() + max(head[1], 0)
+            if head[1] < 0 or end > length:
+                raise _short(length - file.tell(), head[1])
+            file.seek(end)
+            if end - start >= most:
+                out.append((path, start, end))
+                start = end
+    return [*out, (path, start, length)] if start < length else out
+
+
+def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(headers, block) of every record under `path`, plain or gzipped (.gz); headers are (name, value) pairs in order.
+
+    Records are framed by their lengths, so a block may hold anything, WARC records too. A plain file is cut into
+    ranges of whole records, which tasks read one record at a time; a gzipped one can only be read from its beginning, by one
+    task. A record that is shorter or longer than it says raises ValueError. Spark lists no empty files.
     """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+
+    def cut(batches):
+        for batch in batches:
+            rows = []
+            for name, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                rows += [(name, 0, -1)] if name.endswith(".gz") else _ranges(name, length, range_bytes)
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["path", "start", "stop"])
 
     def run(batches):
         pairs = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
-        for batch in batches:
-            found = []
-            for data in batch.column("value").to_pylist():
-                data = data.removeprefix(b"WARC/1.")
-                if data.strip():
-                    found.append(parse(b"WARC/1." + data))
+
+        def given(found):
             rows = [[{"name": k, "value": v} for k, v in h] for h, _ in found]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pairs), pa.array([b for _, b in found], pa.binary())], ["headers", "block"])
+            return pa.RecordBatch.from_arrays([pa.array(rows, pairs), pa.array([b for _, b in found], pa.binary())], ["headers", "block"])
 
-    lines = spark.read.option("lineSep", _BETWEEN).text(path).select(F.col("value").cast("binary").alias("value"))
-    return lines.mapInArrow(run, "headers array<struct<name:string,value:string>>, block binary")
+        for batch in batches:
+            for name, start, stop in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "stop")), strict=True):
+                found, size = [], 0
+                with _opened(name, 1 << 20) as file:
+                    if start:
+                        file.seek(start)
+                    for record in parse(file, stop if stop >= 0 else None):
+                        found.append(record)
+                        size += len(record[1])
+                        if size >= at.SLICE_BYTES:
+                            yield given(found)
+                            found, size = [], 0
+                yield given(found)
+
+    ranges = files.repartition("path").mapInArrow(cut, "path string, start long, stop long")
+    return ranges.repartition("path", "start").mapInArrow(run, "headers array<struct<name:string,value:string>>, block binary")
 
 
 def query(spark, sf_dir):

@@ -1,6 +1,7 @@
 """Operators that SQL cannot express, against plain versions of their definitions."""
 
 import collections
+import gzip
 import hashlib
 import html.parser
 import json
@@ -10,6 +11,7 @@ import re
 import string
 import struct
 import time
+import urllib.parse
 import zlib
 
 import numpy as np
@@ -634,6 +636,11 @@ def test_pages(spark, tmp_path):
         else:
             about = json.loads(r["block"])["Envelope"]
             assert about["WARC-Header-Metadata"]["WARC-Record-ID"] == s["record_id"]
+            reader = Reader()
+            reader.feed(s["payload"])
+            reader.close()
+            links = about["Payload-Metadata"]["HTTP-Response-Metadata"]["HTML-Metadata"]["Links"]
+            assert [(x["path"], x["url"]) for x in links] == [(k, urllib.parse.urljoin(s["target_uri"] or "", (v or "").strip())) for k, v in reader.links]
             assert about["Payload-Metadata"]["HTTP-Response-Metadata"]["Entity-Digest"] == warc.sha1_digest(s["payload"].encode())
     one = next(r for r in rows if r["page_id"] == 9000 and r["warc_type"] == "metadata")
     links = json.loads(one["block"])["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["HTML-Metadata"]["Links"]
@@ -675,6 +682,32 @@ def test_repeated_headers_and_nulls(spark, tmp_path):
         warc.read(spark, str(tmp_path / "bad.warc")).collect()
 
 
+def test_ids_do_not_depend_on_partitions(spark):
+    """Also where rows repeat, are NULL, and where there are many more equal rows than are dealt out at once."""
+    rows = [(k % 40, f"http://a.example/{k % 40}", "<p>x") for k in range(100)] + [(None, None, None), (None, None, ""), (None, "", None), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    ids = [sorted(r["record_id"] for r in warc.derive(warc.responses(pages.repartition(n))).collect()) for n in (1, 4, 7)]
+    assert ids[0] == ids[1] == ids[2] and len(set(ids[0])) == 2 * len(rows)
+    many = spark.range(10_000).select(F.lit("a").alias("page_id"), F.lit("u").alias("url"), F.lit("t").alias("html"))
+    assert warc.responses(many).select("record_id").distinct().count() == 10_000  # and ids of another type
+
+
+def test_records_may_hold_records(spark, tmp_path):
+    """Blocks that quote the format, line breaks, nothing; files cut into ranges at every size."""
+    blocks = [b"a\r\n\r\nWARC/1.0\r\nWARC-Type: fake\r\nContent-Length: 3\r\n\r\nxyz\r\n\r\n", b"", b"\r\n\r\n", b"WARC/1.0\r\n", bytes(range(256)) * 40, "é\n".encode()]
+    data = b"".join(b"WARC/1.0\r\nN: %d\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k, len(b), b) for k, b in enumerate(blocks * 5))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a b.warc").write_bytes(data)
+    (tmp_path / "in" / "c.warc.gz").write_bytes(gzip.compress(data[: len(data) // 3]) + gzip.compress(data[len(data) // 3 :]))
+    for most in (1, 300, 1 << 26):
+        back = warc.read(spark, str(tmp_path / "in"), most).collect()
+        assert sorted((int(r["headers"][0]["value"]), bytes(r["block"])) for r in back) == sorted((k, b) for k, b in enumerate(blocks * 5) for _ in range(2))
+    page = spark.createDataFrame([(1, "u", f"<pre>{data[:400].decode('latin-1')}</pre>")], "page_id long, url string, html string")
+    records = warc.derive(warc.responses(page)).cache()
+    warc.write(records, f"{tmp_path}/out")
+    assert sorted(bytes(r["block"]).decode() for r in warc.read(spark, f"{tmp_path}/out").collect()) == sorted(r["block"] for r in records.collect())
+
+
 # --- pipeline
 
 
