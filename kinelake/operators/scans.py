@@ -9,7 +9,7 @@ One shuffle of the rows, by (run, piece).
 
 from __future__ import annotations
 
-from itertools import accumulate
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,8 +97,8 @@ def gated(df: DataFrame, keys: list[str], order: list[str], position: Column, pi
     return _rows(due.withColumn("frame_idx", (F.col("_n") - 1).cast("long")), "_x", "_k", "_n", "_was", "_offset", "_low", "_size", "_least")
 
 
-def _folded(df: DataFrame, keys: list[str], order: list[str], values: list[str], alpha: float, piece: Column, starts: list[str] | None = None) -> DataFrame:
-    """(keys, _piece, _size, _first (of `starts`, by default the value itself) and _map of each value): a piece takes y to (1 - alpha)^size y + map.
+def _folded(df: DataFrame, keys: list[str], order: list[str], values: list[str], alpha: float, piece: Column) -> DataFrame:
+    """(keys, _piece, _size, _first and _map of each value): a piece takes y to (1 - alpha)^size y + map.
 
     A NULL among a piece's values makes its map NULL, and so all that comes after.
     """
@@ -106,7 +106,7 @@ def _folded(df: DataFrame, keys: list[str], order: list[str], values: list[str],
     cut = df.withColumn("_piece", piece).withColumn("_weight", F.lit(alpha) * F.pow(F.lit(1 - alpha), back))
     total = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.sum(F.col("_weight") * F.col(c)))
     first = lambda c: F.min_by(F.struct(F.col(c).alias("v")), F.struct(*order))["v"]
-    columns = [x for i, (c, s) in enumerate(zip(values, starts or values, strict=True)) for x in (first(s).alias(f"_first_{i}"), total(c).alias(f"_map_{i}"))]
+    columns = [x for i, c in enumerate(values) for x in (first(c).alias(f"_first_{i}"), total(c).alias(f"_map_{i}"))]
     return cut.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_size"), *columns)
 
 
@@ -129,50 +129,51 @@ def smoothed(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
     """(keys, order, number, smoothed columns): every row's smoothed values in its run, and its number from 1.
 
     values gives for each column the name of its smoothed one and where smoothing starts: a number, a column of
-    df (equal in all rows of a run), or None for a run's first value, which is then taken as it is. A run's few pieces are chained by their maps; then each piece is
-    smoothed row by row from what the pieces before it make. Group by group in pandas, a piece of a run at a time.
+    df (equal in all rows of a run), or None for a run's first value, which is then taken as it is. After a NULL all is NULL, and
+    after a value that is not finite NaN or infinite.
+
+    Rows are numbered and cut into blocks over which the weight of a value falls to 1e-100. In a block, with d = 1 - alpha, the j-th
+    value is d^(j+1) times what the block begins with, plus d^j times a running sum of alpha d^-i x. A block begins with what the blocks
+    before it end with, each weighted by d to the rows in between: after four blocks that is zero in double arithmetic.
     """
-    import pandas as pd
-
-    columns = list(values)
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    keyed = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
-    starts = [start for _, start in values.values()]
-    begin_with = [c if start is None else start for c, start in zip(columns, starts, strict=True)]  # a column, or a number
-    given = sorted({x for x in starts if isinstance(x, str)})
-
-    def chain(parts: pd.DataFrame) -> pd.DataFrame:
-        """What each piece of a run begins with."""
-        parts = parts.sort_values("_piece")
-        now, offset, rows = [None] * len(columns), 0, []
-        for k, r in enumerate(parts.to_dict("records")):
-            rows.append(now)
-            now = [(1 - alpha) ** r["_size"] * (y if k else r[f"_first_{i}"] if isinstance(begin_with[i], str) else begin_with[i]) + r[f"_map_{i}"] for i, y in enumerate(now)]
-            parts.loc[parts.index[k], "_offset"] = offset
-            offset += r["_size"]
-        out = parts[[*keys, "_piece", "_offset"]].copy()
-        out["_offset"] = out["_offset"].astype("int64")
-        for i, c in enumerate(columns):
-            out[c] = [float("nan") if r[i] is None else r[i] for r in rows]
-        return out
-
-    parts = _folded(df, keys, order, columns, alpha, piece, [x if isinstance(x, str) else c for c, x in zip(columns, begin_with, strict=True)])
-    parts = parts.select(*keys, "_piece", "_size", *(F.col(f"_{a}_{i}").cast("double").alias(f"_{a}_{i}") for a in ("first", "map") for i in range(len(columns))))
-    ahead = parts.groupBy(*keys).applyInPandas(chain, ", ".join(x for x in (keyed, "_piece int", "_offset long", *(f"`{c}` double" for c in columns)) if x))
-    led = _led(df.select(*keys, *order, *(F.col(c).cast("double").alias(c) for c in [*columns, *(g for g in given if g not in columns)]), piece.cast("int").alias("_piece")), ahead)
-
-    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_ahead", *order], ascending=[False, *[True] * len(order)], na_position="first")
-        begin, rows = rows.iloc[0], rows.iloc[1:]
-        offset = int(begin["_offset"])
-        out = rows[[*keys, *order]].copy()
-        out[number] = range(offset + 1, offset + len(rows) + 1)
-        step = lambda y, x: alpha * x + (1 - alpha) * y
-        for c, (name, start) in values.items():
-            x = rows[c].tolist()
-            y = begin[c] if offset else rows[start].iloc[0] if isinstance(start, str) else start
-            out[name] = list(accumulate(x, step)) if y is None else list(accumulate(x, step, initial=y))[1:]
-        return out
-
-    schema = ", ".join(x for x in (keyed, *(f"`{c}` {kinds[c]}" for c in order), f"`{number}` long", *(f"`{name}` double" for name, _ in values.values())) if x)
-    return led.groupBy(*keys, "_piece").applyInPandas(smooth, schema)
+    d = 1 - alpha
+    rows = max(1, int(230 / -math.log(d))) if 0 < d < 1 else 1 if d <= 0 else 1 << 30
+    back = [i for i in range(8) if d ** (rows * i) > 0] or [0]  # blocks whose weight a double can tell from zero
+    power = lambda k: F.pow(F.lit(float(d)), k)
+    columns, names = list(values), [name for name, _ in values.values()]
+    starts = [F.col(c if start is None else start).cast("double") if start is None or isinstance(start, str) else F.lit(float(start)) for c, (_, start) in values.items()]
+    numbers = numbered(df, keys, order, piece, "_n").withColumn("_k", F.col("_n") - 1)
+    cut = numbers.select(*keys, *order, "_n", F.floor(F.col("_k") / rows).alias("_piece"), (F.col("_k") % rows).alias("_j"), *(F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)), *(s.alias(f"_s{i}") for i, s in enumerate(starts)))
+    odd = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
+    sums = cut.groupBy(*keys, "_piece").agg(
+        *(x for i in range(len(columns)) for x in (
+            F.sum(F.lit(float(alpha)) * power(F.lit(rows - 1) - F.col("_j")) * F.col(f"_v{i}")).alias(f"_q{i}"), F.min_by(F.col(f"_s{i}"), F.col("_j")).alias(f"_s{i}"),
+            F.max(F.when(F.col(f"_v{i}").isNull(), 2).when(odd(f"_v{i}"), 1).otherwise(0)).alias(f"_o{i}"),
+        ))
+    )
+    run = Window.partitionBy(*keys).orderBy("_piece")
+
+    def begin(i: int) -> Column:
+        """What a block begins with: from its forerunners, and from the start while that has any weight."""
+        terms = [F.coalesce(F.lag(f"_q{i}", b + 1).over(run), F.lit(0.0)) * F.lit(float(d ** (rows * b))) for b in back]
+        first = F.first(f"_s{i}").over(run)
+        total = terms[0]
+        for t in terms[1:]:
+            total = total + t
+        total = total + F.when(F.col("_piece") < len(back), power(F.col("_piece") * rows) * first).otherwise(F.lit(0.0))
+        before = F.max(f"_o{i}").over(run.rowsBetween(Window.unboundedPreceding, -1))
+        return F.when(before == 2, F.lit(None).cast("double")).when(before == 1, F.lit(float("nan"))).otherwise(total)
+
+    ahead = sums.select(*keys, "_piece", *(begin(i).alias(f"_y{i}") for i in range(len(columns))))
+    w = _window(keys, order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    led = _led(cut, ahead)
+
+    def smooth(i: int) -> Column:
+        summed = F.coalesce(F.sum(F.lit(float(alpha)) * power(-F.col("_j")) * F.col(f"_v{i}")).over(so_far), F.lit(0.0)) if d > 0 else F.lit(0.0)
+        last = power(F.col("_j")) * summed if d > 0 else F.col(f"_v{i}")
+        missing = F.max(F.when(~F.col("_ahead") & F.col(f"_v{i}").isNull(), 1).otherwise(0)).over(so_far)
+        return F.when(missing == 0, power(F.col("_j") + 1) * F.first(f"_y{i}").over(w) + last)
+
+    found = led.select(*keys, *order, "_ahead", F.col("_n").alias(number), *(smooth(i).alias(name) for i, name in enumerate(names)))
+    return found.where(~F.col("_ahead")).drop("_ahead")

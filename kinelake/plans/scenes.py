@@ -87,8 +87,8 @@ def material_lookup(spark, sf_dir):
 
 def string_concat(spark, sf_dir):
     """Bodies' ids joined in key order, by brand."""
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey"))), lambda s: F.concat(F.lit("obj"), s["p_partkey"].cast("string")))
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(ids, "").alias("ids"))
+    ids = F.expr("listagg(concat('obj', p_partkey), '') WITHIN GROUP (ORDER BY p_partkey)")
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(ids.alias("ids"))
 
 
 SEED = 7

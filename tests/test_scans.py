@@ -95,3 +95,24 @@ def test_smoothing_by_no_key(spark):
     df = spark.createDataFrame([(t, float(t)) for t in range(50)], "t int, v double")
     found = scans.smoothed(df, [], ["t"], {"v": ("s", None)}, 0.5, scans.pieces(df, F.col("t"), 4)).orderBy("t").collect()
     assert [r["s"] for r in found] == pytest.approx([0.0, *fold(range(1, 50), 0.0, 0.5)]) and not math.isnan(found[-1]["s"])
+
+
+@pytest.mark.parametrize("alpha", [0.5, 0.9, 1.0])
+def test_blocks_chain(spark, alpha):
+    """Runs of many blocks (331 rows at 0.5, 99 at 0.9, 1 at 1), huge and tiny values, starts given by a column."""
+    rng = random.Random(6)
+    own = [rng.choice([1e150, -1e150, 1e-9, 3.0]) for _ in range(1500)]
+    df = spark.createDataFrame([(1, t, v, 42.0) for t, v in enumerate(own)], "run int, t int, v double, begin double")
+    got = scans.smoothed(df, ["run"], ["t"], {"v": ("s", "begin")}, alpha, scans.pieces(df, F.col("t"), 5)).orderBy("t").collect()
+    want = fold(own, 42.0, alpha)
+    assert [r["n"] for r in got] == list(range(1, 1501))
+    scale = max(map(abs, own))
+    assert all(abs(r["s"] - y) <= 1e-12 * scale for r, y in zip(got, want, strict=True))
+    calm = [i for i in range(1, 1500) if alpha == 1.0]
+    assert all(got[i]["s"] == own[i] for i in calm)
+
+
+def test_nothing_known_after_a_gap(spark):
+    df = spark.createDataFrame([(t, None if t == 700 else float("nan") if t == 100 else 1.0) for t in range(1000)], "t int, v double")
+    got = [r["s"] for r in scans.smoothed(df, [], ["t"], {"v": ("s", None)}, 0.5, F.lit(0)).orderBy("t").collect()]
+    assert got[:100] == pytest.approx([1.0] * 100) and all(math.isnan(x) for x in got[100:700]) and got[700:] == [None] * 300
