@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinelake.functions import geometry, vec
-from kinelake.operators import overlay, scene
+from kinelake.operators import camera, overlay, scene
 from kinelake.sources import dimensions as dim
+from kinelake.sources import document
 from kinelake.sources.tables import table
 
 DENSITY = [c[2] for c in dim.METAL_MIXTURES["density"]]
@@ -111,10 +112,34 @@ def scene_xml(spark, sf_dir):
     return scene.scene_xml(scene.bodies(spark, runs(spark, sf_dir), SEED))
 
 
+def doc_whole(spark, sf_dir):
+    """Whole documents (camera, bodies, the first frame) of the drawn scenes, written as JSON, parsed again, a row a body."""
+    objects = document.described(scene.bodies(spark, runs(spark, sf_dir), SEED))
+    none = F.array()
+    state = lambda o: F.struct(
+        o["velocity"].alias("velocity"), o["angular_velocity"].alias("angular_velocity"), none.cast("array<string>").alias("active_labels"),
+        F.array(o["init_possition_x"], o["init_possition_y"], o["base_z"]).alias("position"), none.cast("array<array<int>>").alias("bbox"),
+    )
+    first = F.struct(
+        F.lit(0.0).alias("time"), F.map_from_entries(F.transform("objects", lambda o: F.struct(o["id"].alias("id"), state(o).alias("state")))).alias("objects"), none.cast("array<array<int>>").alias("interations")
+    )
+    framed = objects.select("run_id", F.lit(0).cast("long").alias("frame_idx"), first.alias("frame"))
+    init = {k: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v) for k, v in document.CAMERA_DEFAULTS.items()}
+    at = F.struct(F.lit("camera").alias("camera_name"), *(v.alias(k) for k, v in init.items()), init["lookat"].alias("prev_lookat"), init["distance"].alias("prev_distance"), F.lit(camera.ALPHA).alias("alpha"))
+    parsed = document.parse(document.documents(framed, objects, objects.select("run_id", at.alias("camera"))))
+    each = parsed.select("run_id", "num_objects", "camera", "frames", F.explode("objects").alias("o"))
+    shown = F.element_at(F.col("frames")[0]["objects"], F.col("o.id"))
+    same = ("id", "geom_id", "shape", "material", "mode", "friction", "geom_type", "size_str")
+    return each.select(
+        "run_id", "num_objects", F.col("camera.distance").alias("distance"), F.col("camera.prev_lookat")[2].alias("lookat_z"), *(F.col(f"o.{c}").alias(c) for c in same), F.col("o.visual.rgba").alias("rgba"),
+        F.size("o.dimensions").alias("dimensions"), vec.steady(F.col("o.mass"), 3).alias("mass"), vec.steady(shown["velocity"][0], 3).alias("vx"), F.col("o.vel_prev")[0].alias("vx_prev"), vec.steady(shown["position"][1], 3).alias("y"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_project, volume_by_shape, size_strings, rgba_parse, mode_placement, mixture_pick, allow_list, material_lookup, string_concat, scene_random, scene_xml,
+        scan_project, volume_by_shape, size_strings, rgba_parse, mode_placement, mixture_pick, allow_list, material_lookup, string_concat, scene_random, scene_xml, doc_whole,
     )
 }
 
@@ -187,6 +212,8 @@ b AS (SELECT *, greatest(density * volume, 1e-6) AS mass, away * cos(angle) AS x
 ORACLE = {
     "scene_random": f"""WITH {_SCENE} SELECT run_id, num_objects, obj_idx, 'geom_obj' || obj_idx AS id, obj_idx + 1 AS geom_id, shape, material, mode, rgba, specular, shininess, geom_type,
         'obj' || obj_idx || '_free' AS joint_name, 'mat_obj' || obj_idx AS material_name, {', '.join(f'{_three(c)} AS {c}' for c in _STEADY)} FROM b""",
+    "doc_whole": f"""WITH {_SCENE} SELECT run_id, num_objects, 2.23606797749979::DOUBLE AS distance, 0.0::DOUBLE AS lookat_z, 'geom_obj' || obj_idx AS id, obj_idx + 1 AS geom_id, shape, material, mode, friction, geom_type, size_str, rgba,
+        CASE shape WHEN 'ball' THEN 1 WHEN 'cylinder' THEN 2 WHEN 'cube' THEN 1 ELSE 3 END AS dimensions, {_three('mass')} AS mass, {_three('vx')} AS vx, round_even(vx, 2) AS vx_prev, {_three('y')} AS y FROM b""",
     "scene_xml": f"""WITH {_SCENE}, t AS (SELECT run_id, obj_idx, '<material name="mat_obj' || obj_idx || '" specular="' || printf('%.1f', specular) || '" shininess="' || shininess || '" rgba="' || rgba || '"/>' AS m,
           '<body name="obj' || obj_idx || '" pos="' || printf('%.4f %.4f %.4f', x, y, base_z) || '"><freejoint name="obj' || obj_idx || '_free"/><geom name="geom_obj' || obj_idx || '" type="' || geom_type
           || '" size="' || size_str || '" mass="' || printf('%.6f', mass) || '" friction="' || friction || '" material="mat_obj' || obj_idx || '" group="1"/></body>' AS g FROM b)
