@@ -103,25 +103,27 @@ def parts(masks: DataFrame, band: int = BAND) -> DataFrame:
     beside = F.when(F.pmod("y", F.lit(band)) == 0, tile - 1), F.when(F.pmod("y", F.lit(band)) == band - 1, tile + 1)
     own = masks.select(*KEYS, "y", "x0", "x1", F.explode(F.array_compact(F.array(tile, *beside))).alias("_tile"), tile.alias("_home"))
 
-    def label(rows: pd.DataFrame) -> pd.DataFrame:
+    def label(batches):
         import numpy as np
 
-        rows = rows.sort_values(["y", "x0"])
-        y, left, right = (rows[c].to_numpy(np.int64) for c in ("y", "x0", "x1"))
-        size = right - left + 1
-        at = np.repeat(np.arange(len(y)), size)
-        x = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + left[at]
-        edge = vision.border(y[at], x) if len(at) else np.zeros(0, bool)
-        home = (rows["_home"] == rows["_tile"]).to_numpy()
-        cells = [x[a:b][edge[a:b]].tolist() for a, b in zip(np.cumsum(size) - size, np.cumsum(size), strict=True)]
-        out = rows[home][[*KEYS, "y", "x0", "x1"]].copy()
-        y, left = y[home], left[home]
-        first = vision.touching(y, left - left.min(initial=0), right[home] - left.min(initial=0), 1)
-        out["part_y"], out["part_x"] = y[first], left[first]
-        out["edge"] = pd.Series([c for c, h in zip(cells, home, strict=True) if h], out.index, object)
-        return out
-
-    found = own.groupBy(*KEYS, "_tile").applyInPandas(label, "frame_idx long, geom_id int, y int, x0 int, x1 int, part_y int, part_x int, edge array<int>")
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                y, left, right, home = (np.asarray(x) for x in (r.ys, r.lefts, r.rights, r.homes))
+                size = right - left + 1
+                ends = np.cumsum(size)
+                at = np.repeat(np.arange(len(y)), size)
+                x = np.arange(len(at)) - np.repeat(ends - size, size) + left[at]
+                edge = vision.border(y[at].astype(np.int64), x.astype(np.int64))
+                cells = [x[a:b][edge[a:b]].tolist() for a, b, h in zip(ends - size, ends, home, strict=True) if h]
+                y, left, right = (v[home].astype(np.int64) for v in (y, left, right))
+                first = vision.touching(y, left - left.min(initial=0), right - left.min(initial=0), 1)
+                out += zip([r.frame_idx] * len(y), [r.geom_id] * len(y), y.tolist(), left.tolist(), right.tolist(), y[first].tolist(), left[first].tolist(), cells, strict=True)
+            yield pd.DataFrame(out, columns=["frame_idx", "geom_id", "y", "x0", "x1", "part_y", "part_x", "edge"], dtype=object)
+
+    listed = F.array_sort(F.collect_list(F.struct("y", "x0", "x1", (F.col("_home") == F.col("_tile")).alias("home"))))
+    tiles = own.groupBy(*KEYS, "_tile").agg(listed.alias("_r")).select(*KEYS, *(F.col("_r")[c].alias(name) for c, name in (("y", "ys"), ("x0", "lefts"), ("x1", "rights"), ("home", "homes"))))
+    found = tiles.mapInPandas(label, "frame_idx long, geom_id int, y int, x0 int, x1 int, part_y int, part_x int, edge array<int>")
     return found.select(*KEYS, "y", "x0", "x1", F.struct(*KEYS, F.col("part_y").alias("y"), F.col("part_x").alias("x")).alias("part"), "edge")
 
 
@@ -144,14 +146,18 @@ def contours(masks: DataFrame, least: float = vision.LEAST_AREA, band: int = BAN
 
     schema = "frame_idx long, geom_id int, y int, x int, x0 int, y0 int, x1 int, y1 int, area double, points array<array<int>>"
 
-    def trace(rows: pd.DataFrame) -> pd.DataFrame:
-        cells = {(y, x) for y, edge in zip(rows["y"].tolist(), rows["edge"], strict=True) for x in map(int, edge)}
-        start, path, area = vision.traced(cells)
-        y, x = [c[0] for c in cells], [c[1] for c in cells]
-        found = (int(rows["frame_idx"].iloc[0]), int(rows["geom_id"].iloc[0]), *start, min(x), min(y), max(x) + 1, max(y) + 1, area, path)
-        return pd.DataFrame([found], columns=[c.split()[0] for c in schema.split(", ")])
+    def trace(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                cells = {(int(y), x) for y, edge in zip(r.ys, r.edges, strict=True) for x in map(int, edge)}
+                start, path, area = vision.traced(cells)
+                y, x = [c[0] for c in cells], [c[1] for c in cells]
+                out.append((r.frame_idx, r.geom_id, *start, min(x), min(y), max(x) + 1, max(y) + 1, area, path))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
 
     found = bodies(masks.where(F.col("geom_id") != vision.FLOOR), band).where(F.size("edge") > 0)
-    each = found.groupBy("body").applyInPandas(trace, schema).where(F.col("area") > least)
+    borders = found.groupBy("body").agg(F.collect_list(F.struct("y", "edge")).alias("_r")).select("body.frame_idx", "body.geom_id", F.col("_r")["y"].alias("ys"), F.col("_r")["edge"].alias("edges"))
+    each = borders.mapInPandas(trace, schema).where(F.col("area") > least)
     order = F.row_number().over(Window.partitionBy(*KEYS).orderBy("y", "x")) - 1
     return each.select(*KEYS, order.alias("contour_idx"), "x0", "y0", "x1", "y1", "area", F.lit(False).alias("hole"), "points")
