@@ -256,10 +256,10 @@ def _words_step(sweep: int, nodes: int, scalars: dict, last: bool):
                     out.add(me, kind, src, place)
             once = [np.bincount(joined(got[k], 0, np.int64), joined(got[k], 1, np.int64), len(hashes)).astype(np.int64) for k in (ONE_U, ONE_W)]
             out.add(me, WORD_STATE, me, hashes, c, *once)
-            others, history = np.zeros(len(hashes), np.int64), []
+            history = []
         else:
             hashes, c, *once = got[WORD_STATE][0][1]
-            own, others, *history = got[WORD_SEATING][0][1]
+            own, *history = got[WORD_SEATING][0][1]
             links = {}
             for kind, sums in ((LINK_U, SUM_U), (LINK_W, SUM_W)):
                 sent = {src: a[0] for src, a in got[sums]}
@@ -271,7 +271,7 @@ def _words_step(sweep: int, nodes: int, scalars: dict, last: bool):
         if sweep == 0:
             own = np.minimum(customers, 1)
         else:
-            own, others = py.reseat(hashes, sweep, customers, np.full(len(hashes), scalars["strength"]), scalars["d0"], own, others)
+            own = py.reseat(hashes, sweep, customers, np.full(len(hashes), scalars["strength"]), scalars["d0"], own)
         if sweep > BURN:
             now = [tables, customers, own]
             history = [*history, *(signless(x - first) for x, first in zip(now, history, strict=False))] if history else now
@@ -280,7 +280,7 @@ def _words_step(sweep: int, nodes: int, scalars: dict, last: bool):
             for src, (place,) in got[WORD_PLAN]:
                 out.add(src, WORD_ANSWER, me, *(x[place] for x in (c, *history)))
             return out.table()
-        out.add(me, WORD_SEATING, me, own, others, *history)
+        out.add(me, WORD_SEATING, me, own, *history)
         g = py.gamma(hashes, 1000 + sweep, py.THETA / scalars["d"] + tables)
         for src, place, _ in links[LINK_U]:
             out.add(src, GAMMA, me, g[place])
@@ -297,13 +297,13 @@ def _pairs_step(sweep: int, nodes: int, scalars: dict):
     def run(key, rows):
         me, got, out = key[0].as_py(), received(rows), Rows()
         of_u, of_w, u, w, c = got[PAIR_STATE][0][1]
-        t, others, total = got[PAIR_SEATING][0][1] if got[PAIR_SEATING] else np.zeros((3, len(c)), np.int64)
+        t, total = got[PAIR_SEATING][0][1] if got[PAIR_SEATING] else np.zeros((2, len(c)), np.int64)
         g = joined(got[GAMMA], 0, float)
         m, own = (joined(got[CUSTOMERS], k, float) for k in (0, 1))
         parent = (m - scalars["d0"] * own + scalars["rest"]) / scalars["total"]
-        t, others = py.reseat(pair_hash(of_u[u], of_w[w]), sweep, c, scalars["d"] * g[u] * parent[w], scalars["d"], t, others)
+        t = py.reseat(pair_hash(of_u[u], of_w[w]), sweep, c, scalars["d"] * g[u] * parent[w], scalars["d"], t)
         total = total + t if sweep >= BURN else total
-        out.add(me, PAIR_SEATING, me, t, others, total)
+        out.add(me, PAIR_SEATING, me, t, total)
         for kind, index, numbers in ((SUM_U, u, of_u), (SUM_W, w, of_w)):
             out.deal(numbers % nodes, nodes, kind, me, np.bincount(index, t, len(numbers)).astype(np.int64))
         return out.table()
@@ -313,7 +313,7 @@ def _pairs_step(sweep: int, nodes: int, scalars: dict):
 
 def _pairs_answer(key, rows):
     me, got, out = key[0].as_py(), received(rows), Rows()
-    c, total = got[PAIR_STATE][0][1][4], got[PAIR_SEATING][0][1][2]
+    c, total = got[PAIR_STATE][0][1][4], got[PAIR_SEATING][0][1][1]
     c, total = np.append(1, c), np.append(SAMPLES, total)  # 0: a pair seen once
     for src, (place, entry) in got[PAIR_PLAN]:
         out.add(src, PAIR_ANSWER, me, place, c[entry], total[entry])

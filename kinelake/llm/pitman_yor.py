@@ -11,11 +11,14 @@ probability z^t times (1 - d)(2 - d)... over the sizes of its tables, z = d g P_
 
 A Gibbs update takes all customers of a dish away and seats them again by this conditional,
 z^t S(c, t) with generalised Stirling numbers S. Up to TABULATED customers these are a table,
-and the draw is exact. Beyond, the same law is a Poisson(z / d) number of tables whose sizes
-are Sibuya(d) variables with the sum c: a proposal draws all tables but the last, which takes
-who is left, must be the largest, and is accepted by the ratio of its probability to that of
-the present one (TRIES times a sweep). Both leave the conditional as it is; neither depends on c in
-cost beyond its number of tables.
+and the draw is exact. Beyond, S(c, t) = c! / (t! d^t) times the chance that t tables of
+Sibuya(d) sizes hold c customers in all, which is a contour integral around the branch cut
+of the sizes' generating function, summed at NODES points of a path through the saddle point
+(`log_chance`, eight digits and more). Numbers of tables are proposed from a mixture of two
+logistic laws, around the saddle point of the joint law of tables and customers and around the
+number that there would be without the condition on the customers, and taken by
+Metropolis and Hastings' rule (TRIES times a sweep). The state is the number of tables alone,
+and the cost of a proposal does not depend on the number of customers.
 
 All random numbers are hashes of (dish, sweep, position): results depend neither on
 how dishes are dealt to tasks nor on their order.
@@ -26,7 +29,8 @@ from __future__ import annotations
 import numpy as np
 
 THETA = 1.0
-TABULATED, TRIES = 128, 3
+TABULATED, TRIES = 512, 3
+NODES, SPAN, BEND = 96, 10.0, 0.5
 _CELLS = 1 << 21
 
 
@@ -103,77 +107,114 @@ def _from_table(key: np.ndarray, sweep: int, c: int, z: np.ndarray, d: float) ->
     return 1 + (running[:, :-1] < (uniform(key, sweep, 0) * running[:, -1])[:, None]).sum(axis=1)
 
 
-def _log_sizes(n: np.ndarray, d: float) -> np.ndarray:
-    """log of the probability that a table has n customers (Sibuya's law)."""
-    return np.log(d) + log_gamma(n - d) - log_gamma(np.array([1 - d])) - log_gamma(n + 1.0)
-
-
-def table_sizes(u: np.ndarray, d: float, most: int) -> np.ndarray:
-    """Sibuya variables from uniform ones, by inversion; those over `most` become most + 1."""
-    one = log_gamma(np.array([1 - d]))
-    log_u = np.log(u)
-    left = lambda n: log_gamma(n + 1.0 - d) - one - log_gamma(n + 1.0)  # noqa: E731, log of P(size > n)
-    n = np.floor(np.minimum(np.exp(-(log_u + one) / d), most + 1.0))
-    n = np.maximum(n, 1.0)
-    while True:
-        up = (left(n) > log_u) & (n <= most)
-        down = ~up & (n > 1) & (left(np.maximum(n - 1, 1.0)) <= log_u)
-        if not (up.any() or down.any()):
-            return n.astype(np.int64)
-        n += up.astype(float) - down
-
-
-def _other_tables(key: np.ndarray, stream: int, count: np.ndarray, others: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Draw the sizes of `others` tables of each dish: their sum, the largest, and how many are of that size."""
-    out = np.zeros((3, len(key)), np.int64)
-    edge = np.concatenate([[0], np.cumsum(others)])
-    i = 0
-    while i < len(key):
-        j = max(i + 1, int(np.searchsorted(edge, edge[i] + _CELLS, side="right")) - 1)
-        for low in range(0, int(others[i]) if j == i + 1 else 1, _CELLS):  # a dish with very many tables goes in parts
-            n = np.minimum(others[i:j] - low, _CELLS)
-            some = np.flatnonzero(n > 0)
-            if not len(some):
-                continue
-            start = np.concatenate([[0], np.cumsum(n[some])])
-            of = i + np.repeat(some, n[some])
-            size = table_sizes(uniform(key[of], stream, low + np.arange(start[-1]) - np.repeat(start[:-1], n[some])), d, int(count[i:j].max()))
-            at, top = i + some, np.maximum.reduceat(size, start[:-1])
-            equal = np.add.reduceat((size == np.repeat(top, n[some])).astype(np.int64), start[:-1])
-            out[0, at] += np.add.reduceat(size, start[:-1])
-            out[2, at] = np.where(top > out[1, at], equal, out[2, at] + np.where(top == out[1, at], equal, 0))
-            out[1, at] = np.maximum(out[1, at], top)
-        i = j
-    return out[0], out[1], out[2]
-
-
-def _by_sizes(key: np.ndarray, sweep: int, count: np.ndarray, z: np.ndarray, d: float, tables: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Update dishes with many customers: (tables, customers of the last table); rest <= 0: there is no seating yet."""
-    tables, rest = np.where(rest > 0, tables, 1), np.where(rest > 0, rest, count)
-    now = _log_sizes(rest.astype(float), d)
-    number = [np.random.Generator(np.random.Philox(key=[k, sweep])).poisson(x, TRIES) for k, x in zip(key.tolist(), (z / d).tolist(), strict=True)]
-    number = np.array(number, np.int64).reshape(len(key), TRIES)
-    for turn in range(TRIES):
-        stream = -2 - sweep * TRIES - turn
-        others = number[:, turn]
-        total, largest, equal = _other_tables(key, stream, count, others, d)
-        r = count - total
-        chance, tie = (uniform(mixed(key), stream, k) for k in range(2))
-        # The last table is a largest one: of several, by chance.
-        good = (r > 0) & ((r > largest) | ((r == largest) & (tie * (equal + 1) < 1)))
-        new = _log_sizes(np.where(good, r, 1).astype(float), d)
-        good &= np.log(chance) < new - now
-        tables, rest, now = np.where(good, others + 1, tables), np.where(good, r, rest), np.where(good, new, now)
-    return tables, rest
-
-
-def reseat(key: np.ndarray, sweep: int, count: np.ndarray, z: np.ndarray, d: float, tables: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A Gibbs update of each dish: its new (tables, others), given the present ones (0: no seating yet).
-
-    For dishes of over TABULATED customers, `others` is how many of them sit at all tables
-    but the last; for all else it is 0. Customers gained or lost since are of the last table.
+def _solved(low: float, high: float, under) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x, 1 - x and log(1 - x) where under(x, 1 - x, log(1 - x)) turns from true to false, by halving log(x / (1 - x))."""
+
+    def of(m):
+        x, rest = np.exp(-np.logaddexp(0, -m)), np.exp(-np.logaddexp(0, m))
+        return x, rest, np.where(m > 0, -np.logaddexp(0, m), np.log1p(-np.minimum(x, 0.6)))
+
+    for _ in range(64):
+        m = (low + high) / 2
+        up = under(*of(m))
+        low, high = np.where(up, m, low), np.where(up, high, m)
+    return of((low + high) / 2)
+
+
+def _log1p(x: np.ndarray) -> np.ndarray:
+    """log(1 + x) of complex numbers, precise for small ones too (counts multiply its error)."""
+    return 0.5 * np.log1p(x.real * (2 + x.real) + x.imag**2) + 1j * np.arctan2(x.imag, 1 + x.real)
+
+
+def log_chance(count: np.ndarray, tables: np.ndarray, d: float) -> np.ndarray:
+    """log of the probability that `tables` independent tables of Sibuya(d) sizes have `count` customers in all.
+
+    The coefficient of x^count in (1 - (1 - x)^d)^tables: its integral over a hyperbola
+    that crosses the real axis at the saddle point (not nearer than 1 / count to the branch
+    point at 1) and bends towards the side on which the integrand falls. For counts of some
+    hundred and more: below, the path is cut off too early for d near 1.
     """
-    out, size = np.minimum(count, 1), np.zeros(len(count), np.int64)
+    if len(count) > 2048:
+        parts = range(0, len(count), 2048)
+        return np.concatenate([log_chance(count[i : i + 2048], tables[i : i + 2048], d) for i in parts])
+    c, t = count.astype(float), tables.astype(float)
+    x, rest, _ = _solved(np.full(len(c), -60.0), np.full(len(c), 60.0), lambda x, q, lq: t * d * x * np.exp((d - 1) * lq) < (c + 0.5) * -np.expm1(d * lq))
+    close = rest < 1 / c
+    x, rest = np.where(close, 1 - 1 / c, x), np.where(close, 1 / c, rest)
+    near = rest < 0.5
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        log_rest, log_x = np.where(near, np.log(rest), np.log1p(-x)), np.where(near, np.log1p(-rest), np.log(x))
+        f = -np.expm1(d * log_rest)
+        # Ratios of derivatives to f; second and third derivatives of the integrand's logarithm.
+        one = d * np.exp((d - 1) * log_rest) / f
+        two = one * (1 - d) / rest
+        three = two * (2 - d) / rest
+        second = t * (two - one**2) + (c + 1) / x**2
+        third = t * (three - 3 * one * two + 2 * one**3) - 2 * (c + 1) / x**3
+        width = np.where(close, rest, 1 / np.sqrt(second))[:, None]
+        bend = np.where(close | (third > 0), BEND, -BEND)[:, None]
+        u = (np.arange(NODES) + 0.5) * (SPAN / NODES)
+        step = width * ((np.cosh(u) - 1) * np.sin(bend) + 1j * np.sinh(u) * np.cos(bend))
+        slope = width * (np.sinh(u) * np.sin(bend) + 1j * np.cosh(u) * np.cos(bend))
+        right, left, near = x[:, None] + step, rest[:, None] - step, near[:, None]
+        log_left, log_right = np.where(near, np.log(left), _log1p(-right)), np.where(near, _log1p(-left), np.log(right))
+        ratio = t[:, None] * np.log(-np.expm1(d * log_left) / f[:, None]) - (c[:, None] + 1) * (log_right - log_x[:, None])
+        area = (np.exp(ratio) * slope).imag.sum(axis=1) * (SPAN / NODES / np.pi)
+        return t * np.log(f) - (c + 1) * log_x + np.log(area)
+
+
+def log_weight(count: np.ndarray, tables: np.ndarray, z: np.ndarray, d: float) -> np.ndarray:
+    """log of z^t S(c, t) / c!"""
+    return tables * np.log(z / d) - log_gamma(tables + 1.0) + log_chance(count, tables, d)
+
+
+def _centres(count: np.ndarray, z: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Middles and scales, shaped (2, dishes), of the two logistic laws that proposals come from."""
+    c = count.astype(float)
+    x, rest, log_rest = _solved(np.full(len(c), -60.0), np.full(len(c), 600.0), lambda x, q, lq: np.log(z) + np.log(x) + (d - 1) * lq < np.log(c))
+    # Poisson(z / d) tables of sizes tilted to the sum c: given the sum, the variance of their number is less.
+    free, mean = z / d, z / d * -np.expm1(d * log_rest)
+    ratio = x * (1 - d) / np.maximum(rest, 1e-300)
+    spread = np.maximum(mean - c / (1 + ratio), 0.0)
+    middle = np.clip([mean, free + 1], 1.0, c)
+    return middle, 0.6 * np.sqrt([spread, np.minimum(free, c)]) + 0.5
+
+
+def _proposal(tables: np.ndarray, count: np.ndarray, middle: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """log of the probability that a number of tables is proposed (constants left out)."""
+    total = 0.0
+    for m, s in zip(middle, scale, strict=True):
+        low, high = _logistic((0.5 - m) / s), _logistic((count + 0.5 - m) / s)
+        far = np.clip((tables - m) / s, -600, 600)
+        total = total + np.sinh(0.5 / s) / (np.cosh(far) + np.cosh(0.5 / s)) / (high - low)
+    return np.log(np.maximum(total, 1e-300))
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return np.exp(-np.logaddexp(0, -x))
+
+
+def _by_weights(key: np.ndarray, sweep: int, count: np.ndarray, z: np.ndarray, d: float, tables: np.ndarray) -> np.ndarray:
+    """Update dishes with many customers, from their present numbers of tables (0: none yet)."""
+    z = np.maximum(z, 1e-290)
+    middle, scale = _centres(count, z, d)
+    tables = np.where(tables > 0, np.clip(tables, 1, count), np.rint(middle[0]).astype(np.int64))
+    now = log_weight(count, tables, z, d) - _proposal(tables, count, middle, scale)
+    for turn in range(TRIES):
+        which, place, chance = (uniform(key, -2 - sweep * TRIES - turn, k) for k in range(3))
+        m, s = (np.where(which < 0.5, x[0], x[1]) for x in (middle, scale))
+        low, high = _logistic((0.5 - m) / s), _logistic((count + 0.5 - m) / s)
+        p = low + place * (high - low)
+        new = np.clip(np.rint(m + s * (np.log(p) - np.log1p(-p))), 1, count).astype(np.int64)
+        then = log_weight(count, new, z, d) - _proposal(new, count, middle, scale)
+        good = np.log(chance) < then - now
+        tables, now = np.where(good, new, tables), np.where(good, then, now)
+    return tables
+
+
+def reseat(key: np.ndarray, sweep: int, count: np.ndarray, z: np.ndarray, d: float, tables: np.ndarray) -> np.ndarray:
+    """A Gibbs update of each dish: its new number of tables, given the present one (0: no seating yet)."""
+    out = np.minimum(count, 1)
     few = np.flatnonzero((count > 1) & (count <= TABULATED))
     few = few[np.argsort(count[few], kind="stable")]
     edge = np.flatnonzero(np.concatenate([[True], count[few][1:] != count[few][:-1], [True]])) if len(few) else [0]
@@ -184,10 +225,8 @@ def reseat(key: np.ndarray, sweep: int, count: np.ndarray, z: np.ndarray, d: flo
             out[own] = _from_table(key[own], sweep, c, z[own], d)
     many = np.flatnonzero(count > TABULATED)
     if len(many):
-        last = np.where(tables[many] > 0, count[many] - others[many], 0)
-        out[many], last = _by_sizes(key[many], sweep, count[many], z[many], d, tables[many], last)
-        size[many] = count[many] - last
-    return out, size
+        out[many] = _by_weights(key[many], sweep, count[many], z[many], d, tables[many])
+    return out
 
 
 def predictive(count, tables, total, total_tables, d, theta, parent):

@@ -395,7 +395,7 @@ class PlainModel:
         count = np.array([pairs[x] for x in many])
         tables = {x: 1 for x in pairs}
         base = 1 / (len(vocabulary) + 1)
-        seated, (others, own_others) = np.zeros(len(many), np.int64), (np.zeros(len(x), np.int64) for x in (many, vocabulary))
+        seated = np.zeros(len(many), np.int64)
         self.samples = []
         for sweep in range(lm_score.BURN + lm_score.SAMPLES + 1):
             total, customers = collections.Counter(), collections.Counter()
@@ -407,14 +407,14 @@ class PlainModel:
                 d0, own = pitman_yor.discount((m == 1).sum(), (m == 2).sum()), np.minimum(m, 1)
             else:
                 g0 = np.random.default_rng([lm_score.SEED, sweep]).gamma(1 / d0 + own.sum())
-                own, own_others = pitman_yor.reseat(of(vocabulary), sweep, m, np.full(len(m), d0 * g0 * base), d0, own, own_others)
+                own = pitman_yor.reseat(of(vocabulary), sweep, m, np.full(len(m), d0 * g0 * base), d0, own)
             rest = (1 + d0 * own.sum()) * base
             parent = dict(zip(vocabulary, (m - d0 * own + rest) / (1 + m.sum()), strict=True))
             if sweep > lm_score.BURN:
                 self.samples.append((dict(tables), total, parent, rest / (1 + m.sum())))
             g = dict(zip(contexts, pitman_yor.gamma(of(contexts), 1000 + sweep, 1 / d + np.array([total[u] for u in contexts])), strict=True))
             z = np.array([d * g[u] * parent[w] for u, w in many])
-            seated, others = pitman_yor.reseat(hashed, sweep, count, z, d, seated, others)
+            seated = pitman_yor.reseat(hashed, sweep, count, z, d, seated)
             tables.update(zip(many, seated.tolist(), strict=True))
 
     def probability(self, u, w):
@@ -476,34 +476,51 @@ def test_seating_follows_its_conditional(monkeypatch):
             for t, p in weight.items():
                 step[t + 1] += p * z
                 step[t] += p * (k - d * t)
-            weight = step
+            most = max(step.values())
+            weight = {t: p / most for t, p in step.items()}
         return {t: p / sum(weight.values()) for t, p in weight.items()}
 
     def drawn(n, sweeps, count, z, d):
-        keys, counts, zs = np.arange(n, dtype=np.uint64), np.full(n, count), np.full(n, z)
-        state = (np.zeros(n, np.int64), np.zeros(n, np.int64))
+        keys, counts, zs, state = np.arange(n, dtype=np.uint64), np.full(n, count), np.full(n, z), np.zeros(n, np.int64)
         for sweep in range(sweeps):
-            before, state = state, pitman_yor.reseat(keys, sweep, counts, zs, d, *state)
-            assert (pitman_yor.reseat(keys[::7], sweep, counts[::7], zs[::7], d, *(x[::7] for x in before))[0] == state[0][::7]).all()
-        return state[0]
+            before, state = state, pitman_yor.reseat(keys, sweep, counts, zs, d, state)
+            assert (pitman_yor.reseat(keys[::7], sweep, counts[::7], zs[::7], d, before[::7]) == state[::7]).all()
+        return state
 
     for count, z, d in ((2, 0.3, 0.7), (9, 2.0, 0.8), (30, 0.5, 0.3), (60, 25.0, 0.9)):
         want = conditional(count, z, d)
         assert np.bincount(drawn(40_000, 1, count, z, d), minlength=count + 1)[list(want)] / 40_000 == pytest.approx(list(want.values()), abs=0.012)
     monkeypatch.setattr(pitman_yor, "TABULATED", 20)
-    for count, z, d in ((60, 0.4, 0.7), (60, 4.0, 0.5), (100, 12.0, 0.8)):
+    for count, z, d in ((60, 0.4, 0.7), (60, 4.0, 0.5), (100, 12.0, 0.8), (60, 500.0, 0.3), (90, 1e-4, 0.95)):
         want = conditional(count, z, d)
-        assert np.bincount(drawn(3_000, 6, count, z, d), minlength=count + 1)[list(want)] / 3_000 == pytest.approx(list(want.values()), abs=0.04)
-    big, others = pitman_yor.reseat(np.arange(4, dtype=np.uint64), 1, np.array([0, 1, 10**6, 10**12]), np.array([1.0, 1.0, 50.0, 1e5]), 0.6, *np.zeros((2, 4), np.int64))
-    assert big[0] == 0 and big[1] == 1 and 50 < big[2] < 130 and 1.6e5 < big[3] < 1.8e5 and (others[:2] == 0).all()
-
-
-def test_table_sizes():
-    d, u = 0.7, (np.arange(200_000) + 0.5) / 200_000
-    sizes, p = pitman_yor.table_sizes(u, d, 10**6), d
-    for n in range(1, 30):
-        assert (sizes == n).mean() == pytest.approx(p, abs=2e-5)
-        p *= (n - d) / (n + 1)
+        assert np.bincount(drawn(3_000, 4, count, z, d), minlength=count + 1)[list(want)] / 3_000 == pytest.approx(list(want.values()), abs=0.035)
+    # Many tables among few customers: proposals must go on being taken.
+    for count, z, d in ((400, 60.0, 0.5), (1000, 100.0, 0.5), (400, 40.0, 0.8), (300, 900.0, 0.1), (600, 3.0, 0.9)):
+        want = conditional(count, z, d)
+        mean = sum(t * p for t, p in want.items())
+        spread = sum((t - mean) ** 2 * p for t, p in want.items()) ** 0.5
+        got = drawn(1_500, lm_score.BURN, count, z, d)
+        assert got.mean() == pytest.approx(mean, abs=0.1 * spread) and got.std() == pytest.approx(spread, rel=0.08)
+        keys, whole = np.arange(1_500, dtype=np.uint64), (np.full(1_500, count), np.full(1_500, z))
+        stay = got
+        for sweep in range(lm_score.BURN, lm_score.BURN + 4):
+            stay = np.where(pitman_yor.reseat(keys, sweep, *whole, d, got) == got, stay, -1)
+        assert (stay >= 0).mean() < 0.2 + max(want.values())
+
+
+def test_chances_of_table_sizes():
+    """Sums over the contour against the recurrence of the Stirling numbers, and one table against Sibuya's law."""
+    for d in (0.05, 0.5, 0.95):
+        table, most = pitman_yor.stirling(d, 900), 900
+        for c in (130, 513, most):
+            t = np.arange(1, c + 1)
+            want = table[c, 1 : c + 1] + t * math.log(d) + pitman_yor.log_gamma(t + 1.0) - math.lgamma(c + 1)
+            assert pitman_yor.log_chance(np.full(c, c), t, d) == pytest.approx(want, abs=1e-7)
+        for c in (10**6, 10**9):
+            one = math.log(d) + math.lgamma(c - d) - math.lgamma(1 - d) - math.lgamma(c + 1)
+            assert pitman_yor.log_chance(np.array([c]), np.array([1]), d)[0] == pytest.approx(one, abs=1e-5)
+    big = pitman_yor.reseat(np.arange(4, dtype=np.uint64), 1, np.array([0, 1, 10**6, 10**12]), np.array([1.0, 1.0, 50.0, 1e5]), 0.6, np.zeros(4, np.int64))
+    assert big[0] == 0 and big[1] == 1 and 50 < big[2] < 130 and 1.6e5 < big[3] < 1.8e5
 
 
 def test_gamma_variables():
