@@ -14,7 +14,7 @@ z^t S(c, t) with generalised Stirling numbers S. Up to TABULATED customers these
 and the draw is exact. Beyond, S(c, t) = c! / (t! d^t) times the chance that t tables of
 Sibuya(d) sizes hold c customers in all, which is a contour integral around the branch cut
 of the sizes' generating function, summed at NODES points of a path through the saddle point
-(`log_chance`, eight digits and more). Numbers of tables are proposed from a mixture of two
+(`log_chance`: eight digits, two where a single table holds 10^9 customers and d is near 1). Numbers of tables are proposed from a mixture of two
 logistic laws, around the saddle point of the joint law of tables and customers and around the
 number that there would be without the condition on the customers, and taken by
 Metropolis and Hastings' rule (TRIES times a sweep). The state is the number of tables alone,
