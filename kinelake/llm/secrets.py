@@ -1,20 +1,24 @@
 """Secret scan: known formats, then a randomness test battery for other tokens.
 
-All of it is DataFrame expressions on one row at a time: no shuffle, no Python on the
-executors. Known formats are found by regular expressions; the places of matches are
+All of it is DataFrame expressions, no Python on the executors. Known formats are found by regular expressions; the places of matches are
 rebuilt from the lengths of the texts between them. Other long tokens of two or more kinds of
 characters are tested against being ordinary ones (identifiers, slugs, file names), by the
 alphabet of the encoding that their characters suggest, in three ways: the chi-squared
 statistic of the symbol counts is lower than ordinary letter use gives, runs of one kind of
 character are more, and the lag-1 serial correlation is lower. Fisher's method joins the
-three p-values. Over the tokens of a text the Benjamini-Hochberg procedure at level FDR,
-with weights proportional to token length (long tokens carry more evidence), decides which
-are too random to be ordinary: these are reported as `random`, so that the share of ordinary
-tokens among them is bounded.
+three p-values. Over the tokens of the whole table the Benjamini-Hochberg procedure at level
+FDR, with weights proportional to token length (long tokens carry more evidence), decides
+which are too random to be ordinary: these are reported as `random`, so that the share of
+ordinary tokens among them is bounded as far as the p-values hold. Its limit is taken from a
+histogram of p / length (one shuffle of counts; bins of a 32nd of the natural logarithm, so
+of at most some 2,100 rows whatever the table), rounded down to a bin's edge. The table is
+scanned twice: once for the histogram, once for the spans.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +41,8 @@ EQUAL, EQUAL_SPREAD = (0.090, 0.037, 0.036, 0.049), (0.13, 0.12, 0.06, 0.11)
 CHANGE, CHANGE_SPREAD = (0.20, 0.10, 0.31, 0.30), (0.45, 0.40, 0.52, 0.46)
 CORRELATION, CORRELATION_SPREAD = (0.20, 0.25, 0.10, 0.20), (1.30, 1.20, 1.40, 1.45)
 FDR = 0.01
+_BIN = "CAST(floor(-ln(c.p / c.n) * 32) AS INT)"
+_NONE = 1 << 30
 _SPAN = "array<struct<start:int,kind:int,stop:int>>"
 _BLOCK = 256
 
@@ -120,8 +126,8 @@ def battery(candidates: str) -> Column:
     return F.expr(f"transform({joined}, c -> named_struct('start', c.start, 'stop', c.stop, 'n', c.n, 'p', exp(-c.s) * (1D + c.s + c.s * c.s / 2D)))")
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """(_rest, text, base, spans) of docs packed with its text apart."""
+def tested(docs: DataFrame) -> DataFrame:
+    """docs packed with its text apart, with base and _tested: known kinds, and the battery's results for other tokens."""
     df = docs.withColumn("_text", F.coalesce("text", F.lit("")))
     df = _with_matches(df, ASSIGN, "_assign", 1)
     df = df.withColumn("_assign", F.expr(f"filter(_assign, m -> length(m.value) >= {LEAST_VALUE})"))
@@ -132,28 +138,41 @@ def found(docs: DataFrame) -> DataFrame:
         "filter(_candidates, c -> CAST(rlike(c.found, '[0-9]') AS INT) + CAST(rlike(c.found, '[a-z]') AS INT) + CAST(rlike(c.found, '[A-Z]') AS INT) > 1"
         " AND NOT exists(base, b -> b.start < c.stop AND b.stop > c.start))"
     )
-    df = df.withColumn("_mixed", F.expr(mixed))
-    df = df.withColumn("_tested", battery("_mixed"))
-    # Weighted Benjamini-Hochberg over the text's tokens.
-    df = df.withColumn("_mean", F.expr("aggregate(_tested, 0D, (a, c) -> a + c.n) / greatest(size(_tested), 1)"))
-    df = df.withColumn("_p", F.expr("transform(_tested, c -> c.p * _mean / c.n)"))
-    df = df.withColumn("_sorted", F.sort_array("_p"))
-    df = df.withColumn("_cut", F.expr(f"coalesce(array_max(filter(_sorted, (x, i) -> x <= {FDR}D * (i + 1) / size(_sorted))), -1D)"))
-    random = F.expr("filter(transform(_tested, (c, i) -> named_struct('start', c.start, 'stop', c.stop, 'goes', get(_p, i) <= _cut)), c -> c.goes)")
-    df = df.withColumn("_random", random)
-    df = df.withColumn("spans", F.sort_array(F.concat("base", _spans("_random", "random"))))
-    return settled(df, ["_rest", "text"], ["base", "spans"])
-
-
-def find(docs: DataFrame) -> DataFrame:
+    return df.withColumn("_mixed", F.expr(mixed)).withColumn("_tested", battery("_mixed"))
+
+
+def limit(docs: DataFrame) -> int:
+    """The least bin of p / length that is reported as `random` in docs; a very large number if none is.
+
+    Counts of bins alone reach the driver. A table without tokens to test reports none; repeated rows count as often as they are there.
+    """
+    # An inner explode would push a filter below, and repeat the expressions that its array shares.
+    tokens = tested(packed(docs.select("text"), "text")).select(F.explode_outer("_tested").alias("c"))
+    bins = tokens.selectExpr(f"{_BIN} AS bin", "c.n").groupBy("bin").agg(F.count("n"), F.sum("n")).collect()
+    bins = sorted(((b, count, n) for b, count, n in bins if b is not None), reverse=True)
+    tokens, length = (sum(x[i] for x in bins) for i in (1, 2))
+    least, so_far = _NONE, 0
+    for b, count, _ in bins:
+        so_far += count
+        if length / tokens * math.exp(-b / 32) <= FDR * so_far / tokens:
+            least = b
+    return least
+
+
+def find(docs: DataFrame, least: int | None = None) -> DataFrame:
     """docs with base and spans: arrays of (start, kind, stop), kind a place in KINDS, stop exclusive.
 
-    base holds the known kinds, spans these and `random`, both by start, then kind. A NULL or
-    empty text has none, an empty table stays empty, repeated rows are each scanned, and a
-    very long text is scanned whole. A candidate that overlaps a known kind isn't tested.
-    Columns of docs named base or spans give way; all others keep their values.
+    base holds the known kinds, spans these and `random`, both by start, then kind. What is
+    random is decided by `least`, as `limit` gives it: of docs itself (a job that runs at once), if
+    none is given. A NULL or empty text has none, an empty table stays empty, repeated rows are
+    each scanned, and a very long text is scanned whole. A candidate that overlaps a known kind
+    isn't tested. Columns of docs named base or spans give way; all others keep their values.
     """
-    return found(packed(docs, "text")).select(*unpacked(docs, "text", without=("base", "spans")), "base", "spans")
+    least = limit(docs) if least is None else least
+    df = tested(packed(docs, "text"))
+    random = f"transform(filter(_tested, c -> {_BIN} >= {int(least)}), c -> struct(c.start AS start, {KINDS.index('random')} AS kind, c.stop AS stop))"
+    df = df.withColumn("spans", F.sort_array(F.concat("base", F.expr(random).cast(_SPAN))))
+    return settled(df, ["_rest", "text"], ["base", "spans"]).select(*unpacked(docs, "text", without=("base", "spans")), "base", "spans")
 
 
 def written(spans: Column) -> Column:
