@@ -57,18 +57,32 @@ def union(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame
     return _merged(a.select(columns).unionAll(b.select(columns)), list(keys))
 
 
+def _with(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two tables of runs (or of what grows with them), both shuffled: exploded pixels are estimated at their source's size, so one side would be sent through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def intersection(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Runs of the pixels that are in both: runs of the same row that overlap, cut to what they share."""
     right = b.select(*keys, "y", F.col("x0").alias("_x0"), F.col("x1").alias("_x1"))
-    met = a.join(right, [*keys, "y"]).where("x0 <= _x1 AND x1 >= _x0")
+    met = _with(a, right, [*keys, "y"]).where("x0 <= _x1 AND x1 >= _x0")
     return met.select(*keys, "y", F.greatest("x0", "_x0").alias("x0"), F.least("x1", "_x1").alias("x1"))
 
 
 def overlap(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, pixels_a, pixels_b, common, iou) of masks that a and b have: the share of common pixels in all of theirs."""
-    sizes = [m.groupBy(*keys).agg(F.sum(length()).cast("long").alias(name)) for m, name in ((a, "pixels_a"), (b, "pixels_b"), (intersection(a, b, keys), "common"))]
-    found = sizes[0].join(sizes[1], [*keys]).join(sizes[2], [*keys], "left").withColumn("common", F.coalesce("common", F.lit(0).cast("long")))
-    return found.withColumn("iou", F.col("common") / (F.col("pixels_a") + F.col("pixels_b") - F.col("common")))
+    """(keys, pixels_a, pixels_b, common, iou) of masks that a and b have: the share of common pixels in all of theirs.
+
+    The runs of both meet in their row once, without a join: what a run adds to those before it is new, and common pixels are those counted twice.
+    """
+    zero = F.lit(0).cast("long")
+    sides = [m.select(*keys, "y", "x0", "x1", *(F.when(F.lit(own), length()).otherwise(zero).alias(c) for c, own in (("pixels_a", one), ("pixels_b", not one)))) for m, one in ((a, True), (b, False))]
+    both = sides[0].unionAll(sides[1]).where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+    w = Window.partitionBy(*keys, "y").orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.greatest(zero, F.col("x1") - F.greatest(F.col("x0") - 1, F.max("x1").over(w)))  # greatest skips the NULL of a row's first run
+    sums = [F.sum(c).cast("long").alias(c) for c in ("pixels_a", "pixels_b")]
+    sized = both.withColumn("_new", new).groupBy(*keys).agg(*sums, F.sum("_new").cast("long").alias("_all")).where("pixels_a > 0 AND pixels_b > 0")
+    common = F.col("pixels_a") + F.col("pixels_b") - F.col("_all")
+    return sized.select(*keys, "pixels_a", "pixels_b", common.alias("common"), (common / F.col("_all")).alias("iou"))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -85,9 +99,9 @@ def connected(edges: DataFrame) -> DataFrame:
         before = mark
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = cut(both.where("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = cut(_with(both.where("y > x"), low, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = _with(large, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = cut(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
 
 
@@ -132,8 +146,8 @@ def bodies(masks: DataFrame, band: int = BAND) -> DataFrame:
     tiled = cut(parts(masks, band))
     at = F.pmod("y", F.lit(band))
     above = tiled.where(at == band - 1).select(*KEYS, (F.col("y") + 1).alias("y"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("part").alias("a"))
-    seams = tiled.where(at == 0).join(above, [*KEYS, "y"]).where("x0 <= _x1 + 1 AND x1 >= _x0 - 1").select("a", F.col("part").alias("b"))
-    joined = tiled.join(connected(seams), F.col("part") == F.col("node"), "left")
+    seams = _with(tiled.where(at == 0), above, [*KEYS, "y"]).where("x0 <= _x1 + 1 AND x1 >= _x0 - 1").select("a", F.col("part").alias("b"))
+    joined = _with(tiled, connected(seams), F.col("part") == F.col("node"), "left")
     return joined.select(*KEYS, "y", "x0", "x1", F.coalesce("root", "part").alias("body"), "edge")
 
 

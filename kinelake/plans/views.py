@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinelake.functions import geometry, vec
 from kinelake.operators import camera, overlay, vision
 from kinelake.plans.motion import DAY_US, trajectory, vectors
-from kinelake.sources.tables import table
+from kinelake.sources.tables import spread, table
 
 SCALE = 8.0
 
@@ -64,7 +64,7 @@ def shoelace_area(spark, sf_dir):
 
 def raster(spark, sf_dir):
     """Pixels of discs, one for each part: 500 parts a frame, one above the other, their ids by key modulo 5."""
-    discs = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 9 + 3).cast("int").alias("r"))
+    discs = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", (F.col("p_size") % 9 + 3).cast("int").alias("r"))
     side = F.sequence(-F.col("r"), F.col("r"))
     cells = discs.withColumn("dy", F.explode(side)).withColumn("dx", F.explode(side)).where("dx * dx + dy * dy <= r * r")
     return cells.select(

@@ -104,3 +104,20 @@ def test_many_specks(spark):
     """20,000 parts of one body take about as long as the sort of its pixels."""
     df = spark.range(20_000).select(F.lit(0).cast("long").alias("frame_idx"), F.lit(1).alias("geom_id"), (F.col("id") % 200 * 2).cast("int").alias("y"), (F.floor(F.col("id") / 200) * 2).cast("int").alias("x"))
     assert vision.contours(df, -1.0).count() == 20_000
+
+
+def test_runs_do_not_pass_through_the_driver(spark):
+    # Exploded pixels are estimated at their source's size: a join of runs would broadcast them.
+    from kinelake.plans import masks as plans
+
+    cells = spark.range(3).selectExpr("id AS frame_idx", "1 AS geom_id", "explode(sequence(0, 9)) AS y", "cast(id AS int) AS x")
+    runs = masks.runs(cells)
+    moved = masks.runs(cells.withColumn("x", F.col("x") + 1))
+    for df in (plans.mask_overlap(spark, "/root/testdata/sf0.001"), masks.overlap(runs, moved), masks.intersection(runs, moved)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlap_counts_what_is_common(spark):
+    a = spark.createDataFrame([(0, 1, 0, 0, 9), (0, 1, 0, 20, 29), (0, 1, 2, 0, 4), (0, 2, 0, 0, 0), (1, 1, 0, 0, 3)], "frame_idx long, geom_id int, y int, x0 int, x1 int")
+    b = spark.createDataFrame([(0, 1, 0, 5, 24), (0, 1, 1, 0, 4), (0, 2, 0, 1, 1), (2, 1, 0, 0, 3)], "frame_idx long, geom_id int, y int, x0 int, x1 int")
+    assert sorted(map(tuple, masks.overlap(a, b).collect())) == [(0, 1, 25, 25, 10, 0.25), (0, 2, 1, 1, 0, 0.0)]
