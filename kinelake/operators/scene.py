@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinelake.functions import geometry
 from kinelake.functions.vec import round_even
 from kinelake.sources import dimensions as dim
+from kinelake.sources.tables import spread
 
 TURN = 2 * math.pi
 
@@ -72,13 +73,16 @@ def rgba_string(color: Column, alpha: Column) -> Column:
 
 def draw(seed: int, *place: Column | str) -> Column:
     """A number in [0, 1) for a place (a run, a body, a name): the same in every task, partitioning and engine."""
-    text = F.concat_ws(":", F.lit(str(seed)), *(x.cast("string") if isinstance(x, Column) else F.lit(x) for x in place))
+    return fraction(F.concat_ws(":", F.lit(str(seed)), *(x.cast("string") if isinstance(x, Column) else F.lit(x) for x in place)))
+
+
+def fraction(text: Column) -> Column:
+    """A number in [0, 1) from a text, evenly: the first 52 bits of its MD5."""
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
-def normal(seed: int, *place: Column | str) -> Column:
-    """A standard normal number for a place (Box and Muller's transform of two draws)."""
-    u, v = draw(seed, *place, "radius"), draw(seed, *place, "turn")
+def normal(u: Column, v: Column) -> Column:
+    """A standard normal number from two draws (Box and Muller's transform)."""
     return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u)) * F.cos(F.lit(TURN) * v)
 
 
@@ -89,17 +93,19 @@ def bodies(
 
     Bodies that the caller gives (`given`, not empty) replace the draw.
 
-    Every number derives from the seed, the run, the body and its name, whatever the partitioning.
+    Every number derives from the seed, the run, the body and its name, whatever the partitioning. Runs are dealt by run_id
+    before they grow to bodies, and bodies stay there: what groups them by run needs no shuffle.
     """
     if given is not None and not given.isEmpty():
         return given
     ids = spark.range(runs).withColumnRenamed("id", "run_id") if isinstance(runs, int) else runs.select("run_id")
     run = F.col("run_id")
-    drawn = ids.withColumn("num_objects", (F.lit(least) + F.floor(draw(seed, run, "count") * (most - least + 1))).cast("int"))
+    drawn = spread(ids, "run_id").withColumn("num_objects", (F.lit(least) + F.floor(draw(seed, run, "count") * (most - least + 1))).cast("int"))
     df = drawn.withColumn("obj_idx", F.explode(F.sequence(F.lit(0), F.col("num_objects") - 1)))
     names = ["shape", "material", "color", "mode", "e", "d", "f", "d1", "d2", "d3", "r", "a", "s", "b", "c", "v", "w1", "w2", "w3"]
-    at = (run, F.col("obj_idx"))
-    df = df.withColumns({f"_{n}": draw(seed, *at, n) for n in names} | {f"_{n}z": normal(seed, *at, f"{n}z") for n in "edf"})
+    df = df.withColumn("_at", F.concat_ws(":", F.lit(str(seed)), run.cast("string"), F.col("obj_idx").cast("string")))  # once for all names
+    own = lambda name: fraction(F.concat("_at", F.lit(f":{name}")))
+    df = df.withColumns({f"_{n}": own(n) for n in names} | {f"_{n}z": normal(own(f"{n}z:radius"), own(f"{n}z:turn")) for n in "edf"})
     u = {n: F.col(f"_{n}") for n in names}
     df = df.withColumns(
         {

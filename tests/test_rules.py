@@ -302,3 +302,14 @@ def test_contours_with_holes_and_corners(spark):
     assert len(both) == 2 and (hole["x0"], hole["y0"], hole["x1"], hole["y1"]) == (9, 9, 31, 21)
     square = spark.createDataFrame([(0, 1, y, x) for y in range(10) for x in range(10)], "frame_idx long, geom_id int, y int, x int")
     assert sorted(vision.contours(square).first()["points"]) == [[0, 0], [0, 9], [9, 0], [9, 9]]
+
+
+def test_scenes_are_drawn_once_over_all_cores(spark):
+    # A small file of runs was one task for all their bodies.
+    from kinelake.plans import scenes
+
+    for query in (scenes.scene_random, scenes.scene_xml):
+        df = query(spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan.replace("BroadcastHashJoin", "")
+        assert df.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
