@@ -123,11 +123,12 @@ def doc_whole(spark, sf_dir):
     first = F.struct(
         F.lit(0.0).alias("time"), F.map_from_entries(F.transform("objects", lambda o: F.struct(o["id"].alias("id"), state(o).alias("state")))).alias("objects"), none.cast("array<array<int>>").alias("interations")
     )
-    framed = objects.select("run_id", F.lit(0).cast("long").alias("frame_idx"), first.alias("frame"))
     init = {k: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v) for k, v in document.CAMERA_DEFAULTS.items()}
     at = F.struct(F.lit("camera").alias("camera_name"), *(v.alias(k) for k, v in init.items()), init["lookat"].alias("prev_lookat"), init["distance"].alias("prev_distance"), F.lit(camera.ALPHA).alias("alpha"))
-    parsed = document.parse(document.documents(framed, objects, objects.select("run_id", at.alias("camera"))))
-    each = parsed.select("run_id", "num_objects", "camera", "frames", F.explode("objects").alias("o"))
+    # A scene's camera, bodies and frame are in one row already: no join, and bodies are drawn once.
+    parsed = document.parse(document.text(objects.withColumns({"camera": at, "frames": F.array(first)})))
+    # With explode, the optimizer would parse each document twice, to look for empty lists first.
+    each = parsed.select("run_id", "num_objects", "camera", "frames", F.explode_outer("objects").alias("o")).where("o IS NOT NULL")
     shown = F.element_at(F.col("frames")[0]["objects"], F.col("o.id"))
     same = ("id", "geom_id", "shape", "material", "mode", "friction", "geom_type", "size_str")
     return each.select(

@@ -71,12 +71,17 @@ def documents(framed: DataFrame, objects: DataFrame | None = None, cameras: Data
     """
     by_index = lambda a, b: F.when(a["frame_idx"] < b["frame_idx"], -1).when(a["frame_idx"] > b["frame_idx"], 1).otherwise(0)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "frame")), by_index), lambda f: f["frame"])
-    out, parts, more = framed.groupBy("run_id").agg(ordered.alias("frames")), [], []
-    for name, given in (("camera", cameras), ("objects", objects)):
+    out = framed.groupBy("run_id").agg(ordered.alias("frames"))
+    for given in (cameras, objects):
         if given is not None:
-            out, parts = out.join(given, "run_id", "left"), [*parts, name]
-    more = ["num_objects"] if "num_objects" in out.columns else []
-    return out.select("run_id", *more, F.to_json(F.struct(*parts, "frames")).alias("json"))
+            out = out.join(given, "run_id", "left")
+    return text(out)
+
+
+def text(whole: DataFrame) -> DataFrame:
+    """(run_id, [num_objects], json) of rows that hold a whole document: run_id, frames and, if given, camera and objects."""
+    more = ["num_objects"] if "num_objects" in whole.columns else []
+    return whole.select("run_id", *more, F.to_json(F.struct(*(c for c in ("camera", "objects", "frames") if c in whole.columns))).alias("json"))
 
 
 def parse(df: DataFrame, json: str = "json") -> DataFrame:

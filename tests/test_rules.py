@@ -305,11 +305,12 @@ def test_contours_with_holes_and_corners(spark):
 
 
 def test_scenes_are_drawn_once_over_all_cores(spark):
-    # A small file of runs was one task for all their bodies.
+    # A small file of runs was one task for all their bodies; documents drew the bodies three times and were parsed twice.
     from kinelake.plans import scenes
 
-    for query in (scenes.scene_random, scenes.scene_xml):
+    for query in (scenes.scene_random, scenes.scene_xml, scenes.doc_whole):
         df = query(spark, "/root/testdata/sf0.001")
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") == plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan.replace("BroadcastHashJoin", "")
+        assert plan.count("from_json(") == (query is scenes.doc_whole)
         assert df.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
