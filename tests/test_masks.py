@@ -117,6 +117,15 @@ def test_runs_do_not_pass_through_the_driver(spark):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_contours_deal_words_of_pixels(spark):
+    # Pixels as rows filled a task's memory; columns below 0 and over a word's edge, and pixels given twice, count as before.
+    cells = [(0, 1, y, x) for y in range(3) for x in range(-70, 141)] + [(0, 1, 0, 5), (0, 1, 20, 63), (0, 1, 20, 64)]
+    found = vision.contours(spark.createDataFrame(cells, PIXEL), least=-1.0)
+    assert [(r["x0"], r["y0"], r["x1"], r["y1"], r["area"]) for r in found.orderBy("contour_idx").collect()] == [(-70, 0, 141, 3, 420.0), (63, 20, 65, 21, 0.0)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "partial_bit_or" in plan[plan.index("FlatMapGroupsInPandas") :]
+
+
 def test_overlap_counts_what_is_common(spark):
     a = spark.createDataFrame([(0, 1, 0, 0, 9), (0, 1, 0, 20, 29), (0, 1, 2, 0, 4), (0, 2, 0, 0, 0), (1, 1, 0, 0, 3)], "frame_idx long, geom_id int, y int, x0 int, x1 int")
     b = spark.createDataFrame([(0, 1, 0, 5, 24), (0, 1, 1, 0, 4), (0, 2, 0, 1, 1), (2, 1, 0, 0, 3)], "frame_idx long, geom_id int, y int, x0 int, x1 int")
